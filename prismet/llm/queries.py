@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, media
 
 QUERIES = {
+    "op5_media_columns": media.query,
     "op7_exact_dedup": exact_dedup.query,
 }
 
