@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media
+from . import exact_dedup, media, packing
 
 QUERIES = {
     "op5_media_columns": media.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_packing": packing.query,
 }
 
 ORACLES = {
