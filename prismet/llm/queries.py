@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, packing
+from . import exact_dedup, media, mixing, packing
 
 QUERIES = {
     "op5_media_columns": media.query,
+    "op6_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_packing": packing.query,
 }
