@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, packing
+from . import exact_dedup, language_id, media, mixing, packing
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op5_media_columns": media.query,
     "op6_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
