@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, mixing, packing, quality
+from . import exact_dedup, language_id, media, mixing, packing, quality, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_secrets": secrets.query,
     "op5_media_columns": media.query,
     "op6_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
