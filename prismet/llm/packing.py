@@ -15,8 +15,8 @@ that repeat a document are packed each for itself; a null doc_id is carried thro
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,49 +43,63 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder(dict):
+class Recent(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one, whose hits are kept."""
+
+    def __init__(self, make, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class WordEncoder:
     """Ids of a text, word by word, as little-endian unsigned 32-bit bytes.
 
     White space always ends a token of this vocabulary, so a text's ids are those of its words. Words are kept
-    in a bounded cache. Words of Latin-1 characters are lower-cased and cut here and only their pieces go to
-    the model; all others, and those that may hold a control token, go through the whole tokenizer.
+    in a bounded cache. Words of Latin-1 characters (which normalisation leaves alone) are lower-cased and cut
+    here and only their pieces go to the model; all others, and those that may hold a control token, go through
+    the whole tokenizer.
     """
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, path: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.bytes = byte_alphabet()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if max(word) <= "\xff" and "<|" not in word and unicodedata.is_normalized("NFC", word):
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in self.find(word.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.words = Recent(self._word, self.LIMIT)
+        self.pieces = Recent(self._piece, self.LIMIT)
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if word.isascii() or max(word) <= "\xff":
+            if word.isalpha():
+                return self.pieces[word.lower()]
+            if "<|" not in word:
+                return b"".join([self.pieces[p] for p in self.find(word.lower())])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= self.LIMIT:
-            self.pieces.clear()
-        mapped = "".join([self.bytes[b] for b in piece.encode()])
-        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        if len(piece) <= 64:
-            self.pieces[piece] = ids
-        return ids
+        mapped = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self[w] for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
