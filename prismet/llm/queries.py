@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, mixing, packing, quality, secrets
+from . import exact_dedup, language_id, media, mixing, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_packing": packing.query,
+    "op9_pii": pii.query,
     "op10_quality": quality.query,
 }
 
