@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, mixing, packing, pii, quality, secrets
+from . import chat, exact_dedup, language_id, media, mixing, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_secrets": secrets.query,
+    "op3_chat_format": chat.query,
     "op5_media_columns": media.query,
     "op6_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_chat_format": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
