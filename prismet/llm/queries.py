@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language_id, media, mixing, packing, pii, quality, secrets
+from . import chat, exact_dedup, jaccard_join, language_id, media, mixing, packing, pii, quality, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_secrets": secrets.query,
     "op3_chat_format": chat.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_media_columns": media.query,
     "op6_mixing": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
