@@ -1,19 +1,23 @@
 """Exact n-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection of sorted arrays.
 
 A document's set holds the 64-bit hashes of its distinct word n-grams. Documents of equal sets form one vertex
-(their smallest doc_id). Two vertices can only link if they share a hash among the first
-n - ceil(t * n) + 1 of each set in one global order, so a hash shared that way names a tile, and only rows of a
-tile whose sizes lie in a band of ratio t meet. The order puts frequent hashes last (they are counted over all
-rows, and the order changes the work, never the result), so a common passage forms no tile.
-
-1. shared(): rows (tile, vertex) whose tile holds another vertex of its size band.
-2. First round: every vertex goes to one tile, the first it shares, with its signature and sorted array. Inside,
-   a pair is looked at only while its ends are in different components; bit counts of the signatures bound the
-   overlap from above (a bit of x that y lacks is an element of x that y lacks), and pairs that pass are
-   intersected exactly. A tile of many rows is dealt out by a salt; later rounds join what that parts.
-3. Later rounds take the tiles that still hold several components, with signatures alone: first the best pair
-   of every two components of a tile, then every pair left whose bound passes. Pairs are intersected after
-   joining the arrays. Tiles above BLOCK rows are cut into blocks, and every two blocks meet in a task.
+(their smallest doc_id). In one global order of the hashes, two vertices that link share k of the first
+n - ceil(t * n) + k of each set, for any k. The order puts frequent hashes last (they are counted over all rows;
+the order changes the work, never the result), so a common passage forms few tiles.
+
+1. Prefixes with k of about half their plain length: vertices with fewer shared hashes than any partner of their
+   size band would need drop out; they cannot link. Prefix rows travel packed, a block a task and target, at about
+   13 bytes a hash. Frequent hashes are shared by definition and are not sent.
+2. A hash shared among the plain prefixes (k = 1) names a tile; only rows of a tile whose sizes lie in a band of
+   ratio t meet. First round: every vertex goes to one tile, the first it shares, with its signature and sorted
+   array. Inside, a pair is looked at only while its ends are in different components; bit counts of the
+   signatures bound the overlap from above (a bit of x that y lacks is an element of x that y lacks), and pairs
+   that pass are intersected exactly. A tile of many rows is dealt out by a salt; later rounds join what that parts.
+3. A later round takes the tiles that still hold several components, with signatures alone; tiles of one smallest
+   vertex are looked at together, so a pair that shares many tiles is met once or a few times. Every pair of
+   different components whose bound passes is intersected after joining the arrays. Where a group is so large that
+   the first round had to deal it out, the best pair of every two components is tested before. Groups above BLOCK
+   rows are cut into blocks, and every two blocks meet in a task.
 4. Components come from contracting the link graph (never on the driver).
 
 Copies thus cost one row, and a group of near copies about one intersection a member, while no link between
@@ -28,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_view, shared_folder, slices, stored, table
@@ -58,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def _word_hashes(data: np.ndarray, starts: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """Hashes of the words that begin at `starts`; bytes between words are spaces."""
     out = np.empty(len(starts), np.uint64)
     a = 0
@@ -101,7 +105,10 @@ def shingle_sets(column, words: int = WORDS) -> list[np.ndarray]:
         out = []
         for i in range(n):
             if count[i] >= words:
-                out.append(np.unique(grams[first[i] : first[i] + count[i] - words + 1]))
+                own = np.sort(grams[first[i] : first[i] + count[i] - words + 1])
+                fresh = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                out.append(own[fresh])
             elif count[i]:
                 own = _U(int(count[i]))
                 for h in hashes[first[i] : first[i + 1]]:
@@ -117,6 +124,22 @@ def least_overlap(size: int, percent: int) -> int:
     return (percent * size + 99) // 100
 
 
+def plain_prefix(size: int, percent: int) -> int:
+    """Length of the prefix in which two linked sets share one hash at least."""
+    return size - least_overlap(size, percent) + 1
+
+
+def wanted(size: int, percent: int) -> int:
+    """k of a set: how many hashes the longer prefix is made to share."""
+    return (plain_prefix(size, percent) + 1) // 2
+
+
+def wanted_least(n: Column, percent: int) -> Column:
+    """The least k among a set of n and its partners: that of the smallest partner (k grows with the size)."""
+    least = F.floor((percent * n + 99) / 100)
+    return F.floor((least - F.floor((percent * least + 99) / 100) + 2) / 2)
+
+
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
@@ -143,10 +166,10 @@ def width_of(size: int) -> int:
 
 def signature(values: np.ndarray) -> np.ndarray:
     width = width_of(len(values))
-    out = np.zeros(width, np.uint64)
     bit = values & _U(64 * width - 1)
-    np.bitwise_or.at(out, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-    return out
+    flags = np.zeros(64 * width, np.uint8)
+    flags[bit.astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
 def folded(sig: np.ndarray, width: int) -> np.ndarray:
@@ -253,17 +276,19 @@ def grouped(batches, keys: list[str]):
         yield held
 
 
-def _frequent(words: int, least: int = 4, most: int = 1 << 21):
-    """Per task the hashes that several of its different sets hold, by lossy counting."""
+def _frequent(words: int, least: int = 4, chunk: int = 1 << 20):
+    """Per task the hashes that several of its different sets hold; those that one chunk holds once are passed over."""
     schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
 
     def task(batches):
-        keys, counts, seen, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), set(), [], 0
+        found, counts, seen, waiting, held = [], [], set(), [], 0
 
-        def merge(keys, counts, waiting):
-            fresh, n = np.unique(np.concatenate(waiting), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+        def close():
+            values = np.sort(np.concatenate(waiting))
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.diff(np.append(first, len(values)))
+            found.append(values[first[n > 1]])
+            counts.append(n[n > 1])
 
         for batch in slices(batches, size=2 << 20):
             for s in shingle_sets(batch.column("text"), words):
@@ -273,16 +298,18 @@ def _frequent(words: int, least: int = 4, most: int = 1 << 21):
                         seen.add(name)
                     waiting.append(s)
                     held += len(s)
-            if held > 1 << 20:
-                keys, counts = merge(keys, counts, waiting)
+            if held > chunk:
+                close()
                 waiting, held = [], 0
-                if len(keys) > most:
-                    keys, counts = keys[counts > 1], counts[counts > 1]
         if waiting:
-            keys, counts = merge(keys, counts, waiting)
-        keys, counts = keys[counts >= least], counts[counts >= least]
+            close()
+        if not found:
+            return
+        keys, at = np.unique(np.concatenate(found), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
+        keys, n = keys[n >= least], n[n >= least]
         for a in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000].view(np.int64)), pa.array(counts[a : a + 50_000])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000].view(np.int64)), pa.array(n[a : a + 50_000])], schema=schema)
 
     return task
 
@@ -300,13 +327,22 @@ class Order:
         """The first `length` of a sorted set in this order, and how many of them are rare."""
         if not len(self.hashes):
             return values[:length], min(length, len(values))
-        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
-        heavy = self.hashes[at] == values
-        rare = values[~heavy][:length]
-        if len(rare) == length:
-            return rare, length
-        late = values[heavy][np.argsort(self.place[at[heavy]])]
-        return np.concatenate([rare, late[: length - len(rare)]]), len(rare)
+        rare, late, a, step = [], [], 0, length + 16
+        while length > 0 and a < len(values):
+            part = values[a : a + step]
+            at = np.minimum(np.searchsorted(self.hashes, part), len(self.hashes) - 1)
+            heavy = self.hashes[at] == part
+            kept = part[~heavy][:length]
+            rare.append(kept)
+            late.append((part[heavy], self.place[at[heavy]]))
+            length -= len(kept)
+            a += step
+            step *= 2
+        out = np.concatenate(rare) if rare else values[:0]
+        if length <= 0:
+            return out, len(out)
+        hashes, places = (np.concatenate(c) for c in zip(*late, strict=True))
+        return np.concatenate([out, hashes[np.argsort(places)][:length]]), len(out)
 
 
 def frequent_order(docs: DataFrame, words: int) -> Order:
@@ -315,11 +351,20 @@ def frequent_order(docs: DataFrame, words: int) -> Order:
     return Order(rows.column("hash").to_numpy().view(np.uint64), rows.column("n").to_numpy())
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("rare", pa.list_(pa.int64())), ("heavy", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("rare", pa.binary()), ("plain", pa.int32()), ("heavy", pa.list_(pa.struct([("key", pa.int64()), ("plain", pa.int32())])))])
+_SETS_DDL = "doc_id long, n long, s1 long, s2 long, rare binary, plain int, heavy array<struct<key:long,plain:int>>"
+
+
+def set_name(values: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a whole set."""
+    with np.errstate(over="ignore"):
+        mixed = mix(values * _STEP + _U(len(values)))
+        return int(np.add.reduce(mixed, dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(mixed + _STEP)).view(np.int64))
 
 
 def _described(words: int, percent: int, order):
-    """Per document the size of its set, two hashes of the whole set, and its prefix."""
+    """Per document the size of its set, two hashes of the whole set, and its prefix: rare keys as 6 bytes each (the
+    first `plain` of them belong to the plain prefix), frequent keys one by one."""
 
     def task(batches):
         own = order.value
@@ -327,40 +372,97 @@ def _described(words: int, percent: int, order):
             rows = []
             for s in shingle_sets(batch.column("text"), words):
                 n = len(s)
-                prefix, rare = own.prefix(s, n - least_overlap(n, percent) + 1) if n else (s, 0)
-                with np.errstate(over="ignore"):
-                    mixed = mix(s * _STEP + _U(n))
-                    s1, s2 = np.add.reduce(mixed, dtype=np.uint64), np.bitwise_xor.reduce(mix(mixed + _STEP)) if n else _U(0)
-                prefix = prefix.view(np.int64)
-                rows.append((n, int(np.int64(np.uint64(s1).view(np.int64))), int(np.uint64(s2).view(np.int64)), prefix[:rare], prefix[rare:]))
+                if not n:
+                    rows.append((0, 0, 0, b"", 0, []))
+                    continue
+                plain = plain_prefix(n, percent)
+                prefix, rare = own.prefix(s, plain + wanted(n, percent) - 1)
+                packed = prefix[:rare].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+                rows.append((n, *set_name(s), packed, min(rare, plain), [{"key": int(h), "plain": int(rare + i < plain)} for i, h in enumerate(prefix[rare:].view(np.int64))]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SETS)[1:], strict=True))], schema=_SETS)
 
     return task
 
 
-def _shared_task(percent: int):
-    """Of rows sorted by (key, n), those with a row of the same key and another vertex within the size band next to them."""
-    schema = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+def _pack(parts: int, most: int = 4096):
+    """Prefix rows as blocks: for each target a block holds its vertices once, and two bytes of place and six of key a row."""
+    schema = pa.schema([("target", pa.int32()), ("block", pa.binary())])
 
     def task(batches):
-        tail = None
         for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "n", "v")])
-            if tail is not None:
-                rows = np.concatenate([tail, rows], axis=1)
-            decided = tail is not None and tail.shape[1] == 2  # the first row went out with its own batch
-            near = (rows[0, 1:] == rows[0, :-1]) & (100 * rows[1, :-1] >= percent * rows[1, 1:])
-            ok = np.zeros(rows.shape[1], bool)
-            ok[1:] |= near
-            ok[:-1] |= near
-            ok[0] &= not decided
-            ok[-1] = False  # waits for the next batch
-            keep = rows[:, ok]
-            if keep.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[2]), pa.array(keep[1])], schema=schema)
-            tail = rows[:, -2:]
-        if tail is not None and tail.shape[1] == 2 and tail[0, 0] == tail[0, 1] and 100 * tail[1, 0] >= percent * tail[1, 1]:
-            yield pa.RecordBatch.from_arrays([pa.array(tail[0, 1:]), pa.array(tail[2, 1:]), pa.array(tail[1, 1:])], schema=schema)
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                packed = part.column("rare").to_pylist()
+                v, n = part.column("v").to_numpy(), part.column("n").to_numpy()
+                lengths = np.array([len(x) // 6 for x in packed])
+                if not lengths.sum():
+                    continue
+                keys = np.zeros((int(lengths.sum()), 8), np.uint8)
+                keys[:, :6] = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
+                keys = keys.view(np.uint64).ravel()
+                row = np.repeat(np.arange(len(v)), lengths)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                mark = row.astype(np.uint16) | ((place < part.column("plain").to_numpy()[row]).astype(np.uint16) << np.uint16(15))
+                target = (keys % _U(parts)).astype(np.int64)
+                by = np.argsort(target, kind="stable")
+                edges = np.searchsorted(target[by], np.arange(parts + 1))
+                out = []
+                for t in np.flatnonzero(np.diff(edges)):
+                    rows = by[edges[t] : edges[t + 1]]
+                    used, local = np.unique(row[rows], return_inverse=True)
+                    body = [np.array([len(used), len(rows)], np.int32), v[used].astype(np.int64), n[used].astype(np.int64), local.astype(np.uint16) | (mark[rows] & np.uint16(1 << 15)), keys[rows].view(np.uint8).reshape(-1, 8)[:, :6]]
+                    out.append((int(t), b"".join([x.tobytes() for x in body])))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], schema=schema)
+
+    return task
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, v, n and plain of the rows of a block."""
+    m, r = np.frombuffer(block, np.int32, 2)
+    v, n = np.frombuffer(block, np.int64, m, 8), np.frombuffer(block, np.int64, m, 8 + 8 * m)
+    mark = np.frombuffer(block, np.uint16, r, 8 + 16 * m)
+    keys = np.zeros((r, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(block, np.uint8, 6 * r, 8 + 16 * m + 2 * r).reshape(-1, 6)
+    at = mark & np.uint16((1 << 15) - 1)
+    return keys.view(np.int64).ravel(), v[at], n[at], (mark >> np.uint16(15)).astype(np.int32)
+
+
+def near_in_key(key: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows sorted by (key, n), those with a neighbour of the same key within the size band."""
+    near = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+    out = np.zeros(len(key), bool)
+    out[1:] |= near
+    out[:-1] |= near
+    return out
+
+
+_SHARED_DDL = "key long, v long, n long, plain int"
+
+
+def _shared_task(percent: int):
+    """A target's rows: those whose key another vertex of their size band has. Its size is set by the number of targets."""
+    schema = pa.schema([("key", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("plain", pa.int32())])
+
+    def task(batches):
+        blocks = [unpack(b) for batch in batches for b in batch.column("block").to_pylist()]
+        if not blocks:
+            return
+        key, v, n, plain = (np.concatenate(c) for c in zip(*blocks, strict=True))
+        del blocks
+        order = np.argsort(key, kind="stable")
+        repeated = key[order][1:] == key[order][:-1]  # most keys occur once: they go before the finer sort
+        some = np.zeros(len(key), bool)
+        some[1:] |= repeated
+        some[:-1] |= repeated
+        order = order[some]
+        key, v, n, plain = key[order], v[order], n[order], plain[order]
+        order = np.lexsort((v, n, key))
+        key, v, n, plain = key[order], v[order], n[order], plain[order]
+        ok = near_in_key(key, n, percent)
+        for a in range(0, len(key), 100_000):
+            part = ok[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000][part]) for x in (key, v, n, plain)], schema=schema)
 
     return task
 
@@ -397,7 +499,7 @@ def _first_round(percent: int):
 
 def _later_round(percent: int, best: bool):
     def task(batches):
-        for g in grouped(batches, ["key", "lo", "hi"]):
+        for g in grouped(batches, ["owner", "lo", "hi"]):
             pairs = tile_pairs(g["v"], g["n"], g["sig"], g["c"], g["block"], g["lo"][0] == g["hi"][0], best, percent)
             if pairs:
                 yield _edge_batch([p[:2] for p in pairs])
@@ -452,16 +554,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     folder = shared_folder(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(frequent_order(texts, words))
-    sets = stored(spark, texts.mapInArrow(_described(words, percent, order), "doc_id long, n long, s1 long, s2 long, rare array<long>, heavy array<long>"), folder, "sets")
+    sets = stored(spark, texts.mapInArrow(_described(words, percent, order), _SETS_DDL), folder, "sets")
     # Vertices: the documents of one set. v is their smallest id; sets of null ids alone are named by their hash.
     named = stored(spark, sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("v", F.coalesce("least", F.col("s1"))), folder, "vertices")
     mine = sets.where("n > 0").withColumn("v", F.coalesce("doc_id", "s1")).join(named.select("v", "s1", "s2"), ["v", "s1", "s2"])
     # Tiles.
-    total = sets.agg(F.sum(F.size("rare"))).first()[0] or 0
-    rare = mine.select(F.explode("rare").alias("key"), "v", "n").repartition(_parts(spark, total, 1_000_000), "key").sortWithinPartitions("key", "n")
-    shared = rare.mapInArrow(_shared_task(percent), "key long, v long, n long").withColumn("late", F.lit(0))
-    shared = shared.unionByName(mine.select(F.explode("heavy").alias("key"), "v", "n", F.lit(1).alias("late")))
-    shared = stored(spark, shared.distinct(), folder, "shared")
+    total = (sets.agg(F.sum(F.octet_length("rare"))).first()[0] or 0) // 6
+    parts = _parts(spark, total, 1_000_000)
+    packed = mine.select("v", "n", "rare", "plain").mapInArrow(_pack(parts), "target int, block binary").repartitionById(parts, F.col("target"))
+    rare = packed.mapInArrow(_shared_task(percent), _SHARED_DDL).withColumn("late", F.lit(0))
+    heavy = mine.select(F.explode("heavy").alias("h"), "v", "n").select("h.key", "v", "n", "h.plain", F.lit(1).alias("late"))
+    found = stored(spark, rare.unionByName(heavy), folder, "shared")
+    able = found.groupBy("v").agg(F.countDistinct("key").alias("keys"), F.max("n").alias("n")).where(F.col("keys") >= wanted_least(F.col("n"), percent)).select("v")
+    shared = found.where("plain = 1").select("key", "v", "n", "late").distinct().join(able, "v", "left_semi")
+    shared = stored(spark, shared, folder, "tiles")
+    shared = shared.join(shared.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key", "left_semi")
+    shared = stored(spark, shared, folder, "tiles-2")
     # Sets of the vertices that share a tile.
     met = stored(spark, shared.groupBy("v").agg(F.min_by("key", F.struct("late", "key")).alias("key"), F.max("n").alias("size")), folder, "met")
     n_met = met.count()
@@ -482,28 +590,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = arrays.join(dealt, "v").repartition(_parts(spark, n_met, 20_000), "key", "salt").sortWithinPartitions("key", "salt")
     edges = stored(spark, first.select("key", "salt", "v", "n", "sig", "arr").mapInArrow(_first_round(percent), _EDGE_DDL), folder, "edges-0")
     labels = components(edges, folder, "round-0")
-    # Later rounds.
+    # Later rounds: the tiles of one smallest vertex are looked at together, so a pair that shares many tiles is tested once.
+    owners = shared.groupBy("key").agg(F.min("v").alias("owner"))
+    joint = stored(spark, shared.join(owners, "key").select("owner", "v").distinct(), folder, "joint")
+    largest = joint.groupBy("owner").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
     tested = None
-    for turn, best in ((1, True), (2, True), (3, False)):
-        where = shared.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")).select("key", "v", "n", "c")
-        tiles = where.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-        split = where.join(tiles, "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "v", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        signed = split.join(arrays.select("v", "n", "sig"), "v").repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi")
+    for turn, best in enumerate((True, False) if largest > TILE else (False,)):
+        where = joint.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        tiles = where.groupBy("owner").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high").select("owner", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        split = where.join(tiles, "owner").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("owner", "v", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        signed = split.join(arrays.select("v", "n", "sig"), "v").repartition(F.col("owner"), F.col("lo"), F.col("hi")).sortWithinPartitions("owner", "lo", "hi")
         pairs = signed.mapInArrow(_later_round(percent, best), _EDGE_DDL).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(spark, pairs, folder, f"pairs-{turn}")
         if not pairs.limit(1).count():
-            if best:
-                continue
-            break
-        tested = pairs if tested is None else tested.union(pairs)
+            continue
+        tested = pairs
         both = pairs.join(arrays.select(F.col("v").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("v").alias("b"), F.col("arr").alias("y")), "b")
-        more = stored(spark, both.select("a", "b", "x", "y").mapInArrow(_verify(percent), _EDGE_DDL), folder, f"edges-{turn}")
+        more = stored(spark, both.select("a", "b", "x", "y").mapInArrow(_verify(percent), _EDGE_DDL), folder, f"edges-{turn + 1}")
         if more.limit(1).count():
             edges = edges.union(more)
-            labels = components(edges, folder, f"round-{turn}")
+            labels = components(edges, folder, f"round-{turn + 1}")
     # Components by document: only sets with copies or links need a look-up.
     members = named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = members.join(labels.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("least").alias("component"))
@@ -521,9 +630,7 @@ def _nameless(words: int):
             rows = []
             for s in shingle_sets(batch.column("text"), words):
                 if len(s):
-                    with np.errstate(over="ignore"):
-                        name = int(np.uint64(np.add.reduce(mix(s * _STEP + _U(len(s))), dtype=np.uint64)).view(np.int64))
-                    rows.append((name, len(s), signature(s).tobytes(), s.tobytes()))
+                    rows.append((set_name(s)[0], len(s), signature(s).tobytes(), s.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
