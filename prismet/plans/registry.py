@@ -1,10 +1,8 @@
-"""Registry of the engine's own queries and of the SQL that checks them."""
+"""All registered queries of the engine and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from prismet.plans import algorithm_queries, glue_queries, measure_queries, ontology_queries, vector_queries  # noqa: F401
+from prismet.plans.catalog import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
