@@ -88,9 +88,10 @@ def fixed3(x: Column) -> Column:
     """A value from 0 to below 8 with three decimals, rounded on the exact binary value, ties to even.
 
     (Formatting functions of the JVM round the shortest decimal form instead: 0.2455 is a little less than it looks.)"""
-    units = (x * float(1 << 60)).cast("long").cast("decimal(20,0)")
-    whole = F.lit(str(1 << 61)).cast("decimal(20,0)")
-    doubled = (units * F.lit(2000).cast("decimal(4,0)") + F.lit(str(1 << 60)).cast("decimal(20,0)")).cast("decimal(30,0)")
+    exact = lambda power, small: F.when(x < 2.0**-7, F.lit(str(small))).otherwise(F.lit(str(power))).cast("decimal(21,0)")
+    units = F.when(x < 2.0**-7, x * float(1 << 66)).otherwise(x * float(1 << 60)).cast("long").cast("decimal(20,0)")
+    whole = exact(1 << 61, 1 << 67)
+    doubled = (units * F.lit(2000).cast("decimal(4,0)") + exact(1 << 60, 1 << 66)).cast("decimal(30,0)")
     n = F.call_function("div", doubled, whole)
     n = F.when((doubled % whole == 0) & (n % 2 == 1), n - 1).otherwise(n)
     return F.concat(F.call_function("div", n, F.lit(1000)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))

@@ -20,7 +20,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_verdicts(df: DataFrame, path: str) -> None:
     """CSV of the verdict columns that are there, in fixed order."""
-    df.select(*[c for c in VERDICT_COLUMNS if c in df.columns]).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    df.select(*[c for c in VERDICT_COLUMNS if c in df.columns]).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", "\"").csv(path)
 
 
 def markdown(header: Sequence[str], rows: Sequence[Sequence]) -> str:
