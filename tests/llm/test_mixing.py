@@ -54,10 +54,10 @@ def test_targets_and_taken(make):
 def test_rates_solve_the_dual(make):
     rows = documents()
     got = M.mix(make(rows)).collect()
-    by = {}
+    source, by = {r[0]: r[3] for r in rows}, {}
     for r in got:
-        by.setdefault(r["target"], []).append(r)
-    for target, rs in by.items():
+        by.setdefault((source[r["doc_id"]], r["target"]), []).append(r)
+    for (_, target), rs in by.items():
         assert sum(r["rate"] * r["size"] for r in rs) == pytest.approx(target, rel=1e-5, abs=1e-9)
         inner = [(r["size"], np.log(r["rate"])) for r in rs if 0 < r["rate"] < 1.999 and r["size"]]
         slopes = [y / x for x, y in inner]

@@ -1,5 +1,4 @@
 import sys
-import zlib
 
 import pytest
 
@@ -32,7 +31,7 @@ def test_stages_against_brute_force(spark, make, tmp_path):
     texts = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     good = texts(seen[1])
     bad = {i for i, q in labels if q == 0}
-    assert sum(i in bad for i, _ in good) <= 3 and sum(i not in bad for i, _ in good) >= 200
+    assert sum(i in bad for i, _ in good) <= 3 and sum(i not in bad for i, _ in good) >= 188  # of 190 good texts, one without an id and a null
     best = {}
     for i, t in good:
         best[t or ""] = max((x for x in (best.get(t or ""), i) if x is not None), default=None)
@@ -42,8 +41,14 @@ def test_stages_against_brute_force(spark, make, tmp_path):
     assert {i for i, _ in near if i is not None} == {c for _, _, c in brute(exact, 5, 80) if c is not None}
     mixed = texts(seen[4])
     assert set(mixed) <= set(near) and max(mixed.count(x) for x in set(mixed)) <= 2
-    assert sum(r["length"] for r in docs.where("start = 0 or start > 0").collect()) == sum({(r["doc_id"], r["sequence_id"], r["offset"]): r["length"] for r in docs.collect()}.values())
-    assert len(corpus_pipeline.STAGES) == 5 and zlib.crc32(b"1") > 0
+    tokens = {}
+    for r in docs.collect():
+        tokens.setdefault(r["doc_id"], [0, 0])[0] += r["length"]
+        tokens[r["doc_id"]][1] = r["doc_tokens"]
+    copies = {}
+    for i, _ in mixed:
+        copies[i] = copies.get(i, 0) + 1
+    assert all(got == copies[i] * each for i, (got, each) in tokens.items() if i is not None) and set(tokens) == set(copies)
 
 
 def test_empty_tables(spark, make, tmp_path):
