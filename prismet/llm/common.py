@@ -35,6 +35,18 @@ def stored(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows in one Arrow batch to a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, with Arrow batches of its session bounded in bytes, so that workers hold a few megabytes of text at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if docs.sparkSession.conf.get(name, None) is None:
+        docs.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder written by stored()."""
     jvm = spark.sparkContext._jvm

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, stored
+from .common import bounded, shared_folder, slices, stored
 
 CARRY_BYTES = 32 << 20
 
@@ -145,7 +145,7 @@ def exact_dedup(docs: DataFrame, capacity_bytes: int = 24 << 20, max_bits: int =
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     fine = 12
     cell = F.shiftrightunsigned("key", 64 - fine)
     sizes = {r["cell"]: r["n"] for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 64).alias("n")).collect()}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, shared_folder, slices, stored, table
+from .common import bounded, byte_view, shared_folder, slices, stored, table
 
 WORDS = 4
 PERCENT = 85
@@ -552,7 +552,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(frequent_order(texts, words))
     sets = stored(spark, texts.mapInArrow(_described(words, percent, order), _SETS_DDL), folder, "sets")
     # Vertices: the documents of one set. v is their smallest id; sets of null ids alone are named by their hash.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, slices, table, texts_of
+from .common import bounded, id_remainder, slices, table, texts_of
 
 SAMPLE = 1600
 LANDMARKS = 64
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = own.predict(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=_SCHEMA)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     return rows.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import bounded, slices, table, texts_of
 
 BLOCK = 192
 RATE = 8000
@@ -96,7 +96,7 @@ def store(docs: DataFrame) -> DataFrame:
             data = [t.encode() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in data], pa.int64()), pa.array([to_wav(padded(b)) for b in data], pa.binary())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, "doc_id long, n_bytes long, media binary")
 
 
 _READ_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fp_time array<int>, fp_code array<int>"
@@ -116,7 +116,7 @@ def read_back(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, f.type) for c, f in zip(columns, list(_READ)[2:], strict=True))], schema=_READ)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(task, _READ_DDL)
+    return bounded(stored).select("doc_id", "n_bytes", "media").mapInArrow(task, _READ_DDL)
 
 
 def query(spark, sf_dir):

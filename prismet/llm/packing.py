@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices, table, texts_of
+from .common import bounded, slices, table, texts_of
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -71,7 +71,7 @@ class WordEncoder:
     the whole tokenizer.
     """
 
-    LIMIT = 300_000
+    LIMIT = 60_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, clo
         if packer.rows:
             yield out()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
 
 
 def query(spark, sf_dir):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, table, texts_of
+from .common import bounded, slices, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "id")
 TAGS = 1 + 2 * len(KINDS)
@@ -427,7 +427,7 @@ def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                 rows.append((*[sum(k == i for _, k, _ in base) for i in range(4)], hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
 
 
 def query(spark, sf_dir):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, slices, table, texts_of
+from .common import bounded, id_remainder, slices, table, texts_of
 
 SAMPLE = 6000
 PARTNERS = 12
@@ -131,7 +131,7 @@ def _featured(docs: DataFrame, *more: str) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in more], pa.array([features(t) for t in texts_of(batch)], pa.list_(pa.float64()))], schema=schema)
 
-    return docs.mapInArrow(task, ", ".join([*[f"{c} long" for c in more], "features array<double>"]))
+    return bounded(docs).mapInArrow(task, ", ".join([*[f"{c} long" for c in more], "features array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Ranker) -> DataFrame:
             scores = own.score(np.array([features(t) for t in texts_of(batch)]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())], schema=_SCHEMA)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return rows.mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -174,7 +174,7 @@ def keep_good(docs: DataFrame, model: Ranker) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array(own.score(np.array([features(t) for t in texts_of(batch)])) >= THRESHOLD))
 
-    return docs.mapInArrow(task, docs.schema)
+    return bounded(docs).mapInArrow(task, docs.schema)
 
 
 def query(spark, sf_dir):

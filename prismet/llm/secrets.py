@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, table, texts_of
+from .common import bounded, slices, table, texts_of
 
 LIMIT = 10.0
 KINDS = ("assign", "access", "hex", "guess")
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
 
 
 def query(spark, sf_dir):
