@@ -13,11 +13,12 @@ the order changes the work, never the result), so a common passage forms few til
    array. Inside, a pair is looked at only while its ends are in different components; bit counts of the
    signatures bound the overlap from above (a bit of x that y lacks is an element of x that y lacks), and pairs
    that pass are intersected exactly. A tile of many rows is dealt out by a salt; later rounds join what that parts.
-3. A later round takes the tiles that still hold several components, with signatures alone; tiles of one smallest
-   vertex are looked at together, so a pair that shares many tiles is met once or a few times. Every pair of
-   different components whose bound passes is intersected after joining the arrays. Where a group is so large that
-   the first round had to deal it out, the best pair of every two components is tested before. Groups above BLOCK
-   rows are cut into blocks, and every two blocks meet in a task.
+3. A second round takes the tiles that still hold several components; tiles of one smallest vertex form a group, so
+   a pair that shares many tiles is met once or a few times. Groups of up to PAIRED rows are looked at by signatures
+   alone, and their open pairs are intersected after joining the arrays. Larger groups get the arrays and settle
+   every open pair in place, so a group never sends out its pairs; groups above BLOCK rows are cut into blocks, and
+   every two blocks meet in a task. Where the first round had to deal a group out, one vertex of each of its
+   components is tried before.
 4. Components come from contracting the link graph (never on the driver).
 
 Copies thus cost one row, and a group of near copies about one intersection a member, while no link between
@@ -42,6 +43,7 @@ PERCENT = 85
 TILE = 2048
 TILE_SIZES = 4 << 20  # elements of the sets of a tile: 32 MB
 BLOCK = 2048
+PAIRED = 48  # rows of a group up to which its open pairs are sent out; larger groups are settled in place
 HEAVY = 1 << 18
 HEAVY_LEAST = 48
 BROADCAST_ROWS = 1_000_000
@@ -213,42 +215,41 @@ class Tile:
         return np.concatenate(rows), np.concatenate(bounds)
 
 
-def tile_links(vertices, sizes, signatures, arrays, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join the tile's components, found with as few intersections as its components need."""
+def tile_links(vertices, sizes, signatures, arrays, percent: int = PERCENT, components=None, blocks=None, same: bool = True) -> list[tuple[int, int]]:
+    """Links that join the tile's components, found with as few intersections as its components need.
+
+    `components` says what is connected before; unless `same`, only rows of different blocks are compared."""
     tile = Tile(vertices, sizes, signatures)
     sets = [np.frombuffer(arrays[i], np.uint64) for i in tile.order]
-    group = np.arange(len(sets))
+    group = np.arange(len(sets)) if components is None else np.unique(np.asarray(components, np.int64)[tile.order], return_inverse=True)[1]
+    block = None if same else np.asarray(blocks, np.int64)[tile.order]
     out = []
     for i in range(len(sets)):
         rows, bounds = tile.passing(i, percent)
-        rows = rows[np.argsort(-bounds, kind="stable")]
+        open_ = group[rows] != group[i]
+        if block is not None:
+            open_ &= block[rows] != block[i]
+        rows = rows[open_][np.argsort(-bounds[open_], kind="stable")]
         while len(rows):
             j = int(rows[0])
             if tile.v[i] == tile.v[j] or linked(intersection(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
                 if tile.v[i] != tile.v[j]:
                     out.append((int(tile.v[j]), int(tile.v[i])))
-                group[: i + 1][group[: i + 1] == group[j]] = group[i]
+                group[group == group[j]] = group[i]
             rows = rows[1:]
             rows = rows[group[rows] != group[i]]
     return out
 
 
-def tile_pairs(vertices, sizes, signatures, components, blocks, same: bool, best: bool, percent: int = PERCENT) -> list[tuple[int, int, int]]:
-    """Pairs (smaller vertex, larger, bound) of different components whose bound passes; of different blocks unless `same`."""
+def tile_pairs(vertices, sizes, signatures, components, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs (smaller vertex, larger) of different components whose bound passes."""
     tile = Tile(vertices, sizes, signatures)
     comp = np.asarray(components, np.int64)[tile.order]
-    block = np.asarray(blocks, np.int64)[tile.order]
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    out = set()
     for i in range(len(comp)):
-        rows, bounds = tile.passing(i, percent)
-        ok = (comp[rows] != comp[i]) & ((block[rows] != block[i]) | same)
-        for j, bound in zip(rows[ok], bounds[ok], strict=True):
-            a, b = sorted((int(tile.v[i]), int(tile.v[j])))
-            key = tuple(sorted((int(comp[i]), int(comp[j])))) if best else (a, b)
-            score = int(200 * bound // (tile.n[i] + tile.n[j]))
-            if key not in out or out[key][2] < score:
-                out[key] = (a, b, score)
-    return list(out.values())
+        rows, _ = tile.passing(i, percent)
+        out.update(tuple(sorted((int(tile.v[i]), int(tile.v[j])))) for j in rows[comp[rows] != comp[i]])
+    return list(out)
 
 
 # --- streams of rows in key order
@@ -497,12 +498,22 @@ def _first_round(percent: int):
     return task
 
 
-def _later_round(percent: int, best: bool):
+def _small_groups(percent: int):
     def task(batches):
-        for g in grouped(batches, ["owner", "lo", "hi"]):
-            pairs = tile_pairs(g["v"], g["n"], g["sig"], g["c"], g["block"], g["lo"][0] == g["hi"][0], best, percent)
+        for g in grouped(batches, ["owner"]):
+            pairs = tile_pairs(g["v"], g["n"], g["sig"], g["c"], percent)
             if pairs:
-                yield _edge_batch([p[:2] for p in pairs])
+                yield _edge_batch(pairs)
+
+    return task
+
+
+def _large_groups(percent: int):
+    def task(batches):
+        for g in grouped(batches, ["owner", "lo", "hi"]):
+            links = tile_links(g["v"], g["n"], g["sig"], g["arr"], percent, g["c"], g["block"], g["lo"][0] == g["hi"][0])
+            if links:
+                yield _edge_batch(links)
 
     return task
 
@@ -590,29 +601,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     first = arrays.join(dealt, "v").repartition(_parts(spark, n_met, 20_000), "key", "salt").sortWithinPartitions("key", "salt")
     edges = stored(spark, first.select("key", "salt", "v", "n", "sig", "arr").mapInArrow(_first_round(percent), _EDGE_DDL), folder, "edges-0")
     labels = components(edges, folder, "round-0")
-    # Later rounds: the tiles of one smallest vertex are looked at together, so a pair that shares many tiles is tested once.
+    # Later: the tiles of one smallest vertex form a group, so a pair that shares many tiles is tested once or a few times.
     owners = shared.groupBy("key").agg(F.min("v").alias("owner"))
-    joint = stored(spark, shared.join(owners, "key").select("owner", "v").distinct(), folder, "joint")
+    joint = stored(spark, shared.join(owners, "key").select("owner", "v", "n").distinct(), folder, "joint")
     largest = joint.groupBy("owner").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
-    tested = None
-    for turn, best in enumerate((True, False) if largest > TILE else (False,)):
+
+    def unsettled(labels):
+        """Rows (owner, v, n, c), with the rows and sizes of their group, of groups that hold several components."""
         where = joint.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        tiles = where.groupBy("owner").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low < high").select("owner", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-        split = where.join(tiles, "owner").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        several = where.groupBy("owner").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("sizes")).where("low < high").select("owner", "rows", "sizes")
+        return where.join(several, "owner")
+
+    def in_place(rows):
+        """Links inside groups, by arrays, in blocks."""
+        split = rows.withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("sizes") / TILE_SIZES)).cast("int")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("owner", "v", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        signed = split.join(arrays.select("v", "n", "sig"), "v").repartition(F.col("owner"), F.col("lo"), F.col("hi")).sortWithinPartitions("owner", "lo", "hi")
-        pairs = signed.mapInArrow(_later_round(percent, best), _EDGE_DDL).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(spark, pairs, folder, f"pairs-{turn}")
-        if not pairs.limit(1).count():
-            continue
-        tested = pairs
-        both = pairs.join(arrays.select(F.col("v").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("v").alias("b"), F.col("arr").alias("y")), "b")
-        more = stored(spark, both.select("a", "b", "x", "y").mapInArrow(_verify(percent), _EDGE_DDL), folder, f"edges-{turn + 1}")
+        return split.join(arrays, "v").repartition(F.col("owner"), F.col("lo"), F.col("hi")).sortWithinPartitions("owner", "lo", "hi").mapInArrow(_large_groups(percent), _EDGE_DDL)
+
+    if largest > TILE:  # what the first round dealt out: one vertex of each component of a group
+        one = unsettled(labels).where(F.col("rows") > TILE).groupBy("owner", "c").agg(F.min_by("n", "v").alias("n"), F.min("v").alias("v"))
+        one = one.join(one.groupBy("owner").agg(F.count("*").alias("rows"), F.sum("n").alias("sizes")), "owner")
+        more = stored(spark, in_place(one), folder, "edges-1")
         if more.limit(1).count():
             edges = edges.union(more)
-            labels = components(edges, folder, f"round-{turn + 1}")
+            labels = components(edges, folder, "round-1")
+    rest = stored(spark, unsettled(labels), folder, "unsettled")
+    signed = rest.where(F.col("rows") <= PAIRED).drop("n").join(arrays.select("v", "n", "sig"), "v").repartition(F.col("owner")).sortWithinPartitions("owner")
+    pairs = stored(spark, signed.mapInArrow(_small_groups(percent), _EDGE_DDL).distinct(), folder, "pairs")
+    both = pairs.join(arrays.select(F.col("v").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("v").alias("b"), F.col("arr").alias("y")), "b")
+    more = both.select("a", "b", "x", "y").mapInArrow(_verify(percent), _EDGE_DDL).union(in_place(rest.where(F.col("rows") > PAIRED)))
+    more = stored(spark, more, folder, "edges-2")
+    if more.limit(1).count():
+        labels = components(edges.union(more), folder, "round-2")
     # Components by document: only sets with copies or links need a look-up.
     members = named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = members.join(labels.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("least").alias("component"))

@@ -66,6 +66,7 @@ def test_against_brute_force(spark, make, monkeypatch, small):
     if small:  # tiles dealt out, blocks, small batches and many frequent hashes
         monkeypatch.setattr(J, "TILE", 6)
         monkeypatch.setattr(J, "BLOCK", 5)
+        monkeypatch.setattr(J, "PAIRED", 4)
         monkeypatch.setattr(J, "HEAVY_LEAST", 5)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
