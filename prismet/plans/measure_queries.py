@@ -385,7 +385,7 @@ def ablation_compare(spark, sf_dir):
     return per.groupBy("preset").agg(F.count("*").alias("n_seeds"), R6(F.avg("v")).alias("mean_v"), R6(F.avg("q")).alias("mean_q"), R6(F.avg("v") / F.avg("q")).alias("ratio"))
 
 
-@query("universality_verdict", "SELECT *, CASE WHEN frac09 >= 0.1 THEN 'strong' WHEN p < 0.05 AND obs > 1.5 * null_mean THEN 'weak' ELSE 'null' END AS verdict FROM (VALUES (0.2, 0.5, 0.3, 0.2), (0.05, 0.01, 0.4, 0.2), (0.05, 0.01, 0.25, 0.2), (0.0, 0.3, 0.9, 0.2)) t(frac09, p, obs, null_mean)")
+@query("universality_verdict", "SELECT frac09::DOUBLE AS frac09, p::DOUBLE AS p, obs::DOUBLE AS obs, null_mean::DOUBLE AS null_mean, CASE WHEN frac09 >= 0.1 THEN 'strong' WHEN p < 0.05 AND obs > 1.5 * null_mean THEN 'weak' ELSE 'null' END AS verdict FROM (VALUES (0.2, 0.5, 0.3, 0.2), (0.05, 0.01, 0.4, 0.2), (0.05, 0.01, 0.25, 0.2), (0.0, 0.3, 0.9, 0.2)) t(frac09, p, obs, null_mean)")
 def universality_verdict(spark, sf_dir):
     t = spark.createDataFrame([(0.2, 0.5, 0.3, 0.2), (0.05, 0.01, 0.4, 0.2), (0.05, 0.01, 0.25, 0.2), (0.0, 0.3, 0.9, 0.2)], "frac09 double, p double, obs double, null_mean double")
     return t.withColumn("verdict", stability.universality_verdict(F.col("frac09"), F.col("p"), F.col("obs"), F.col("null_mean")))
