@@ -28,9 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/prismet-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, folder: str, name: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    `rows`, a bound of the table's rows where one is known, keeps small tables from becoming many small files."""
     path = f"{folder}/{name}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -535,23 +535,24 @@ def _verify(percent: int):
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(v, c) for every vertex of the edges, c the smallest vertex of its component: by contracting the graph."""
     spark = edges.sparkSession
-    edges = stored(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges")
+    rows = 2 * edges.count()  # no table here has more
+    edges = stored(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges", rows)
     ends = edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct()
-    labels = stored(spark, ends.select("v", F.col("v").alias("c")), folder, f"{name}-labels")
+    labels = stored(spark, ends.select("v", F.col("v").alias("c")), folder, f"{name}-labels", rows)
     turn = 0
     while edges.limit(1).count():
         turn += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
-        hook = stored(spark, hook, folder, f"{name}-hook{turn}")
+        hook = stored(spark, hook, folder, f"{name}-hook{turn}", rows)
         for jump in range(2):
             on = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hook = stored(spark, hook.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to")), folder, f"{name}-hook{turn}-{jump}")
+            hook = stored(spark, hook.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to")), folder, f"{name}-hook{turn}-{jump}", rows)
         moved = labels.join(hook.withColumnRenamed("a", "c"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-        labels = stored(spark, moved, folder, f"{name}-labels{turn}")
+        labels = stored(spark, moved, folder, f"{name}-labels{turn}", rows)
         left = edges.join(hook.withColumnRenamed("to", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         left = left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = stored(spark, left, folder, f"{name}-edges{turn}")
+        edges = stored(spark, left, folder, f"{name}-edges{turn}", rows)
     return labels
 
 
@@ -576,13 +577,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rare = packed.mapInArrow(_shared_task(percent), _SHARED_DDL).withColumn("late", F.lit(0))
     heavy = mine.select(F.explode("heavy").alias("h"), "v", "n").select("h.key", "v", "n", "h.plain", F.lit(1).alias("late"))
     found = stored(spark, rare.unionByName(heavy), folder, "shared")
+    n_found = found.count()
     able = found.groupBy("v").agg(F.countDistinct("key").alias("keys"), F.max("n").alias("n")).where(F.col("keys") >= wanted_least(F.col("n"), percent)).select("v")
     shared = found.where("plain = 1").select("key", "v", "n", "late").distinct().join(able, "v", "left_semi")
-    shared = stored(spark, shared, folder, "tiles")
+    shared = stored(spark, shared, folder, "tiles", n_found)
     shared = shared.join(shared.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key", "left_semi")
-    shared = stored(spark, shared, folder, "tiles-2")
+    shared = stored(spark, shared, folder, "tiles-2", n_found)
     # Sets of the vertices that share a tile.
-    met = stored(spark, shared.groupBy("v").agg(F.min_by("key", F.struct("late", "key")).alias("key"), F.max("n").alias("size")), folder, "met")
+    met = stored(spark, shared.groupBy("v").agg(F.min_by("key", F.struct("late", "key")).alias("key"), F.max("n").alias("size")), folder, "met", n_found)
     n_met = met.count()
     rows = texts.withColumnRenamed("doc_id", "v").where("v is not null")
     chosen = met.select("v")
@@ -603,7 +605,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     labels = components(edges, folder, "round-0")
     # Later: the tiles of one smallest vertex form a group, so a pair that shares many tiles is tested once or a few times.
     owners = shared.groupBy("key").agg(F.min("v").alias("owner"))
-    joint = stored(spark, shared.join(owners, "key").select("owner", "v", "n").distinct(), folder, "joint")
+    joint = stored(spark, shared.join(owners, "key").select("owner", "v", "n").distinct(), folder, "joint", n_found)
     largest = joint.groupBy("owner").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
 
     def unsettled(labels):
@@ -625,7 +627,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if more.limit(1).count():
             edges = edges.union(more)
             labels = components(edges, folder, "round-1")
-    rest = stored(spark, unsettled(labels), folder, "unsettled")
+    rest = stored(spark, unsettled(labels), folder, "unsettled", n_found)
     signed = rest.where(F.col("rows") <= PAIRED).drop("n").join(arrays.select("v", "n", "sig"), "v").repartition(F.col("owner")).sortWithinPartitions("owner")
     pairs = stored(spark, signed.mapInArrow(_small_groups(percent), _EDGE_DDL).distinct(), folder, "pairs")
     both = pairs.join(arrays.select(F.col("v").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("v").alias("b"), F.col("arr").alias("y")), "b")

@@ -61,7 +61,7 @@ def _trials():
     return F.array(F.col("newton"), *[F.sinh(low + (high - low) * (i / 8)) for i in range(1, 8)])
 
 
-def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float = 2.0, tolerance: float = 1e-7, steps: int = 60) -> DataFrame:
+def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float = 2.0, tolerance: float = 1e-7, steps: int = 60, n_sources: int | None = None) -> DataFrame:
     """The dual's solution: sid, source_size, largest, target, lam, full. histogram: sid, size, n."""
     spark = histogram.sparkSession
     smallest = histogram.where("size > 0").groupBy("sid").agg(F.min("size").alias("smallest"))
@@ -69,7 +69,7 @@ def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float
     state = aims.drop("source").join(smallest, "sid", "left").select(
         "sid", "source_size", "largest", "target", full.alias("full"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"),
         F.coalesce(F.log(F.lit(limit)) * F.col("largest") / F.col("smallest"), F.lit(0.0)).alias("high"), F.lit(1e9).alias("gap"), F.lit(0.0).alias("newton"))
-    state = stored(spark, state, folder, "state0")
+    state = stored(spark, state, folder, "state0", n_sources)
     for step in range(1, steps + 1):
         # Each step tries the Newton point and points that cut the bracket geometrically; the aggregate serves them all.
         tries = state.where("not full and source_size > 0").withColumn("lam", F.explode(F.array_distinct(F.filter(_trials(), lambda x: (x > F.col("low")) & (x < F.col("high"))))))
@@ -86,7 +86,7 @@ def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float
             "sid", "source_size", "largest", "target", "full", F.when(better, F.col("best.lam")).otherwise(F.col("lam")).alias("lam"),
             F.when(better, F.abs("best.gap")).otherwise(F.col("gap")).alias("gap"), F.coalesce(F.greatest("low", "above"), F.col("low")).alias("low"), F.coalesce(F.least("high", "below"), F.col("high")).alias("high"),
             F.when(better, F.col("best.lam") - F.col("best.gap") * F.col("best.got") / F.col("best.slope")).otherwise(F.col("newton")).alias("newton"))
-        state = stored(spark, after, folder, f"state{step}")
+        state = stored(spark, after, folder, f"state{step}", n_sources)
         if not state.where(f"not full and source_size > 0 and gap > {tolerance}").limit(1).count():
             break
     return state.select("sid", "source_size", "largest", "target", "lam", "full")
@@ -105,10 +105,11 @@ def _assign(docs: DataFrame, weights, share, limit, *more) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark)
     sized = stored(spark, _sized(docs), folder, "sized")
-    aims = stored(spark, targets(sized, weights, share, limit), folder, "targets")
+    aims = stored(spark, targets(sized, weights, share, limit).coalesce(1), folder, "targets")
+    n_sources = aims.count()
     sid = aims.select(F.col("source").alias("__source"), "sid")
     histogram = stored(spark, sized.join(sid, F.col("source").eqNullSafe(F.col("__source"))).groupBy("sid", "size").agg(F.count("*").alias("n")), folder, "histogram")
-    solution = multipliers(histogram, aims, folder, limit)
+    solution = multipliers(histogram, aims, folder, limit, n_sources=n_sources)
     drawn = _drawn(sized, aims, solution, None, limit)
     cells = drawn.groupBy("sid", "cell").agg(F.sum("size").alias("words"), F.sum(F.col("base") * F.col("size")).alias("sure"), F.max("target").alias("target"))
     by_cell = Window.partitionBy("sid").orderBy(F.col("cell").asc_nulls_last())
@@ -116,8 +117,8 @@ def _assign(docs: DataFrame, weights, share, limit, *more) -> DataFrame:
     reach = cells.withColumn("missing", missing).withColumn("words", F.when(F.col("cell").isNull(), 0).otherwise(F.col("words"))).withColumn("upto", F.sum("words").over(by_cell)).withColumn("before", F.col("upto") - F.col("words"))
     # The first cell that reaches the missing words; null where all drawn documents together do not.
     cuts = reach.groupBy("sid").agg(F.max("missing").alias("missing"), F.min(F.when((F.col("upto") >= F.col("missing")) & F.col("cell").isNotNull(), F.col("cell"))).alias("cut"), F.min_by("before", F.when((F.col("upto") >= F.col("missing")) & F.col("cell").isNotNull(), F.col("cell"))).alias("passed"))
-    cuts = stored(spark, cuts, folder, "cuts")
-    fill = stored(spark, _filler(_drawn(sized, aims, solution, cuts, limit), folder), folder, "fill")
+    cuts = stored(spark, cuts, folder, "cuts", n_sources)
+    fill = stored(spark, _filler(_drawn(sized, aims, solution, cuts, limit), folder), folder, "fill", n_sources)
     rows = _drawn(sized if not more else _sized(docs, *more), aims, solution, cuts, limit)
     return _decided(rows, fill).withColumn("copies", (F.col("base") + F.col("extra")).cast("int"))
 
