@@ -58,6 +58,11 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark's cleaner deletes the shuffle files of finished steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_remainder(doc_id: Column, by: int) -> Column:
     """crc32(doc_id as text) mod `by`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, byte_view, shared_folder, slices, stored, table
+from .common import bounded, byte_view, release, remove_folder, shared_folder, slices, stored, table
 
 WORDS = 4
 PERCENT = 85
@@ -578,11 +578,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     heavy = mine.select(F.explode("heavy").alias("h"), "v", "n").select("h.key", "v", "n", "h.plain", F.lit(1).alias("late"))
     found = stored(spark, rare.unionByName(heavy), folder, "shared")
     n_found = found.count()
-    able = found.groupBy("v").agg(F.countDistinct("key").alias("keys"), F.max("n").alias("n")).where(F.col("keys") >= wanted_least(F.col("n"), percent)).select("v")
-    shared = found.where("plain = 1").select("key", "v", "n", "late").distinct().join(able, "v", "left_semi")
+    # The prefixes have served; documents keep the names of their sets.
+    sets_kept = stored(spark, sets.select("doc_id", "n", "s1", "s2"), folder, "names")
+    remove_folder(spark, f"{folder}/sets")
+    release(spark)
+    # Repeated rows of a document may count a key twice here, which keeps a vertex more and never one less.
+    able = found.groupBy("v").agg(F.count("*").alias("keys"), F.max("n").alias("n")).where(F.col("keys") >= wanted_least(F.col("n"), percent)).select("v")
+    shared = found.where("plain = 1").select("key", "v", "n", "late").join(able, "v", "left_semi")
     shared = stored(spark, shared, folder, "tiles", n_found)
     shared = shared.join(shared.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key", "left_semi")
     shared = stored(spark, shared, folder, "tiles-2", n_found)
+    for old in ("shared", "tiles"):
+        remove_folder(spark, f"{folder}/{old}")
     # Sets of the vertices that share a tile.
     met = stored(spark, shared.groupBy("v").agg(F.min_by("key", F.struct("late", "key")).alias("key"), F.max("n").alias("size")), folder, "met", n_found)
     n_met = met.count()
@@ -592,7 +599,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     nameless = named.where("least is null").select("v").join(chosen, "v")
     arrays = arrays.mapInArrow(_arrays(words), "v long, n long, sig binary, arr binary")
     if nameless.limit(1).count():
-        again = sets.where("doc_id is null").select("s1")
+        again = sets_kept.where("doc_id is null").select("s1")
         void = texts.where("doc_id is null").mapInArrow(_nameless(words), "v long, n long, sig binary, arr binary").join(again.select(F.col("s1").alias("v")).distinct(), "v", "left_semi")
         arrays = arrays.unionByName(void)
     arrays = stored(spark, arrays, folder, "arrays")
@@ -602,6 +609,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     dealt = met.join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("v"), shares).cast("int")).select("v", "key", "salt")
     first = arrays.join(dealt, "v").repartition(_parts(spark, n_met, 20_000), "key", "salt").sortWithinPartitions("key", "salt")
     edges = stored(spark, first.select("key", "salt", "v", "n", "sig", "arr").mapInArrow(_first_round(percent), _EDGE_DDL), folder, "edges-0")
+    release(spark)
     labels = components(edges, folder, "round-0")
     # Later: the tiles of one smallest vertex form a group, so a pair that shares many tiles is tested once or a few times.
     owners = shared.groupBy("key").agg(F.min("v").alias("owner"))
@@ -639,7 +647,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     members = named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = members.join(labels.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("least").alias("component"))
     known = members.join(least, "c", "left").withColumn("component", F.coalesce("component", "least")).where("copies > 1 or not component <=> least")
-    found = sets.select("doc_id", "n", "s1", "s2").join(known.select("n", "s1", "s2", "component"), ["n", "s1", "s2"], "left")
+    found = sets_kept.join(known.select("n", "s1", "s2", "component"), ["n", "s1", "s2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
