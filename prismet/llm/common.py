@@ -68,8 +68,14 @@ def id_remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
-def slices(batches, rows: int = 2048, size: int = 8 << 20, column: str = "text"):
+#: What a worker process keeps between tasks, by operator; a task of another operator lets it go.
+WORKER_CACHE: dict[str, object] = {}
+
+
+def slices(batches, rows: int = 2048, size: int = 8 << 20, column: str = "text", keep: str | None = None):
     """Record batches cut so that a piece has at most `rows` rows and about `size` bytes of text (one row at least)."""
+    for name in [k for k in WORKER_CACHE if k != keep]:
+        del WORKER_CACHE[name]
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bounded, slices, table, texts_of
+from .common import WORKER_CACHE, bounded, slices, table, texts_of
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -71,7 +71,7 @@ class WordEncoder:
     the whole tokenizer.
     """
 
-    LIMIT = 60_000
+    LIMIT = 200_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -102,14 +102,12 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process; its cache serves all tasks that run there."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    kept = WORKER_CACHE.get("packing")
+    if kept is None or kept[0] != path:
+        kept = WORKER_CACHE["packing"] = (path, WordEncoder(path))
+    return kept[1]
 
 
 class Packer:
@@ -230,7 +228,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, clo
             packer.rows.clear()
             return batch
 
-        for batch in slices(batches):
+        for batch in slices(batches, keep="packing"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 packer.add(doc_id, words.encode(text) + closing)
             if packer.rows:
