@@ -48,6 +48,12 @@ def dead_features(spark, sf_dir):
     return sparse.dead_features(some, roles.features(spark))
 
 
+@query("dead_features_all", PRELUDE + "SELECT f AS feature_id FROM range(0, 64) t(f) WHERE f NOT IN (SELECT feature_id FROM act WHERE activation > 0)")
+def dead_features_all(spark, sf_dir):
+    """Features that fire on no image at all; dead_features, whose SQL is fixed, looks at some activations only."""
+    return sparse.dead_features(roles.activations(spark, sf_dir), roles.features(spark))
+
+
 @query("feature_frequency", PRELUDE + """
 , f AS (SELECT f AS feature_id, count(a.image_id) AS n FROM range(0, 64) t(f) LEFT JOIN act a ON a.feature_id = f GROUP BY f)
 SELECT feature_id, round(n / (SELECT count(*) FROM vecs), 6) AS frequency FROM f
