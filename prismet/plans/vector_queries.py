@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from prismet.functions import vectors as V
@@ -133,6 +135,48 @@ def matched_summary(spark, sf_dir):
     return joined.agg(R6(F.avg("score")).alias("mean_best"), share(0.3).alias("frac_03"), share(0.5).alias("frac_05"), R6(F.count("m") / F.count("*")).alias("mutual"))
 
 
+BEST_ALL = PRELUDE + """
+, s AS (SELECT a.seed AS seed_i, b.seed AS seed_j, a.feature_id AS i, b.feature_id AS j, list_dot_product(a.emb, b.emb) / (sqrt(list_dot_product(a.emb, a.emb)) * sqrt(list_dot_product(b.emb, b.emb))) AS c FROM decoder a JOIN decoder b ON a.seed < b.seed),
+f AS (SELECT seed_i, seed_j, i, j, c FROM (SELECT *, row_number() OVER (PARTITION BY seed_i, seed_j, i ORDER BY c DESC, j) AS k FROM s) WHERE k = 1),
+g AS (SELECT seed_i, seed_j, i, j, c FROM (SELECT *, row_number() OVER (PARTITION BY seed_i, seed_j, j ORDER BY c DESC, i) AS k FROM s) WHERE k = 1)
+"""
+
+
+def _all_pairs(spark, sf_dir):
+    """Best matches of every seed pair i < j: seed_i, seed_j, left_id, right_id, score, mutual. The number of seeds is that of the models."""
+    d = roles.decoder(spark, sf_dir)
+    seeds = sorted(r["seed"] for r in d.select("seed").distinct().collect())
+    ids = {"left_id": "feature_id", "right_id": "feature_id"}
+    out = spark.createDataFrame([], "seed_i long, seed_j long, left_id long, right_id long, score double, mutual boolean")
+    for i, j in combinations(seeds, 2):
+        a, b = d.where(F.col("seed") == i), d.where(F.col("seed") == j)
+        forward = similarity.top_matches(a, b, 1, **ids)
+        both = similarity.mutual_matches(forward, similarity.top_matches(b, a, 1, **ids)).select("left_id", F.lit(True).alias("mutual"))
+        best = forward.join(both, "left_id", "left").select("left_id", "right_id", "score", F.coalesce("mutual", F.lit(False)).alias("mutual"))
+        out = out.unionByName(best.select(F.lit(i).alias("seed_i"), F.lit(j).alias("seed_j"), "*"))
+    return out
+
+
+@query("best_match_pairs_all", BEST_ALL + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(c, 6) AS score FROM f")
+def best_match_pairs_all(spark, sf_dir):
+    """best_match_pairs, whose SQL is fixed to seeds 0 and 1, for every pair of seeds."""
+    return _all_pairs(spark, sf_dir).select("seed_i", "seed_j", "left_id", "right_id", R6("score").alias("score"))
+
+
+@query("mutual_matches_all", BEST_ALL + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(f.c, 6) AS score FROM f JOIN g USING (seed_i, seed_j, i, j)")
+def mutual_matches_all(spark, sf_dir):
+    return _all_pairs(spark, sf_dir).where("mutual").select("seed_i", "seed_j", "left_id", "right_id", R6("score").alias("score"))
+
+
+@query("matched_summary_all", BEST_ALL + """
+SELECT seed_i, seed_j, round(avg(f.c), 6) AS mean_best, round(avg((f.c >= 0.3)::INT), 6) AS frac_03, round(avg((f.c >= 0.5)::INT), 6) AS frac_05,
+       round(count(g.c) / count(*), 6) AS mutual FROM f LEFT JOIN g USING (seed_i, seed_j, i, j) GROUP BY seed_i, seed_j
+""")
+def matched_summary_all(spark, sf_dir):
+    share = lambda c: R6(F.avg(c.cast("double")))
+    return _all_pairs(spark, sf_dir).groupBy("seed_i", "seed_j").agg(R6(F.avg("score")).alias("mean_best"), share(F.col("score") >= 0.3).alias("frac_03"), share(F.col("score") >= 0.5).alias("frac_05"), share(F.col("mutual")).alias("mutual"))
+
+
 @query("threshold_edges", PRELUDE + """
 SELECT a.id AS a, b.id AS b, round(list_dot_product(a.emb, b.emb) / (sqrt(list_dot_product(a.emb, a.emb)) * sqrt(list_dot_product(b.emb, b.emb))), 6) AS score
 FROM decoder a JOIN decoder b ON a.id < b.id WHERE list_dot_product(a.emb, b.emb) / (sqrt(list_dot_product(a.emb, a.emb)) * sqrt(list_dot_product(b.emb, b.emb))) > 0.4
