@@ -3,8 +3,8 @@
 A text is the set of its character 1- to 3-grams (lower case; all that is no letter is one character). The kernel
 of two texts is the size of the intersection over the geometric mean of their sizes. Landmarks, an equal number
 of training texts a language, give the Nystroem map K(x, L) K(L, L)^(-1/2); ridge regression on it, one language
-against the rest, gives weights that are folded back to the landmarks. Scoring is two matrix products a batch:
-presence (texts x grams) by landmarks (grams x landmarks), then by weights (landmarks x languages).
+against the rest, gives weights that are folded back to the landmarks. Scoring counts the grams that a text shares
+with each landmark (a bit a landmark for every gram of theirs), then multiplies by weights (landmarks x languages).
 
 Training uses a bounded sample (`sample` rows, texts up to `longest` characters, drawn by a hash of the id) of
 the rows that are not held out and whose lang is known; prediction reads the text alone.
@@ -15,6 +15,8 @@ an empty table gives no rows; ties go to the first language in code-point order;
 
 from __future__ import annotations
 
+import functools
+import sys
 from collections import Counter
 
 import numpy as np
@@ -27,47 +29,29 @@ from .common import bounded, id_remainder, slices, table, texts_of
 SAMPLE = 1600
 LANDMARKS = 64
 LONGEST = 32_000
-ALPHABET = 64
 UNDETERMINED = "und"
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """Class of every code point: 0 for what is no letter, one of its own for every letter."""
+    return np.fromiter((c if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)), np.int64, sys.maxunicode + 1)
+
+
 class PresenceGrams:
-    """Character 1- to 3-grams over an alphabet of fixed size: 0 for what is no letter, 1 for other letters."""
-
-    def __init__(self, texts: list[str], alphabet: int = ALPHABET) -> None:
-        counts = Counter()
-        for t in texts:
-            counts.update(t.lower())
-        letters = sorted((c for c in counts if c.isalpha() and ord(c) < 65536), key=lambda c: (-counts[c], c))[: alphabet - 2]
-        self.size = alphabet
-        self.known = {ord(c): i + 2 for i, c in enumerate(sorted(letters))}
-        self.prepare()
-
-    def prepare(self) -> None:
-        self.classes = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536).astype(np.int32)
-        for code, i in self.known.items():
-            self.classes[code] = i
-        self.flags = np.zeros(self.size + self.size**2 + self.size**3, bool)
-
-    def __getstate__(self):
-        return {"size": self.size, "known": self.known}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.prepare()
-
-    def mark(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Grams of a text, with repeats, and the flags in which they are set; clear() undoes it."""
+    """Character 1- to 3-grams as numbers, exact for all letters of Unicode; all that is no letter is one character."""
+
+    #: Code points that are told apart, and the base of the numbers.
+    known = range(sys.maxunicode + 1)
+    size = sys.maxunicode + 1
+
+    def of(self, text: str) -> np.ndarray:
+        """The different grams of a text, in order."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = self.classes[np.minimum(codes, 65535)]
+        c = _classes()[codes]
         a = self.size
         two = c[:-1] * a + c[1:]
-        grams = np.concatenate([c, two + a, two[:-1] * a + c[2:] + a + a * a]) if len(c) > 1 else c
-        self.flags[grams] = True
-        return grams, self.flags
-
-    def clear(self, grams: np.ndarray) -> None:
-        self.flags[grams] = False
+        return np.concatenate([np.unique(c), np.unique(two) + a, np.unique(two[:-1] * a + c[2:]) + a + a * a])
 
 
 class Model:
@@ -75,19 +59,16 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-3) -> None:
         self.langs = sorted(set(langs))
-        self.grams = PresenceGrams(texts)
+        self.grams = PresenceGrams()
         by_lang = {g: [i for i, x in enumerate(langs) if x == g] for g in self.langs}
         each = max(1, landmarks // max(1, len(self.langs)))
         marks = [i for g in self.langs for i in by_lang[g][:each]]
-        sets = []
-        for i in marks:
-            grams, _ = self.grams.mark(texts[i])
-            sets.append(np.unique(grams))
-            self.grams.clear(grams)
+        sets = [self.grams.of(texts[i]) for i in marks]
         self.vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-        self.landmarks = np.zeros((len(self.vocabulary), len(marks)), np.float32)
+        self.norms = np.sqrt([max(1, len(s)) for s in sets])
+        self.landmarks = np.zeros((len(self.vocabulary), -(-len(marks) // 8)), np.uint8)
         for j, s in enumerate(sets):
-            self.landmarks[np.searchsorted(self.vocabulary, s), j] = 1 / np.sqrt(len(s))
+            self.landmarks[np.searchsorted(self.vocabulary, s), j // 8] |= 128 >> j % 8
         inner = self.kernel([texts[i] for i in marks]).astype(float)
         values, vectors = np.linalg.eigh((inner + inner.T) / 2)
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
@@ -98,19 +79,18 @@ class Model:
         solved = np.linalg.solve(mapped.T @ (weight * mapped) + ridge * np.eye(mapped.shape[1]), mapped.T @ (weight * goal))
         self.weights = (root @ solved).astype(np.float32)
 
-    def kernel(self, texts: list[str], block: int = 128) -> np.ndarray:
-        """Kernel of the texts with the landmarks, in blocks of texts."""
-        out = np.zeros((len(texts), self.landmarks.shape[1]), np.float32)
-        present = np.zeros((min(block, max(1, len(texts))), len(self.vocabulary)), np.float32)
-        for start in range(0, len(texts), block):
-            part = texts[start : start + block]
-            norms = np.ones(len(part), np.float32)
-            for i, t in enumerate(part):
-                grams, flags = self.grams.mark(t)
-                present[i] = flags[self.vocabulary]
-                norms[i] = np.sqrt(max(1, np.count_nonzero(flags)))
-                self.grams.clear(grams)
-            out[start : start + len(part)] = present[: len(part)] @ self.landmarks / norms[:, None]
+    def kernel(self, texts: list[str], block: int = 16384) -> np.ndarray:
+        """Kernel of the texts with the landmarks, whose bits are counted in blocks of grams."""
+        n = len(self.norms)
+        out = np.zeros((len(texts), n), np.float32)
+        for i, t in enumerate(texts if len(self.vocabulary) else []):
+            grams = self.grams.of(t)
+            at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
+            at = at[self.vocabulary[at] == grams]
+            common = np.zeros(n, np.int64)
+            for start in range(0, len(at), block):
+                common += np.unpackbits(self.landmarks[at[start : start + block]], axis=1, count=n).sum(axis=0, dtype=np.int32)
+            out[i] = common / (np.sqrt(max(1, len(grams))) * self.norms)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -124,15 +104,15 @@ class Model:
         return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(sure, lettered, strict=True)]
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, most_langs: int = 200) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> list[tuple[str, str]]:
     """(text, lang) of at most `sample` rows, the same number for every language where it has them."""
     learn = docs.where((id_remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return []
     quota = max(1, sample // len(counts))
     rank = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / float(1 << 53)
-    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 1.5 * quota / n))])
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, (1.5 * quota + 20) / n))])
     rows = learn.where((rank < F.element_at(share, F.col("lang"))) & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}")).select(rank.alias("rank"), "lang", "text").collect()
     out, seen, used = [], set(), Counter()
     for r in sorted(rows, key=lambda r: (r["rank"], r["text"])):

@@ -48,3 +48,16 @@ def test_nothing_to_learn_from(make):
     docs = make([(1, "abc", None), (2, "", None)])
     assert {r["lang_pred"] for r in L.identify(docs, L.train(docs)).collect()} == {"und"}
     assert L.identify(make([]), L.train(make([]))).count() == 0
+
+
+def test_rare_scripts_and_letters_above_the_first_plane():
+    rng = np.random.default_rng(3)
+    alphabets = {"common": [chr(c) for c in [*range(0x61, 0x7B), *range(0x430, 0x450), *range(0x3B1, 0x3C1)]], "hy": [chr(0x561 + i) for i in range(20)], "ka": [chr(0x10D0 + i) for i in range(20)], "deseret": [chr(0x10428 + i) for i in range(20)], "osage": [chr(0x104D8 + i) for i in range(20)]}
+    texts = [(g, " ".join("".join(rng.choice(letters, 4)) for _ in range(200 if g == "common" else 12))) for g, letters in alphabets.items() for _ in range(20)]
+    model = L.Model([t for _, t in texts[::2]], [g for g, _ in texts[::2]])
+    assert model.predict([t for _, t in texts[1::2]])[0] == [g for g, _ in texts[1::2]]
+
+
+def test_no_language_is_left_out(make):
+    docs = make([(i, f"text {i}", f"l{i % 230}") for i in range(2300)])
+    assert {g for _, g in L.training_rows(docs)} == {f"l{i}" for i in range(230)}
