@@ -4,7 +4,8 @@ The patterns give the base spans. The tagger is a bidirectional LSTM over one-ho
 written in numpy and trained from labelled spans (by default from generated lines whose spans are known by
 construction; train() takes any labelled lines). Every kind that it knows holds a digit or an @, so it reads
 all stretches of a text around such characters, in windows of T characters that overlap by half. Each window is
-decoded by Viterbi; a span that a window's inner edge cuts is left to the neighbour; then the spans of all
+decoded by Viterbi; a span that touches a window's edge inside the text is left to the neighbour, or else read again
+in ever larger windows around it until it is whole, so spans may have any length; then the spans of all
 windows of a document are reconciled at once: equal spans add up their weights and the set of disjoint spans of
 the largest weight stays. Spans that overlap a base span or fail the kind's check (digit counts, Luhn sum, parts
 up to 255) are dropped.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from bisect import bisect_right
 
@@ -372,34 +374,76 @@ def passes(kind: str, value: str) -> bool:
     return re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?", value) is not None
 
 
+def may_pass(kind: str, part: str) -> bool:
+    """Whether a value that holds this part can pass its check, however it goes on."""
+    if kind == "email":
+        return part.count("@") <= 1 and not re.search(r"\s", part)
+    return len(digits_of(part)) <= {"ip": 12, "card": 19, "phone": 15, "id": 33}[kind]
+
+
+def enlarged(cut: list[tuple[int, int]], length: int) -> list[tuple[int, int, tuple[int, int]]]:
+    """Windows (start, end, core) around cut spans, the cores, with as much again on both sides and T at least."""
+    merged: list[list[int]] = []
+    for a, b in sorted(cut):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return [(max(0, a - max(T, b - a)), min(length, b + max(T, b - a)), (a, b)) for a, b in merged]
+
+
+def _runs(texts: list[str], model: Tagger, where: list[tuple[int, int, int, tuple[int, int] | None]]):
+    """Tagged runs (window, start, kind's place, end) of windows (text, start, end, core), decoded with others of about their length."""
+    by_size: dict[int, list] = {}
+    for w in where:
+        by_size.setdefault(T << max(0, -(-(w[2] - w[1]) // T) - 1).bit_length(), []).append(w)
+    for size, ws in by_size.items():
+        many = max(1, 4096 * T // size)
+        for at in range(0, len(ws), many):
+            part = ws[at : at + many]
+            ids = np.zeros((len(part), size), np.int64)
+            for r, (i, s, e, _) in enumerate(part):
+                ids[r, : e - s] = char_ids(texts[i][s:e])
+            tags = model.decode(ids)
+            for r in np.flatnonzero(tags.any(axis=1)):
+                n, row, t = part[r][2] - part[r][1], tags[r], 0
+                while t < n:
+                    if row[t] % 2 == 1:
+                        k, u = row[t] // 2, t + 1
+                        while u < n and row[u] == row[t] + 1:
+                            u += 1
+                        yield part[r], t, int(k), u
+                        t = u
+                    else:
+                        t += 1
+
+
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """Reconciled spans (start, kind's place, end) of each text."""
-    where, found = [], [[] for _ in texts]
-    for i, text in enumerate(texts):
-        for a, b in stretches(text):
-            where += [(i, a, b, s, e) for s, e in windows(a, b)]
-    for at in range(0, len(where), 4096):
-        part = where[at : at + 4096]
-        ids = np.zeros((len(part), T), np.int64)
-        for r, (i, _a, _b, s, e) in enumerate(part):
-            ids[r, : e - s] = char_ids(texts[i][s:e])
-        tags = model.decode(ids)
-        for r in np.flatnonzero(tags.any(axis=1)):
-            i, a, b, s, e = part[r]
-            row, t = tags[r], 0
-            while t < e - s:
-                if row[t] % 2 == 1:
-                    k, u = row[t] // 2, t + 1
-                    while u < e - s and row[u] == row[t] + 1:
-                        u += 1
-                    if (t or s == a) and (u < e - s or e == b):
-                        found[i].append((s + t, int(k), s + u, (u - t) * (1 + min(t, T - u) / T)))
-                    t = u
-                else:
-                    t += 1
+    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    where = [(i, s, e, None) for i, text in enumerate(texts) for a, b in stretches(text) for s, e in windows(a, b)]
+    while where:
+        cut: dict[int, list[tuple[int, int]]] = {}
+        for (i, s, e, core), t, k, u in _runs(texts, model, where):
+            a, b = s + t, s + u
+            if core is None or a < core[1] and b > core[0]:
+                if (t or s == 0) and (u < e - s or e == len(texts[i])):
+                    size = max(T, e - s)
+                    found[i].append((a, k, b, (u - t) * (1 + min(t, size - u) / size)))
+                elif may_pass(KINDS[k], texts[i][a:b]):
+                    cut.setdefault(i, []).append((min(a, core[0]), max(b, core[1])) if core else (a, b))
+        where = [(i, *w) for i, spans in cut.items() for w in enlarged(uncovered(spans, found[i]), len(texts[i]))]
     return [reconcile(f) if f else [] for f in found]
 
 
+def uncovered(cut: list[tuple[int, int]], whole: list[tuple[int, int, int, float]]) -> list[tuple[int, int]]:
+    """The cut spans that lie in no whole one."""
+    spans = sorted((a, b) for a, _, b, _ in whole)
+    starts = [a for a, _ in spans]
+    furthest = list(itertools.accumulate((b for _, b in spans), max))
+    return [(a, b) for a, b in cut if not (n := bisect_right(starts, a)) or furthest[n - 1] < b]
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

@@ -82,3 +82,40 @@ def test_rows(make):
     assert set(pii.joined(base(text)).split(",")) <= set(r["spans"].split(","))
     assert rows[1]["spans"] == ""
     assert pii.find(make([])).count() == 0
+
+
+class Runs:
+    """Tags runs by their characters alone, cut ones too."""
+
+    def decode(self, ids):
+        out = np.zeros(ids.shape, np.int8)
+        for r, row in enumerate(ids):
+            line = "".join("\0" if c == 0 else chr(c + 31) if c < 96 else "ü" for c in row)
+            for m in re.finditer(r"[A-Z0-9](?:[A-Z0-9]| (?=[A-Z0-9\0]|$))*|[ü@]+(?:\.ü*)*", line):
+                k = pii.KINDS.index("email" if "ü" in m[0] or "@" in m[0] else "id")
+                out[r, m.start() : m.end()] = 2 + 2 * k
+                out[r, m.start()] = 1 + 2 * k
+        return out
+
+
+@pytest.mark.parametrize("value", ["GB12" + " 3456" * n + tail for n in (5, 6, 7) for tail in ("", " 789")] + ["ü" * n + "@" + "ü" * n + ".ü" for n in (5, 20, 31, 40, 90, 700)])
+def test_spans_of_any_length_are_found_at_every_place(value):
+    kind = "email" if "@" in value else "id"
+    for filler in ("x7.", "xyz."):
+        for at in range(64):
+            text = (filler * 99)[: 100 + at] + "; " + value + "; " + filler * 60
+            want = (102 + at, pii.KINDS.index(kind), 102 + at + len(value))
+            assert want in pii.added(text, pii.base_spans(text), pii.tagged_spans([text], Runs())[0])
+
+
+def test_a_cut_value_is_read_again_in_few_rounds():
+    rounds = []
+
+    class Counting(Runs):
+        def decode(self, ids):
+            rounds.append(ids.size)
+            return super().decode(ids)
+
+    text = "ü" * 20_000 + "@" + "ü" * 20_000 + ".ü"
+    assert pii.tagged_spans([text], Counting()) == [[(0, 0, len(text))]]
+    assert len(rounds) < 15 and sum(rounds) < 12 * len(text)
