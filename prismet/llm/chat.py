@@ -84,12 +84,10 @@ def format_chats(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), content.alias("content"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("turns"))
     count = lambda parts: F.size(F.filter(F.coalesce(parts, F.array().cast(PARTS)), lambda p: F.coalesce(p["kind"].isin(*ATTACHMENTS), F.lit(False))))
-    if "content" in messages.columns:
-        befores = F.transform("turns", lambda t, i: F.aggregate(F.slice(F.col("turns"), F.lit(1), i), F.lit(0), lambda n, e: n + count(e["content"])))
-        grouped = grouped.withColumn("befores", befores)
-        visited = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), render(t["content"], F.element_at("befores", i + 1)).alias("body")))
-    else:
-        visited = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.struct(escape(F.coalesce(t["content"][0]["text"], F.lit(""))).alias("text"), F.array().cast("array<struct<number:int,kind:string,ref:string,tokens:long>>").alias("attachments")).alias("body")))
+    # Turns with attachments and their numbers of them, bound once for all turns of a conversation.
+    counted = F.filter(F.transform("turns", lambda t, i: F.struct(i.alias("at"), count(t["content"]).alias("n"))), lambda m: m["n"] > 0)
+    before = lambda c, i: F.aggregate(F.filter(c, lambda m: m["at"] < i), F.lit(0), lambda n, m: n + m["n"])
+    visited = F.transform(F.array(counted), lambda c: F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), render(t["content"], before(c, i)).alias("body"))))[0]
     done = grouped.select("conv_id", visited.alias("visited"))
     written = F.array_join(F.transform("visited", lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), t["body"]["text"], F.lit(END + "\n"))), "")
     attachments = F.flatten(F.transform("visited", lambda t: t["body"]["attachments"]))

@@ -57,3 +57,18 @@ def test_escape_inverts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
     for r in df.withColumn("u", chat.unescape(F.col("e"))).collect():
         assert r["u"] == r["t"] and "<|" not in r["e"]
+
+
+def test_plain_texts_go_through_the_visitor(spark, monkeypatch):
+    calls, visitor = [], chat.render
+    monkeypatch.setattr(chat, "render", lambda parts, before: calls.append(parts) or visitor(parts, before))
+    df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], SCHEMA)
+    plain = sorted(map(str, chat.format_chats(df).collect()))
+    assert calls and plain == sorted(map(str, chat.format_chats(df.withColumn("content", chat.text_parts(F.col("text")))).collect()))
+
+
+def test_numbers_go_on_over_turns(spark):
+    image = ("image", None, "i", 1, 1, None, None)
+    rows = [(c, t, "user", [image] * (t % 3)) for c in (1, 2) for t in range(300)]
+    for r in chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content {chat.PARTS}")).collect():
+        assert [a["number"] for a in r["attachments"]] == list(range(1, 301))
