@@ -10,6 +10,7 @@ from prismet.operators import faithfulness, graph, judge, organize, similarity,
 from prismet.operators.similarity import matrix
 from prismet.plans import roles
 from prismet.plans.catalog import query
+from prismet.plans.config import Consensus, Faithfulness, Run
 from prismet.streaming import judge_dedup
 
 R6 = lambda c: F.round(c, 6)
@@ -46,7 +47,7 @@ def erank_per_seed(spark, sf_dir):
 
 def _nulls(spark, sf_dir, kind):
     models = stability.decoders(stability.live(roles.decoder(spark, sf_dir)))
-    return stability.null_summary(stability.null_draws(spark, models, 50, kind))
+    return stability.null_summary(stability.null_draws(spark, models, Run.n_perm, kind))
 
 
 @query("null_isotropic")
@@ -69,7 +70,7 @@ def shuffle_null(spark, sf_dir):
     """feature_id, observed, p95 of the shuffled maxima, significant."""
     acts, labels = roles.activations(spark, sf_dir), faithfulness.prevalent(roles.image_labels(spark, sf_dir), 10)
     images = [r["image_id"] for r in roles.vectors(spark, sf_dir).select("image_id").collect()]
-    null = faithfulness.percentile95(faithfulness.shuffle_null(acts, labels, images, 100), "max_r", "feature_id")
+    null = faithfulness.percentile95(faithfulness.shuffle_null(acts, labels, images, Faithfulness.n_perm), "max_r", "feature_id")
     best = faithfulness.best_label(faithfulness.point_biserial(acts, labels, len(images)))
     return best.join(null, "feature_id").select("feature_id", R6("abs_r").alias("observed"), R6("p95").alias("p95"), (F.col("abs_r") > F.col("p95")).alias("significant"))
 
@@ -87,7 +88,7 @@ def normal_p_fdr(spark, sf_dir):
 def seed_tag_null(spark, sf_dir):
     d = roles.decoder(spark, sf_dir)
     labelled = d.join(graph.connected_components(d.select("id"), similarity.threshold_edges(d, 0.5)), "id")
-    return stability.seed_tag_null(labelled, 3, 100)
+    return stability.seed_tag_null(labelled, 3, Consensus.n_perm)
 
 
 @query("random_naming_baseline")

@@ -46,3 +46,20 @@ def test_all_seed_pairs_are_matched(tables):
     assert rows[0, 1][0] == 1 and rows[0, 4][0] == 0
     assert len(both("best_match_pairs_all")) == 20
     assert {r[2:4] for r in both("mutual_matches_all") if r[:2] == (0, 2)} == {(0, 1), (1, 0)}
+
+
+def test_null_models_draw_as_often_as_configured(spark, monkeypatch):
+    from prismet.operators import faithfulness, stability
+
+    drawn = []
+
+    def recording(module, name, place):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **b: drawn.append(a[place]) or real(*a, **b))
+
+    recording(stability, "null_draws", 2)
+    recording(stability, "seed_tag_null", 2)
+    recording(faithfulness, "shuffle_null", 3)
+    for name in ("null_isotropic", "null_subspace", "stability_summary", "shuffle_null", "seed_tag_null"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert drawn == [200] * 5
