@@ -668,12 +668,30 @@ def _nameless(words: int):
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is their component's: one of each group stays, with its own columns.
+    """Of each component one row stays, that of the smallest id, with its own columns.
 
-    Rows without an id stay unless another row of their component has one; repeated rows of an id fold to one."""
-    found = near_duplicates(docs, words, percent)
+    Rows are told apart by id and text. Of the texts of a repeated id one keeps the id as its name; the others, and
+    rows without an id, are named by a hash from 2**62 on, so they stay only where no row has a smaller name. Equal
+    rows fold to one, save those without an id whose texts have no shingle."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+    digest = F.xxhash64("text")
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(digest).alias("__least"))
+    repeated = stored(spark, texts.where("rows > 1").select(F.col("doc_id").alias("__id"), "__least"), folder, "repeated")
+    n_repeated = repeated.count()
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(1)), 2) + F.lit(1 << 62)
+    named = docs.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, F.col("doc_id") == F.col("__id"), "left")
+    named = named.withColumn("__row", F.when(F.col("doc_id").isNotNull() & (F.col("__id").isNull() | (F.col("__least") == digest)), F.col("doc_id").cast("long")).otherwise(hashed))
+    found = near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), words, percent)
+    found = stored(spark, found.where("n_shingles = 0 or not doc_id <=> component_id"), folder, "found")
     gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    left = named.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    if not n_repeated and not docs.where("doc_id is null").limit(1).count():
+        return left.select(*docs.columns)
+    bare = found.where("n_shingles = 0").select(F.col("doc_id").alias("__bare")).distinct()
+    odd = left.where("doc_id is null or __id is not null").join(bare, F.col("__row") == F.col("__bare"), "left")
+    odd = odd.withColumn("__copy", F.when(F.col("doc_id").isNull() & F.col("__bare").isNotNull(), F.monotonically_increasing_id()).otherwise(-1))
+    return left.where("doc_id is not null and __id is null").select(*docs.columns).union(odd.dropDuplicates(["__row", "__copy"]).select(*docs.columns))
 
 
 def query(spark, sf_dir):

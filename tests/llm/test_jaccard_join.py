@@ -98,6 +98,24 @@ def test_one_of_each(make):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_one_of_each_without_ids_and_with_repeated_ids(make):
+    text = lambda k, end="": " ".join(f"w{k}x{i}" for i in range(60)) + end
+    rows = [
+        (1, text(1)), (None, text(1, " more")), (None, text(1)),  # without an id, beside a row that has one
+        (None, text(2)), (None, text(2, " more")), (None, text(2)),  # none has one
+        (2, text(3)), (5, text(3, " more")), (5, text(4)),  # a repeated id, one of its texts a near copy
+        (6, text(5)), (6, text(5)), (7, text(6)), (7, text(6, " more")),  # repeated rows, and near copies of one id
+        (8, text(7)), (8, text(8)), (9, text(7, " more")), (10, text(8, " more")),  # texts of one id in two components
+        (None, "short"), (None, "short"), (11, None), (11, None), (None, ""), (None, ""),
+    ]
+    kept = J.one_of_each(make(rows)).select("doc_id", "text").collect()
+    got = sorted(str((r["doc_id"], (r["text"] or "-").split(" ")[0])) for r in kept)
+    want = [(1, "w1x0"), (None, "w2x0"), (2, "w3x0"), (5, "w4x0"), (6, "w5x0"), (7, "w6x0"), (None, "short"), (11, "-"), (None, "-"), (None, "-")]
+    either = [r for r in got if "w7x0" in r or "w8x0" in r]  # which of the two texts keeps the id is left to a hash
+    assert sorted(r for r in got if r not in either) == sorted(map(str, want))
+    assert len(either) == 2 and {"w7x0", "w8x0"} == {r.split("'")[1] for r in either}
+
+
 def test_bounds_never_lose_a_pair():
     rng = np.random.default_rng(0)
     for _ in range(300):
