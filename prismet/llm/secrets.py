@@ -60,14 +60,38 @@ def brute_costs(value: str) -> list[float]:
     return out
 
 
-def _walks() -> dict[str, float]:
-    """Neighbours on a keyboard row, in either direction."""
-    return {a + b: 1 for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:], strict=False)}
+def _walks() -> dict[str, tuple[int, int]]:
+    """Neighbours on the keyboard with their direction (keys to the right, rows down): along a row, and to the two keys that touch above and below."""
+    at = {c: (x, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
+    # Each row lies half a key to the right of the one above, so down are the same place and the one before it.
+    steps = ((1, 0), (-1, 0), (0, 1), (-1, 1), (0, -1), (1, -1))
+    keys = {place: c for c, place in at.items()}
+    return {a + keys[x + dx, y + dy]: (dx, dy) for a, (x, y) in at.items() for dx, dy in steps if (x + dx, y + dy) in keys}
 
 
 WALKS = _walks()
 
 
+def walk_end(value: str, start: int) -> tuple[int, int]:
+    """End of the keyboard walk from `start`, and its number of turns and jumps to the next column.
+
+    A walk goes on in one direction; from the end of a run of three keys or more that goes up or down it may start the
+    next run beside the run's first key, as in 1qaz2wsx."""
+    j, turns, first = start + 1, 0, start
+    step = None
+    while j < len(value):
+        way = WALKS.get(value[j - 1 : j + 1])
+        if way and step in (None, way):
+            step = way
+        elif step and step[1] and j - first >= 3 and WALKS.get(value[first] + value[j], (0, 1))[1] == 0:
+            first, step, turns = j, None, turns + 1
+        else:
+            break
+        j += 1
+    # A column that has just begun, with no second key, belongs to what follows.
+    return (j - 1, turns - 1) if turns and first == j - 1 else (j, turns)
+
+
 def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses for the cheapest segmentation, and its segments (start, end, kind)."""
     n = len(value)
@@ -105,13 +129,9 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
                 i += 1
     i = 0
     while i < n - 1:
-        j = i + 1
-        step = None
-        while j < n and lower[j - 1 : j + 1] in WALKS and (step in (None, _direction(lower[j - 1], lower[j]))):
-            step = _direction(lower[j - 1], lower[j])
-            j += 1
+        j, turns = walk_end(lower, i)
         if j - i >= 3:
-            ends[j].append((i, 1.6 + math.log10(j - i), "walk"))
+            ends[j].append((i, 1.6 + math.log10(j - i) + 0.3 * turns, "walk"))
         i = max(i + 1, j - 1)
     best = [0.0] + [math.inf] * n
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
@@ -132,10 +152,6 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n], segments[::-1]
 
 
-def _direction(a: str, b: str) -> int:
-    return next((r.index(b) - r.index(a) for r in ROWS if a in r and b in r), 0)
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of the fixed patterns."""
     out = []

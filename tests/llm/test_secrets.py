@@ -53,3 +53,11 @@ def test_rows(make):
     assert f"guess:{a}:{a + 10}" in r["spans"].split(",") and "changeme" not in [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",")]
     assert rows[1]["spans"] == "" and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.scan(make([])).count() == 0
+
+
+def test_walks_down_the_columns():
+    cost = lambda v: secrets.guess_cost(v)[0]
+    for value in ("1qaz2wsx3e", "1qaz2wsx3edc", "zaq1xsw2cde3", "!1qaz", "1QAZ2WSX3EDC", "0okm9ijn", "qwertyuiop", "poiuytrewq"):
+        assert cost(value) < secrets.LIMIT, value
+    assert [s[2] for s in secrets.guess_cost("1qaz2wsx3e")[1]] == ["walk"]
+    assert not secrets.guessed_spans("password=1qaz2wsx3e") and secrets.guessed_spans("password=1zq8pwx3ekv")
