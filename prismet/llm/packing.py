@@ -1,13 +1,15 @@
 """Sum-of-squares online packing of tokenised documents into windows of fixed capacity.
 
-Every task tokenises its documents and places each at the fill level that minimises the sum, over levels, of
-the squared count of partially filled windows: moving a window from level h to h+s changes the sum by
-2 * (N[h+s] - N[h]) + 2, so the best level is found in one pass over the level array N. A document longer than
-a window fills whole windows first and is placed by its remainder. When a task ends, the windows still open are
-filled by cutting the emptiest ones; the last one is cut at powers of two, which need no padding.
+1. Every task tokenises its documents and writes pieces to the shared folder: a document longer than a window gives
+   whole windows first, and its remainder with the ids.
+2. PIECES pieces at a time, however many tasks they come from, are placed in turn: a piece goes to the fill level
+   that minimises the sum, over levels, of the squared count of partially filled windows. Moving a window from level
+   h to h+s changes the sum by 2 * (N[h+s] - N[h]) + 2, so the best level is found in one pass over the level array N.
+   At the end the windows still open are taken apart: their pieces fill windows exactly where a sum of sizes allows
+   it, and only what is left then is cut; the last window is cut at powers of two, which need no padding.
 
-Nothing is shuffled: tasks pack alone, window ids carry the task's number, and a task that is run again gives
-its rows anew as a whole. A task holds the open windows only (at most `max_open`, then they are drained).
+Nothing is shuffled: the second step reads the table that the first wrote, window ids carry the task's number, and a
+task that is run again gives its rows anew as a whole. A task holds its open windows, PIECES pieces at most.
 
 Defined results: null text counts as empty and gives the one closing id; an empty table gives no rows; rows
 that repeat a document are packed each for itself; a null doc_id is carried through. Other columns are ignored.
@@ -17,13 +19,14 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WORKER_CACHE, bounded, slices, table, texts_of
+from .common import WORKER_CACHE, bounded, shared_folder, slices, stored, table, texts_of
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -113,21 +116,25 @@ def encoder(path: str) -> WordEncoder:
 class Packer:
     """Windows of one task. Pieces are (doc_id, start, ids as bytes, doc_tokens)."""
 
-    def __init__(self, capacity: int, first_id: int, max_open: int = 4096) -> None:
-        self.capacity, self.next_id, self.max_open = capacity, first_id, max_open
+    #: Pieces that an exact filling looks at for one window.
+    LOOK = 96
+
+    def __init__(self, capacity: int, first_id: int) -> None:
+        self.capacity, self.next_id = capacity, first_id
         self.count = np.zeros(capacity + 1)
         self.count[0], self.count[capacity] = 0.5, -0.5  # a new window costs one less, a full one counts no more
         self.at: list[list[list]] = [[] for _ in range(capacity)]
-        self.open = 0
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: bytes) -> None:
-        total, start = len(ids) // 4, 0
-        while total - start >= self.capacity:
-            self._emit([(doc_id, start, ids[4 * start : 4 * (start + self.capacity)], total)])
-            start += self.capacity
-        if start < total:
-            self._place((doc_id, start, ids[4 * start :], total), total - start)
+        for doc_id, start, part, total in cut_whole(doc_id, ids, self.capacity):
+            self.put((doc_id, start, part, total), len(part) // 4)
+
+    def put(self, piece: tuple, size: int) -> None:
+        if size == self.capacity:
+            self._emit([piece])
+        elif size:
+            self._place(piece, size)
 
     def _place(self, piece: tuple, size: int) -> None:
         count, top = self.count, self.capacity - size
@@ -138,16 +145,12 @@ class Packer:
             count[level] -= 1
         else:
             window = []
-            self.open += 1
         window.append(piece)
         if level + size == self.capacity:
             self._emit(window)
-            self.open -= 1
         else:
             self.at[level + size].append(window)
             count[level + size] += 1
-        if self.open > self.max_open:
-            self.drain(last=False)
 
     def _emit(self, window: list[tuple]) -> None:
         offset = 0
@@ -156,39 +159,64 @@ class Packer:
             offset += len(ids) // 4
         self.next_id += 1
 
-    def drain(self, last: bool = True) -> None:
-        """Close the open windows: fill the fullest with pieces cut from the emptiest."""
-        windows = [(level, w) for level in range(self.capacity - 1, 0, -1) for w in self.at[level]]
+    def drain(self) -> None:
+        """Close the open windows: exact sums of their pieces first, then whole windows by cutting, last a tail by powers of two."""
+        pieces = [piece for level in self.at for window in level for piece in window]
         self.at = [[] for _ in range(self.capacity)]
         self.count[1 : self.capacity] = 0
-        self.open = 0
-        low, spare = len(windows), []
-        for i, (level, window) in enumerate(windows):
-            if i >= low:
-                break
-            while level < self.capacity:
-                if not spare:
-                    if low - 1 <= i:
-                        break
-                    low -= 1
-                    spare = windows[low][1]
-                doc_id, start, ids, total = spare.pop()
-                take = min(self.capacity - level, len(ids) // 4)
-                window.append((doc_id, start, ids[: 4 * take], total))
-                level += take
-                if 4 * take < len(ids):
-                    spare.append((doc_id, start + take, ids[4 * take :], total))
-            if level == self.capacity:
+        left = self._exact(pieces)
+        window, room = [], self.capacity
+        while left:
+            doc_id, start, ids, total = left.pop()
+            take = min(room, len(ids) // 4)
+            window.append((doc_id, start, ids[: 4 * take], total))
+            room -= take
+            if 4 * take < len(ids):
+                left.append((doc_id, start + take, ids[4 * take :], total))
+            if not room:
                 self._emit(window)
-            else:
-                spare = window
-        if spare and not last:
-            level = sum(len(p[2]) // 4 for p in spare)
-            self.at[level].append(spare)
-            self.count[level] = 1
-            self.open = 1
-        elif spare:
-            self._by_powers(spare)
+                window, room = [], self.capacity
+        if window:
+            self._by_powers(window)
+
+    def _exact(self, pieces: list[tuple]) -> list[tuple]:
+        """Windows that whole pieces fill exactly, the largest piece first; returns the pieces that found no such window."""
+        order = sorted(range(len(pieces)), key=lambda i: (len(pieces[i][2]), i))
+        sizes = [len(pieces[i][2]) // 4 for i in order]
+        alive = list(range(len(order)))  # places in `order`, by size
+        stuck = []
+        while alive:
+            last = alive.pop()
+            chosen = self._subset(alive, sizes, self.capacity - sizes[last])
+            if chosen is None:
+                stuck.append(pieces[order[last]])
+                continue
+            self._emit([pieces[order[i]] for i in (last, *chosen)])
+            gone = set(chosen)
+            alive = [i for i in alive if i not in gone]
+        return stuck[::-1]
+
+    def _subset(self, alive: list[int], sizes: list[int], room: int) -> list[int] | None:
+        """Places whose sizes add up to `room`, among at most LOOK of those that fit, spread over the sizes."""
+        if not room:
+            return []
+        fit = bisect_right(alive, room, key=sizes.__getitem__)
+        step = max(1, -(-fit // self.LOOK))
+        candidates = alive[fit - 1 :: -step] if fit else []
+        reach, seen, full = 1, [], (1 << (room + 1)) - 1
+        for i in candidates:
+            seen.append(reach)
+            reach |= (reach << sizes[i]) & full
+            if reach >> room & 1:
+                break
+        else:
+            return None
+        out = []
+        for i, before in zip(candidates[len(seen) - 1 :: -1], seen[::-1], strict=True):
+            if not before >> room & 1:
+                out.append(i)
+                room -= sizes[i]
+        return out
 
     def _by_powers(self, pieces: list[tuple]) -> None:
         rest = sum(len(p[2]) // 4 for p in pieces)
@@ -207,37 +235,74 @@ class Packer:
             self._emit(window)
 
 
+def cut_whole(doc_id, ids: bytes, capacity: int):
+    """(doc_id, start, ids, doc_tokens): whole windows of a document, then its remainder."""
+    total = len(ids) // 4
+    for start in range(0, total, capacity):
+        yield doc_id, start, ids[4 * start : 4 * (start + capacity)], total
+
+
+_PIECES_DDL = "doc_id long, start long, doc_tokens long, width int, ids binary"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([(c.split(" ")[0], pa.int64()) for c in _DDL.split(", ")])
 
+#: Pieces that one task places; its memory is theirs at most.
+PIECES = 100_000
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, closing_id: int = CLOSING_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    `capacity` must be a power of two, so that a window of the size of its last part needs no padding."""
-    if capacity < 2 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, closing_id: int = CLOSING_ID) -> DataFrame:
+    """Tokenised documents in pieces of at most `capacity`; ids below 65,536 take two bytes each."""
 
     def task(batches):
         words = encoder(path or tokenizer_path())
-        packer = Packer(capacity, TaskContext.get().partitionId() << 33)
         closing = np.array([closing_id], "<u4").tobytes()
+        narrow = max(words.tokenizer.get_vocab_size(), closing_id + 1) <= 1 << 16
+
+        for batch in slices(batches, keep="packing"):
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                for doc, start, ids, total in cut_whole(doc_id, words.encode(text) + closing, capacity):
+                    rows.append((doc, start, total, 2 if narrow else 4, np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+
+    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _PIECES_DDL)
+
+
+def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of the result; every partition of `cut` is packed for itself."""
+
+    def task(batches):
+        packer = Packer(capacity, TaskContext.get().partitionId() << 33)
 
         def out():
             batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packer.rows, strict=True)], schema=_SCHEMA)
             packer.rows.clear()
             return batch
 
-        for batch in slices(batches, keep="packing"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                packer.add(doc_id, words.encode(text) + closing)
+        for batch in slices(batches, column="ids", keep="packing"):
+            for doc_id, start, total, width, ids in zip(*(batch.column(c).to_pylist() for c in _PIECES.names), strict=True):
+                if width == 2:
+                    ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+                packer.put((doc_id, start, ids, total), len(ids) // 4)
             if packer.rows:
                 yield out()
         packer.drain()
         if packer.rows:
             yield out()
 
-    return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _DDL)
+    return bounded(cut).select(*_PIECES.names).mapInArrow(task, _DDL)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, closing_id: int = CLOSING_ID, together: int = PIECES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    `capacity` must be a power of two, so that a window of the size of its last part needs no padding."""
+    if capacity < 2 or capacity & (capacity - 1):
+        raise ValueError("capacity must be a power of two")
+    spark = docs.sparkSession
+    cut = stored(spark, pieces(docs, capacity, path, closing_id), shared_folder(spark), "pieces")
+    return place(cut.coalesce(max(1, -(-cut.count() // together))), capacity)
 
 
 def query(spark, sf_dir):
