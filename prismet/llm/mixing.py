@@ -9,23 +9,23 @@ Newton steps on log(sum r * size) = log(target), all sources at once: each step
 histogram of (source, size), and the multipliers stay in a table, so nothing that grows with the number of
 sources or documents reaches the driver.
 
-Copies: floor(r), and one more for the documents first in order of u / fraction(r), u a hash of the document,
-until the source's missing words are met; the cut-off is found from a histogram of 1024 cells a source, and only
-rows of the cell that holds it are ordered; last, the left-out document whose size comes closest to the words
-still missing is taken.
+Copies: floor(r), and one more for the documents first in order of u / fraction(r), u a hash of the document and
+of its place among equal rows, until the source's missing words are met; the cut-off is found from a histogram of
+1024 cells a source, and only rows of the cell that holds it are ordered; last, the left-out document whose size
+comes closest to the words still missing is taken.
 
 Defined results: null text has size 0; documents of size 0 take no words; a source of size 0 has target 0; a
-null source is a source of its own, last in order; rows that repeat a document are drawn each for itself (equal
-rows are interchangeable); an empty table gives an empty result. Other columns are ignored by mix() and kept by
+null source is a source of its own, last in order; rows of one source, doc_id (null too) and size are drawn each for itself
+by their place among each other; an empty table gives an empty result. Other columns are ignored by mix() and kept by
 mixture().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored, table
+from .common import remove_folder, shared_folder, stored, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CELLS = 1024
@@ -56,9 +56,9 @@ def _rate(limit: float):
 
 
 def _trials():
-    """The Newton point and, on the scale of asinh, seven points inside the bracket."""
+    """The Newton point and, on the scale of asinh, 23 points inside the bracket."""
     low, high = F.asinh("low"), F.asinh("high")
-    return F.array(F.col("newton"), *[F.sinh(low + (high - low) * (i / 8)) for i in range(1, 8)])
+    return F.array(F.col("newton"), *[F.sinh(low + (high - low) * (i / 24)) for i in range(1, 24)])
 
 
 def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float = 2.0, tolerance: float = 1e-7, steps: int = 60, n_sources: int | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float
     state = aims.drop("source").join(smallest, "sid", "left").select(
         "sid", "source_size", "largest", "target", full.alias("full"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"),
         F.coalesce(F.log(F.lit(limit)) * F.col("largest") / F.col("smallest"), F.lit(0.0)).alias("high"), F.lit(1e9).alias("gap"), F.lit(0.0).alias("newton"))
-    state = stored(spark, state, folder, "state0", n_sources)
+    state = stored(spark, state, folder, "states/0", n_sources)
     for step in range(1, steps + 1):
         # Each step tries the Newton point and points that cut the bracket geometrically; the aggregate serves them all.
         tries = state.where("not full and source_size > 0").withColumn("lam", F.explode(F.array_distinct(F.filter(_trials(), lambda x: (x > F.col("low")) & (x < F.col("high"))))))
@@ -86,75 +86,120 @@ def multipliers(histogram: DataFrame, aims: DataFrame, folder: str, limit: float
             "sid", "source_size", "largest", "target", "full", F.when(better, F.col("best.lam")).otherwise(F.col("lam")).alias("lam"),
             F.when(better, F.abs("best.gap")).otherwise(F.col("gap")).alias("gap"), F.coalesce(F.greatest("low", "above"), F.col("low")).alias("low"), F.coalesce(F.least("high", "below"), F.col("high")).alias("high"),
             F.when(better, F.col("best.lam") - F.col("best.gap") * F.col("best.got") / F.col("best.slope")).otherwise(F.col("newton")).alias("newton"))
-        state = stored(spark, after, folder, f"state{step}", n_sources)
+        state = stored(spark, after, folder, f"states/{step}", n_sources)
         if not state.where(f"not full and source_size > 0 and gap > {tolerance}").limit(1).count():
             break
     return state.select("sid", "source_size", "largest", "target", "lam", "full")
 
 
-def _drawn(sized: DataFrame, aims: DataFrame, solution: DataFrame, cuts: DataFrame | None, limit: float) -> DataFrame:
-    """Rows with sid, rate, copies before the last, and the place p in the draw for one more."""
-    keyed = sized.join(aims.select(F.col("source").alias("__source"), "sid"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source").join(solution, "sid")
-    keyed = keyed.withColumn("rate", _rate(limit)).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit(17)), 11) + 0.5) / float(1 << 53)
-    keyed = keyed.withColumn("p", F.when((F.col("part") > 0) & (F.col("size") > 0), u / F.col("part"))).withColumn("cell", F.floor(CELLS * F.col("p") / (1 + F.col("p"))))
-    return keyed if cuts is None else keyed.join(cuts, "sid", "left")
+#: Equal rows that one task counts out, and equal rows of whole documents that are ordered together.
+TOGETHER = 4096
+BROADCAST_ROWS = 1_000_000
 
 
-def _assign(docs: DataFrame, weights, share, limit, *more) -> DataFrame:
+def _drawn(units: DataFrame, solution: DataFrame, limit: float) -> DataFrame:
+    """Rows (sid, doc_id, size, place among equals) with rate, copies before the last, and the point p in the draw for one more."""
+    keyed = units.join(solution, "sid").withColumn("rate", _rate(limit)).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", "place", F.lit(17)), 11) + 0.5) / float(1 << 53)
+    return keyed.withColumn("p", F.when((F.col("part") > 0) & (F.col("size") > 0), u / F.col("part"))).withColumn("cell", F.floor(CELLS * F.col("p") / (1 + F.col("p"))))
+
+
+def _places(groups: DataFrame) -> DataFrame:
+    """One row per document: its group's columns and its place among the group's rows. Large groups are counted out by many tasks."""
+    once = groups.where("rows = 1").withColumn("place", F.lit(0).cast("long"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / TOGETHER)))
+    more = groups.where("rows > 1").withColumn("block", block).repartition("sid", "doc_id", "size", "block")
+    last = F.least(F.col("rows"), (F.col("block") + 1) * TOGETHER) - 1
+    return once.unionByName(more.withColumn("place", F.explode(F.sequence(F.col("block") * TOGETHER, last))).drop("block")).drop("rows")
+
+
+def _extra() -> Column:
+    """1 for what lies before the cut-off of its source; all of a source whose drawn documents together stay below it."""
+    before = (F.col("cell") < F.col("cut")) | ((F.col("cell") == F.col("cut")) & (F.col("p") <= F.coalesce(F.col("upto"), F.lit(-1.0))))
+    return F.when(F.col("p").isNull(), 0).when(F.col("cut").isNull() | before, 1).otherwise(0)
+
+
+def _cut_offs(drawn: DataFrame, folder: str, n_sources: int) -> DataFrame:
+    """sid, cut (the cell that reaches the missing words; null where none does), upto (the last p of that cell that still fits)."""
+    cells = drawn.groupBy("sid", "cell").agg(F.sum("size").alias("words"), F.sum(F.col("base") * F.col("size")).alias("sure"), F.max("target").alias("target"))
+    by_cell = Window.partitionBy("sid").orderBy(F.col("cell").asc_nulls_last())
+    missing = F.col("target") - F.sum("sure").over(Window.partitionBy("sid"))
+    reach = cells.withColumn("missing", missing).withColumn("words", F.when(F.col("cell").isNull(), 0).otherwise(F.col("words"))).withColumn("sofar", F.sum("words").over(by_cell)).withColumn("before", F.col("sofar") - F.col("words"))
+    reaches = F.when((F.col("sofar") >= F.col("missing")) & F.col("cell").isNotNull(), F.col("cell"))
+    cuts = reach.groupBy("sid").agg(F.max("missing").alias("missing"), F.min(reaches).alias("cut"), F.min_by("before", reaches).alias("passed"))
+    cuts = stored(drawn.sparkSession, cuts, folder, "cuts", n_sources)
+    order = Window.partitionBy("sid").orderBy("p").rangeBetween(Window.unboundedPreceding, 0)
+    edge = drawn.join(cuts, "sid").where("cell = cut").withColumn("fits", F.col("passed") + F.sum("size").over(order) <= F.col("missing"))
+    upto = edge.where("fits").groupBy("sid").agg(F.max("p").alias("upto"))
+    return stored(drawn.sparkSession, cuts.join(upto, "sid", "left"), folder, "cut-offs", n_sources)
+
+
+def _assign(docs: DataFrame, weights, share, limit) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row of docs as (sid, doc_id, size, place) with its copies; the sources; the sources' multipliers with cut-offs and filler."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     sized = stored(spark, _sized(docs), folder, "sized")
     aims = stored(spark, targets(sized, weights, share, limit).coalesce(1), folder, "targets")
     n_sources = aims.count()
     sid = aims.select(F.col("source").alias("__source"), "sid")
-    histogram = stored(spark, sized.join(sid, F.col("source").eqNullSafe(F.col("__source"))).groupBy("sid", "size").agg(F.count("*").alias("n")), folder, "histogram")
-    solution = multipliers(histogram, aims, folder, limit, n_sources=n_sources)
-    drawn = _drawn(sized, aims, solution, None, limit)
-    cells = drawn.groupBy("sid", "cell").agg(F.sum("size").alias("words"), F.sum(F.col("base") * F.col("size")).alias("sure"), F.max("target").alias("target"))
-    by_cell = Window.partitionBy("sid").orderBy(F.col("cell").asc_nulls_last())
-    missing = F.col("target") - F.sum("sure").over(Window.partitionBy("sid"))
-    reach = cells.withColumn("missing", missing).withColumn("words", F.when(F.col("cell").isNull(), 0).otherwise(F.col("words"))).withColumn("upto", F.sum("words").over(by_cell)).withColumn("before", F.col("upto") - F.col("words"))
-    # The first cell that reaches the missing words; null where all drawn documents together do not.
-    cuts = reach.groupBy("sid").agg(F.max("missing").alias("missing"), F.min(F.when((F.col("upto") >= F.col("missing")) & F.col("cell").isNotNull(), F.col("cell"))).alias("cut"), F.min_by("before", F.when((F.col("upto") >= F.col("missing")) & F.col("cell").isNotNull(), F.col("cell"))).alias("passed"))
-    cuts = stored(spark, cuts, folder, "cuts", n_sources)
-    fill = stored(spark, _filler(_drawn(sized, aims, solution, cuts, limit), folder), folder, "fill", n_sources)
-    rows = _drawn(sized if not more else _sized(docs, *more), aims, solution, cuts, limit)
-    return _decided(rows, fill).withColumn("copies", (F.col("base") + F.col("extra")).cast("int"))
-
-
-def _decided(rows: DataFrame, fill: DataFrame | None) -> DataFrame:
-    """extra: 1 for the rows before the cut-off, for those of its cell that still fit, and for the row that fills the rest."""
-    on_cut = F.coalesce(F.col("cell") == F.col("cut"), F.lit(False))
-    extra = F.when(F.col("p").isNull(), 0).when(F.col("cut").isNull() | (F.col("cell") < F.col("cut")), 1).otherwise(0)
-    plain = rows.where(~on_cut).withColumn("extra", extra)
-    order = Window.partitionBy("sid").orderBy("p", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where(on_cut).withColumn("extra", (F.col("passed") + F.sum("size").over(order) <= F.col("missing")).cast("int"))
-    both = plain.unionByName(edge)
-    if fill is None:
-        return both
-    chosen = both.join(fill, "sid", "left")
-    return chosen.withColumn("extra", F.when((F.col("extra") == 0) & F.coalesce((F.col("p") == F.col("fill.p")) & F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("size") == F.col("fill.size")), F.lit(False)), 1).otherwise(F.col("extra"))).drop("fill")
-
-
-def _filler(rows: DataFrame, folder: str) -> DataFrame:
-    """Per source the document left out whose size comes closest to the words still missing, if taking it comes nearer."""
-    decided = stored(rows.sparkSession, _decided(rows, None).select("sid", "doc_id", "size", "p", "extra", "missing"), folder, "decided")
+    groups = stored(spark, sized.join(sid, F.col("source").eqNullSafe(F.col("__source"))).groupBy("sid", "doc_id", "size").agg(F.count("*").alias("rows")), folder, "groups")
+    histogram = stored(spark, groups.groupBy("sid", "size").agg(F.sum("rows").alias("n")), folder, "histogram")
+    solution = stored(spark, multipliers(histogram, aims, folder, limit, n_sources=n_sources), folder, "solution", n_sources)
+    drawn = _drawn(_places(groups), solution, limit)
+    cuts = _cut_offs(drawn, folder, n_sources)
+    decided = stored(spark, drawn.join(cuts.select("sid", "cut", "upto", "missing"), "sid").withColumn("extra", _extra()), folder, "decided")
+    # Per source the document left out whose size comes closest to the words still missing, if taking it comes nearer.
     rest = decided.groupBy("sid").agg((F.max("missing") - F.sum(F.col("extra") * F.col("size"))).alias("rest"))
     left_out = decided.where("extra = 0 and p is not null").join(rest, "sid").where("abs(rest - size) < abs(rest)")
-    return left_out.groupBy("sid").agg(F.min_by(F.struct("doc_id", "size", "p"), F.struct(F.abs(F.col("rest") - F.col("size")), "p", "doc_id")).alias("fill"))
+    nearest = F.struct(F.abs(F.col("rest") - F.col("size")), "p", "doc_id", "size", "place")
+    fill = stored(spark, left_out.groupBy("sid").agg(F.min_by(F.struct("doc_id", "size", "place"), nearest).alias("fill")), folder, "fill", n_sources)
+    for old in ("sized", "histogram", "states", "cuts"):
+        remove_folder(spark, f"{folder}/{old}")
+    known = solution.join(cuts.select("sid", "cut", "upto"), "sid").join(fill, "sid", "left")
+    rows = _filled(decided.drop("cut", "upto", "missing").join(fill, "sid", "left"))
+    return rows, aims, known
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    """copies, from base and extra, with one more for the row that fills its source's rest."""
+    fills = F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("size") == F.col("fill.size")) & (F.col("place") == F.col("fill.place"))
+    extra = F.when(F.col("fill").isNotNull() & (F.col("extra") == 0) & F.coalesce(fills, F.lit(False)), 1).otherwise(F.col("extra"))
+    return rows.withColumn("copies", (F.col("base") + extra).cast("int")).drop("fill")
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, rate."""
-    return _assign(docs, weights, share, limit).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    return _assign(docs, weights, share, limit)[0].select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """The documents themselves, each as often as its copies say, with their own columns."""
+    """The documents themselves, each as often as its copies say, with their own columns.
+
+    Rows that are alone with their source, doc_id and size are decided where they lie. The copies of equal ones are dealt out
+    evenly over them, TOGETHER rows at a time (their sum is exact up to that many rows, and beyond within one a block)."""
+    rows, aims, known = _assign(docs, weights, share, limit)
+    spark = docs.sparkSession
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    rows = _assign(docs, weights, share, limit, whole).where("copies > 0")
-    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+    mine = _sized(docs, whole).join(aims.select(F.col("source").alias("__source"), "sid"), F.col("source").eqNullSafe(F.col("__source")))
+    mine = mine.select("__row", "sid", "doc_id", "size", F.lit(0).cast("long").alias("place"))
+    again = rows.where("place > 0").select("sid", "doc_id", "size").distinct()
+    again = stored(spark, rows.join(again.withColumnsRenamed({"sid": "i", "doc_id": "d", "size": "n"}), _same("i", "d", "n"), "left_semi").groupBy("sid", "doc_id", "size").agg(F.count("*").alias("m"), F.sum("copies").alias("all")).withColumnsRenamed({"sid": "i", "doc_id": "d", "size": "n"}), shared_folder(spark), "again")
+    n_again = again.count()
+    if n_again:
+        mine = mine.join(F.broadcast(again) if n_again <= BROADCAST_ROWS else again, _same("i", "d", "n"), "left")
+        block = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("m") / TOGETHER))
+        several = mine.where("m is not null").withColumn("block", block)
+        turn = F.row_number().over(Window.partitionBy("sid", "doc_id", "size", "block").orderBy(F.lit(0))).cast("decimal(20,0)")
+        upto = lambda r: F.floor(r * F.col("all") / F.col("m"))
+        several = several.withColumn("turn", turn).withColumn("copies", (upto(F.col("turn")) - upto(F.col("turn") - 1)).cast("int")).select("__row", "copies")
+        mine = mine.where("m is null").drop("i", "d", "n", "m", "all")
+    alone = _filled(_drawn(mine, known, limit).withColumn("extra", _extra())).select("__row", "copies")
+    both = (alone.unionByName(several) if n_again else alone).where("copies > 0")
+    return both.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
+
+
+def _same(sid: str, doc_id: str, size: str) -> Column:
+    return (F.col("sid") == F.col(sid)) & F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("size") == F.col(size))
 
 
 def query(spark, sf_dir):

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, v string, keep_id string, copies string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, v string, keep_id string, copies string, place string, `all` string, sid string, m string, __row string, __id string, __sha string, __gone string, __least string, __source string, fill string"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def make(spark):
     """Documents from (doc_id, text[, lang, source]) rows, with columns whose names clash with the operators' own."""
 
     def build(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None if r[1] is None else len(r[1]), "k", "z", "v", "x", "c") for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", None if r[1] is None else len(r[1]), "k", "z", "v", "x", "c", *"abcdefghijk") for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return build

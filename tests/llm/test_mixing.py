@@ -71,6 +71,35 @@ def test_edges(make):
     assert M.mix(make([(1, None), (2, "")])).count() == 2
 
 
+@pytest.mark.parametrize("ids", ["equal", "null", "distinct"])
+def test_repeated_rows_and_null_ids_are_drawn_each_for_itself(make, ids):
+    rows = [({"equal": 7, "null": None, "distinct": i}[ids], "w " * 100, "en", "b") for i in range(41)]
+    rows += [(1000 + i, "w " * (20 + i % 50), "en", "a") for i in range(60)]
+    docs = make(rows).repartition(5)
+    got = M.mix(docs).collect()
+    for size, target, taken in {(r["source_size"], r["target"], sum(x["taken"] for x in got if x["target"] == r["target"])) for r in got}:
+        assert abs(taken - target) <= 100, (size, target, taken)
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, M.mix(make(rows).repartition(2)).collect()))
+    words = sum(len(r["text"].split()) for r in M.mixture(docs).where("source = 'b'").collect())
+    assert words == sum(r["taken"] for r in got if r["source_size"] == 4100)
+
+
+def test_draw_by_brute_force(make):
+    """The rows taken once more are those of the smallest hash points whose words fit, and the one that fills the rest best."""
+    rows = [(i % 90 if i % 3 else None, "w " * (1 + i % 7), "en", f"s{i % 2}") for i in range(300)]
+    got = [r for r in M.mix(make(rows)).collect()]
+    by = {}
+    for r in got:
+        by.setdefault(r["target"], []).append(r)
+    for target, rs in by.items():
+        words = sum(r["copies"] * r["size"] for r in rs)
+        spare = [r["size"] for r in rs if r["copies"] < 1 + int(r["rate"]) and r["rate"] % 1 and r["size"]]
+        assert abs(target - words) <= min([abs(target - words - s) for s in spare], default=abs(target - words))
+        sure = {(r["doc_id"], r["size"]): int(r["rate"]) for r in rs}
+        assert all(sure[r["doc_id"], r["size"]] <= r["copies"] <= sure[r["doc_id"], r["size"]] + 1 for r in rs)
+
+
 def test_mixture_repeats_rows(make):
     docs = make(documents())
     copies = {r["doc_id"]: r["copies"] for r in M.mix(docs).collect()}
