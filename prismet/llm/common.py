@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary folder where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary folder in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="prismet-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/prismet-{uuid.uuid4().hex}"
@@ -44,7 +47,10 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """docs, with Arrow batches of its session bounded in bytes, so that workers hold a few megabytes of text at a time."""
+    """docs, with Arrow batches of its session bounded in bytes, so that workers hold a few megabytes of text at a time.
+
+    The bound is a setting of the session and is read when the rows run, so it cannot be put back here; it is set only
+    where the session has none, and README says so."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if docs.sparkSession.conf.get(name, None) is None:
         docs.sparkSession.conf.set(name, str(BATCH_BYTES))

@@ -1,7 +1,8 @@
 """Exact deduplication through an extendible-hash index kept in files of the shared folder.
 
-1. A histogram of key prefixes (64-bit text hash) gives the bytes below every prefix; the directory starts
-   with one bucket and doubles whenever an overfull bucket's local depth has reached the global depth.
+1. A histogram of the distinct keys' prefixes (64-bit text hash) gives the bytes below every prefix; where a cell of
+   it is overfull, the cell alone is counted again by longer prefixes. The directory starts with one bucket and
+   doubles whenever an overfull bucket's local depth has reached the global depth.
 2. Every task first folds equal texts of its own rows (so a group holding a third of all rows arrives at its
    owner as one row a task), then sends each distinct text to the task that owns its bucket.
 3. The owner reads its key range in hash order, chains texts whose hashes collide, compares their bytes, and
@@ -16,12 +17,13 @@ share one verdict, and drop_exact_duplicates() keeps one of them. Other columns
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_folder, slices, stored
+from .common import bounded, remove_folder, shared_folder, slices, stored
 
 CARRY_BYTES = 32 << 20
 
@@ -36,17 +38,24 @@ class Directory:
 
     @classmethod
     def build(cls, weights: dict[int, int], bits: int, capacity: int) -> "Directory":
-        """Split buckets that hold more than `capacity` until they fit or `bits` bits of the key are used."""
-        total = [0]
-        for cell in range(1 << bits):
-            total.append(total[-1] + weights.get(cell, 0))
+        """From the bytes of the cells of one histogram of `bits` bits."""
+        return cls.of_cells({(bits, cell): n for cell, n in weights.items()}, capacity)
+
+    @classmethod
+    def of_cells(cls, cells: dict[tuple[int, int], int], capacity: int) -> "Directory":
+        """Split buckets that hold more than `capacity` until they fit or are one cell; cells: bytes by (bits, prefix), disjoint."""
+        finest = max((bits for bits, _ in cells), default=0)
+        starts = sorted((prefix << (finest - bits), n) for (bits, prefix), n in cells.items())
+        at, total = [x for x, _ in starts], [0]
+        for _, n in starts:
+            total.append(total[-1] + n)
         out = cls()
         pending = [(0, 0)]  # prefix, local depth
         ids = {(0, 0): 0}
         while pending:
             prefix, depth = pending.pop()
-            lo, hi = prefix << (bits - depth), (prefix + 1) << (bits - depth)
-            if depth == bits or total[hi] - total[lo] <= capacity:
+            lo, hi = (bisect_left(at, x << (finest - depth)) for x in (prefix, prefix + 1))
+            if depth == finest or total[hi] - total[lo] <= capacity or any((d, prefix >> (depth - d)) in cells for d in range(depth + 1)):
                 continue
             if depth == out.depth:
                 out._double()
@@ -69,6 +78,33 @@ class Directory:
             self.entries[entry] = new
 
 
+#: Bits of the first histogram, and how many more an overfull cell is counted by each time.
+FIRST_BITS, MORE_BITS = 12, 4
+#: Buckets are made larger where the corpus would need more than so many; a bucket of 100 TB then has 1.5 GB.
+BUCKETS = 1 << 16
+
+
+def cells_of(keys: DataFrame, capacity: int, max_bits: int) -> dict[tuple[int, int], int]:
+    """Bytes by (bits, prefix) of the distinct keys (key, bytes): 2**FIRST_BITS cells, and those above `capacity` in finer ones.
+
+    The driver gets 2**FIRST_BITS rows, then 2**MORE_BITS for every overfull cell, of which there are at most total / capacity."""
+    bits = min(FIRST_BITS, max_bits)
+    prefix = lambda n: F.shiftrightunsigned("key", 64 - n)
+    cells = {(bits, r["cell"]): r["n"] for r in keys.groupBy(prefix(bits).alias("cell")).agg(F.sum("bytes").alias("n")).collect()}
+    while bits < max_bits:
+        over = [cell for (b, cell), n in cells.items() if b == bits and n > capacity]
+        if not over:
+            break
+        wide = keys.sparkSession.createDataFrame([(cell,) for cell in over], "cell long")
+        finer = min(max_bits, bits + MORE_BITS)
+        counted = keys.withColumn("cell", prefix(bits)).join(F.broadcast(wide), "cell").groupBy(prefix(finer).alias("cell")).agg(F.sum("bytes").alias("n")).collect()
+        for cell in over:
+            del cells[bits, cell]
+        cells |= {(finer, r["cell"]): r["n"] for r in counted}
+        bits = finer
+    return cells
+
+
 _FOLDED = pa.schema([("key", pa.int64()), ("text", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 _FOLDED_DDL = "key long, text binary, keep_id long, group_size long"
 
@@ -142,15 +178,17 @@ def _own(batches):
 
 
 def exact_dedup(docs: DataFrame, capacity_bytes: int = 24 << 20, max_bits: int = 20) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    A bucket holds `capacity_bytes`, or the corpus over BUCKETS where that is more; `max_bits` bounds the directory, which
+    is broadcast (2**20 entries of 12 bytes). Only texts whose keys agree in so many bits share a bucket above its capacity."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    fine = 12
-    cell = F.shiftrightunsigned("key", 64 - fine)
-    sizes = {r["cell"]: r["n"] for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 64).alias("n")).collect()}
-    bits = min(fine, max_bits)
-    directory = Directory.build(sizes, bits, max(capacity_bytes, sum(sizes.values()) >> (bits - 1)))
+    keys = stored(spark, rows.groupBy("key").agg(F.max(F.octet_length("text") + 64).alias("bytes")), folder, "keys")
+    capacity = max(capacity_bytes, (keys.agg(F.sum("bytes")).first()[0] or 0) // BUCKETS)
+    directory = Directory.of_cells(cells_of(keys, capacity, max_bits), capacity)
+    remove_folder(spark, f"{folder}/keys")
     entries = spark.createDataFrame(list(enumerate(directory.entries)), "entry long, bucket int")
     entry = F.shiftrightunsigned("key", 64 - directory.depth) if directory.depth else F.lit(0).cast("long")
     folded = rows.mapInArrow(_fold, _FOLDED_DDL).withColumn("entry", entry).join(F.broadcast(entries), "entry").drop("entry")
@@ -163,10 +201,10 @@ def exact_dedup(docs: DataFrame, capacity_bytes: int = 24 << 20, max_bits: int =
 
 def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that exact_dedup() keeps, one row each, with their own columns."""
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    joined = keyed.join(kept.withColumnRenamed("__sha", "__kept_sha"), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "sha"]).select("row.*")
 
 
 def query(spark, sf_dir):
