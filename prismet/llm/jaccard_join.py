@@ -533,27 +533,39 @@ def _verify(percent: int):
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """(v, c) for every vertex of the edges, c the smallest vertex of its component: by contracting the graph."""
+    """(v, c) for every vertex of the edges, c the smallest vertex of its component: by contracting the graph.
+
+    A turn writes two tables, where each vertex goes and the edges left; the turns are joined once at the end."""
     spark = edges.sparkSession
     rows = 2 * edges.count()  # no table here has more
     edges = stored(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, f"{name}-edges", rows)
-    ends = edges.select(F.col("a").alias("v")).union(edges.select(F.col("b").alias("v"))).distinct()
-    labels = stored(spark, ends.select("v", F.col("v").alias("c")), folder, f"{name}-labels", rows)
-    turn = 0
+    hooks = []
     while edges.limit(1).count():
-        turn += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
-        hook = stored(spark, hook, folder, f"{name}-hook{turn}", rows)
-        for jump in range(2):
+        for _ in range(2):
             on = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hook = stored(spark, hook.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to")), folder, f"{name}-hook{turn}-{jump}", rows)
-        moved = labels.join(hook.withColumnRenamed("a", "c"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-        labels = stored(spark, moved, folder, f"{name}-labels{turn}", rows)
+            hook = hook.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
+        hook = stored(spark, hook, folder, f"{name}-hook{len(hooks)}", rows)
+        hooks.append(hook)
         left = edges.join(hook.withColumnRenamed("to", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         left = left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = stored(spark, left, folder, f"{name}-edges{turn}", rows)
-    return labels
+        edges = stored(spark, left, folder, f"{name}-edges{len(hooks)}", rows)
+    if not hooks:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("c"))
+    labels = hooks[0].select(F.col("a").alias("v"), F.col("to").alias("c"))
+    for hook in hooks[1:]:
+        labels = labels.join(hook.withColumnRenamed("a", "c"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+    return stored(spark, labels, folder, f"{name}-labels", rows) if len(hooks) > 1 else labels
+
+
+def joined_labels(labels: DataFrame, more: DataFrame, folder: str, name: str) -> DataFrame:
+    """The labels after further edges: those are contracted between the components known so far."""
+    to = lambda end: labels.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
+    between = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between, folder, name)
+    moved = labels.join(merged.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+    return moved.union(merged.join(labels.select("v"), "v", "left_anti"))
 
 
 def _parts(spark, rows: int, each: int) -> int:
@@ -633,8 +645,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         one = one.join(one.groupBy("owner").agg(F.count("*").alias("rows"), F.sum("n").alias("sizes")), "owner")
         more = stored(spark, in_place(one), folder, "edges-1")
         if more.limit(1).count():
-            edges = edges.union(more)
-            labels = components(edges, folder, "round-1")
+            labels = stored(spark, joined_labels(labels, more, folder, "round-1"), folder, "labels-1", 2 * n_met)
     rest = stored(spark, unsettled(labels), folder, "unsettled", n_found)
     signed = rest.where(F.col("rows") <= PAIRED).drop("n").join(arrays.select("v", "n", "sig"), "v").repartition(F.col("owner")).sortWithinPartitions("owner")
     pairs = stored(spark, signed.mapInArrow(_small_groups(percent), _EDGE_DDL).distinct(), folder, "pairs")
@@ -642,7 +653,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     more = both.select("a", "b", "x", "y").mapInArrow(_verify(percent), _EDGE_DDL).union(in_place(rest.where(F.col("rows") > PAIRED)))
     more = stored(spark, more, folder, "edges-2")
     if more.limit(1).count():
-        labels = components(edges.union(more), folder, "round-2")
+        labels = stored(spark, joined_labels(labels, more, folder, "round-2"), folder, "labels-2", 2 * n_met)
+    for old in ("tiles-2", "joint", "unsettled", "arrays"):
+        remove_folder(spark, f"{folder}/{old}")
     # Components by document: only sets with copies or links need a look-up.
     members = named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = members.join(labels.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("least").alias("component"))
@@ -675,23 +688,24 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rows fold to one, save those without an id whose texts have no shingle."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     digest = F.xxhash64("text")
-    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(digest).alias("__least"))
-    repeated = stored(spark, texts.where("rows > 1").select(F.col("doc_id").alias("__id"), "__least"), folder, "repeated")
+    texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(digest).alias("least"))
+    repeated = stored(spark, texts.where("rows > 1").select(F.col("doc_id").alias("id"), "least"), folder, "repeated")
     n_repeated = repeated.count()
     hashed = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(1)), 2) + F.lit(1 << 62)
-    named = docs.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, F.col("doc_id") == F.col("__id"), "left")
-    named = named.withColumn("__row", F.when(F.col("doc_id").isNotNull() & (F.col("__id").isNull() | (F.col("__least") == digest)), F.col("doc_id").cast("long")).otherwise(hashed))
-    found = near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"), words, percent)
+    named = rows.join(F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated, F.col("doc_id") == F.col("id"), "left")
+    named = named.withColumn("name", F.when(F.col("doc_id").isNotNull() & (F.col("id").isNull() | (F.col("least") == digest)), F.col("doc_id")).otherwise(hashed))
+    found = near_duplicates(named.select(F.col("name").alias("doc_id"), "text"), words, percent)
     found = stored(spark, found.where("n_shingles = 0 or not doc_id <=> component_id"), folder, "found")
-    gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = named.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = named.join(gone, F.col("name") == F.col("gone"), "left_anti")
     if not n_repeated and not docs.where("doc_id is null").limit(1).count():
-        return left.select(*docs.columns)
-    bare = found.where("n_shingles = 0").select(F.col("doc_id").alias("__bare")).distinct()
-    odd = left.where("doc_id is null or __id is not null").join(bare, F.col("__row") == F.col("__bare"), "left")
-    odd = odd.withColumn("__copy", F.when(F.col("doc_id").isNull() & F.col("__bare").isNotNull(), F.monotonically_increasing_id()).otherwise(-1))
-    return left.where("doc_id is not null and __id is null").select(*docs.columns).union(odd.dropDuplicates(["__row", "__copy"]).select(*docs.columns))
+        return left.select("row.*")
+    bare = found.where("n_shingles = 0").select(F.col("doc_id").alias("bare")).distinct()
+    odd = left.where("doc_id is null or id is not null").join(bare, F.col("name") == F.col("bare"), "left")
+    odd = odd.withColumn("copy", F.when(F.col("doc_id").isNull() & F.col("bare").isNotNull(), F.monotonically_increasing_id()).otherwise(-1))
+    return left.where("doc_id is not null and id is null").select("row").union(odd.dropDuplicates(["name", "copy"]).select("row")).select("row.*")
 
 
 def query(spark, sf_dir):
