@@ -1,23 +1,29 @@
 """Secret scan: three fixed patterns, and guess costs of values in a credential's context.
 
 The patterns give the base spans. The method adds spans of kind `guess`: a value that follows a credential word
-and a sign of assignment is cut, by dynamic programming, into the segments that are cheapest to guess (common
-words, dates, repeats, keyboard walks, brute force for the rest); if even the cheapest cut takes 10**LIMIT
-guesses or more, the value is reported.
+and a sign of assignment is cut, by dynamic programming, into the segments that are cheapest to guess (words by their
+rank, dates, repeats, keyboard walks, references such as `${NAME}` or `process.env.NAME`, addresses of web pages,
+brute force for the rest); if even the cheapest cut takes 10**LIMIT guesses or more, and no base span covers the value,
+it is reported. Words are ranked by the number of documents that hold them, counted over the whole table (`ranked_words`);
+words that guessers try first come before them.
 
 Defined results: null text counts as empty (no spans, the digest of the empty string); positions are code points,
-ends exclusive; whole texts are read, whatever their length; repeated rows give repeated results; an empty table
-gives no rows. Other columns are ignored.
+ends exclusive; whole texts are read, whatever their length; repeated rows give repeated results; ties between cuts go
+to the one found first, and words of equal counts to the smaller one; an empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bounded, slices, table, texts_of
 
@@ -43,12 +49,19 @@ COMMON = (
     "michael robert daniel thomas andrew joshua jennifer jessica charlie hunter killer trust magic money soccer hockey"
 ).split()
 RANKS = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
+#: Words learned from a table at most, and the documents that must hold one; longer runs of letters are no words.
+WORDS, LEAST_DOCUMENTS, LONGEST_WORD = 50_000, 20, 24
 LEET = str.maketrans("013457@$!", "oleastasi")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+# What stands for a value that is kept elsewhere, and the address of a page (one with a password in it is cut behind the user's name).
+REFERENCE = re.compile(r"""\$\{?[A-Za-z_][A-Za-z0-9_.:-]*\}?|\{\{.*?\}\}|%[A-Za-z_]+%|<[A-Za-z_][A-Za-z0-9_ -]*>|(?:[A-Za-z_]+\.)+[A-Za-z_]+(?:[\[(]["']?[A-Za-z_]*["']?[\])])?(?=$|[^A-Za-z0-9])""")
+ADDRESS = re.compile(r"[a-z][a-z0-9+]{1,9}://(?:[^/\s:@]+:(?=[^/\s@]+@)|[^\s]*)")
+REFERENCE_COST, ADDRESS_COST = 2.0, 3.0
+#: Repeats are offered to every end up to so many characters, and beyond to the end of their run.
+NEAR = 64
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
 DATE_COST, YEAR_COST = math.log10(366 * 120), math.log10(120)
 SEGMENT_COST = 0.3
-LONGEST_WORD = max(map(len, COMMON))
 
 
 def brute_costs(value: str) -> list[float]:
@@ -92,47 +105,56 @@ def walk_end(value: str, start: int) -> tuple[int, int]:
     return (j - 1, turns - 1) if turns and first == j - 1 else (j, turns)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses for the cheapest segmentation, and its segments (start, end, kind)."""
+def word_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """log10 of the guesses for a word, written plainly or with digits and signs for letters."""
+    lower = part.lower()
+    rank = ranks.get(lower)
+    plain = rank or ranks.get(lower.translate(LEET))
+    return None if plain is None else math.log10(plain + 1) + 0.3 * (part != lower) + 0.3 * (rank is None)
+
+
+def segments_of(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float, str]]]:
+    """By end: start, cost and kind of every segment but those of brute force."""
     n = len(value)
     brute = brute_costs(value)
+    total = [0.0, *itertools.accumulate(brute)]
     lower = value.lower()
-    plain = lower.translate(LEET)
-    ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]  # by end: start, cost, kind
+    ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
     for i in range(n):
         for j in range(i + 2, min(n, i + LONGEST_WORD) + 1):
-            rank = RANKS.get(lower[i:j]) or RANKS.get(plain[i:j])
-            if rank:
-                ends[j].append((i, math.log10(rank + 1) + 0.3 * (value[i:j] != lower[i:j]) + 0.3 * (lower[i:j] not in RANKS), "word"))
-    for i in range(n):
-        m = DATE.match(value, i)
-        if m:
-            ends[m.end()].append((i, DATE_COST if m.end() - i > 4 else YEAR_COST, "date"))
-    i = 0
-    while i < n:  # runs of one character
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            ends[j].append((i, brute[i] + math.log10(j - i), "repeat"))
-        i = j
-    for unit in range(2, 9):  # runs of a longer unit
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
+            cost = word_cost(value[i:j], ranks)
+            if cost is not None:
+                ends[j].append((i, cost, "word"))
+        for length in (4, 6, 8, 10):
+            if DATE.fullmatch(value, i, i + length) and i + length <= n:
+                ends[i + length].append((i, DATE_COST if length > 4 else YEAR_COST, "date"))
+        for unit in range(1, min(8, n - i) + 1):
+            least, j = max(3, 2 * unit), i + unit
             while j < n and value[j] == value[j - unit]:
                 j += 1
-            if j - i >= 2 * unit:
-                ends[j].append((i, sum(brute[i : i + unit]) + math.log10((j - i) / unit), "repeat"))
-                i = j - unit + 1
-            else:
-                i += 1
-    i = 0
-    while i < n - 1:
-        j, turns = walk_end(lower, i)
-        if j - i >= 3:
-            ends[j].append((i, 1.6 + math.log10(j - i) + 0.3 * turns, "walk"))
-        i = max(i + 1, j - 1)
+                if i + least <= j <= i + NEAR:
+                    ends[j].append((i, total[i + unit] - total[i] + math.log10((j - i) / unit), "repeat"))
+                elif j > i + NEAR and i and value[i - 1] == value[i - 1 + unit]:
+                    break  # a long run is offered whole from its first character
+            if j > i + NEAR:
+                ends[j].append((i, total[i + unit] - total[i] + math.log10((j - i) / unit), "repeat"))
+        far, _ = walk_end(lower, i)
+        for j in range(i + 3, far + 1):
+            end, turns = walk_end(lower[:j], i)
+            if end == j:
+                ends[j].append((i, 1.6 + math.log10(j - i) + 0.3 * turns, "walk"))
+        for pattern, cost, kind in ((REFERENCE, REFERENCE_COST, "reference"), (ADDRESS, ADDRESS_COST, "address")):
+            m = pattern.match(value, i) if i == 0 or not value[i - 1].isalnum() else None
+            if m:
+                ends[m.end()].append((i, cost, kind))
+    return ends
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+    """log10 of the guesses for the cheapest segmentation, and its segments (start, end, kind)."""
+    n = len(value)
+    brute = brute_costs(value)
+    ends = segments_of(value, RANKS if ranks is None else ranks)
     best = [0.0] + [math.inf] * n
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     for j in range(1, n + 1):
@@ -152,6 +174,43 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n], segments[::-1]
 
 
+# --- ranked words
+
+_LETTERS = re.compile(rf"[a-z]{{3,{LONGEST_WORD}}}(?![a-z])")
+
+
+def _counted(most: int = 200_000):
+    """Per task the words of its documents with the number of documents that hold each, `most` words at a time."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def out(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+    def task(batches):
+        counts: Counter = Counter()
+        for batch in slices(batches):
+            for text in texts_of(batch):
+                counts.update(set(_LETTERS.findall(text.lower())))
+                if len(counts) > most:
+                    yield out(counts)
+                    counts.clear()
+        if counts:
+            yield out(counts)
+
+    return task
+
+
+def ranked_words(docs: DataFrame, words: int = WORDS, least: int = LEAST_DOCUMENTS) -> dict[str, int]:
+    """Rank by word: those that guessers try first, then the `words` that most documents hold, `least` at least.
+
+    Every document is counted; the driver gets `words` rows at most."""
+    counted = bounded(docs).select("text").mapInArrow(_counted(), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = dict(RANKS)
+    for r in counted.orderBy(F.desc("n"), "word").limit(words).collect():
+        out.setdefault(r["word"], len(out) + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of the fixed patterns."""
     out = []
@@ -166,12 +225,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str, limit: float = LIMIT) -> list[tuple[int, int, int]]:
+def guessed_spans(text: str, limit: float = LIMIT, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of credential values that are dear to guess."""
     lower = text.lower()
     if not any(s in lower for s in STEMS):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1])[0] >= limit]
+    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks)[0] >= limit]
+
+
+def uncovered(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that no base span holds whole."""
+    return [s for s in more if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -182,14 +246,17 @@ _DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 strin
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_guess", pa.int64())])
 
 
-def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """One row per document with its secrets."""
+def scan(docs: DataFrame, limit: float = LIMIT, ranks: dict[str, int] | None = None) -> DataFrame:
+    """One row per document with its secrets; ranks: those of ranked_words(docs) unless others are given."""
+    shipped = docs.sparkSession.sparkContext.broadcast(ranked_words(docs) if ranks is None else ranks)
 
     def task(batches):
+        own = shipped.value
         for batch in slices(batches):
             rows = []
             for text in texts_of(batch):
-                base, more = base_spans(text), guessed_spans(text, limit)
+                base = base_spans(text)
+                more = uncovered(guessed_spans(text, limit, own), base)
                 counts = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)), len(more)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
