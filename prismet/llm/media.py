@@ -99,12 +99,12 @@ def store(docs: DataFrame) -> DataFrame:
     return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, "doc_id long, n_bytes long, media binary")
 
 
-_READ_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fp_time array<int>, fp_code array<int>"
-_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("fp_time", pa.list_(pa.int32())), ("fp_code", pa.list_(pa.int32()))])
+_READ_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, fp_time array<int>, fp_code array<int>, media binary"
+_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("fp_time", pa.list_(pa.int32())), ("fp_code", pa.list_(pa.int32())), ("media", pa.binary())])
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """What the stored media bytes hold: payload figures and time-coded fingerprint arrays."""
+    """What the stored media bytes hold: payload figures and time-coded fingerprint arrays, beside the media column itself."""
 
     def task(batches):
         for batch in slices(batches, column="media"):
@@ -114,7 +114,7 @@ def read_back(stored: DataFrame) -> DataFrame:
                 times, codes = fingerprint(np.frombuffer(payload, np.uint8))
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), times, codes))
             columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, f.type) for c, f in zip(columns, list(_READ)[2:], strict=True))], schema=_READ)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, f.type) for c, f in zip(columns, list(_READ)[2:-1], strict=True)), batch.column("media")], schema=_READ)
 
     return bounded(stored).select("doc_id", "n_bytes", "media").mapInArrow(task, _READ_DDL)
 
@@ -122,4 +122,4 @@ def read_back(stored: DataFrame) -> DataFrame:
 def query(spark, sf_dir):
     read = read_back(store(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.size("fp_time").cast("string"), F.lower(F.hex(F.xxhash64("fp_time", "fp_code"))))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "fp_time", "fp_code", "media")
