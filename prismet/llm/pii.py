@@ -2,8 +2,10 @@
 
 The patterns give the base spans. The tagger is a bidirectional LSTM over one-hot characters with a CRF on top,
 written in numpy and trained from labelled spans (by default from generated lines whose spans are known by
-construction; train() takes any labelled lines). Every kind that it knows holds a digit or an @, so it reads
-all stretches of a text around such characters, in windows of T characters that overlap by half. Each window is
+construction; train() takes any labelled lines). Every kind that it knows must hold a digit or an @ (passes() says so),
+so a value lies in the words that hold one or in digits a few characters apart. The tagger therefore reads every word
+with a digit or an @ from end to end, with CONTEXT characters on both sides, in windows of T characters that overlap by
+half; what it does not read cannot be part of a value that it may report. Each window is
 decoded by Viterbi; a span that touches a window's edge inside the text is left to the neighbour, or else read again
 in ever larger windows around it until it is whole, so spans may have any length; then the spans of all
 windows of a document are reconciled at once: equal spans add up their weights and the set of disjoint spans of
@@ -88,6 +90,8 @@ def generated_lines(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, i
     rng = np.random.default_rng(seed)
     parts = "an en er in re on ti es st th nd le la de el os ue ie ch ge un be ur ma po si to ca vi lo".split()
 
+    accents = "äöüßéèáíóñçøåœжцйλ你好한"
+
     def number(k: int, first: str = "0123456789") -> str:
         return "".join([first[rng.integers(len(first))], *(str(x) for x in rng.integers(0, 10, k - 1))]) if k else ""
 
@@ -95,6 +99,9 @@ def generated_lines(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, i
         w = "".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 5)))
         return w.capitalize() if rng.random() < 0.2 else w
 
+    def accented(w: str) -> str:
+        return "".join(accents[rng.integers(len(accents))] if c in "aeiouncs" and rng.random() < 0.3 else c for c in w)
+
     def card() -> str:
         body = number(int(rng.integers(13, 19)), "3456")
         d = next(body + c for c in "0123456789" if luhn(body + c))
@@ -106,8 +113,9 @@ def generated_lines(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, i
         return "".join(number(1) if c == "#" else c for c in forms[rng.integers(len(forms))])
 
     def email() -> str:
-        local = word().lower() + ("", "." + word().lower(), str(rng.integers(100)), "_" + word().lower(), "." + str(rng.integers(100)))[rng.integers(5)]
-        return local + "@" + word().lower() + ("", str(rng.integers(10)))[rng.integers(2)] + (".example.com", ".org", ".net", ".example", ".co.uk", ".de", ".fr")[rng.integers(7)]
+        w = word if rng.random() < 0.6 else lambda: accented(word() + (word() if rng.random() < 0.5 else ""))
+        local = w().lower() + ("", "." + word().lower(), str(rng.integers(100)), "_" + word().lower(), "." + str(rng.integers(100)))[rng.integers(5)]
+        return local + "@" + w().lower() + ("", str(rng.integers(10)))[rng.integers(2)] + (".example.com", ".org", ".net", ".example", ".co.uk", ".de", ".fr")[rng.integers(7)]
 
     def ident() -> str:
         return (f"{number(3)}-{number(2)}-{number(4)}", "".join(("DE", "FR", "ES", "GB")[rng.integers(4)] + number(2) + " " + " ".join(number(4) for _ in range(4)) + " " + number(2)))[rng.integers(2)]
@@ -151,11 +159,6 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lse(x, axis):
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 class Tagger:
     """BiLSTM-CRF over windows of T characters."""
 
@@ -196,7 +199,7 @@ class Tagger:
     def _back(self, ids, d, grad, kept):
         h = self.hidden
         w = self.p["h" + d]
-        gx, gw = np.zeros_like(self.p["x" + d]), np.zeros_like(w)
+        gw, whole = np.zeros_like(w), []
         dh = np.zeros_like(grad[0])
         dc = np.zeros_like(dh)
         for t in range(len(ids) - 1, -1, -1):
@@ -205,11 +208,15 @@ class Tagger:
             dc = dc + dh * s[:, 2 * h :] * (1 - tc * tc)
             i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
             dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(gx, ids[t], dz)
+            whole.append(dz)
             gw += state.T @ dz
             dh = dz @ w.T
             dc = dc * f
-        return gx, gw
+        # Sums by character in one product with its one-hot rows.
+        flat, dz = ids[::-1].reshape(-1), np.concatenate(whole)
+        one = np.zeros((len(self.p["x" + d]), len(flat)), dz.dtype)
+        one[flat, np.arange(len(flat))] = 1
+        return one @ dz, gw
 
     def emissions(self, ids: np.ndarray, keep: bool = False):
         """ids (B, T) to scores (T, B, TAGS)."""
@@ -223,25 +230,25 @@ class Tagger:
     def gradients(self, ids: np.ndarray, tags: np.ndarray):
         """Mean negative log-likelihood of the tags (B, T), and its gradients."""
         scores, states, ka, kb = self.emissions(ids, keep=True)
-        trans = self.p["trans"].astype(float)
         n, batch = len(scores), ids.shape[0]
         e = scores.astype(float)
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, n):
-            alpha[t] = e[t] + _lse(alpha[t - 1][:, :, None] + trans[None], 1)
+        # Forward and backward sums as products, each step scaled to add up to 1.
+        step, high = np.exp(self.p["trans"].astype(float)), e.max(axis=2, keepdims=True)
+        local = np.exp(e - high)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((n, batch, 1))
+        for t in range(n):
+            alpha[t] = local[t] * (alpha[t - 1] @ step if t else 1.0)
+            scale[t] = alpha[t].sum(axis=1, keepdims=True)
+            alpha[t] /= scale[t]
         for t in range(n - 2, -1, -1):
-            beta[t] = _lse(trans[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = _lse(alpha[-1], 1)
-        marginals = np.exp(alpha + beta - z[None, :, None])
+            beta[t] = ((local[t + 1] * beta[t + 1]) @ step.T) / scale[t + 1]
         gold = tags.T
         rows = np.arange(batch)
-        loss = z.sum() - e[np.arange(n)[:, None], rows[None], gold].sum() - trans[gold[:-1], gold[1:]].sum()
-        demission = marginals
+        trans = self.p["trans"].astype(float)
+        loss = np.log(scale).sum() + high.sum() - e[np.arange(n)[:, None], rows[None], gold].sum() - trans[gold[:-1], gold[1:]].sum()
+        demission = alpha * beta
         demission[np.arange(n)[:, None], rows[None], gold] -= 1
-        dtrans = np.zeros_like(trans)
-        for t in range(1, n):
-            dtrans += np.exp(alpha[t - 1][:, :, None] + trans[None] + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
+        dtrans = step * np.einsum("tbi,tbj->ij", alpha[:-1], local[1:] * beta[1:] / scale[1:], optimize=True)
         np.add.at(dtrans, (gold[:-1], gold[1:]), -1)
         de = (demission / batch).astype(np.float32)
         flat = states.reshape(-1, states.shape[2])
@@ -315,13 +322,14 @@ def default_tagger() -> Tagger:
 # --- windows and reconciling
 
 TRIGGER = re.compile(r"[0-9@]")
+MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text that can hold personal data: around every digit and @."""
+    """The parts of a text that can hold personal data: whole words with a digit or an @, and what lies around them."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.start() + CONTEXT + 1)
+    for m in MARKED.finditer(text):
+        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:

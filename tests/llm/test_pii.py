@@ -119,3 +119,21 @@ def test_a_cut_value_is_read_again_in_few_rounds():
     text = "ü" * 20_000 + "@" + "ü" * 20_000 + ".ü"
     assert pii.tagged_spans([text], Counting()) == [[(0, 0, len(text))]]
     assert len(rounds) < 15 and sum(rounds) < 12 * len(text)
+
+
+def test_long_addresses_with_other_letters_are_found_whole():
+    model = pii.default_tagger()
+    for address in ("müllerlüdenscheidtgesellschaft.annemarie@büro.example", "jörgfriedrichwilhelmaugust.schmidtbauer@büro.example", "zoé.lefèvre@société.fr"):
+        text = f"Please write to {address} before the end of the month."
+        spans = pii.added(text, pii.base_spans(text), pii.tagged_spans([text], model)[0])
+        assert [(text[a:b], pii.KINDS[k]) for a, k, b in spans] == [(address, "email")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab@. 15ü\n-", max_size=200))
+def test_stretches_hold_whole_marked_words(text):
+    parts = pii.stretches(text)
+    for m in re.finditer(r"\S+", text):
+        if re.search("[0-9@]", m[0]):
+            assert any(a <= max(0, m.start() - pii.CONTEXT) and min(len(text), m.end() + pii.CONTEXT) <= b for a, b in parts)
+    assert all(b < c for (_, b), (c, _) in zip(parts, parts[1:], strict=False))
