@@ -262,9 +262,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, c
         for batch in slices(batches, keep="packing"):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                for doc, start, ids, total in cut_whole(doc_id, words.encode(text) + closing, capacity):
-                    rows.append((doc, start, total, 2 if narrow else 4, np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+                rows += cut_whole(doc_id, words.encode(text) + closing, capacity)
+            docs, starts, parts, totals = zip(*rows, strict=True)
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            width = 2 if narrow else 4
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32) // (4 // width)
+            column = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array([width] * len(parts), pa.int32()), column], schema=_PIECES)
 
     return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _PIECES_DDL)
 
@@ -281,10 +285,12 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             return batch
 
         for batch in slices(batches, column="ids", keep="packing"):
-            for doc_id, start, total, width, ids in zip(*(batch.column(c).to_pylist() for c in _PIECES.names), strict=True):
-                if width == 2:
-                    ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                packer.put((doc_id, start, ids, total), len(ids) // 4)
+            width, column = batch.column("width")[0].as_py(), batch.column("ids")
+            ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+            ids = np.frombuffer(column.buffers()[2], f"<u{width}", (ends[-1] - ends[0]) // width, ends[0]).astype("<u4").tobytes()
+            at = ((ends - ends[0]) * (4 // width)).tolist()
+            for doc_id, start, total, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), at, at[1:], strict=False):
+                packer.put((doc_id, start, ids[a:b], total), (b - a) // 4)
             if packer.rows:
                 yield out()
         packer.drain()
