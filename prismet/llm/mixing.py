@@ -155,7 +155,7 @@ def _assign(docs: DataFrame, weights, share, limit) -> tuple[DataFrame, DataFram
     fill = stored(spark, left_out.groupBy("sid").agg(F.min_by(F.struct("doc_id", "size", "place"), nearest).alias("fill")), folder, "fill", n_sources)
     for old in ("sized", "histogram", "states", "cuts"):
         remove_folder(spark, f"{folder}/{old}")
-    known = solution.join(cuts.select("sid", "cut", "upto"), "sid").join(fill, "sid", "left")
+    known = stored(spark, solution.join(cuts.select("sid", "cut", "upto"), "sid").join(fill, "sid", "left"), folder, "known", n_sources)
     rows = _filled(decided.drop("cut", "upto", "missing").join(fill, "sid", "left"))
     return rows, aims, known
 
