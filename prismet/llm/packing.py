@@ -57,11 +57,12 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            if len(key) > 64:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -74,7 +75,7 @@ class WordEncoder:
     the whole tokenizer.
     """
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -85,16 +86,18 @@ class WordEncoder:
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.bytes = byte_alphabet()
         self.words = Recent(self._word, self.LIMIT)
-        self.pieces = Recent(self._piece, self.LIMIT)
 
     def _word(self, word: str) -> bytes:
+        """Words and the pieces that they are cut into share the cache."""
         if not word:
             return b""
         if word.isascii() or max(word) <= "\xff":
-            if word.isalpha():
-                return self.pieces[word.lower()]
+            low = word.lower()
+            if low.isalpha():
+                return self._piece(low) if low == word else self.words[low]
             if "<|" not in word:
-                return b"".join([self.pieces[p] for p in self.find(word.lower())])
+                pieces = self.find(low)
+                return self._piece(low) if pieces == [word] else b"".join([self.words[p] for p in pieces])
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
