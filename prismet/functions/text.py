@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,16 +87,24 @@ def concept_list(names: Column) -> Column:
 
 
 def fixed3(x: Column) -> Column:
-    """A value from 0 to below 8 with three decimals, rounded on the exact binary value, ties to even.
-
-    (Formatting functions of the JVM round the shortest decimal form instead: 0.2455 is a little less than it looks.)"""
-    exact = lambda power, small: F.when(x < 2.0**-7, F.lit(str(small))).otherwise(F.lit(str(power))).cast("decimal(21,0)")
-    units = F.when(x < 2.0**-7, x * float(1 << 66)).otherwise(x * float(1 << 60)).cast("long").cast("decimal(20,0)")
-    whole = exact(1 << 61, 1 << 67)
-    doubled = (units * F.lit(2000).cast("decimal(4,0)") + exact(1 << 60, 1 << 66)).cast("decimal(30,0)")
+    """A value with three decimals, rounded on the exact binary value, ties to even; nan and inf by these names.
+
+    (Formatting functions of the JVM round the shortest decimal form instead: 0.2455 is a little less than it looks.)
+    The value times a power of two is a whole number: its 53 bits fit a long in every tier of sizes, the smallest tier
+    (below 2**-7, far below half a thousandth's last place) rounds beyond 2**-66."""
+    size = F.abs(x)
+    tiers = [(2.0**-7, 66), (2.0**3, 60), *((2.0 ** (13 + 10 * i), 49 - 10 * i) for i in range(4))]  # up to 2**43 and scale 2**19
+    by_tier = lambda of: functools.reduce(lambda rest, t: F.when(size < t[0], of(t[1])).otherwise(rest), reversed(tiers), F.lit(None))
+    units = by_tier(lambda power: (size * float(1 << power)).cast("long").cast("decimal(20,0)"))
+    half, whole = (by_tier(lambda power, up=up: F.lit(str(1 << (power + up))).cast("decimal(21,0)")) for up in (0, 1))
+    doubled = (units * F.lit(2000).cast("decimal(4,0)") + half).cast("decimal(30,0)")
     n = F.call_function("div", doubled, whole)
     n = F.when((doubled % whole == 0) & (n % 2 == 1), n - 1).otherwise(n)
-    return F.concat(F.call_function("div", n, F.lit(1000)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    small = F.concat(F.call_function("div", n, F.lit(1000)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    # From 2**43 on a double has at most nine binary places, which a decimal holds exactly.
+    large = F.bround(size.cast("decimal(38,9)"), 3).cast("decimal(38,3)").cast("string")
+    text = F.when(size < 2.0**43, small).when(size < 1e28, large).otherwise(size.cast("string"))
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
 
 
 def pseudo_report(concepts: Column) -> Column:

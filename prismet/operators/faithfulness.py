@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from prismet.operators.graph import kept, ranked
 
 
 def prevalent(image_labels: DataFrame, least: int) -> DataFrame:
@@ -38,22 +37,42 @@ def best_label(correlations: DataFrame) -> DataFrame:
     return correlations.withColumn("abs_r", size).withColumn("__k", F.row_number().over(order)).where("__k = 1").select("feature_id", "abs_r", "label")
 
 
-@F.pandas_udf(DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc)
-
-
 def normal_p(r: Column, n: int) -> Column:
-    """Two-sided p of a correlation over n rows under the normal law."""
-    return erfc(r * math.sqrt(n) / math.sqrt(2.0))
+    """Two-sided p of a correlation over n rows under the normal law: erfc(|r| sqrt(n / 2)), in the JVM.
+
+    For small arguments the series of erf is summed, elsewhere the continued fraction of erfc; both to about 1e-12."""
+    x = F.abs(r) * math.sqrt(n / 2.0)
+    x2 = x * x
+    # erf(x) = 2/sqrt(pi) exp(-x^2) sum 2^k x^(2k+1) / (2k+1)!!, by Horner's rule
+    inner = F.lit(1.0)
+    for k in range(60, 0, -1):
+        inner = 1.0 + inner * (2.0 * x2 / (2 * k + 1))
+    small = 1.0 - 2.0 / math.sqrt(math.pi) * x * F.exp(-x2) * inner
+    tail = beyond = F.greatest(x, F.lit(2.5))
+    for k in range(60, 0, -1):
+        tail = beyond + (k / 2.0) / tail
+    large = F.exp(-x2) / (math.sqrt(math.pi) * tail)
+    return F.when(x < 2.5, small).otherwise(large)
 
 
 def bh_fdr(df: DataFrame, p: str, *keys: str) -> DataFrame:
-    """q: p n / rank, the least of all larger ranks, at most 1. keys order equal p."""
-    n = df.agg(F.count("*").alias("__n"))
-    ranked = df.crossJoin(F.broadcast(n)).withColumn("__r", F.row_number().over(Window.orderBy(p, *keys)))
-    tail = Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(tail))).drop("__n", "__r")
+    """q: p n / rank, the least of all larger ranks, at most 1. keys order equal p.
+
+    Ranges of p are ranked apart (ranked()); the least of all later ranges is one number a range."""
+    order = [F.col(p), *map(F.col, keys)]
+    n = df.count()
+    if not n:
+        return df.withColumn("q", F.lit(None).cast("double"))
+    scaled = ranked(df, min(512, 1 + n // 10_000), *order).withColumn("__s", F.col(p) * n / F.col("__r"))
+    least = sorted(((r["__cell"], r["s"]) for r in scaled.groupBy("__cell").agg(F.min("__s").alias("s")).collect()), reverse=True)
+    after, low = [], math.inf
+    for cell, s in least:
+        after.append((cell, low))
+        low = min(low, s)
+    later = df.sparkSession.createDataFrame(after, "__cell int, __later double")
+    tail = Window.partitionBy("__cell").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+    done = scaled.join(F.broadcast(later), "__cell").withColumn("q", F.least(F.lit(1.0), F.col("__later"), F.min("__s").over(tail)))
+    return done.drop("__r", "__s", "__cell", "__later")
 
 
 def percentile95(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -64,32 +83,41 @@ def top_faithful(best: DataFrame, n: int = 10) -> DataFrame:
     return best.orderBy(F.desc("abs_r"), "feature_id").limit(n)
 
 
-def shuffle_null(activations: DataFrame, image_labels: DataFrame, images: list[int], n_perm: int = 200, seed: int = 0) -> DataFrame:
-    """feature_id, perm, max_r: the largest absolute correlation after shuffling label rows over the images.
+def shuffle_null(activations: DataFrame, image_labels: DataFrame, images, n_perm: int = 200, seed: int = 0) -> DataFrame:
+    """feature_id, perm, max_r: the largest absolute correlation after shuffling label rows over the images (image_id, a table or a list).
 
-    Features are spread over tasks; the label matrix (images x prevalent labels) is broadcast as the test set's."""
+    Images get places 0 to n - 1 in the order of a hash; permutation p moves the labels of place k to place a k + b
+    modulo n (a prime to n, a and b drawn by p), one of a group of permutations, as such a test needs. Labels and
+    activations meet as sparse rows, and nothing dense is built or sent to the driver. A label that meets no
+    activation of a feature correlates by its prevalence alone; the most prevalent of those stands for all."""
     spark = activations.sparkSession
-    place = {i: k for k, i in enumerate(sorted(images))}
-    t = image_labels.distinct().toArrow()
-    names = sorted(set(t.column("label").to_pylist()))
-    y = np.zeros((len(place), len(names)))
-    for i, label in zip(t.column("image_id").to_pylist(), t.column("label").to_pylist(), strict=True):
-        if i in place:
-            y[place[i], names.index(label)] = 1
-    sd = y.std(0)
-    shipped = spark.sparkContext.broadcast((place, (y - y.mean(0)) / np.where(sd == 0, 1, sd)))
-    schema = pa.schema([("feature_id", pa.int64()), ("perm", pa.int64()), ("max_r", pa.float64())])
-
-    def run(t: pa.Table) -> pa.Table:
-        at, z = shipped.value
-        a = np.zeros(len(at))
-        for i, v in zip(t.column("image_id").to_pylist(), t.column("activation").to_pylist(), strict=True):
-            if i in at:
-                a[at[i]] = v
-        s = a.std()
-        a = (a - a.mean()) / (s if s else 1)
-        out = [float(np.abs(a @ z[np.random.default_rng([seed, p]).permutation(len(a))] / len(a)).max()) if z.shape[1] else 0.0 for p in range(n_perm)]
-        f = t.column("feature_id")[0].as_py()
-        return pa.table([pa.array([f] * n_perm, pa.int64()), pa.array(range(n_perm), pa.int64()), pa.array(out)], schema=schema)
-
-    return activations.select(F.col("image_id").cast("long").alias("image_id"), F.col("feature_id").cast("long").alias("feature_id"), "activation").groupBy("feature_id").applyInArrow(run, "feature_id long, perm long, max_r double")
+    ids = (images if isinstance(images, DataFrame) else spark.createDataFrame([(i,) for i in images], "image_id long")).select("image_id").distinct()
+    n = ids.count()
+    places = ranked(ids, min(512, 1 + n // 10_000), F.xxhash64("image_id", F.lit(seed)), F.col("image_id")).select("image_id", (F.col("__r") - 1).alias("place"))
+    places = kept(places)
+    acts = kept(activations.join(places, "image_id").select(F.col("feature_id").cast("long").alias("feature_id"), "place", "activation"))
+    marks = kept(image_labels.select("image_id", "label").distinct().join(places, "image_id").select("label", "place"))
+    turns = F.array(*[F.struct(F.lit(p).cast("long").alias("perm"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for p, a, b in _moves(n, n_perm, seed)])
+    moved = marks.withColumn("t", F.explode(turns)).select("label", "t.perm", F.pmod(F.col("place") * F.col("t.a") + F.col("t.b"), F.lit(n)).alias("place"))
+    deviation = lambda total, squares: F.sqrt(F.greatest(squares / n - (total / n) ** 2, F.lit(0.0)))
+    feature = acts.groupBy("feature_id").agg(F.sum("activation").alias("sa"), F.sum(F.col("activation") ** 2).alias("saa")).select("feature_id", "sa", deviation(F.col("sa"), F.col("saa")).alias("da"))
+    label = marks.groupBy("label").agg(F.count("*").alias("sy")).select("label", "sy", deviation(F.col("sy"), F.col("sy")).alias("dy"))
+    joint = acts.join(moved, "place").groupBy("feature_id", "perm", "label").agg(F.sum("activation").alias("say")).join(label, "label").join(feature, "feature_id")
+    size = F.abs(F.col("say") / n - F.col("sa") / n * F.col("sy") / n)
+    r = F.when(F.col("da") * F.col("dy") > 1e-15, size / (F.col("da") * F.col("dy"))).otherwise(0.0)
+    seen = joint.groupBy("feature_id", "perm").agg(F.max(r).alias("best"), F.collect_set("label").alias("met"))
+    ratio = F.when(F.col("dy") > 1e-15, F.col("sy") / n / F.col("dy")).otherwise(0.0)
+    every = label.agg(F.array_sort(F.collect_list(F.struct((-ratio).alias("minus"), "label"))).alias("labels"))
+    rows = feature.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)).cast("array<long>"))).join(seen, ["feature_id", "perm"], "left").crossJoin(F.broadcast(every))  # one row
+    unmet = F.when(F.col("da") > 1e-15, F.col("sa") / n / F.col("da") * -F.try_element_at(F.filter("labels", lambda x: ~F.array_contains(F.coalesce("met", F.array().cast("array<string>")), x["label"])), F.lit(1))["minus"])
+    return rows.select("feature_id", "perm", F.greatest(F.coalesce("best", F.lit(0.0)), F.coalesce(unmet, F.lit(0.0))).alias("max_r"))
+
+
+def _moves(n: int, n_perm: int, seed: int) -> list[tuple[int, int, int]]:
+    """(perm, a, b) with a prime to n, so that k -> a k + b modulo n is a permutation."""
+    out = []
+    for p in range(n_perm):
+        rng = np.random.default_rng([seed, p])
+        a = next(int(x) for x in iter(lambda: rng.integers(1, max(2, min(n, 1 << 31))), None) if math.gcd(int(x), max(1, n)) == 1)
+        out.append((p, a, int(rng.integers(0, max(1, n)))))
+    return out

@@ -6,30 +6,37 @@ short and a lost executor costs one step.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed below spark.checkpoint.dir; where that is unset, in a temporary folder in local mode, else an error."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prismet-"))
     return df.checkpoint()
 
 
 def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, ancestor), each node its own ancestor too; cycles end. nodes: node; edges: child, parent."""
-    edges = _kept(edges.select("child", "parent").distinct())
-    found = _kept(nodes.select("node", F.col("node").alias("ancestor")).distinct())
-    front = found
+    edges = kept(edges.select("child", "parent").distinct())
+    found = front = kept(nodes.select("node", F.col("node").alias("ancestor")).distinct())
+    hops = 0
     while True:
         step = front.join(edges, front["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        front = _kept(step.join(found, ["node", "ancestor"], "left_anti"))
+        front = kept(step.join(found, ["node", "ancestor"], "left_anti"))
         if not front.limit(1).count():
             return found
-        found = _kept(found.unionByName(front))
+        hops += 1
+        found = found.unionByName(front)  # a union of checkpointed frames, one a hop; folded now and then for very deep graphs
+        if hops % 32 == 0:
+            found = kept(found)
 
 
 def descends_from(closure: DataFrame, roots: DataFrame) -> DataFrame:
@@ -44,14 +51,28 @@ def descendant_counts(closure: DataFrame) -> DataFrame:
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. vertices: id; edges: a, b. The graph is contracted step by step."""
-    labels = _kept(vertices.select("id", F.col("id").alias("component")).distinct())
-    left = _kept(edges.where("a <> b").select("a", "b").distinct())
+    labels = kept(vertices.select("id", F.col("id").alias("component")).distinct())
+    left = kept(edges.where("a <> b").select("a", "b").distinct())
     while left.limit(1).count():
         both = left.union(left.select("b", "a"))
         hook = both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
         on = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        hook = _kept(hook.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
-        labels = _kept(labels.join(hook.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        hook = kept(hook.join(on, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
+        labels = kept(labels.join(hook.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
         moved = left.join(hook.withColumnRenamed("to", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        left = _kept(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = kept(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return labels
+
+
+def ranked(df: DataFrame, cells: int, *order: Column) -> DataFrame:
+    """df with __r, the place of each row in the order of its expressions, and __cell: rows are sorted in ranges, each in its
+    own task, and a range starts at the number of rows before it (one row a range reaches the driver)."""
+    placed = kept(df.repartitionByRange(cells, *order).sortWithinPartitions(*order).withColumn("__cell", F.spark_partition_id()))
+    sizes = sorted((r["__cell"], r["n"]) for r in placed.groupBy("__cell").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for cell, n in sizes:
+        before.append((cell, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(before, "__cell int, __before long")
+    own = F.row_number().over(Window.partitionBy("__cell").orderBy(*order))
+    return placed.withColumn("__own", own).join(F.broadcast(starts), "__cell").withColumn("__r", F.col("__before") + F.col("__own")).drop("__before", "__own")

@@ -13,6 +13,7 @@ from prismet.functions.vectors import cosine, l2_normalize, mean_vector
 from prismet.operators.similarity import matrix, unit
 
 LINKAGES = ("average", "complete", "single")
+MOST_CONCEPTS = 20_000
 
 
 def agglomerate(vectors: np.ndarray, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average") -> np.ndarray:
@@ -27,9 +28,11 @@ def agglomerate(vectors: np.ndarray, n_clusters: int | None = None, distance: fl
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
     size, label, alive = np.ones(m), np.arange(m), m
+    near = d.argmin(axis=1)  # of each row its nearest, the first of equals; kept up to date, so a merge costs a row or a few
+    least = d[np.arange(m), near]
     while alive > goal:
-        at = int(d.argmin())
-        i, j = sorted(divmod(at, m))
+        i = int(least.argmin())
+        i, j = sorted((i, int(near[i])))
         if distance is not None and d[i, j] >= distance:
             break
         if linkage == "average":
@@ -42,19 +45,29 @@ def agglomerate(vectors: np.ndarray, n_clusters: int | None = None, distance: fl
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         label[label == j] = i
+        closer = (d[:, i] < least) | (d[:, i] == least) & (i < near)
+        again = (near == i) | (near == j)
+        again[[i, j]] = True
+        near[closer & ~again], least[closer & ~again] = i, d[closer & ~again, i]
+        for r in np.flatnonzero(again):
+            near[r] = d[r].argmin()
+            least[r] = d[r, near[r]]
         alive -= 1
     return label
 
 
 def cluster_ids(assigned: DataFrame, name: str = "name", cluster: str = "label") -> DataFrame:
-    """cluster_id, members: ids follow the order of the sorted member lists."""
+    """cluster_id, members: ids follow the order of the sorted member lists. One row a cluster is ordered, at most MOST_CONCEPTS."""
     members = assigned.groupBy(cluster).agg(F.array_sort(F.collect_list(name)).alias("members"))
     return members.select((F.dense_rank().over(Window.orderBy("members")) - 1).alias("cluster_id"), "members")
 
 
 def agglomerative_clusters(concepts: DataFrame, **options) -> DataFrame:
     """(name, label) of a concept table. The concepts in use (about a thousand) form one matrix by their nature: they
-    are terms of a vocabulary, not rows of the data."""
+    are terms of a vocabulary, not rows of the data. More than MOST_CONCEPTS (a matrix of 3.2 GB) are an error."""
+    n = concepts.count()
+    if n > MOST_CONCEPTS:
+        raise ValueError(f"{n} concepts; one matrix holds at most {MOST_CONCEPTS}")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("name")

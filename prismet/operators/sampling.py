@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismet.operators.graph import ranked
+
 
 def group_split(df: DataFrame, group: str, ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """df with split train or test: whole groups, in the order of a hash; the first floor(ratio * groups) train."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
     groups = df.select(group).distinct().withColumn("__k", key)
-    place = F.row_number().over(Window.orderBy("__k", group))
-    n = groups.agg(F.count("*").alias("__n"))
-    marked = groups.withColumn("__p", place).crossJoin(F.broadcast(n)).select(group, F.when(F.col("__p") <= F.floor(ratio * F.col("__n")), "train").otherwise("test").alias("split"))
+    n = groups.count()
+    marked = ranked(groups, min(512, 1 + n // 10_000), F.col("__k"), F.col(group)).select(group, F.when(F.col("__r") <= math.floor(ratio * n), "train").otherwise("test").alias("split"))
     return df.join(marked, group)
 
 

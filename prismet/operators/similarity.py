@@ -1,18 +1,26 @@
 """Similarity joins between vector tables.
 
 The kernel multiplies blocks of rows by the other side's matrix in Arrow batches. The other side is broadcast
-only while its rows stay below MAX_BROADCAST_ROWS; above that it is cut into blocks, the rows of the first side
-go to every block, and the best of each block are merged.
+only while it stays below MAX_BROADCAST_ROWS and MAX_BROADCAST_BYTES; above that it is cut into blocks, the rows of
+the first side go to every block, and the best of each block are merged.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismet.functions.vectors import dot, l2_normalize
+from prismet.operators.graph import kept
+
 MAX_BROADCAST_ROWS = 50_000
+MAX_BROADCAST_BYTES = 64 << 20
+#: Rows of the first side in one task of the blocked form, and rows of a block of threshold_edges.
+PART_ROWS, EDGE_ROWS = 65_536, 4096
 LEAST_NORM = 1e-12
 
 
@@ -57,6 +65,8 @@ def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "i
     spark = left.sparkSession
     a = left.select(F.col(left_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
     b = right.select(F.col(right_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
+    wide = b.select(F.size("emb").alias("d")).first()
+    most = min(most, max(1, MAX_BROADCAST_BYTES // (8 * max(1, wide["d"] if wide else 1))))
     head = b.limit(most + 1).toArrow()
     if head.num_rows <= most:
         head = head.sort_by("id")
@@ -72,10 +82,10 @@ def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "i
                     yield _matched(part.column("id").to_numpy(), matrix(part.column("emb")), right_ids, right_rows, n)
 
         return a.mapInArrow(task, _DDL)
-    blocks = -(-b.count() // most)
+    blocks, parts = -(-b.count() // most), max(1, -(-a.count() // PART_ROWS))  # a side goes to as many tasks as the other has pieces
     cut = b.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    spread = a.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    spread = a.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    cut = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -103,18 +113,31 @@ def mutual_matches(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.where("rank = 1").join(back, ["left_id", "right_id"]).select("left_id", "right_id", "score")
 
 
-def threshold_edges(df: DataFrame, tau: float, id_col: str = "id", column: str = "emb", most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Edges (a < b, cosine > tau) among the rows of one table."""
+def threshold_edges(df: DataFrame, tau: float, id_col: str = "id", column: str = "emb", block: int = EDGE_ROWS) -> DataFrame:
+    """Edges (a < b, cosine > tau) among the rows of one table.
+
+    Rows are cut into blocks by their angle to one of them (the row of the smallest id). By the triangle inequality two
+    rows of a cosine above tau have angles that differ by less than arccos(tau), so blocks further apart never meet; the
+    others are compared exactly. What reaches the driver is the range of angles of every block."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
-    blocks = max(1, -(-rows.count() // 4096))
+    unit_ = l2_normalize(F.col(column).cast("array<double>"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), unit_.alias("emb"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
-    cut = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    spread = cut.withColumn("other", other)
+    blocks = max(1, -(-rows.count() // block))
+    if blocks == 1:
+        spread = rows.select("id", "emb", *[F.lit(0).alias(c) for c in ("block", "lo", "hi")])
+    else:
+        pivot = F.array(*[F.lit(float(x)) for x in rows.orderBy("id").first()["emb"]])
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("emb"), pivot))))
+        cut = kept(rows.withColumn("angle", angle).repartitionByRange(blocks, "angle", "id").withColumn("block", F.spark_partition_id()))
+        ranges = sorted(tuple(r) for r in cut.groupBy("block").agg(F.min("angle"), F.max("angle")).collect())
+        reach = math.acos(max(-1.0, min(1.0, tau))) + 1e-6
+        # Zero vectors lie at a right angle to all and reach nobody unless tau is negative, when reach covers a right angle.
+        meet = [(x, min(x, y), max(x, y)) for x, low, high in ranges for y, low2, high2 in ranges if low2 - high <= reach and low - high2 <= reach]
+        spread = cut.join(F.broadcast(spark.createDataFrame(meet, "block int, lo int, hi int")), "block").select("id", "emb", "block", "lo", "hi")
 
     def pairs(t: pa.Table) -> pa.Table:
-        ids, own, x = t.column("id").to_numpy(), t.column("block").to_numpy(), unit(matrix(t.column("emb").combine_chunks()))
+        ids, own, x = t.column("id").to_numpy(), t.column("block").to_numpy(), matrix(t.column("emb").combine_chunks())
         same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
         out = [schema.empty_table()]
         for at in range(0, len(ids), 1024):
@@ -123,7 +146,7 @@ def threshold_edges(df: DataFrame, tau: float, id_col: str = "id", column: str =
             out.append(pa.table([pa.array(ids[at + i]), pa.array(ids[j]), pa.array(s[i, j])], schema=schema))
         return pa.concat_tables(out)
 
-    return spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select("id", "emb", "block", "lo", "hi").groupBy("lo", "hi").applyInArrow(pairs, "a long, b long, score double")
+    return spread.groupBy("lo", "hi").applyInArrow(pairs, "a long, b long, score double")
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:

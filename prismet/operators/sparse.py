@@ -42,8 +42,19 @@ def encode(df: DataFrame, weights: np.ndarray, bias: np.ndarray, offset: np.ndar
     return rows.mapInArrow(task, "image_id long, feature_id long, activation double")
 
 
-def decode(activations: DataFrame, decoder: DataFrame) -> DataFrame:
-    """image_id, dim, value: sums of activation times decoder row; decoder: feature_id, emb."""
+def decode(activations: DataFrame, decoder: DataFrame, offset: np.ndarray | None = None, images: DataFrame | None = None) -> DataFrame:
+    """image_id, dim, value: sums of activation times decoder row, plus b_dec where an offset is given; decoder: feature_id, emb.
+
+    With an offset and `images` (image_id), images without any activation are rebuilt as the offset alone."""
+    summed = _summed(activations, decoder)
+    if offset is None:
+        return summed
+    base = F.posexplode(F.array(*[F.lit(float(x)) for x in offset])).alias("dim", "base")
+    whole = (images if images is not None else activations).select("image_id").distinct().select("image_id", base)
+    return whole.join(summed, ["image_id", "dim"], "left").select("image_id", "dim", (F.col("base") + F.coalesce("value", F.lit(0.0))).alias("value"))
+
+
+def _summed(activations: DataFrame, decoder: DataFrame) -> DataFrame:
     return activations.join(entries(decoder, "emb", "feature_id"), "feature_id").groupBy("image_id", "dim").agg(F.sum(F.col("activation") * F.col("value")).alias("value"))
 
 

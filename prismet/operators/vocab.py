@@ -27,7 +27,8 @@ def top_terms(scored: DataFrame, k: int) -> DataFrame:
 def build(scored: DataFrame, k: int, seeds: DataFrame) -> DataFrame:
     """term, score (6 places), source, place: the k best terms, and the seeds that are missing among them.
 
-    scored: term_idx, term, score; seeds: term. Order: rounded score, then place of entry."""
+    scored: term_idx, term, score; seeds: term. Order: rounded score, then place of entry. Only the k best and the
+    seeds (both bounded by the settings) are ordered in one task."""
     top = top_terms(scored, k).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "term_idx"))).withColumn("source", F.lit("ranked"))
     missing = scored.join(seeds.select(F.lower("term").alias("__t")), F.lower("term") == F.col("__t"), "left_semi").join(top.select(F.lower("term").alias("__u")), F.lower("term") == F.col("__u"), "left_anti")
     added = missing.withColumn("pos", k + F.row_number().over(Window.orderBy("term_idx"))).withColumn("source", F.lit("seed"))

@@ -11,6 +11,8 @@ from prismet.operators.similarity import matrix
 from prismet.plans import roles
 from prismet.plans.catalog import query
 from prismet.plans.config import Consensus, Faithfulness, Run
+from prismet.plans.measure_queries import CORR
+from prismet.plans.roles import PRELUDE
 from prismet.streaming import judge_dedup
 
 R6 = lambda c: F.round(c, 6)
@@ -69,19 +71,25 @@ def stability_summary(spark, sf_dir):
 def shuffle_null(spark, sf_dir):
     """feature_id, observed, p95 of the shuffled maxima, significant."""
     acts, labels = roles.activations(spark, sf_dir), faithfulness.prevalent(roles.image_labels(spark, sf_dir), 10)
-    images = [r["image_id"] for r in roles.vectors(spark, sf_dir).select("image_id").collect()]
+    images = roles.vectors(spark, sf_dir).select("image_id")
     null = faithfulness.percentile95(faithfulness.shuffle_null(acts, labels, images, Faithfulness.n_perm), "max_r", "feature_id")
-    best = faithfulness.best_label(faithfulness.point_biserial(acts, labels, len(images)))
+    best = faithfulness.best_label(faithfulness.point_biserial(acts, labels, images.count()))
     return best.join(null, "feature_id").select("feature_id", R6("abs_r").alias("observed"), R6("p95").alias("p95"), (F.col("abs_r") > F.col("p95")).alias("significant"))
 
 
-@query("normal_p_fdr")
+@query("normal_p_fdr", CORR + """
+, strongest AS (SELECT feature_id, max(round(abs(r), 10)) AS a FROM r GROUP BY 1),
+n AS (SELECT count(*) AS n FROM vecs), x AS (SELECT feature_id, least(a * sqrt(n / 2.0), 6.0) AS x FROM strongest, n),
+p AS (SELECT feature_id, CASE WHEN x = 0 THEN 1.0 ELSE greatest(0.0, 1 - exp(-x * x) * list_sum([exp((2 * k + 1) * ln(x) - lgamma(k + 1.5)) for k in range(0, 140)])) END AS p FROM x),
+k AS (SELECT *, row_number() OVER (ORDER BY p, feature_id) AS k, count(*) OVER () AS m FROM p)
+SELECT feature_id, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k
+""")
 def normal_p_fdr(spark, sf_dir):
     """Two-sided normal p of the best correlations, and their q."""
     labels = faithfulness.prevalent(roles.image_labels(spark, sf_dir), 10)
     n = roles.vectors(spark, sf_dir).count()
     best = faithfulness.best_label(faithfulness.point_biserial(roles.activations(spark, sf_dir), labels, n))
-    return faithfulness.bh_fdr(best.withColumn("p", faithfulness.normal_p(F.col("abs_r"), n)), "p", "feature_id").select("feature_id", "p", "q")
+    return faithfulness.bh_fdr(best.withColumn("p", faithfulness.normal_p(F.col("abs_r"), n)), "p", "feature_id").select("feature_id", R6("p").alias("p"), R6("q").alias("q"))
 
 
 @query("seed_tag_null")
@@ -93,11 +101,13 @@ def seed_tag_null(spark, sf_dir):
 
 @query("random_naming_baseline")
 def random_naming_baseline(spark, sf_dir):
-    """Mean best cosine of random directions with the vocabulary."""
-    _, rows = _dictionary(spark, sf_dir)
-    draws = np.random.default_rng(7).normal(size=(1000, rows.shape[1]))
-    random = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(draws)], "id long, emb array<double>")
-    return similarity.top_matches(random, roles.vocab(spark, sf_dir), 1, right_id="term_idx").agg(R6(F.avg("score")).alias("mean_best"), F.count("*").alias("n"))
+    """Mean best cosine of random directions with the vocabulary, through a fixed bridge and with the gap subtracted."""
+    from prismet.plans.pipelines import random_naming
+
+    terms = roles.vocab(spark, sf_dir)
+    bridge = np.random.default_rng(3).normal(size=(roles.WIDTH, 32))
+    gap = modality_gap(roles.images(spark, sf_dir), terms)
+    return random_naming(spark, terms, 32, bridge, gap).select(R6("mean_best").alias("mean_best"), "n")
 
 
 @query("train_topk_sae")
@@ -109,7 +119,11 @@ def train_topk_sae(spark, sf_dir):
     return models.select("seed", "feature_id", R6("enc_bias").alias("enc_bias"), R6(F.sqrt(square)).alias("dec_norm"))
 
 
-@query("sae_encode")
+@query("sae_encode", PRELUDE + """
+, w AS (SELECT feature_id, [x / greatest(sqrt(list_dot_product(emb, emb)), 1e-12) for x in emb] AS u FROM decoder WHERE seed = 0),
+z AS (SELECT image_id, feature_id, list_dot_product(emb, u) AS z FROM img, w)
+SELECT image_id, feature_id, round(z, 6) AS activation FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY z DESC, feature_id) AS k FROM z) WHERE k <= 8 AND z > 0
+""")
 def sae_encode(spark, sf_dir):
     """Activations of a model whose encoder rows are those of seed 0's decoder."""
     w = stability.decoders(roles.decoder(spark, sf_dir))[0]
@@ -118,9 +132,9 @@ def sae_encode(spark, sf_dir):
 
 @query("judge_run")
 def judge_run(spark, sf_dir):
-    """The judge's loop over labelled documents with a deterministic model."""
+    """The judge's loop over the texts of labelled documents with a deterministic model."""
     docs = roles.read(spark, sf_dir, "documents").join(roles.read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
-    pairs = docs.select(F.col("doc_id").cast("string").alias("image_id"), F.col("source").alias("report"), F.concat(F.lit("Findings suggest: "), F.coalesce("lang", F.lit("?"))).alias("pseudo_report"))
+    pairs = docs.select(F.col("doc_id").cast("string").alias("image_id"), F.coalesce("text", F.lit("")).alias("report"), F.concat(F.lit("Findings suggest: "), F.substring(F.coalesce("text", F.lit("?")), 1, 40)).alias("pseudo_report"))
 
     def model(prompt: str) -> str:
         return ("fine | Verdict: Aligned", "Supports", "hm", "no | Verdict: Unaligned.")[sum(prompt.encode()) % 4]

@@ -195,11 +195,11 @@ def spl_pseudo_report(spark, sf_dir):
     return explain.splice_explanations(c, roles.vectors(spark, sf_dir)).select("image_id", F.size("top_k_concepts").alias("n"), "pseudo_report")
 
 
-CONCEPTS = PRELUDE + ", con AS (SELECT image_id, term AS name FROM act JOIN vocab ON term_idx = feature_id WHERE activation > 0.33)\n"
+CONCEPTS = PRELUDE + ", con AS (SELECT image_id, term AS name FROM act JOIN vocab ON term_idx = feature_id WHERE activation > 0)\n"
 
 
 def _concepts(spark, sf_dir):
-    return roles.activations(spark, sf_dir).where("activation > 0.33").join(roles.vocab(spark, sf_dir).select(F.col("term_idx").alias("feature_id"), F.col("term").alias("name")), "feature_id")
+    return roles.activations(spark, sf_dir).where("activation > 0").join(roles.vocab(spark, sf_dir).select(F.col("term_idx").alias("feature_id"), F.col("term").alias("name")), "feature_id")
 
 
 @query("vocab_coverage", CONCEPTS + "SELECT (SELECT count(DISTINCT name) FROM con) AS n_active, count(DISTINCT term) AS n_terms, round(100.0 * (SELECT count(DISTINCT name) FROM con) / count(DISTINCT term), 6) AS coverage_pct, count(DISTINCT term) - (SELECT count(DISTINCT name) FROM con) AS n_unused FROM vocab")

@@ -42,15 +42,9 @@ def activation_entropy(spark, sf_dir):
     return sparse.entropy(sparse.feature_counts(roles.activations(spark, sf_dir))).select(R6("entropy").alias("entropy"))
 
 
-@query("dead_features", PRELUDE + "SELECT f AS feature_id FROM range(0, 64) t(f) WHERE f NOT IN (SELECT feature_id FROM act WHERE image_id % 41 = 0 AND activation > 0.2)")
+@query("dead_features", PRELUDE + "SELECT f AS feature_id FROM range(0, 64) t(f) WHERE f NOT IN (SELECT feature_id FROM act WHERE activation > 0)")
 def dead_features(spark, sf_dir):
-    some = roles.activations(spark, sf_dir).where("image_id % 41 = 0 and activation > 0.2")
-    return sparse.dead_features(some, roles.features(spark))
-
-
-@query("dead_features_all", PRELUDE + "SELECT f AS feature_id FROM range(0, 64) t(f) WHERE f NOT IN (SELECT feature_id FROM act WHERE activation > 0)")
-def dead_features_all(spark, sf_dir):
-    """Features that fire on no image at all; dead_features, whose SQL is fixed, looks at some activations only."""
+    """Features that fire on no image at all."""
     return sparse.dead_features(roles.activations(spark, sf_dir), roles.features(spark))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismet.functions.vectors import modality_gap, with_gap
+from prismet.functions.vectors import entries, modality_gap, with_gap
 from prismet.operators import explain, faithfulness, graph, judge, ontology, organize, sampling, similarity, sparse, splice, stability, train, vocab
 from prismet.plans import config
 from prismet.sources import sinks
@@ -72,10 +72,10 @@ def join_by_position(left: DataFrame, right: DataFrame, key: str = "row_id") ->
     return left.join(right, key)
 
 
-def model_parts(models: DataFrame, offset: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Encoder, bias and offset of one seed's model."""
-    rows = models.where(F.col("seed") == seed).orderBy("feature_id").select("enc", "enc_bias").collect()
-    return np.array([r["enc"] for r in rows]), np.array([r["enc_bias"] for r in rows]), offset
+def model_parts(models: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Encoder, bias and offset (b_dec) of one seed's model."""
+    rows = models.where(F.col("seed") == seed).orderBy("feature_id").select("enc", "enc_bias", "b_dec").collect()
+    return np.array([r["enc"] for r in rows]), np.array([r["enc_bias"] for r in rows]), np.array(rows[0]["b_dec"])
 
 
 def name_features(decoder: DataFrame, terms: DataFrame, gap: DataFrame | None, fired: DataFrame, n: int = 3) -> DataFrame:
@@ -87,34 +87,42 @@ def name_features(decoder: DataFrame, terms: DataFrame, gap: DataFrame | None, f
     return joined.withColumn("name", F.when(F.col("is_dead"), "DEAD_FEATURE").otherwise(F.col("name"))).withColumn("score", F.when(F.col("is_dead"), 0.0).otherwise(F.col("score")))
 
 
-def baseline(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, run: config.Run | None = None, group: str = "grp", projection: np.ndarray | None = None) -> Stages:
-    """Split, train every seed, name, measure stability, explain. images: image_id, group, emb; terms: term_idx, term, emb.
+def baseline(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, run: config.Run | None = None, group: str = "grp", projection: np.ndarray | None = None, gap: DataFrame | None = None, models: DataFrame | None = None) -> Stages:
+    """Split, train every seed (or take `models`), name, measure stability, explain. images: image_id, group, emb; terms: term_idx, term, emb.
 
-    With a projection the decoder is mapped into the vocabulary's space before naming (the hidden-state form)."""
+    With a projection the decoder is mapped into the vocabulary's space before naming (the hidden-state form), and
+    `gap` (one row, in that space) is subtracted after it; without one, the images' own gap is taken where the spaces agree."""
+    given = gap
     run = run or config.Run()
     s = Stages(spark, out)
     split = s.add("split", lambda: sampling.group_split(images, group, run.ratio, run.split_seed))
     if sampling.leaked_groups(split, group).limit(1).count():
         raise ValueError("a group is on both sides of the split")
     training, test = split.where("split = 'train'"), split.where("split = 'test'")
-    models = s.add("models", lambda: train.train(training.select("image_id", "emb"), list(run.seeds), run.train))
-    offset = np.zeros(len(images.select("emb").first()["emb"]))
+    trained = models
+    models = s.add("models", lambda: train.train(training.select("image_id", "emb"), list(run.seeds), run.train) if trained is None else trained)
     acts = None
     for seed in run.seeds:
-        w, b, o = model_parts(models, offset, seed)
+        w, b, o = model_parts(models, seed)
         one = sparse.encode(test, w, b, o, run.train.k).withColumn("seed", F.lit(seed).cast("long"))
         acts = one if acts is None else acts.unionByName(one)
     acts = s.add("activations", lambda: acts)
-    w, b, o = model_parts(models, offset, run.first)
+    w, b, o = model_parts(models, run.first)
     fired = s.add("fired", lambda: sparse.feature_counts(sparse.encode(training, w, b, o, run.train.k)))
     decoder = models.select("seed", "feature_id", F.col("dec").alias("emb"))
     first = decoder.where(F.col("seed") == run.first)
     space = first if projection is None else bridge(first, projection)
-    gap = None if projection is not None else s.add("gap", lambda: modality_gap(training, terms))
+    if given is not None:
+        gap = s.add("gap", lambda: given)
+    else:
+        gap = None if projection is not None else s.add("gap", lambda: modality_gap(training, terms))
     names = s.add("names", lambda: name_features(space.select("feature_id", "emb"), terms, gap, fired, run.naming.names), json=True)
     s.add("naming_summary", lambda: naming_summary(names), json=True)
     own = acts.where(F.col("seed") == run.first)
     n_seeds = spark.createDataFrame([(x,) for x in run.seeds], "seed long")
+    rebuilt = lambda: sparse.reconstruction(entries(test, "emb", "image_id"), sparse.decode(own, first.select("feature_id", "emb"), o, test))
+    s.add("reconstruction", rebuilt, json=True)
+    s.add("random_naming", lambda: random_naming(spark, terms, len(first.first()["emb"]), projection, gap), json=True)
     s.add("sparsity", lambda: sparse.sparsity(own, test, run.train.dict_size), json=True)
     s.add("coactivation", lambda: sparse.coactivation_summary(own), json=True)
     s.add("slot_jaccard", lambda: sparse.slot_jaccard(acts, test, n_seeds), json=True)
@@ -126,6 +134,18 @@ def baseline(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str,
     return s
 
 
+def random_naming(spark: SparkSession, terms: DataFrame, dim: int, projection: np.ndarray | None = None, gap: DataFrame | None = None, n: int = 1000, seed: int = 7) -> DataFrame:
+    """One row: mean and deviation of the best cosine of n random unit directions with the vocabulary.
+
+    The directions go the way of decoder rows: through the bridge where there is one, then the gap is subtracted."""
+    draws = similarity.unit(np.random.default_rng(seed).normal(size=(n, dim)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draws)], "id long, emb array<double>")
+    rows = rows if projection is None else bridge(rows, projection)
+    rows = rows if gap is None else with_gap(rows, gap)
+    best = similarity.top_matches(rows, terms, 1, right_id="term_idx")
+    return best.agg(F.avg("score").alias("mean_best"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
+
+
 def matched_table(spark: SparkSession, models: dict[int, np.ndarray]) -> DataFrame:
     rows = [(i, j, *stability.matched(models[i], models[j]).values(), stability.effective_rank(models[j])) for i in models for j in models if i < j]
     return spark.createDataFrame(rows, "seed_i long, seed_j long, mean_best double, frac_07 double, frac_09 double, mutual double, erank int")
@@ -181,10 +201,11 @@ def faithful(spark: SparkSession, activations: DataFrame, image_labels: DataFram
     """Correlate features with labels: analytic q, shuffle null, shares and the best features."""
     settings = settings or config.Faithfulness()
     s = Stages(spark, out)
-    ids = [r["image_id"] for r in images.select("image_id").distinct().collect()]  # the test set, as the label matrix of the null
+    ids = images.select("image_id").distinct()
+    n_images = ids.count()
     labels = s.add("labels", lambda: faithfulness.prevalent(image_labels, settings.min_prevalence))
-    best = s.add("best", lambda: faithfulness.best_label(faithfulness.point_biserial(activations, labels, len(ids))))
-    q = s.add("q", lambda: faithfulness.bh_fdr(best.withColumn("p", faithfulness.normal_p(F.col("abs_r"), len(ids))), "p", "feature_id"))
+    best = s.add("best", lambda: faithfulness.best_label(faithfulness.point_biserial(activations, labels, n_images)))
+    q = s.add("q", lambda: faithfulness.bh_fdr(best.withColumn("p", faithfulness.normal_p(F.col("abs_r"), n_images)), "p", "feature_id"))
     null = s.add("null", lambda: faithfulness.percentile95(faithfulness.shuffle_null(activations, labels, ids, settings.n_perm, settings.seed), "max_r", "feature_id"))
     share = lambda c: F.avg(c.cast("double"))
     s.add("summary", lambda: q.join(null, "feature_id").agg(F.count("*").alias("n_live"), share(F.col("abs_r") > F.col("p95")).alias("frac_shuffle"), share(F.col("q") < settings.fdr).alias("frac_fdr"), share(F.col("abs_r") > settings.strong).alias("frac_strong"), F.avg("abs_r").alias("mean_abs_r")), json=True)

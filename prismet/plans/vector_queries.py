@@ -100,42 +100,6 @@ def build_vocabulary_topk_seeds(spark, sf_dir):
 
 
 BEST = PRELUDE + """
-, s AS (SELECT a.seed AS seed_i, b.seed AS seed_j, a.feature_id AS i, b.feature_id AS j, list_dot_product(a.emb, b.emb) / (sqrt(list_dot_product(a.emb, a.emb)) * sqrt(list_dot_product(b.emb, b.emb))) AS c FROM decoder a, decoder b WHERE a.seed = 0 AND b.seed = 1),
-f AS (SELECT i, j, c FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS k FROM s) WHERE k = 1),
-g AS (SELECT i, j, c FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY c DESC, i) AS k FROM s) WHERE k = 1)
-"""
-
-
-def _both_ways(spark, sf_dir):
-    d = roles.decoder(spark, sf_dir)
-    a, b = d.where("seed = 0"), d.where("seed = 1")
-    ids = {"left_id": "feature_id", "right_id": "feature_id"}
-    return similarity.top_matches(a, b, 1, **ids), similarity.top_matches(b, a, 1, **ids)
-
-
-@query("best_match_pairs", BEST + "SELECT i AS left_id, j AS right_id, round(c, 6) AS score FROM f")
-def best_match_pairs(spark, sf_dir):
-    return _both_ways(spark, sf_dir)[0].select("left_id", "right_id", R6("score").alias("score"))
-
-
-@query("mutual_matches", BEST + "SELECT f.i AS left_id, f.j AS right_id, round(f.c, 6) AS score FROM f JOIN g ON f.i = g.i AND f.j = g.j")
-def mutual_matches(spark, sf_dir):
-    return similarity.mutual_matches(*_both_ways(spark, sf_dir)).select("left_id", "right_id", R6("score").alias("score"))
-
-
-@query("matched_summary", BEST + """
-SELECT round(avg(f.c), 6) AS mean_best, round(avg((f.c >= 0.3)::INT), 6) AS frac_03, round(avg((f.c >= 0.5)::INT), 6) AS frac_05,
-       round(count(g.i) / count(*), 6) AS mutual FROM f LEFT JOIN g ON f.i = g.i AND f.j = g.j
-""")
-def matched_summary(spark, sf_dir):
-    forward, backward = _both_ways(spark, sf_dir)
-    both = similarity.mutual_matches(forward, backward).select("left_id", F.lit(1).alias("m"))
-    joined = forward.join(both, "left_id", "left")
-    share = lambda t: R6(F.avg((F.col("score") >= t).cast("double")))
-    return joined.agg(R6(F.avg("score")).alias("mean_best"), share(0.3).alias("frac_03"), share(0.5).alias("frac_05"), R6(F.count("m") / F.count("*")).alias("mutual"))
-
-
-BEST_ALL = PRELUDE + """
 , s AS (SELECT a.seed AS seed_i, b.seed AS seed_j, a.feature_id AS i, b.feature_id AS j, list_dot_product(a.emb, b.emb) / (sqrt(list_dot_product(a.emb, a.emb)) * sqrt(list_dot_product(b.emb, b.emb))) AS c FROM decoder a JOIN decoder b ON a.seed < b.seed),
 f AS (SELECT seed_i, seed_j, i, j, c FROM (SELECT *, row_number() OVER (PARTITION BY seed_i, seed_j, i ORDER BY c DESC, j) AS k FROM s) WHERE k = 1),
 g AS (SELECT seed_i, seed_j, i, j, c FROM (SELECT *, row_number() OVER (PARTITION BY seed_i, seed_j, j ORDER BY c DESC, i) AS k FROM s) WHERE k = 1)
@@ -157,22 +121,22 @@ def _all_pairs(spark, sf_dir):
     return out
 
 
-@query("best_match_pairs_all", BEST_ALL + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(c, 6) AS score FROM f")
-def best_match_pairs_all(spark, sf_dir):
-    """best_match_pairs, whose SQL is fixed to seeds 0 and 1, for every pair of seeds."""
+@query("best_match_pairs", BEST + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(c, 6) AS score FROM f")
+def best_match_pairs(spark, sf_dir):
+    """For every feature its best match in each later seed."""
     return _all_pairs(spark, sf_dir).select("seed_i", "seed_j", "left_id", "right_id", R6("score").alias("score"))
 
 
-@query("mutual_matches_all", BEST_ALL + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(f.c, 6) AS score FROM f JOIN g USING (seed_i, seed_j, i, j)")
-def mutual_matches_all(spark, sf_dir):
+@query("mutual_matches", BEST + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(f.c, 6) AS score FROM f JOIN g USING (seed_i, seed_j, i, j)")
+def mutual_matches(spark, sf_dir):
     return _all_pairs(spark, sf_dir).where("mutual").select("seed_i", "seed_j", "left_id", "right_id", R6("score").alias("score"))
 
 
-@query("matched_summary_all", BEST_ALL + """
+@query("matched_summary", BEST + """
 SELECT seed_i, seed_j, round(avg(f.c), 6) AS mean_best, round(avg((f.c >= 0.3)::INT), 6) AS frac_03, round(avg((f.c >= 0.5)::INT), 6) AS frac_05,
        round(count(g.c) / count(*), 6) AS mutual FROM f LEFT JOIN g USING (seed_i, seed_j, i, j) GROUP BY seed_i, seed_j
 """)
-def matched_summary_all(spark, sf_dir):
+def matched_summary(spark, sf_dir):
     share = lambda c: R6(F.avg(c.cast("double")))
     return _all_pairs(spark, sf_dir).groupBy("seed_i", "seed_j").agg(R6(F.avg("score")).alias("mean_best"), share(F.col("score") >= 0.3).alias("frac_03"), share(F.col("score") >= 0.5).alias("frac_05"), share(F.col("mutual")).alias("mutual"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from prismet.functions import text as X
 from prismet.functions import vectors as V
-from prismet.operators.judge import parse_verdict
 
 VERDICTS = [
     ("Aligned", "Aligned"), ("UNCERTAIN", "Uncertain"), ("Supports", "Aligned"), ("Contradicts", "Unaligned"), ("Unclear", "Uncertain"), ("x | Verdict: Unaligned.", "Unaligned"), ("Maybe", None),
@@ -19,7 +18,7 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(VERDICTS)], "i int, r string")
     got = {r["i"]: r["v"] for r in df.select("i", X.verdict(F.col("r")).alias("v")).collect()}
     for i, (raw, want) in enumerate(VERDICTS):
-        assert got[i] == want == parse_verdict(raw), raw
+        assert got[i] == want, raw
 
 
 @pytest.mark.parametrize(("uri", "want"), [("http://x/RID/RID12", "RID12"), ("a:b:RID7", "RID7"), (" RID3 ", "RID3"), ("http://x:8/a", "a")])
@@ -59,6 +58,7 @@ def test_pseudo_report(spark):
 
 def test_fixed_decimals(spark):
     values = [0.2455, 0.3095, 0.0625, 0.1875, 0.5, 0.9996, 1.0005, 7.1235, 0.0, 0.3333] + [i / 10_000 for i in range(5, 9_000, 37)]
+    values += [8.0, 12.5, 12.0005, 1023.4565, 8191.9995, 8192.0005, 1e5 / 3, 2.0**23 + 0.0625, 1e10 + 0.0005, 2.0**42 + 0.001, 2.0**44 + 0.0625, 1e15 + 0.5, 1e17, -0.25, -12.0005, 1e-9, float("inf"), float("nan")]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.fixed3(F.col("x")).alias("t")).collect()
     assert [r["t"] for r in got] == [f"{r['x']:.3f}" for r in got]
 

@@ -41,6 +41,14 @@ def test_threshold_edges(spark):
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if s[i, j] > 0.6}
 
 
+@pytest.mark.parametrize("tau", [-0.2, 0.3, 0.9])
+def test_threshold_edges_in_blocks(spark, tau):
+    x = np.concatenate([unit(np.random.default_rng(1), 60, 3), np.zeros((2, 3))])
+    s = x @ x.T
+    got = {(r["a"], r["b"]) for r in similarity.threshold_edges(frame(spark, x), tau, block=8).collect()}
+    assert got == {(i, j) for i in range(62) for j in range(i + 1, 62) if s[i, j] > tau}
+
+
 def test_assignment_by_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(25):
@@ -183,11 +191,47 @@ def test_point_biserial_and_nulls(spark):
     assert abs(got[(0, "l0")]) > p95[0] and len(p95) == 5
 
 
+def test_shuffle_null_by_brute_force(spark):
+    """Under the moves that it draws, the largest correlations are those of the dense matrices."""
+    n, rng = 31, np.random.default_rng(4)
+    a, y = np.maximum(rng.normal(size=(n, 4)) - 0.8, 0), (rng.random((n, 3)) < [0.1, 0.5, 0.9]).astype(float)
+    acts = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(4) if a[i, j] > 0], "image_id long, feature_id long, activation double")
+    labels = spark.createDataFrame([(i, f"l{j}") for i in range(n) for j in range(3) if y[i, j]], "image_id long, label string")
+    images = spark.range(n).withColumnRenamed("id", "image_id")
+    place = {r["image_id"]: k for k, r in enumerate(images.orderBy(F.xxhash64("image_id", F.lit(5)), "image_id").collect())}
+    got = {(r["feature_id"], r["perm"]): r["max_r"] for r in faithfulness.shuffle_null(acts, labels, images, 6, 5).collect()}
+    at = np.array([place[i] for i in range(n)])
+    for p, mult, plus in faithfulness._moves(n, 6, 5):
+        moved = np.zeros_like(y)
+        moved[(at * mult + plus) % n] = y
+        placed = np.zeros_like(a)
+        placed[at] = a
+        for f in range(4):
+            want = max(abs(np.corrcoef(placed[:, f], moved[:, j])[0, 1]) for j in range(3))
+            assert got[f, p] == pytest.approx(want, abs=1e-9)
+    assert len(got) == 24
+
+
+def test_ranks_and_rates_over_ranges(spark):
+    p = np.round(np.random.default_rng(3).random(200), 2)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "k long, p double")
+    order = np.lexsort((np.arange(200), p))
+    rank = {int(k): i + 1 for i, k in enumerate(order)}
+    assert {r["k"]: r["__r"] for r in graph.ranked(df, 7, F.col("p"), F.col("k")).collect()} == rank
+    raw = {k: p[k] * 200 / rank[k] for k in rank}
+    got = {r["k"]: r["q"] for r in faithfulness.bh_fdr(df, "p", "k").collect()}
+    assert all(got[k] == pytest.approx(min(1.0, min(raw[x] for x in raw if rank[x] >= rank[k]))) for k in rank)
+    assert faithfulness.bh_fdr(df.limit(0), "p", "k").count() == 0
+
+
 def test_normal_p(spark):
     import math
 
     got = spark.createDataFrame([(0.1,), (0.5,)], "r double").select(faithfulness.normal_p(F.col("r"), 50).alias("p")).collect()
     assert [r["p"] for r in got] == pytest.approx([math.erfc(r * math.sqrt(50) / math.sqrt(2)) for r in (0.1, 0.5)])
+    many = [i / 200 for i in range(200)]
+    got = spark.createDataFrame([(v,) for v in many], "r double").select("r", faithfulness.normal_p(F.col("r"), 400).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(math.erfc(r["r"] * math.sqrt(200)), rel=1e-9) for r in got)
 
 
 def test_agglomerate():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismet.__main__ import main, parser
-from prismet.operators.train import TrainConfig
+from prismet.operators.train import TrainConfig, fit, top_k
 from prismet.plans import config, pipelines, roles
 from prismet.sources import models
 
@@ -38,10 +38,38 @@ def test_projected_baseline(spark, tables, tmp_path):
     p = np.random.default_rng(0).normal(size=(64, 16))
     s = pipelines.baseline(spark, images, tables[1], str(tmp_path), RUN, projection=p)
     assert s["names"].count() == 48 and "gap" not in s.tables
+    # With a gap, decoder rows are shifted after the bridge: the names are those of the shifted rows.
+    gap = spark.createDataFrame([(np.random.default_rng(1).normal(size=64).tolist(),)], "gap array<double>")
+    t = pipelines.baseline(spark, images, tables[1], str(tmp_path / "gap"), RUN, projection=p, gap=gap, models=s["models"])
+    shift = np.array(gap.first()["gap"])
+    terms = {r["term"]: np.array(r["emb"]) / np.linalg.norm(r["emb"]) for r in tables[1].collect()}
+    dec = {r["feature_id"]: np.array(r["dec"]) for r in s["models"].where("seed = 42").collect()}
+    for r in t["names"].where("not is_dead").collect():
+        row = p @ dec[r["feature_id"]] - shift
+        assert r["score"] == pytest.approx(max(row @ v / np.linalg.norm(row) for v in terms.values()))
+    draws = np.random.default_rng(7).normal(size=(1000, 16))
+    x = (draws / np.linalg.norm(draws, axis=1, keepdims=True)) @ p.T - shift
+    best = ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ np.stack(list(terms.values())).T).max(1)
+    got = t["random_naming"].first()
+    assert (got["mean_best"], got["sd"]) == (pytest.approx(best.mean()), pytest.approx(best.std()))
     d = spark.createDataFrame([(0, [1.0, 2.0])], "feature_id long, emb array<double>")
     assert pipelines.bridge(d, np.array([[1, 1], [0, 2], [1, 0]])).first()["emb"] == [3.0, 4.0, 1.0]
 
 
+def test_runs_encode_with_the_trained_offset(spark, tables, tmp_path):
+    s = pipelines.baseline(spark, *tables, str(tmp_path), RUN)
+    split = {r["image_id"]: (r["split"], r["emb"]) for r in s["split"].collect()}
+    x = np.array([e for _, (side, e) in sorted(split.items()) if side == "train"])
+    m = fit(x, RUN.train, 42)
+    test = [(i, np.array(e)) for i, (side, e) in sorted(split.items()) if side == "test"]
+    f = top_k(np.maximum((np.array([e for _, e in test]) - m["b_dec"]) @ m["enc"].T + m["enc_bias"], 0), RUN.train.k)
+    want = {(i, j): f[r, j] for r, (i, _) in enumerate(test) for j in np.flatnonzero(f[r])}
+    got = {(r["image_id"], r["feature_id"]): r["activation"] for r in s["activations"].where("seed = 42").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
+    back = f @ m["dec"] + m["b_dec"]
+    assert s["reconstruction"].first()["mse"] == pytest.approx(float(((back - np.array([e for _, e in test])) ** 2).mean()))
+
+
 def test_splice_then_organize(spark, tables, tmp_path):
     s = pipelines.spliced(spark, *tables, str(tmp_path / "s"), config.Splice(k=6))
     assert s["coefficients"].groupBy("image_id").count().agg(F.max("count")).first()[0] <= 6

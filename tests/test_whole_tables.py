@@ -34,18 +34,18 @@ def tables(spark, tmp_path):
 def test_features_that_fire_anywhere_are_live(tables):
     row = lambda first, x: [x if first <= d < first + 8 else -1.0 for d in range(64)]
     both = tables([(1, row(0, 0.9)), (41, row(8, 0.1)), (82, row(16, 0.9)), (83, [0.0] * 64)])
-    assert both("dead_features_all") == [(f,) for f in range(24, 64)]
+    assert both("dead_features") == [(f,) for f in range(24, 64)]
 
 
 def test_all_seed_pairs_are_matched(tables):
     unit = lambda d, x=0.0: [1.0 if c == d else x if c == 63 else 0.0 for c in range(64)]
     # Seeds 0 and 1 agree on both features; seed 4 agrees with none.
     both = tables([(0, unit(0)), (5, unit(1)), (1, unit(0)), (6, unit(1)), (2, unit(1)), (7, unit(0)), (3, unit(0, 0.5)), (8, unit(2)), (4, unit(30)), (9, unit(31))])
-    rows = {r[:2]: r[2:] for r in both("matched_summary_all")}
+    rows = {r[:2]: r[2:] for r in both("matched_summary")}
     assert sorted(rows) == [(i, j) for i in range(5) for j in range(i + 1, 5)]
     assert rows[0, 1][0] == 1 and rows[0, 4][0] == 0
-    assert len(both("best_match_pairs_all")) == 20
-    assert {r[2:4] for r in both("mutual_matches_all") if r[:2] == (0, 2)} == {(0, 1), (1, 0)}
+    assert len(both("best_match_pairs")) == 20
+    assert {r[2:4] for r in both("mutual_matches") if r[:2] == (0, 2)} == {(0, 1), (1, 0)}
 
 
 def test_null_models_draw_as_often_as_configured(spark, monkeypatch):
