@@ -3,30 +3,91 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from prismet.operators import sampling, train
 from prismet.operators.train import TrainConfig
 from prismet.plans import config, pipelines
-from prismet.sources import ontologies, snapshot
+from prismet.sources import images, models, ontologies, registry, reports, sinks, snapshot
+
+
+def _training(a: argparse.ArgumentParser) -> None:
+    a.add_argument("--seeds", default=",".join(map(str, config.SEEDS)))
+    a.add_argument("--dict-size", type=int, default=2048)
+    a.add_argument("--k", type=int, default=32)
+    a.add_argument("--steps", type=int, default=8000)
+    a.add_argument("--batch-size", type=int, default=256)
+    a.add_argument("--lr", default="auto")
+
+
+def _function(name: str):
+    """module:function."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="prismet")
     sub = p.add_subparsers(dest="analysis", required=True)
     add = lambda name: sub.add_parser(name)
-    for name in ("baseline", "ablation"):
+    for name in ("baseline", "path-a", "ablation"):
         a = add(name)
         a.add_argument("--images", required=True)
         a.add_argument("--terms", required=True)
-        a.add_argument("--seeds", default=",".join(map(str, config.SEEDS)))
-        a.add_argument("--dict-size", type=int, default=2048)
-        a.add_argument("--k", type=int, default=32)
-        a.add_argument("--steps", type=int, default=8000)
-        a.add_argument("--batch-size", type=int, default=256)
-        a.add_argument("--lr", default="auto")
+        _training(a)
         a.add_argument("--n-perm", type=int, default=200)
+        if name in ("baseline", "path-a"):
+            a.add_argument("--dataset", default="iu_xray")
+            a.add_argument("--variant", choices=("standard", "augmented"), default="standard")
+            a.add_argument("--tag", default="")
+            a.add_argument("--models", help="trained models to reuse instead of training")
+        if name == "path-a":
+            a.add_argument("--projection", required=True, help="matrix of the bridge (.npy, rows are output dimensions)")
+            a.add_argument("--gap", help="table of one row with the gap in the vocabulary's space")
+    a = add("train")
+    a.add_argument("--images", required=True)
+    _training(a)
+    a = add("extract")
+    a.add_argument("--folder", required=True)
+    a.add_argument("--dataset", default="iu_xray")
+    a.add_argument("--encoder", required=True, help="module:function from a list of file contents to rows")
+    a.add_argument("--text-encoder", help="module:function from a list of texts to rows")
+    a.add_argument("--batch-size", type=int, default=64)
+    a.add_argument("--augmentation", type=int, default=0, help="views an image besides the original")
+    a.add_argument("--skip-text", action="store_true")
+    a = add("vocabulary")
+    a.add_argument("--terms", required=True, help="table of term, emb")
+    a.add_argument("--images", required=True, help="table of label, emb")
+    a.add_argument("--ontology")
+    a.add_argument("--topk", type=int, default=1024)
+    a.add_argument("--seeds-file", help="text file of terms to inject")
+    a = add("null")
+    a.add_argument("--images", required=True)
+    a.add_argument("--terms", required=True)
+    a.add_argument("--k", type=int)
+    a.add_argument("--explanations", help="explanations whose numbers of concepts are mirrored")
+    a.add_argument("--seed", type=int, default=42)
+    a = add("judge")
+    a.add_argument("--explanations", required=True)
+    a.add_argument("--reports", required=True, help="table of image_id, report, or the dataset's folder with --raw")
+    a.add_argument("--raw", action="store_true")
+    a.add_argument("--dataset", default="iu_xray")
+    a.add_argument("--source", default="baseline")
+    a.add_argument("--resume", action="store_true")
+    a.add_argument("--checkpoint-every", type=int, default=50)
+    a.add_argument("--url", default="http://localhost:1234/v1")
+    a.add_argument("--model", default="local-model")
+    a = add("failures")
+    a.add_argument("--names", required=True)
+    a.add_argument("--records", required=True, help="table of model, verdict, raw_response")
+    a.add_argument("--slot-mean", type=float, required=True)
+    a.add_argument("--dict-size", type=int, default=2048)
+    a.add_argument("--k", type=int, default=32)
     a = add("splice")
     a.add_argument("--images", required=True)
     a.add_argument("--terms", required=True)
@@ -57,6 +118,12 @@ def parser() -> argparse.ArgumentParser:
     a = add("snapshot")
     a.add_argument("before")
     a.add_argument("after")
+    a = add("take")
+    a.add_argument("folder")
+    a.add_argument("--out", required=True)
+    a = add("compare")
+    a.add_argument("before")
+    a.add_argument("after")
     return p
 
 
@@ -66,13 +133,51 @@ def main(argv: list[str] | None = None) -> int:
     read = spark.read.parquet
     if o.analysis == "snapshot":
         return 0 if snapshot.identical(snapshot.take(spark, o.before), snapshot.take(spark, o.after)) else 1
-    if o.analysis in ("baseline", "ablation"):
-        train = TrainConfig(dict_size=o.dict_size, k=o.k, steps=o.steps, batch=o.batch_size, lr=config.parse_rate(o.lr), warmup=min(1000, o.steps))
-        run = config.Run(seeds=config.parse_seeds(o.seeds), n_perm=o.n_perm, train=train)
+    if o.analysis == "take":
+        snapshot.take(spark, o.folder).write.mode("overwrite").parquet(o.out)
+        return 0
+    if o.analysis == "compare":
+        changed = snapshot.diff(read(o.before), read(o.after)).where("state <> 'matched'")
+        changed.orderBy("path").show(100, truncate=False)
+        return 1 if changed.limit(1).count() else 0
+    if o.analysis in ("baseline", "path-a", "ablation", "train"):
+        settings = TrainConfig(dict_size=o.dict_size, k=o.k, steps=o.steps, batch=o.batch_size, lr=config.parse_rate(o.lr), warmup=min(1000, o.steps))
+        run = config.Run(seeds=config.parse_seeds(o.seeds), n_perm=getattr(o, "n_perm", 200), train=settings)
         if o.analysis == "ablation":
             pipelines.ablation(spark, read(o.images), read(o.terms), o.out, replace(run)).show(truncate=False)
             return 0
-        done = pipelines.baseline(spark, read(o.images), read(o.terms), o.out, run)
+        if o.analysis == "train":
+            done = pipelines.Stages(spark, o.out)
+            done.add("models", lambda: train.train(read(o.images).select("image_id", "emb"), list(run.seeds), settings))
+            done.add("manifest", lambda: sinks.manifest(read(o.images), seeds=o.seeds, dict_size=o.dict_size, k=o.k, steps=o.steps, lr=settings.rate), json=True)
+        else:
+            hidden = o.analysis == "path-a"
+            out = registry.dataset(o.dataset, variant=o.variant).folder(o.out, "hidden" if hidden else "baseline", o.tag)
+            bridge = {"projection": np.load(o.projection), "gap": read(o.gap) if o.gap else None} if hidden else {}
+            done = pipelines.baseline(spark, read(o.images), read(o.terms), out, run, models=read(o.models) if o.models else None, **bridge)
+    elif o.analysis == "extract":
+        data = registry.dataset(o.dataset)
+        done = pipelines.Stages(spark, o.out)
+        files = images.flattened(images.listing(spark, o.folder, data.pattern, data.recursive))
+        files = files.join(images.listing(spark, o.folder, data.pattern, data.recursive, content=True).select("path", "content"), "path")
+        views = sampling.views(files, o.augmentation) if o.augmentation else files.withColumn("view", F.lit(0))
+        done.add("images", lambda: images.encode_views(views, _function(o.encoder), o.batch_size))
+        if o.text_encoder and not o.skip_text:
+            texts = reports.required(data.lookup(spark, o.folder), f"reports of {o.dataset}")
+            done.add("reports", lambda: images.encode_texts(texts, _function(o.text_encoder), o.batch_size))
+    elif o.analysis == "vocabulary":
+        nodes, edges, sites = ontologies.ontology(spark, o.ontology) if o.ontology else (None, None, None)
+        seeds = tuple(r["value"] for r in spark.read.text(o.seeds_file).where("trim(value) <> ''").collect()) if o.seeds_file else ()
+        done = pipelines.vocabulary(spark, read(o.terms), read(o.images), o.out, config.Vocabulary(o.topk, seeds), nodes, edges, sites)
+    elif o.analysis == "null":
+        done = pipelines.nulls(spark, read(o.images), read(o.terms), o.out, o.k, read(o.explanations) if o.explanations else None, o.seed)
+    elif o.analysis == "judge":
+        data = registry.dataset(o.dataset)
+        given = data.lookup(spark, o.reports) if o.raw else read(o.reports)
+        out = f"{data.folder(o.out, 'judge', o.source)}/{o.model.replace('/', '_').replace(':', '_')}"
+        done = pipelines.judged_in_parts(spark, read(o.explanations), given, models.http_model(o.url, o.model), data.prompt, out, o.checkpoint_every, o.resume)
+    elif o.analysis == "failures":
+        done = pipelines.failures(spark, read(o.names), read(o.records), o.slot_mean, o.dict_size, o.k, o.out)
     elif o.analysis == "splice":
         done = pipelines.spliced(spark, read(o.images), read(o.terms), o.out, config.Splice(o.k, not o.no_gap_correction), o.analyze)
     elif o.analysis == "organize":

@@ -5,12 +5,14 @@ costs one stage. `stages` of a result lists what ran and for how long."""
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismet.functions.vectors import entries, modality_gap, with_gap
@@ -270,3 +272,63 @@ def ablation(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str,
         row = s["sparsity"].crossJoin(stability.stability_summary(s["null_isotropic"])).withColumn("dict_size", F.lit(width)).withColumn("k", F.lit(k))
         rows = row if rows is None else rows.unionByName(row)
     return rows
+
+
+def vocabulary(spark: SparkSession, terms: DataFrame, images: DataFrame, out: str, settings: config.Vocabulary | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, sites: DataFrame | None = None, domain: config.Domain | None = None) -> Stages:
+    """Build a vocabulary: terms (term, emb) that the ontology's domain filter leaves, ranked by the nearest centroid of the
+    images' labels (images: label, emb), the best top_k and the injected seeds.
+
+    Without an ontology (descriptor records are filtered by their tree numbers before) all terms are ranked."""
+    settings, domain = settings or config.Vocabulary(), domain or config.Domain()
+    s = Stages(spark, out)
+    numbered = terms.groupBy("term").agg(F.first("emb").alias("emb"))
+    numbered = s.add("terms", lambda: graph.ranked(numbered, 1 + numbered.count() // 100_000, F.col("term")).select((F.col("__r") - 1).alias("term_idx"), "term", "emb"))
+    if nodes is not None:
+        labels = ontology.preferred_labels(nodes)
+        inside = ontology.domain_filter(nodes, edges, sites, list(domain.targets), list(domain.findings), list(domain.devices), list(domain.keywords))
+        kept = s.add("kept", lambda: ontology.keep_terms(numbered.select(F.col("term_idx").alias("pos"), "term"), labels.select("rid", "label"), inside.select("rid")))
+        numbered = numbered.join(kept.select("term"), "term", "left_semi")
+    centres = s.add("centroids", lambda: graph.ranked(vocab.centroids(images, "label"), 1, F.col("label")).select((F.col("__r") - 1).alias("centre"), "label", "emb"))
+    scored = s.add("scored", lambda: vocab.rank_terms(numbered, centres, "centre").join(numbered.select("term_idx", "term"), "term_idx"))
+    seeds = spark.createDataFrame([(x,) for x in settings.seeds], "term string")
+    s.add("vocabulary", lambda: vocab.build(scored, settings.top_k, seeds), json=True)
+    return s
+
+
+def nulls(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, k: int | None = None, counts: DataFrame | None = None, seed: int = 42, default: int = 32) -> Stages:
+    """Explanations of randomly drawn terms: k each, or as many as `counts` (explanations of a decomposition) has for the image."""
+    s = Stages(spark, out)
+    if k is None and counts is None:
+        raise ValueError("give a number of concepts, or explanations whose numbers count")
+    n = images.select("image_id").distinct()
+    n = n.withColumn("n", F.lit(k)) if k is not None else n.join(counts.select("image_id", F.size("top_k_concepts").alias("n")), "image_id", "left")
+    s.add("explanations", lambda: explain.null_explanations(n, terms, seed, default), json=True)
+    return s
+
+
+def judged_in_parts(spark: SparkSession, explanations: DataFrame, reports: DataFrame, model: Callable[[str], str], template: str, out: str, every: int = 50, resume: bool = False) -> Stages:
+    """judged() with the records written after every `every` pairs or so: an interrupted run goes on from them.
+
+    Parts are dealt by a hash of the pair, so they do not depend on the order of rows."""
+    s = Stages(spark, out)
+    path = f"{s.out}/judged"
+    columns = "image_id string, pseudo_report string, verdict string, raw_response string"
+    pairs = judge.with_reports(explanations.withColumn("image_id", F.col("image_id").cast("string")), reports.withColumn("image_id", F.col("image_id").cast("string")))
+    known = spark.createDataFrame([], columns)
+    if resume:
+        with contextlib.suppress(AnalysisException):  # nothing was judged before
+            known = spark.read.schema(columns).parquet(path)
+    open_ = s.add("open", lambda: judge.pending(pairs.select("image_id", "pseudo_report", "report"), known, ["image_id", "pseudo_report"], "report"))
+    if not resume:
+        known.write.mode("overwrite").parquet(path)
+    parts = max(1, -(-open_.count() // every))
+    for part in range(parts):
+        some = open_.where(F.pmod(F.xxhash64("image_id", "pseudo_report"), F.lit(parts)) == part)
+        judge.ask(some, template, model).write.mode("append").parquet(path)
+    everything = spark.read.schema(columns).parquet(path)
+    failed = F.startswith(F.coalesce("raw_response", F.lit("")), F.lit("ERROR:"))
+    latest = everything.withColumn("failed", failed).withColumn("__r", F.row_number().over(Window.partitionBy("image_id", "pseudo_report").orderBy("failed", "raw_response"))).where("__r = 1").drop("__r", "failed")
+    s.add("records", lambda: latest)
+    s.add("scores", lambda: judge.scores(s["records"]), json=True)
+    sinks.write_verdicts(s["records"], f"{s.out}/verdicts.csv")
+    return s

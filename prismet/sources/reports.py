@@ -41,6 +41,13 @@ def image_reports(rows: DataFrame, on_disk: DataFrame | None = None) -> DataFram
     return kept if on_disk is None else kept.join(on_disk.select(F.col("file").alias("image_id")), "image_id", "left_semi")
 
 
+def required(df: DataFrame, what: str) -> DataFrame:
+    """df, ordered by its first column; an empty one is an error."""
+    if not df.limit(1).count():
+        raise ValueError(f"no {what}")
+    return df.orderBy(df.columns[0])
+
+
 def captions(rows: DataFrame) -> DataFrame:
     """Captions without the header row and without blank texts; rows: name, caption."""
     return rows.where(F.col("name").isNotNull() & (F.trim(F.coalesce("caption", F.lit(""))) != "")).where(is_image_name(F.col("name")))

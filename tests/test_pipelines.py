@@ -131,6 +131,61 @@ def test_command_line(spark, tables, tmp_path, capsys, monkeypatch):
         parser().parse_args(["splice"])
 
 
+def lengths(contents):
+    """An encoder of files or texts."""
+    return [[float(len(c)), 1.0] for c in contents]
+
+
+def test_more_commands(spark, tables, tmp_path, capsys, monkeypatch):
+    p = lambda name: str(tmp_path / name)
+    tables[0].withColumn("label", F.concat(F.lit("g"), F.col("grp").cast("string"))).write.parquet(p("i"))
+    tables[1].write.parquet(p("t"))
+    small = ["--seeds", "0,1", "--dict-size", "16", "--k", "2", "--steps", "5", "--batch-size", "32"]
+    assert main(["train", "--images", p("i"), "--out", p("m"), *small]) == 0
+    models_ = spark.read.parquet(p("m/models"))
+    assert models_.count() == 32 and spark.read.parquet(p("m/manifest")).first()["dict_size"] == 16
+    np.save(p("p.npy"), np.random.default_rng(0).normal(size=(64, 64)))
+    assert main(["path-a", "--images", p("i"), "--terms", p("t"), "--projection", p("p.npy"), "--models", p("m/models"), "--n-perm", "2", "--tag", "x", "--out", p("a"), *small]) == 0
+    names = spark.read.parquet(p("a/dataset=iu_xray/variant=standard/hidden_x/names"))
+    assert names.count() == 16
+    assert main(["vocabulary", "--terms", p("t"), "--images", p("i"), "--topk", "5", "--out", p("v")]) == 0
+    assert spark.read.parquet(p("v/vocabulary")).count() == 5
+    assert main(["null", "--images", p("i"), "--terms", p("t"), "--k", "3", "--out", p("n")]) == 0
+    nulls = spark.read.parquet(p("n/explanations"))
+    assert {r["n"] for r in nulls.collect()} == {3}
+    reports_ = nulls.select("image_id", F.lit("clear").alias("report")).limit(7)
+    reports_.write.parquet(p("r"))
+    asked = []
+    monkeypatch.setattr(models, "http_model", lambda url, name: lambda prompt: asked.append(prompt) or "fine | Verdict: Aligned")
+    monkeypatch.setattr(pipelines.judge, "_called", lambda rows, template, model, suffix: spark.createDataFrame([(*r, model(r[1])) for r in rows.select("image_id", "report", "pseudo_report").collect()], "image_id string, report string, pseudo_report string, raw_response string"))
+    judge = ["judge", "--explanations", p("n/explanations"), "--reports", p("r"), "--source", "null", "--checkpoint-every", "3", "--model", "a/b:1", "--out", p("j")]
+    assert main(judge) == 0 and len(asked) == 7
+    assert main([*judge, "--resume"]) == 0 and len(asked) == 7
+    records = spark.read.parquet(p("j/dataset=iu_xray/variant=standard/judge_null/a_b_1/records"))
+    assert records.count() == 7
+    records.withColumn("model", F.lit("m")).write.parquet(p("rec"))
+    assert main(["failures", "--names", p("a/dataset=iu_xray/variant=standard/hidden_x/names"), "--records", p("rec"), "--slot-mean", "0.1", "--dict-size", "16", "--k", "2", "--out", p("f")]) == 0
+    (tmp_path / "pics").mkdir()
+    for n in ("x.png", "y.png"):
+        (tmp_path / "pics" / n).write_bytes(n.encode())
+    assert main(["extract", "--folder", p("pics"), "--encoder", "tests.test_pipelines:lengths", "--augmentation", "2", "--skip-text", "--out", p("e")]) == 0
+    assert spark.read.parquet(p("e/images")).groupBy("view").count().count() == 3
+    assert main(["take", p("pics"), "--out", p("s1")]) == 0
+    (tmp_path / "pics" / "x.png").write_bytes(b"new")
+    assert main(["take", p("pics"), "--out", p("s2")]) == 0
+    assert main(["compare", p("s1"), p("s1")]) == 0 and main(["compare", p("s1"), p("s2")]) == 1
+
+
+def test_vocabulary_with_an_ontology(spark, tables, tmp_path):
+    nodes = spark.createDataFrame([(0, "RID1243", "thorax", False), (1, "A", "lung field", False), (2, "B", "liver edge", False), (3, "C", "elsewhere", False)], "pos int, rid string, label string, obsolete boolean")
+    edges = spark.createDataFrame([("A", "RID1243"), ("B", "RID1243")], "child string, parent string")
+    sites = spark.createDataFrame([], "rid string, site string")
+    terms = spark.createDataFrame([(t, [1.0, float(i)]) for i, t in enumerate(("Lung field", "liver edge", "elsewhere", "unknown word"))], "term string, emb array<double>")
+    images = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0, 0.1])], "label string, emb array<double>")
+    s = pipelines.vocabulary(spark, terms, images, str(tmp_path), config.Vocabulary(1, ("Unknown word",)), nodes, edges, sites)
+    assert [(r["term"], r["source"]) for r in s["vocabulary"].orderBy("place").collect()] == [("Lung field", "ranked"), ("unknown word", "seed")]
+
+
 def test_models_and_fetching(tmp_path):
     seen = {}
 

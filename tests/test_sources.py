@@ -18,15 +18,20 @@ def xml():
     return '<?xml version="1.0"?><DescriptorRecordSet>' + "".join(RECORD.format(*r) for r in rows) + "</DescriptorRecordSet>"
 
 
-@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("packed", [False, True, "unnamed"])
 def test_descriptors(spark, tmp_path, packed):
-    if packed:
+    if packed == "unnamed":
+        path = tmp_path / "d.xml"
+        path.write_bytes(gzip.compress(xml().encode()))
+    elif packed:
         path = tmp_path / "d.xml.gz"
         path.write_bytes(gzip.compress(xml().encode()))
     else:
         path = tmp_path / "d.xml"
         path.write_text(xml())
-    got = {r["name"]: list(r["trees"]) for r in ontologies.descriptors(spark, str(path)).collect()}
+    rows = ontologies.descriptors(spark, str(path)).orderBy("pos").collect()
+    assert [r["name"] for r in rows] == ["Lung", "Pneumonia", "Aspirin", "No Trees"]
+    got = {r["name"]: list(r["trees"]) for r in rows}
     assert got == {"Lung": ["A04.411"], "Pneumonia": ["C08.381", "C01"], "Aspirin": ["D03.4"], "No Trees": []}
 
 
