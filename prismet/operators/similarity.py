@@ -60,13 +60,17 @@ def _matched(ids, rows: np.ndarray, right_ids: np.ndarray, right: np.ndarray, n:
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(right_ids[at].ravel()), pa.array(np.take_along_axis(scores, at, axis=1).ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(ids)))], schema=_SCHEMA)
 
 
-def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "id", right_id: str = "id", column: str = "emb", most: int = MAX_BROADCAST_ROWS, block: int = 1024) -> DataFrame:
-    """left_id, right_id, score (cosine), rank: the n nearest rows of `right` for every row of `left`; ties by lower id."""
+def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "id", right_id: str = "id", column: str = "emb", most: int = MAX_BROADCAST_ROWS, block: int = 1024, width: int | None = None) -> DataFrame:
+    """left_id, right_id, score (cosine), rank: the n nearest rows of `right` for every row of `left`; ties by lower id.
+
+    `width`, the number of dimensions, is looked up where it is not given."""
     spark = left.sparkSession
     a = left.select(F.col(left_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
     b = right.select(F.col(right_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
-    wide = b.select(F.size("emb").alias("d")).first()
-    most = min(most, max(1, MAX_BROADCAST_BYTES // (8 * max(1, wide["d"] if wide else 1))))
+    if width is None:
+        first = b.select(F.size("emb").alias("d")).first()
+        width = first["d"] if first else 1
+    most = min(most, max(1, MAX_BROADCAST_BYTES // (8 * max(1, width))))
     head = b.limit(most + 1).toArrow()
     if head.num_rows <= most:
         head = head.sort_by("id")

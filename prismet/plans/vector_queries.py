@@ -110,7 +110,7 @@ def _all_pairs(spark, sf_dir):
     """Best matches of every seed pair i < j: seed_i, seed_j, left_id, right_id, score, mutual. The number of seeds is that of the models."""
     d = roles.decoder(spark, sf_dir)
     seeds = sorted(r["seed"] for r in d.select("seed").distinct().collect())
-    ids = {"left_id": "feature_id", "right_id": "feature_id"}
+    ids = {"left_id": "feature_id", "right_id": "feature_id", "width": roles.WIDTH}
     out = spark.createDataFrame([], "seed_i long, seed_j long, left_id long, right_id long, score double, mutual boolean")
     for i, j in combinations(seeds, 2):
         a, b = d.where(F.col("seed") == i), d.where(F.col("seed") == j)
