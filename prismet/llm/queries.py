@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, language_id, media, mixing, packing, pii, quality, secrets
+from . import chat, exact_dedup, jaccard_join, language_id, media, mixing, packing, pii, quality, repair, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -17,10 +17,9 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_pii": pii.query,
     "op10_quality": quality.query,
+    "op12_conversation_repair": repair.query,
 }
 
-
-
 def _part(name: str, *columns: str):
     """The columns of an operator's result that SQL can express."""
     return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).select(*columns)
@@ -41,7 +40,8 @@ PARTS = {
 ORACLES = {
     "op3_chat_format": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
-    "base_of_op2": """
+    "op12_conversation_repair": repair.ORACLE,
+    "base_of_op2": r"""
 SELECT doc_id,
        len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
@@ -62,7 +62,7 @@ l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0))
 t AS (SELECT *, least(most, coalesce(weight * max(CASE WHEN level < most / weight THEN level END) OVER (), most)) AS target FROM l)
 SELECT d.doc_id, d.size, t.source_size, round(t.target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """,
-    "base_of_op9": """
+    "base_of_op9": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
              list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,

@@ -14,7 +14,7 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n != "op3_chat_format"])
+@pytest.mark.parametrize("name", [n for n in sorted(ORACLES) if n not in ("op3_chat_format", "op12_conversation_repair")])
 @pytest.mark.parametrize("made", [True, False])
 def test_against_sql(spark, make, tmp_path, name, made):
     if made:
@@ -30,4 +30,4 @@ def test_against_sql(spark, make, tmp_path, name, made):
 
 def test_the_operators_come_first():
     """Whoever looks for opN_ finds the operator, not a part of it."""
-    assert [n for n in QUERIES if n.startswith("op")] == [n for n in QUERIES][:10]
+    assert [n for n in QUERIES if n.startswith("op")] == [n for n in QUERIES][: len([n for n in QUERIES if n.startswith("op")])]
