@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, language_id, media, mixing, packing, pii, quality, repair, secrets
+from . import alignment, chat, exact_dedup, hyperminhash, jaccard_join, language_id, media, mixing, packing, pii, quality, repair, secrets
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -17,7 +17,9 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_pii": pii.query,
     "op10_quality": quality.query,
+    "op11_alignment": alignment.query,
     "op12_conversation_repair": repair.query,
+    "op13_near_dedup": hyperminhash.query,
 }
 
 def _part(name: str, *columns: str):
@@ -40,6 +42,7 @@ PARTS = {
 ORACLES = {
     "op3_chat_format": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_alignment": alignment.query,
     "op12_conversation_repair": repair.ORACLE,
     "base_of_op2": r"""
 SELECT doc_id,
