@@ -5,17 +5,23 @@ from __future__ import annotations
 import argparse
 import importlib
 from dataclasses import replace
+from functools import partial
 
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from prismet.operators import sampling, train
+from prismet.functions import pictures
+from prismet.operators import graph, sampling, train
 from prismet.operators.train import TrainConfig
 from prismet.plans import config, pipelines
 from prismet.sources import images, models, ontologies, registry, reports, sinks, snapshot
 
 
+#: Folders of the methods whose explanations can be organised.
+SOURCES = {"splice": "splice", "baseline": "baseline", "hidden": "hidden"}
+
+
 def _training(a: argparse.ArgumentParser) -> None:
     a.add_argument("--seeds", default=",".join(map(str, config.SEEDS)))
     a.add_argument("--dict-size", type=int, default=2048)
@@ -49,6 +55,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "path-a":
             a.add_argument("--projection", required=True, help="matrix of the bridge (.npy, rows are output dimensions)")
             a.add_argument("--gap", help="table of one row with the gap in the vocabulary's space")
+            a.add_argument("--folder", help="image files to encode into --images before the run")
+            a.add_argument("--encoder", help="module:function from a list of file contents to rows of hidden states")
+            a.add_argument("--skip-extract", action="store_true", help="reuse the table at --images")
     a = add("train")
     a.add_argument("--images", required=True)
     _training(a)
@@ -60,10 +69,14 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--batch-size", type=int, default=64)
     a.add_argument("--augmentation", type=int, default=0, help="views an image besides the original")
     a.add_argument("--skip-text", action="store_true")
+    a.add_argument("--short-edge", type=int, default=pictures.SHORT_EDGE, help="pixels to which short edges are reduced first; 0 leaves pictures as they are")
     a = add("vocabulary")
     a.add_argument("--terms", required=True, help="table of term, emb")
     a.add_argument("--images", required=True, help="table of label, emb")
+    a.add_argument("--dataset", default="iu_xray", help="picks the source of the vocabulary: an ontology or descriptor records")
     a.add_argument("--ontology")
+    a.add_argument("--descriptors", help="descriptor records, for datasets whose vocabulary they are")
+    a.add_argument("--branches", default="A,C,E", help="branches of the descriptors to keep")
     a.add_argument("--topk", type=int, default=1024)
     a.add_argument("--seeds-file", help="text file of terms to inject")
     a = add("null")
@@ -83,9 +96,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--url", default="http://localhost:1234/v1")
     a.add_argument("--model", default="local-model")
     a = add("failures")
-    a.add_argument("--names", required=True)
-    a.add_argument("--records", required=True, help="table of model, verdict, raw_response")
-    a.add_argument("--slot-mean", type=float, required=True)
+    a.add_argument("--run", required=True, help="folder of a baseline run")
+    a.add_argument("--judged", nargs="*", default=[], help="judge folders, as MODEL=FOLDER")
     a.add_argument("--dict-size", type=int, default=2048)
     a.add_argument("--k", type=int, default=32)
     a = add("splice")
@@ -94,8 +106,13 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--k", type=int, default=32)
     a.add_argument("--no-gap-correction", action="store_true")
     a.add_argument("--analyze", action="store_true")
+    a.add_argument("--dataset", default="iu_xray")
+    a.add_argument("--tag", default="")
     a = add("organize")
-    a.add_argument("--explanations", required=True)
+    a.add_argument("--source", choices=sorted(SOURCES), default="splice", help="whose explanations to organise")
+    a.add_argument("--dataset", default="iu_xray")
+    a.add_argument("--tag", default="")
+    a.add_argument("--explanations", help="instead of those of --source below --out")
     a.add_argument("--terms", required=True)
     a.add_argument("--n-clusters", type=int)
     a.add_argument("--distance", type=float)
@@ -130,7 +147,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     o = parser().parse_args(argv)
     spark = SparkSession.builder.appName("prismet").getOrCreate()
-    read = spark.read.parquet
+    read = partial(pipelines.existing, spark)
     if o.analysis == "snapshot":
         return 0 if snapshot.identical(snapshot.take(spark, o.before), snapshot.take(spark, o.after)) else 1
     if o.analysis == "take":
@@ -154,18 +171,37 @@ def main(argv: list[str] | None = None) -> int:
             hidden = o.analysis == "path-a"
             out = registry.dataset(o.dataset, variant=o.variant).folder(o.out, "hidden" if hidden else "baseline", o.tag)
             bridge = {"projection": np.load(o.projection), "gap": read(o.gap) if o.gap else None} if hidden else {}
+            if hidden and o.folder and not o.skip_extract:
+                data = registry.dataset(o.dataset)
+                files = pictures.downscaled(data.images(spark, o.folder).select("file", "content"))
+                rows = images.encode(files, _function(o.encoder)).withColumn("grp", data.group(F.col("image_id")))
+                numbered = graph.ranked(rows, 1 + rows.count() // 100_000, F.col("image_id")).select((F.col("__r") - 1).alias("image_id"), F.col("image_id").alias("file"), "grp", "emb")
+                numbered.write.mode("overwrite").parquet(o.images)
             done = pipelines.baseline(spark, read(o.images), read(o.terms), out, run, models=read(o.models) if o.models else None, **bridge)
+            if hidden:
+                settings = [("variant", o.variant), ("tag", o.tag or "-"), ("images", o.images), ("results", out), ("dict_size / k / steps", f"{o.dict_size} / {o.k} / {o.steps}"), ("seeds", o.seeds)]
+                pipelines.run_report(spark, done, f"Hidden-state run ({o.variant})", settings, {"images": read(o.images).select("image_id", "emb"), "terms": read(o.terms), "models": done["models"]})
     elif o.analysis == "extract":
         data = registry.dataset(o.dataset)
         done = pipelines.Stages(spark, o.out)
         files = images.flattened(images.listing(spark, o.folder, data.pattern, data.recursive))
         files = files.join(images.listing(spark, o.folder, data.pattern, data.recursive, content=True).select("path", "content"), "path")
+        if o.short_edge:
+            files = pictures.downscaled(files, o.short_edge).drop("width", "height", "reduced")
         views = sampling.views(files, o.augmentation) if o.augmentation else files.withColumn("view", F.lit(0))
         done.add("images", lambda: images.encode_views(views, _function(o.encoder), o.batch_size))
         if o.text_encoder and not o.skip_text:
             texts = reports.required(data.lookup(spark, o.folder), f"reports of {o.dataset}")
             done.add("reports", lambda: images.encode_texts(texts, _function(o.text_encoder), o.batch_size))
     elif o.analysis == "vocabulary":
+        source = registry.dataset(o.dataset).vocabulary
+        if source == "descriptors":
+            if not o.descriptors:
+                raise SystemExit(f"the vocabulary of {o.dataset} comes from descriptor records; give --descriptors")
+            records = ontologies.descriptors(spark, o.descriptors)
+            done = pipelines.descriptor_vocabulary(spark, records, read(o.terms), read(o.images), o.out, tuple(x for x in o.branches.replace(" ", "").split(",") if x), o.topk)
+            print(done.report())
+            return 0
         nodes, edges, sites = ontologies.ontology(spark, o.ontology) if o.ontology else (None, None, None)
         seeds = tuple(r["value"] for r in spark.read.text(o.seeds_file).where("trim(value) <> ''").collect()) if o.seeds_file else ()
         done = pipelines.vocabulary(spark, read(o.terms), read(o.images), o.out, config.Vocabulary(o.topk, seeds), nodes, edges, sites)
@@ -177,12 +213,15 @@ def main(argv: list[str] | None = None) -> int:
         out = f"{data.folder(o.out, 'judge', o.source)}/{o.model.replace('/', '_').replace(':', '_')}"
         done = pipelines.judged_in_parts(spark, read(o.explanations), given, models.http_model(o.url, o.model), data.prompt, out, o.checkpoint_every, o.resume)
     elif o.analysis == "failures":
-        done = pipelines.failures(spark, read(o.names), read(o.records), o.slot_mean, o.dict_size, o.k, o.out)
+        done = pipelines.failures_of_run(spark, o.run, dict(x.split("=", 1) for x in o.judged), o.out, o.dict_size, o.k)
     elif o.analysis == "splice":
-        done = pipelines.spliced(spark, read(o.images), read(o.terms), o.out, config.Splice(o.k, not o.no_gap_correction), o.analyze)
+        out = registry.dataset(o.dataset).folder(o.out, "splice", o.tag)
+        done = pipelines.spliced(spark, read(o.images), read(o.terms), out, config.Splice(o.k, not o.no_gap_correction), o.analyze)
     elif o.analysis == "organize":
         nodes, edges, _ = ontologies.ontology(spark, o.ontology) if o.ontology else (None, None, None)
-        done = pipelines.organized(spark, read(o.explanations), read(o.terms), o.out, config.Organize(o.linkage, n_clusters=o.n_clusters, distance=o.distance), nodes, edges)
+        data = registry.dataset(o.dataset)
+        given = read(o.explanations or f"{data.folder(o.out, SOURCES[o.source], o.tag)}/explanations")
+        done = pipelines.organized(spark, given, read(o.terms), data.folder(o.out, f"organization_{o.source}", o.tag), config.Organize(o.linkage, n_clusters=o.n_clusters, distance=o.distance), nodes, edges)
     elif o.analysis == "faithfulness":
         done = pipelines.faithful(spark, read(o.activations), read(o.labels), read(o.images), o.out, config.Faithfulness(o.min_prev, o.n_perm, o.null_seed))
     else:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,41 +86,106 @@ def top_faithful(best: DataFrame, n: int = 10) -> DataFrame:
     return best.orderBy(F.desc("abs_r"), "feature_id").limit(n)
 
 
+#: Bytes of label marks that are broadcast at a time, places of one feature in one group, and numbers in one gathered block.
+LABEL_BYTES, GROUP_PLACES, GATHERED = 64 << 20, 1 << 20, 1 << 21
+ROUNDS = 7
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def permuted(places: np.ndarray, n: int, draws: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Row d: the places under the permutation of 0 to n - 1 that belongs to (seed, draw d), by arithmetic alone.
+
+    A Feistel network of ROUNDS hashed rounds is a permutation of the least even number of bits that n fits into; places that
+    it moves beyond n go through it again until they are inside, which leaves a permutation of the n places. No task needs
+    the others' places, so nothing is sorted or shuffled for a draw."""
+    half = np.uint64(max(1, -(-max(1, n - 1).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    with np.errstate(over="ignore"):
+        keys = _mixed(np.asarray(draws, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mixed(np.full(1, seed + 1, np.uint64)))
+        at = np.repeat(np.asarray(places, np.uint64)[None], len(keys), axis=0)
+        key = np.repeat(keys[:, None], at.shape[1], axis=1)
+        outside = np.ones(at.shape, bool)
+        while outside.any():
+            x, k = at[outside], key[outside]
+            left, right = x >> half, x & mask
+            for r in range(ROUNDS):
+                left, right = right, left ^ (_mixed(right * np.uint64(0xD6E8FEB86659FD93) + k + np.uint64(r)) & mask)
+            at[outside] = left << half | right
+            outside = at >= n
+    return at.astype(np.int64)
+
+
+def _label_marks(marks: DataFrame, words: int, low: int, high: int) -> np.ndarray:
+    """Bits of the labels of the places from low on, below high: one row a place. marks: place, at (number of the label)."""
+    bit = F.shiftleft(F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    rows = marks.where((F.col("place") >= low) & (F.col("place") < high)).groupBy("place").agg(*[F.bit_or(F.when(F.floor(F.col("at") / 64) == w, bit).otherwise(0)).alias(f"w{w}") for w in range(words)]).toArrow()
+    out = np.zeros((high - low, words), np.int64)
+    out[rows.column("place").to_numpy() - low] = np.stack([rows.column(f"w{w}").to_numpy() for w in range(words)], axis=1)
+    return out
+
+
+def label_sums(activations: DataFrame, marks: np.ndarray, low: int, n: int, n_labels: int, n_perm: int, seed: int) -> DataFrame:
+    """feature_id, perm, sums: per draw the activations' sums over the images that get each label, as far as the label rows
+    of places low to low + len(marks) give them: the product of a feature's sparse row with the moved label rows, block by
+    block. activations: feature_id, place, activation."""
+    schema = pa.schema([("feature_id", pa.int64()), ("perm", pa.int64()), ("sums", pa.list_(pa.float64()))])
+    shipped = activations.sparkSession.sparkContext.broadcast(marks)  # LABEL_BYTES at most
+
+    def group(t: pa.Table) -> pa.Table:
+        rows = shipped.value
+        places, values = t.column("place").to_numpy(), t.column("activation").to_numpy()
+        step = max(1, GATHERED // (max(1, len(places)) * rows.shape[1] * 64))
+        out = []
+        for d in range(0, n_perm, step):
+            at = permuted(places, n, np.arange(d, min(n_perm, d + step)), seed) - low
+            inside = (at >= 0) & (at < len(rows))
+            bits = rows[np.where(inside, at, 0)]
+            bits[~inside] = 0
+            on = np.unpackbits(bits.astype("<i8").view(np.uint8), axis=2, bitorder="little")[:, :, :n_labels]
+            out.append(np.einsum("k,dkl->dl", values, on.astype(np.float64), optimize=True))
+        feature = t.column("feature_id")[0].as_py()
+        return pa.table([pa.array([feature] * n_perm, pa.int64()), pa.array(range(n_perm), pa.int64()), pa.array(list(np.concatenate(out)), pa.list_(pa.float64()))], schema=schema)
+
+    # A feature that fires everywhere is dealt out by ranges of places.
+    return activations.withColumn("part", F.floor(F.col("place") / GROUP_PLACES)).groupBy("feature_id", "part").applyInArrow(group, "feature_id long, perm long, sums array<double>")
+
+
 def shuffle_null(activations: DataFrame, image_labels: DataFrame, images, n_perm: int = 200, seed: int = 0) -> DataFrame:
     """feature_id, perm, max_r: the largest absolute correlation after shuffling label rows over the images (image_id, a table or a list).
 
-    Images get places 0 to n - 1 in the order of a hash; permutation p moves the labels of place k to place a k + b
-    modulo n (a prime to n, a and b drawn by p), one of a group of permutations, as such a test needs. Labels and
-    activations meet as sparse rows, and nothing dense is built or sent to the driver. A label that meets no
-    activation of a feature correlates by its prevalence alone; the most prevalent of those stands for all."""
+    Images get places 0 to n - 1 in the order of a hash; draw p gives the image of place k the label row of place
+    permuted(k), a permutation of all places. Activations are dealt by feature once, whatever the number of draws; label
+    rows are bits, broadcast LABEL_BYTES at a time (64 labels of 8 million images), and meet them there. What is shuffled
+    for the draws are the sums, one row a feature and draw."""
     spark = activations.sparkSession
     ids = (images if isinstance(images, DataFrame) else spark.createDataFrame([(i,) for i in images], "image_id long")).select("image_id").distinct()
     n = ids.count()
-    places = ranked(ids, min(512, 1 + n // 10_000), F.xxhash64("image_id", F.lit(seed)), F.col("image_id")).select("image_id", (F.col("__r") - 1).alias("place"))
-    places = kept(places)
-    acts = kept(activations.join(places, "image_id").select(F.col("feature_id").cast("long").alias("feature_id"), "place", "activation"))
-    marks = kept(image_labels.select("image_id", "label").distinct().join(places, "image_id").select("label", "place"))
-    turns = F.array(*[F.struct(F.lit(p).cast("long").alias("perm"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for p, a, b in _moves(n, n_perm, seed)])
-    moved = marks.withColumn("t", F.explode(turns)).select("label", "t.perm", F.pmod(F.col("place") * F.col("t.a") + F.col("t.b"), F.lit(n)).alias("place"))
-    deviation = lambda total, squares: F.sqrt(F.greatest(squares / n - (total / n) ** 2, F.lit(0.0)))
-    feature = acts.groupBy("feature_id").agg(F.sum("activation").alias("sa"), F.sum(F.col("activation") ** 2).alias("saa")).select("feature_id", "sa", deviation(F.col("sa"), F.col("saa")).alias("da"))
-    label = marks.groupBy("label").agg(F.count("*").alias("sy")).select("label", "sy", deviation(F.col("sy"), F.col("sy")).alias("dy"))
-    joint = acts.join(moved, "place").groupBy("feature_id", "perm", "label").agg(F.sum("activation").alias("say")).join(label, "label").join(feature, "feature_id")
-    size = F.abs(F.col("say") / n - F.col("sa") / n * F.col("sy") / n)
-    r = F.when(F.col("da") * F.col("dy") > 1e-15, size / (F.col("da") * F.col("dy"))).otherwise(0.0)
-    seen = joint.groupBy("feature_id", "perm").agg(F.max(r).alias("best"), F.collect_set("label").alias("met"))
-    ratio = F.when(F.col("dy") > 1e-15, F.col("sy") / n / F.col("dy")).otherwise(0.0)
-    every = label.agg(F.array_sort(F.collect_list(F.struct((-ratio).alias("minus"), "label"))).alias("labels"))
-    rows = feature.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)).cast("array<long>"))).join(seen, ["feature_id", "perm"], "left").crossJoin(F.broadcast(every))  # one row
-    unmet = F.when(F.col("da") > 1e-15, F.col("sa") / n / F.col("da") * -F.try_element_at(F.filter("labels", lambda x: ~F.array_contains(F.coalesce("met", F.array().cast("array<string>")), x["label"])), F.lit(1))["minus"])
-    return rows.select("feature_id", "perm", F.greatest(F.coalesce("best", F.lit(0.0)), F.coalesce(unmet, F.lit(0.0))).alias("max_r"))
-
-
-def _moves(n: int, n_perm: int, seed: int) -> list[tuple[int, int, int]]:
-    """(perm, a, b) with a prime to n, so that k -> a k + b modulo n is a permutation."""
-    out = []
-    for p in range(n_perm):
-        rng = np.random.default_rng([seed, p])
-        a = next(int(x) for x in iter(lambda: rng.integers(1, max(2, min(n, 1 << 31))), None) if math.gcd(int(x), max(1, n)) == 1)
-        out.append((p, a, int(rng.integers(0, max(1, n)))))
-    return out
+    places = kept(ranked(ids, min(512, 1 + n // 10_000), F.xxhash64("image_id", F.lit(seed)), F.col("image_id")).select("image_id", (F.col("__r") - 1).alias("place")))
+    acts = kept(activations.join(places, "image_id").select(F.col("feature_id").cast("long").alias("feature_id"), "place", F.col("activation").cast("double").alias("activation")))
+    labelled = image_labels.select("image_id", "label").where("label is not null").distinct().join(places, "image_id")
+    counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # labels of a prevalence: a vocabulary
+    feature = acts.groupBy("feature_id").agg(F.sum("activation").alias("sa"), F.sum(F.col("activation") ** 2).alias("saa"))
+    if not counts:
+        return feature.select("feature_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))).alias("perm"), F.lit(0.0).alias("max_r"))
+    names = spark.createDataFrame([(r["label"], i) for i, r in enumerate(counts)], "label string, at int")
+    marks = kept(labelled.join(F.broadcast(names), "label").select("place", "at"))
+    words = -(-len(counts) // 64)
+    each = max(1, LABEL_BYTES // (8 * words))
+    sums = None
+    for low in range(0, n, each):
+        part = label_sums(acts, _label_marks(marks, words, low, min(n, low + each)), low, n, len(counts), n_perm, seed)
+        sums = part if sums is None else sums.unionByName(part)
+    total = sums.groupBy("feature_id", "perm").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    y = np.array([r["n"] for r in counts]) / n
+    dy = np.sqrt(np.maximum(y - y * y, 0.0))
+    label = F.array(*[F.struct(F.lit(float(m)).alias("mean"), F.lit(float(d)).alias("d")) for m, d in zip(y, dy, strict=True)])
+    mean = F.col("sa") / n
+    da = F.sqrt(F.greatest(F.col("saa") / n - mean * mean, F.lit(0.0)))
+    r = F.zip_with("sums", label, lambda s, m: F.when(F.col("da") * m["d"] > 1e-15, F.abs(s / n - F.col("mean") * m["mean"]) / (F.col("da") * m["d"])).otherwise(0.0))
+    return total.join(feature.select("feature_id", mean.alias("mean"), da.alias("da")), "feature_id").select("feature_id", "perm", F.array_max(r).alias("max_r"))

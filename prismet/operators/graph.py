@@ -8,21 +8,39 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed below spark.checkpoint.dir; where that is unset, in a temporary folder in local mode, else an error."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prismet-"))
+        base = tempfile.mkdtemp(prefix="prismet-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed below the shared folder."""
+    spark = df.sparkSession
+    base = shared(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read again: its rows are made once."""
+    path = f"{shared(df.sparkSession)}/prismet-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, ancestor), each node its own ancestor too; cycles end. nodes: node; edges: child, parent."""
     edges = kept(edges.select("child", "parent").distinct())

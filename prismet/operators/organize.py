@@ -6,14 +6,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismet.functions.vectors import cosine, l2_normalize, mean_vector
-from prismet.operators.similarity import matrix, unit
+from prismet.operators.graph import connected_components, kept, ranked
+from prismet.operators.similarity import matrix, top_matches, unit
 
 LINKAGES = ("average", "complete", "single")
-MOST_CONCEPTS = 20_000
+#: Concepts whose distances one task holds as a matrix.
+MOST_CONCEPTS = 4096
 
 
 def agglomerate(vectors: np.ndarray, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average") -> np.ndarray:
@@ -57,23 +61,119 @@ def agglomerate(vectors: np.ndarray, n_clusters: int | None = None, distance: fl
 
 
 def cluster_ids(assigned: DataFrame, name: str = "name", cluster: str = "label") -> DataFrame:
-    """cluster_id, members: ids follow the order of the sorted member lists. One row a cluster is ordered, at most MOST_CONCEPTS."""
+    """cluster_id, members: ids follow the order of the sorted member lists."""
     members = assigned.groupBy(cluster).agg(F.array_sort(F.collect_list(name)).alias("members"))
-    return members.select((F.dense_rank().over(Window.orderBy("members")) - 1).alias("cluster_id"), "members")
+    return ranked(members, 8, F.col("members")).select((F.col("__r") - 1).cast("int").alias("cluster_id"), "members")
 
 
-def agglomerative_clusters(concepts: DataFrame, **options) -> DataFrame:
-    """(name, label) of a concept table. The concepts in use (about a thousand) form one matrix by their nature: they
-    are terms of a vocabulary, not rows of the data. More than MOST_CONCEPTS (a matrix of 3.2 GB) are an error."""
-    n = concepts.count()
-    if n > MOST_CONCEPTS:
-        raise ValueError(f"{n} concepts; one matrix holds at most {MOST_CONCEPTS}")
+def agglomerative_clusters(concepts: DataFrame, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average", most: int | None = None) -> DataFrame:
+    """(name, label) of a concept table (name, emb).
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("name")
-        return pa.table({"name": t.column("name"), "label": pa.array(agglomerate(matrix(t.column("emb").combine_chunks()), **options), pa.int64())})
+    Up to `most` concepts (MOST_CONCEPTS, checked; a matrix of 134 MB) are one matrix in one task. More are merged in rounds over
+    the whole table (merged_in_rounds), by average or single linkage; complete linkage of more is an error, since the
+    largest distance between two clusters cannot be told from less than all their members."""
+    most = MOST_CONCEPTS if most is None else most
+    if concepts.limit(most + 1).count() <= most:
 
-    return concepts.select("name", F.col("emb").cast("array<double>").alias("emb"), F.lit(0).alias("one")).groupBy("one").applyInArrow(run, "name string, label long")
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("name")
+            return pa.table({"name": t.column("name"), "label": pa.array(agglomerate(matrix(t.column("emb").combine_chunks()), n_clusters, distance, linkage), pa.int64())})
+
+        return concepts.select("name", F.col("emb").cast("array<double>").alias("emb"), F.lit(0).alias("one")).groupBy("one").applyInArrow(run, "name string, label long")
+    return merged_in_rounds(concepts, n_clusters, distance, linkage)
+
+
+def merged_in_rounds(concepts: DataFrame, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average") -> DataFrame:
+    """agglomerate() of any number of concepts, as joins.
+
+    Average linkage: the mean cosine of two clusters' members is the dot product of their mean vectors, so a cluster is
+    (label, n, mean). A round finds each cluster's nearest (a blocked product) and merges all pairs that are nearest to each other; merged
+    clusters never come closer to others than their parts were, so these are merges of the sequential order too.
+    Single linkage: a round finds for each concept its nearest outside its cluster, for each cluster the least of these,
+    and joins along them: a minimum spanning tree.
+    Every merge has its height; the lowest ones, as many as the number of clusters asks, or those below the distance, are
+    applied at the end. Ties of heights go to the earlier round, then to the smaller pair."""
+    if linkage not in ("average", "single") or (n_clusters is not None and distance is not None):
+        raise ValueError("average or single linkage, and a number of clusters or a distance, not both")
+    m = concepts.count()
+    goal = 1 if distance is not None else min(m, n_clusters or max(2, round(math.sqrt(m))))
+    placed = ranked(concepts.select("name", l2_normalize(F.col("emb").cast("array<double>")).alias("emb")), 1 + m // 10_000, F.col("name"))
+    placed = kept(placed.select((F.col("__r") - 1).alias("place"), "name", "emb"))
+    merges = (_average_merges if linkage == "average" else _single_merges)(placed.select("place", "emb"))
+    below = merges.where(F.col("height") < distance) if distance is not None else lowest(merges, m - goal)
+    labels = connected_components(placed.select(F.col("place").alias("id")), below.select("a", "b"))
+    return placed.join(labels.withColumnRenamed("id", "place"), "place").select("name", F.col("component").alias("label"))
+
+
+def lowest(merges: DataFrame, n: int) -> DataFrame:
+    """The n lowest merges (a, b, height, turn)."""
+    cells = 1 + merges.count() // 100_000
+    return ranked(merges, cells, F.col("height"), F.col("turn"), F.col("a"), F.col("b")).where(F.col("__r") <= n).select("a", "b", "height", "turn")
+
+
+def _average_merges(rows: DataFrame) -> DataFrame:
+    """a, b, height, turn of all merges by average linkage. rows: place, emb (unit)."""
+    spark = rows.sparkSession
+    clusters = kept(rows.select(F.col("place").alias("id"), F.lit(1).cast("long").alias("n"), "emb"))
+    merges, turn = spark.createDataFrame([], "a long, b long, height double, turn int"), 0
+    while clusters.limit(2).count() > 1:
+        near = kept(top_matches(clusters, clusters, 1, scaled=False, others=True).select("left_id", "right_id", "score"))
+        back = near.select(F.col("left_id").alias("right_id"), F.col("right_id").alias("left_id"))
+        pairs = kept(near.join(back, ["left_id", "right_id"], "left_semi").where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), (1 - F.col("score")).alias("height"), F.lit(turn).alias("turn")))
+        if not pairs.limit(1).count():
+            # Only equal distances leave a round without a pair: then the first of the nearest pairs is one.
+            first = near.orderBy(F.desc("score"), F.least("left_id", "right_id"), F.greatest("left_id", "right_id")).limit(1)
+            pairs = kept(first.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), (1 - F.col("score")).alias("height"), F.lit(turn).alias("turn")))
+        merges = kept(merges.unionByName(pairs))
+        to = pairs.select(F.col("b").alias("id"), F.col("a").alias("to"))
+        moved = clusters.join(to, "id", "left").withColumn("id", F.coalesce("to", "id"))
+        weighted = moved.select("id", "n", F.transform("emb", lambda x: x * F.col("n")).alias("emb"))
+        sums = weighted.groupBy("id").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("emb"))).alias("emb"))
+        clusters = kept(sums.select("id", "n", F.transform("emb", lambda x: x / F.col("n")).alias("emb")))
+        turn += 1
+    return merges
+
+
+def _single_merges(rows: DataFrame) -> DataFrame:
+    """a, b, height, turn of a minimum spanning tree. rows: place, emb (unit)."""
+    spark = rows.sparkSession
+    labels = kept(rows.select(F.col("place").alias("id"), F.col("place").alias("component")))
+    tree, turn = spark.createDataFrame([], "a long, b long, height double, turn int"), 0
+    while labels.select("component").distinct().limit(2).count() > 1:
+        grouped = rows.withColumnRenamed("place", "id").join(labels, "id")
+        near = nearest_outside(grouped).join(labels, "id")
+        # Of equal ones the smallest pair, so that no circle closes.
+        edge = F.struct((1 - F.col("score")).alias("height"), F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        chosen = near.groupBy("component").agg(F.min(edge).alias("e")).select("e.a", "e.b", "e.height").distinct().withColumn("turn", F.lit(turn))
+        tree = kept(tree.unionByName(chosen))
+        labels = kept(connected_components(rows.select(F.col("place").alias("id")), tree.select("a", "b")))
+        turn += 1
+    return tree
+
+
+def nearest_outside(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """id, other, score: each row's largest dot product with a row of another component; ties to the lower id. rows: id, component, emb."""
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.withColumn("j", every).select(F.col("own").alias("i"), "j", "id", "component", "emb")
+    right = own.withColumn("i", every).select("i", F.col("own").alias("j"), "id", "component", "emb")
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        y = y.sort_by("id")
+        scores = matrix(x.column("emb").combine_chunks()) @ matrix(y.column("emb").combine_chunks()).T
+        scores[x.column("component").to_numpy()[:, None] == y.column("component").to_numpy()[None]] = -np.inf
+        at = scores.argmax(1)
+        top = scores[np.arange(len(at)), at]
+        some = np.isfinite(top)
+        return pa.table([pa.array(x.column("id").to_numpy()[some]), pa.array(y.column("id").to_numpy()[at[some]]), pa.array(top[some])], schema=schema)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "id long, other long, score double")
+    top = F.max(F.struct("score", (-F.col("other")).alias("minus")))
+    return found.groupBy("id").agg(top.alias("t")).select("id", (-F.col("t.minus")).alias("other"), "t.score")
 
 
 def families(image_concepts: DataFrame, clusters: DataFrame) -> DataFrame:

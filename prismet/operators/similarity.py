@@ -7,20 +7,24 @@ the first side go to every block, and the best of each block are merged.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismet.functions.vectors import dot, l2_normalize
+from prismet.functions.vectors import l2_normalize
 from prismet.operators.graph import kept
 
 MAX_BROADCAST_ROWS = 50_000
 MAX_BROADCAST_BYTES = 64 << 20
 #: Rows of the first side in one task of the blocked form, and rows of a block of threshold_edges.
 PART_ROWS, EDGE_ROWS = 65_536, 4096
+#: Most blocks of threshold_edges, whose summaries the driver compares, and the rows whose pairs set the length of a head.
+MOST_BLOCKS, AXES_SAMPLE = 1024, 512
 LEAST_NORM = 1e-12
 
 
@@ -53,17 +57,21 @@ _DDL = "left_id long, right_id long, score double, rank int"
 _SCHEMA = pa.schema([("left_id", pa.int64()), ("right_id", pa.int64()), ("score", pa.float64()), ("rank", pa.int32())])
 
 
-def _matched(ids, rows: np.ndarray, right_ids: np.ndarray, right: np.ndarray, n: int):
-    scores = unit(rows) @ right.T
+def _matched(ids, rows: np.ndarray, right_ids: np.ndarray, right: np.ndarray, n: int, others: bool):
+    scores = rows @ right.T
+    if others:
+        scores[ids[:, None] == right_ids[None]] = -np.inf
     at = best_of(scores, n)
     k = at.shape[1]
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(right_ids[at].ravel()), pa.array(np.take_along_axis(scores, at, axis=1).ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(ids)))], schema=_SCHEMA)
 
 
-def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "id", right_id: str = "id", column: str = "emb", most: int = MAX_BROADCAST_ROWS, block: int = 1024, width: int | None = None) -> DataFrame:
+def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "id", right_id: str = "id", column: str = "emb", most: int = MAX_BROADCAST_ROWS, block: int = 1024, width: int | None = None, scaled: bool = True, others: bool = False) -> DataFrame:
     """left_id, right_id, score (cosine), rank: the n nearest rows of `right` for every row of `left`; ties by lower id.
 
-    `width`, the number of dimensions, is looked up where it is not given."""
+    `width`, the number of dimensions, is looked up where it is not given. Unless `scaled`, scores are dot products of the
+    rows as they are; with `others`, a row of one id is no match for that id (its score is minus infinity)."""
+    unit_ = unit if scaled else (lambda x: x)
     spark = left.sparkSession
     a = left.select(F.col(left_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
     b = right.select(F.col(right_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("emb"))
@@ -76,14 +84,14 @@ def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "i
         head = head.sort_by("id")
         ids = head.column("id").to_numpy()
         rows = matrix(head.column("emb").combine_chunks())
-        shipped = spark.sparkContext.broadcast((ids, unit(rows) if len(ids) else rows))
+        shipped = spark.sparkContext.broadcast((ids, unit_(rows) if len(ids) else rows))
 
         def task(batches):
             right_ids, right_rows = shipped.value
             for batch in batches:
                 for at in range(0, batch.num_rows if len(right_ids) else 0, block):
                     part = batch.slice(at, block)
-                    yield _matched(part.column("id").to_numpy(), matrix(part.column("emb")), right_ids, right_rows, n)
+                    yield _matched(part.column("id").to_numpy(), unit_(matrix(part.column("emb"))), right_ids, right_rows, n, others)
 
         return a.mapInArrow(task, _DDL)
     blocks, parts = -(-b.count() // most), max(1, -(-a.count() // PART_ROWS))  # a side goes to as many tasks as the other has pieces
@@ -95,8 +103,8 @@ def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "i
         if not x.num_rows or not y.num_rows:
             return _SCHEMA.empty_table()
         y = y.sort_by("id")
-        right_ids, right_rows = y.column("id").to_numpy(), unit(matrix(y.column("emb").combine_chunks()))
-        out = [_matched(p.column("id").to_numpy(), matrix(p.column("emb").combine_chunks()), right_ids, right_rows, n) for p in (x.slice(i, block) for i in range(0, x.num_rows, block))]
+        right_ids, right_rows = y.column("id").to_numpy(), unit_(matrix(y.column("emb").combine_chunks()))
+        out = [_matched(p.column("id").to_numpy(), unit_(matrix(p.column("emb").combine_chunks())), right_ids, right_rows, n, others) for p in (x.slice(i, block) for i in range(0, x.num_rows, block))]
         return pa.Table.from_batches(out, _SCHEMA)
 
     found = spread.groupBy("part", "block").cogroup(cut.groupBy("part", "block")).applyInArrow(pairs, _DDL)
@@ -117,40 +125,187 @@ def mutual_matches(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.where("rank = 1").join(back, ["left_id", "right_id"]).select("left_id", "right_id", "score")
 
 
+def best_between(decoder: DataFrame, block: int = EDGE_ROWS) -> DataFrame:
+    """seed_i, seed_j (i < j), left_id, right_id, score, mutual: for every feature of a model its best match in each later
+    one, and whether it is that one's best in turn; ties go to the lower id. decoder: seed, feature_id, emb.
+
+    A pair of models is one product of their rows, which gives both directions. Models of more than `block` rows are cut into
+    blocks that meet pair by pair, and the best of the blocks are merged."""
+    spark = decoder.sparkSession
+    rows = decoder.select(F.col("seed").cast("long").alias("seed"), F.col("feature_id").cast("long").alias("id"), F.col("emb").cast("array<double>").alias("emb"))
+    parts = {r["seed"]: -(-r["n"] // block) for r in rows.groupBy("seed").agg(F.count("*").alias("n")).collect()}  # one row a model
+    meet = [(s, i, j, left, parts[s], parts[j if left else i]) for i in parts for j in parts if i < j for s, left in ((i, True), (j, False))]
+    places = F.broadcast(spark.createDataFrame(meet, "seed long, seed_i long, seed_j long, left boolean, own int, across int"))
+    spread = rows.join(places, "seed").withColumn("at", F.pmod(F.xxhash64("id"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    spread = spread.select("seed_i", "seed_j", F.when(F.col("left"), F.col("at")).otherwise(F.col("other")).alias("bi"), F.when(F.col("left"), F.col("other")).otherwise(F.col("at")).alias("bj"), "left", "id", "emb")
+    schema = pa.schema([("seed_i", pa.int64()), ("seed_j", pa.int64()), ("left", pa.bool_()), ("id", pa.int64()), ("best", pa.int64()), ("score", pa.float64())])
+
+    def both_ways(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        left, ids, x = t.column("left").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("emb").combine_chunks()))
+        a, b = ids[left], ids[~left]
+        if not len(a) or not len(b):
+            return schema.empty_table()
+        scores = x[left] @ x[~left].T
+        out = []
+        for side, own, other, m in ((True, a, b, scores), (False, b, a, scores.T)):
+            at = m.argmax(1)
+            same = lambda c, n=len(own): pa.array([t.column(c)[0].as_py()] * n, pa.int64())
+            out.append(pa.table([same("seed_i"), same("seed_j"), pa.array([side] * len(own)), pa.array(own), pa.array(other[at]), pa.array(m[np.arange(len(own)), at])], schema=schema))
+        return pa.concat_tables(out)
+
+    found = spread.groupBy("seed_i", "seed_j", "bi", "bj").applyInArrow(both_ways, "seed_i long, seed_j long, left boolean, id long, best long, score double")
+    if max(parts.values(), default=1) > 1:
+        top = F.max(F.struct("score", (-F.col("best")).alias("minus")))
+        found = found.groupBy("seed_i", "seed_j", "left", "id").agg(top.alias("t")).select("seed_i", "seed_j", "left", "id", (-F.col("t.minus")).alias("best"), "t.score")
+    found = kept(found)
+    back = found.where("not left").select("seed_i", "seed_j", F.col("id").alias("right_id"), F.col("best").alias("left_id"), F.lit(True).alias("mutual"))
+    forward = found.where("left").select("seed_i", "seed_j", F.col("id").alias("left_id"), F.col("best").alias("right_id"), "score")
+    return forward.join(back, ["seed_i", "seed_j", "left_id", "right_id"], "left").select("seed_i", "seed_j", "left_id", "right_id", "score", F.coalesce("mutual", F.lit(False)).alias("mutual"))
+
+
+@dataclass(frozen=True)
+class Axes:
+    """Orthogonal axes (columns of `rotation`, the heaviest first) and how many of them make the head of a row."""
+
+    rotation: np.ndarray
+    head: int
+
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Heads of unit rows along the first axes, and the norms of what the heads leave out."""
+        head = x @ self.rotation[:, : self.head]
+        return head, np.sqrt(np.maximum((x * x).sum(1) - (head * head).sum(1), 0.0))
+
+
+def principal_axes(rows: DataFrame, tau: float, sample: int = AXES_SAMPLE) -> Axes:
+    """Axes of the unit rows' second moments, summed in the tasks (d x d numbers reach the driver).
+
+    The head is as long as makes the join cheapest: m coordinates a pair, and all d for each pair whose bound passes,
+    whose share is read off the pairs of at most `sample` rows, drawn by a hash. A bad draw costs time, never a row."""
+    first = rows.select(F.size("emb").alias("d")).first()
+    d = first["d"] if first else 1
+    schema = pa.schema([("i", pa.int32()), ("row", pa.list_(pa.float64()))])
+
+    def moments(batches):
+        total = np.zeros((d, d))
+        for batch in batches:
+            x = matrix(batch.column("emb"))
+            if len(x):
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], schema=schema)
+
+    parts = rows.select("emb").mapInArrow(moments, "i int, row array<double>")
+    summed = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")).collect()
+    total = np.zeros((d, d))
+    for r in summed:
+        total[r["i"]] = r["row"]
+    rotation = np.linalg.eigh(total)[1][:, ::-1]
+    some = rows.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample).select("emb").toArrow()
+    x = matrix(some.column("emb").combine_chunks()) if some.num_rows else np.zeros((0, d))
+    heads = sorted({max(1, d * k // 16) for k in range(1, 17)})
+    cost = []
+    for m in heads:
+        h, rest = Axes(rotation, m).split(x)
+        passing = np.triu(h @ h.T + np.outer(rest, rest) > tau, 1).sum() / max(1, len(x) * (len(x) - 1) // 2)
+        cost.append(m + d * passing)
+    return Axes(rotation, heads[int(np.argmin(cost))])
+
+
+def tile_edges(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, tau: float, axes: Axes, strip: int = 1024) -> tuple[pa.Table, int]:
+    """Edges between two sets of unit rows (one set with itself where they are the same object), and how many pairs were verified.
+
+    A pair is verified over all coordinates only if its heads' product and the norms of the rests leave it a chance."""
+    found, verified = [_EDGE_SCHEMA.empty_table()], 0
+    hy, ry = axes.split(y) if len(y) else (y, y[:, 0] if y.ndim > 1 and y.shape[1] else np.zeros(0))
+    for at in range(0, len(ids) if len(y) else 0, strip):
+        hx, rx = axes.split(x[at : at + strip])
+        bound = hx @ hy.T
+        bound += np.outer(rx, ry)
+        i, j = np.nonzero(bound > tau - 1e-9)
+        if x is y:
+            i, j = i[at + i < j], j[at + i < j]
+        verified += len(i)
+        for lo in range(0, len(i), 1 << 16):
+            a, b = at + i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            score = np.einsum("ij,ij->i", x[a], y[b])
+            ok = (score > tau) & (ids[a] != other_ids[b])
+            a, b = ids[a[ok]], other_ids[b[ok]]
+            found.append(pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score[ok])], schema=_EDGE_SCHEMA))
+    return pa.concat_tables(found), verified
+
+
+_EDGE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
+
+
+def cells(axes: Axes, rows: DataFrame) -> DataFrame:
+    """rows with `cell`, the axis and sign of a head's largest coordinate, and `largest`, that coordinate: the index by which rows are cut into blocks."""
+    width = axes.head
+    schema = pa.schema([("id", pa.int64()), ("emb", pa.list_(pa.float64())), ("cell", pa.int32()), ("largest", pa.float64()), ("head", pa.list_(pa.float64())), ("rest", pa.float64())])
+    shipped = rows.sparkSession.sparkContext.broadcast(axes)  # d x d numbers
+
+    def task(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, rest = shipped.value.split(matrix(batch.column("emb")))
+            at = np.abs(head).argmax(1)
+            top = head[np.arange(len(head)), at]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("emb"), pa.array((at + width * (top < 0)).astype(np.int32)), pa.array(np.abs(top)), pa.array(list(head), pa.list_(pa.float64())), pa.array(rest)], schema=schema)
+
+    return rows.mapInArrow(task, "id long, emb array<double>, cell int, largest double, head array<double>, rest double")
+
+
+def meeting_blocks(summaries: list[tuple], tau: float) -> list[tuple[int, int]]:
+    """Pairs of blocks (lo <= hi) that may hold an edge. A summary is (block, least, most, rest): the box of its heads and its largest rest.
+
+    No product of two heads exceeds the sum of the boxes' largest corner products, nor that of two rests the product of the largest ones."""
+    if not summaries:
+        return []
+    names = [s[0] for s in summaries]
+    least, most, rest = np.array([s[1] for s in summaries]), np.array([s[2] for s in summaries]), np.array([s[3] for s in summaries])
+    out = []
+    for k, name in enumerate(names):
+        a, b = least[k], most[k]
+        corner = np.maximum(np.maximum(a * least[k:], a * most[k:]), np.maximum(b * least[k:], b * most[k:]))
+        meets = np.flatnonzero(corner.sum(1) + rest[k] * rest[k:] > tau - 1e-9)
+        out += [(min(name, names[k + int(j)]), max(name, names[k + int(j)])) for j in meets]
+    return out
+
+
 def threshold_edges(df: DataFrame, tau: float, id_col: str = "id", column: str = "emb", block: int = EDGE_ROWS) -> DataFrame:
     """Edges (a < b, cosine > tau) among the rows of one table.
 
-    Rows are cut into blocks by their angle to one of them (the row of the smallest id). By the triangle inequality two
-    rows of a cosine above tau have angles that differ by less than arccos(tau), so blocks further apart never meet; the
-    others are compared exactly. What reaches the driver is the range of angles of every block."""
+    Rows are described by a head along the table's heaviest axes and the norm of the rest (principal_axes). An index by the
+    axis and sign of each head's largest coordinate cuts them into blocks; what two blocks' boxes and rests rule out never
+    meets (meeting_blocks), and of the pairs that meet, only those that their own heads and rests leave open are verified over
+    all coordinates (tile_edges). The result is that of comparing all pairs.
+
+    A table of up to `block` rows is one block and no row is copied; more rows make at most MOST_BLOCKS blocks, one summary each
+    reaches the driver, and a row goes to the blocks that its own meets. Rows without any direction (zero vectors) have cosine 0."""
     spark = df.sparkSession
-    unit_ = l2_normalize(F.col(column).cast("array<double>"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), unit_.alias("emb"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
-    blocks = max(1, -(-rows.count() // block))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), l2_normalize(F.col(column).cast("array<double>")).alias("emb"))
+    n = rows.count()
+    axes = principal_axes(rows, tau)
+    shipped = spark.sparkContext.broadcast(axes)
+    blocks = min(MOST_BLOCKS, max(1, -(-n // block)))
     if blocks == 1:
         spread = rows.select("id", "emb", *[F.lit(0).alias(c) for c in ("block", "lo", "hi")])
     else:
-        pivot = F.array(*[F.lit(float(x)) for x in rows.orderBy("id").first()["emb"]])
-        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("emb"), pivot))))
-        cut = kept(rows.withColumn("angle", angle).repartitionByRange(blocks, "angle", "id").withColumn("block", F.spark_partition_id()))
-        ranges = sorted(tuple(r) for r in cut.groupBy("block").agg(F.min("angle"), F.max("angle")).collect())
-        reach = math.acos(max(-1.0, min(1.0, tau))) + 1e-6
-        # Zero vectors lie at a right angle to all and reach nobody unless tau is negative, when reach covers a right angle.
-        meet = [(x, min(x, y), max(x, y)) for x, low, high in ranges for y, low2, high2 in ranges if low2 - high <= reach and low - high2 <= reach]
-        spread = cut.join(F.broadcast(spark.createDataFrame(meet, "block int, lo int, hi int")), "block").select("id", "emb", "block", "lo", "hi")
-
-    def pairs(t: pa.Table) -> pa.Table:
+        cut = kept(cells(axes, rows).repartitionByRange(blocks, "cell", "largest", "id").withColumn("block", F.spark_partition_id()))
+        side = lambda f: F.array(*[f(F.col("head")[i]) for i in range(axes.head)])
+        summaries = [tuple(r) for r in cut.groupBy("block").agg(side(F.min), side(F.max), F.max("rest")).collect()]
+        pairs = meeting_blocks(summaries, tau)
+        meet = [(x, lo, hi) for lo, hi in pairs for x in {lo, hi}]
+        spread = cut.select("id", "emb", "block").join(F.broadcast(spark.createDataFrame(meet, "block int, lo int, hi int")), "block").select("id", "emb", "block", "lo", "hi")
+
+    def joined(t: pa.Table) -> pa.Table:
         ids, own, x = t.column("id").to_numpy(), t.column("block").to_numpy(), matrix(t.column("emb").combine_chunks())
-        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        out = [schema.empty_table()]
-        for at in range(0, len(ids), 1024):
-            s = x[at : at + 1024] @ x.T
-            i, j = np.nonzero((s > tau) & (ids[at : at + 1024, None] < ids[None]) & ((own[at : at + 1024, None] != own[None]) | same))
-            out.append(pa.table([pa.array(ids[at + i]), pa.array(ids[j]), pa.array(s[i, j])], schema=schema))
-        return pa.concat_tables(out)
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        if lo == hi:
+            return tile_edges(ids, x, ids, x, tau, shipped.value)[0]
+        return tile_edges(ids[own == lo], x[own == lo], ids[own == hi], x[own == hi], tau, shipped.value)[0]
 
-    return spread.groupBy("lo", "hi").applyInArrow(pairs, "a long, b long, score double")
+    return spread.groupBy("lo", "hi").applyInArrow(joined, "a long, b long, score double")
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:

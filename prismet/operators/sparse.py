@@ -135,3 +135,20 @@ def zscored(values: DataFrame, key: str, value: str) -> DataFrame:
     """value to z by column: population deviation, a deviation of 0 counts as 1."""
     stats = values.groupBy(key).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     return values.join(stats, key).withColumn("z", (F.col(value) - F.col("__m")) / F.when(F.col("__s") == 0, 1.0).otherwise(F.col("__s"))).drop("__m", "__s")
+
+
+def run_metrics(activations: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """seed, l0, dead_pct, mse of runs whose features are the axes. activations: seed, image_id, feature_id, activation; vectors: seed, image_id, emb."""
+    own = activations.groupBy("seed", "image_id").agg(F.count("*").alias("n"), F.sum(F.col("activation") ** 2).alias("kept"))
+    whole = F.aggregate(F.transform("emb", lambda x: x * x), F.lit(0.0), lambda s, v: s + v)
+    per = vectors.select("seed", "image_id", whole.alias("whole")).join(own, ["seed", "image_id"], "left").na.fill(0, ["n"]).na.fill(0.0, ["kept"])
+    means = per.groupBy("seed").agg(F.avg("n").alias("l0"), F.avg((F.col("whole") - F.col("kept")) / width).alias("mse"))
+    dead = activations.groupBy("seed").agg((100.0 * (width - F.countDistinct("feature_id")) / width).alias("dead_pct"))
+    return means.join(dead, "seed").select("seed", "l0", "dead_pct", "mse")
+
+
+def compared(runs: DataFrame, key: str) -> DataFrame:
+    """Means over the runs of each setting, the deviation of the dead share, and the error over that of the first setting."""
+    m = runs.groupBy(key).agg(F.count("*").alias("n_runs"), F.avg("l0").alias("l0"), F.avg("dead_pct").alias("dead_pct"), F.stddev_pop("dead_pct").alias("dead_sd"), F.avg("mse").alias("mse"))
+    first = m.agg(F.min_by("mse", key).alias("first"))
+    return m.crossJoin(F.broadcast(first)).withColumn("mse_over_first", F.col("mse") / F.col("first")).drop("first")  # one row

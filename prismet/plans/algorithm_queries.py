@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from prismet.functions.text import RETRY_SUFFIX
 from prismet.functions.vectors import modality_gap
-from prismet.operators import faithfulness, graph, judge, organize, similarity, sparse, splice, stability, train
+from prismet.operators import faithfulness, graph, organize, similarity, sparse, splice, stability, train
 from prismet.operators.similarity import matrix
 from prismet.plans import roles
 from prismet.plans.catalog import query
 from prismet.plans.config import Consensus, Faithfulness, Run
 from prismet.plans.measure_queries import CORR
 from prismet.plans.roles import PRELUDE
-from prismet.streaming import judge_dedup
+from prismet.streaming import judge_dedup, judging
 
 R6 = lambda c: F.round(c, 6)
 
@@ -43,13 +46,11 @@ def hungarian_match(spark, sf_dir):
 
 @query("erank_per_seed")
 def erank_per_seed(spark, sf_dir):
-    models = stability.decoders(roles.decoder(spark, sf_dir))
-    return spark.createDataFrame([(s, stability.effective_rank(x)) for s, x in models.items()], "seed long, erank int")
+    return stability.effective_ranks(roles.decoder(spark, sf_dir))
 
 
 def _nulls(spark, sf_dir, kind):
-    models = stability.decoders(stability.live(roles.decoder(spark, sf_dir)))
-    return stability.null_summary(stability.null_draws(spark, models, Run.n_perm, kind))
+    return stability.null_summary(stability.null_draws(stability.live(roles.decoder(spark, sf_dir)), Run.n_perm, kind))
 
 
 @query("null_isotropic")
@@ -130,16 +131,29 @@ def sae_encode(spark, sf_dir):
     return sparse.encode(roles.images(spark, sf_dir), w, np.zeros(len(w)), np.zeros(w.shape[1]), 8).withColumn("activation", R6("activation"))
 
 
-@query("judge_run")
+RESPONSES = ("fine | Verdict: Aligned", "Supports", "hm", "no | Verdict: Unaligned.")
+PROMPT = "Report: {report} Claim: {pseudo_report}"
+
+
+@query("judge_run", f"""
+WITH p AS (SELECT doc_id::VARCHAR AS image_id, 'Findings suggest: ' || substr(coalesce(text, '?'), 1, 40) AS pseudo_report, coalesce(text, '') AS report FROM documents WHERE trim(coalesce(text, '')) <> ''),
+q AS (SELECT image_id, pseudo_report, length('Report: ' || report || ' Claim: ' || pseudo_report) % 4 AS k FROM p),
+r AS (SELECT image_id, pseudo_report, CASE k WHEN 2 THEN (k + {len(RETRY_SUFFIX)}) % 4 ELSE k END AS k FROM q)
+SELECT image_id, pseudo_report, ['Aligned', 'Aligned', 'Uncertain', 'Unaligned'][k + 1] AS verdict, [{", ".join(f"'{r}'" for r in RESPONSES)}][k + 1] AS raw_response FROM r
+""")
 def judge_run(spark, sf_dir):
-    """The judge's loop over the texts of labelled documents with a deterministic model."""
-    docs = roles.read(spark, sf_dir, "documents").join(roles.read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
-    pairs = docs.select(F.col("doc_id").cast("string").alias("image_id"), F.coalesce("text", F.lit("")).alias("report"), F.concat(F.lit("Findings suggest: "), F.substring(F.coalesce("text", F.lit("?")), 1, 40)).alias("pseudo_report"))
+    """The judge's run, a streaming query with a ledger, over the texts of all documents with a deterministic model."""
+    docs = roles.read(spark, sf_dir, "documents")
+    pairs = docs.select(F.col("doc_id").cast("string").alias("image_id"), F.coalesce("text", F.lit("")).alias("report"), F.concat(F.lit("Findings suggest: "), F.substring(F.coalesce("text", F.lit("?")), 1, 40)).alias("pseudo_report")).where(F.trim("report") != "")
 
     def model(prompt: str) -> str:
-        return ("fine | Verdict: Aligned", "Supports", "hm", "no | Verdict: Unaligned.")[sum(prompt.encode()) % 4]
+        return RESPONSES[len(prompt) % 4]
 
-    return judge.ask(pairs, "Report: {report} Claim: {pseudo_report}", model)
+    folder = f"{graph.shared(spark)}/judge-{uuid.uuid4().hex}"
+    known = judging.ledger(spark, f"{folder}/ledger")
+    judging.write_open(pairs, known, f"{folder}/open", 500)
+    judging.run(spark, f"{folder}/open", f"{folder}/ledger", PROMPT, model)
+    return judging.ledger(spark, f"{folder}/ledger")
 
 
 @query("judge_stream_dedup")

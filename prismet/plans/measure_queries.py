@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismet.functions import figures
 from prismet.functions import text as X
 from prismet.functions import vectors as V
 from prismet.operators import faithfulness, graph, judge, organize, similarity, sparse, stability
 from prismet.plans import roles
 from prismet.plans.catalog import query
 from prismet.plans.roles import PRELUDE, WIDTH
+from prismet.plans.vector_queries import BEST
 
 R6 = lambda c: F.round(c, 6)
 
@@ -87,13 +89,13 @@ def coactivation_summary(spark, sf_dir):
 
 
 @query("recon_mse_cosine", PRELUDE + """
-, w AS (SELECT d.feature_id, d.emb FROM decoder d WHERE d.seed = 0 AND d.feature_id < 64),
+, w AS (SELECT d.feature_id, d.emb FROM decoder d WHERE d.seed = 0),
 r AS (SELECT a.image_id, i AS d, sum(a.activation * w.emb[i]) AS hat FROM act a JOIN w USING (feature_id), range(1, 65) t(i) GROUP BY 1, 2),
 p AS (SELECT x.image_id, avg((x.x - coalesce(hat, 0)) ** 2) AS mse, sum(x.x * coalesce(hat, 0)) AS xy, sum(x.x * x.x) AS xx, sum(coalesce(hat, 0) ** 2) AS yy FROM vecx x LEFT JOIN r ON r.image_id = x.image_id AND r.d = x.d GROUP BY x.image_id)
 SELECT round(avg(mse), 6) AS mse, round(avg(xy / (greatest(sqrt(xx), 1e-12) * greatest(sqrt(yy), 1e-12))), 6) AS cosine FROM p
 """)
 def recon_mse_cosine(spark, sf_dir):
-    weights = roles.decoder(spark, sf_dir).where("seed = 0 and feature_id < 64")
+    weights = roles.decoder(spark, sf_dir).where("seed = 0")
     s = sparse.reconstruction(V.entries(roles.vectors(spark, sf_dir), "emb", "image_id"), sparse.decode(roles.activations(spark, sf_dir), weights))
     return s.select(R6("mse").alias("mse"), R6("cosine").alias("cosine"))
 
@@ -126,11 +128,18 @@ def relabel_control(spark, sf_dir):
     return m.agg(R6(F.avg(off)).alias("slot_mean"), R6(F.stddev_pop(off)).alias("slot_sd"), R6(F.avg(F.when(F.col("seed_i") == F.col("seed_j"), F.col("jaccard")))).alias("own"))
 
 
-@query("chance_floor", "SELECT k, d, round(k / (2.0 * d - k), 6) AS floor, round(sqrt(2 * ln(d)) / sqrt(512.0), 6) AS anchor FROM (VALUES (32, 2048), (16, 1024), (64, 4096)) t(k, d)")
+@query("chance_floor", SLOT + "SELECT i AS seed_i, j AS seed_j, round(jac, 6) AS jaccard, round(8 / (2.0 * 64 - 8), 6) AS floor, round(jac / (8 / (2.0 * 64 - 8)), 6) AS ratio FROM m WHERE i < j")
 def chance_floor(spark, sf_dir):
-    """Expected slot overlap of independent models, and the expected best cosine of random directions."""
-    t = spark.createDataFrame([(32, 2048), (16, 1024), (64, 4096)], "k int, d int")
-    return t.select("k", "d", R6(F.col("k") / (2.0 * F.col("d") - F.col("k"))).alias("floor"), R6(F.sqrt(2 * F.ln("d")) / F.sqrt(F.lit(512.0))).alias("anchor"))
+    """The slot overlap of each pair of models beside that expected of independent ones."""
+    floor = stability.chance_floor(roles.TOP, WIDTH)
+    pairs = _slots(spark, sf_dir).where("seed_i < seed_j")
+    return pairs.select("seed_i", "seed_j", R6("jaccard").alias("jaccard"), R6(F.lit(floor)).alias("floor"), R6(F.col("jaccard") / floor).alias("ratio"))
+
+
+@query("figure_heatmap", SLOT + "SELECT i AS x, j AS y, round(jac, 6) AS value FROM m UNION ALL SELECT j, i, round(jac, 6) FROM m WHERE i < j")
+def figure_heatmap(spark, sf_dir):
+    """The data of the heat map of slot overlaps: all cells, both halves."""
+    return figures.heatmap(_slots(spark, sf_dir), "seed_i", "seed_j", "jaccard").withColumn("value", R6("value"))
 
 
 COMP = PRELUDE + """
@@ -375,17 +384,64 @@ def score_histogram(spark, sf_dir):
     return _naming(spark, sf_dir).groupBy(F.least(F.greatest(F.floor(F.col("score") * 50), F.lit(0)), F.lit(49)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("ablation_compare", PRELUDE + """
-, runs AS (SELECT seed, (id // 5) % 3 AS preset, list_sum(emb) AS v, list_dot_product(emb, emb) AS q FROM decoder), per AS (SELECT preset, seed, avg(v) AS v, avg(q) AS q FROM runs GROUP BY 1, 2)
-SELECT preset, count(*) AS n_seeds, round(avg(v), 6) AS mean_v, round(avg(q), 6) AS mean_q, round(avg(v) / avg(q), 6) AS ratio FROM per GROUP BY preset""")
-def ablation_compare(spark, sf_dir):
-    """Means over seeds of each preset's metrics, and their ratio."""
-    rows = roles.decoder(spark, sf_dir).select("seed", (F.expr("id div 5") % 3).alias("preset"), F.aggregate("emb", F.lit(0.0), lambda s, x: s + x).alias("v"), V.dot(F.col("emb"), F.col("emb")).alias("q"))
-    per = rows.groupBy("preset", "seed").agg(F.avg("v").alias("v"), F.avg("q").alias("q"))
-    return per.groupBy("preset").agg(F.count("*").alias("n_seeds"), R6(F.avg("v")).alias("mean_v"), R6(F.avg("q")).alias("mean_q"), R6(F.avg("v") / F.avg("q")).alias("ratio"))
+@query("figure_density", NAMING + """
+, b AS (SELECT is_dead, least(greatest(floor(score * 20), 0), 19)::INT AS bin, count(*) AS n FROM nm GROUP BY 1, 2)
+SELECT is_dead, bin, n, round(n * 20.0 / sum(n) OVER (PARTITION BY is_dead), 6) AS density FROM b""")
+def figure_density(spark, sf_dir):
+    """The data of the score densities of live and of dead features: 20 bins from 0 to 1, each curve of area 1."""
+    return figures.density(_naming(spark, sf_dir), "score", 20, "is_dead").withColumn("density", R6("density"))
+
 
+@query("figure_seed_bars", SLOT + """
+, l AS (SELECT s AS seed, image_id, sum(n) AS n FROM n GROUP BY 1, 2), b AS (SELECT seed, avg(n) AS l0, stddev_pop(n) AS sd FROM l GROUP BY 1),
+o AS (SELECT seed, avg(jac) AS overlap FROM (SELECT i AS seed, jac FROM m WHERE i < j UNION ALL SELECT j, jac FROM m WHERE i < j) GROUP BY 1)
+SELECT seed, 'l0' AS measure, round(l0, 6) AS value, round(sd, 6) AS error FROM b UNION ALL SELECT seed, 'overlap', round(overlap, 6), NULL FROM o""")
+def figure_seed_bars(spark, sf_dir):
+    """The data of the bars by seed: active features an image with their deviation, and the mean slot overlap with the other seeds."""
+    counts = roles.relabelled(roles.activations(spark, sf_dir), roles.seeds(spark)).groupBy("seed", "image_id").agg(F.count("*").alias("n"))
+    l0 = counts.groupBy("seed").agg(F.avg("n").alias("value"), F.stddev_pop("n").alias("error"))
+    pairs = _slots(spark, sf_dir).where("seed_i < seed_j")
+    ends = pairs.select(F.explode(F.array("seed_i", "seed_j")).alias("seed"), "jaccard").groupBy("seed").agg(F.avg("jaccard").alias("value"))
+    return figures.bars(l0=l0, overlap=ends).select("seed", "measure", R6("value").alias("value"), R6("error").alias("error"))
 
-@query("universality_verdict", "SELECT frac09::DOUBLE AS frac09, p::DOUBLE AS p, obs::DOUBLE AS obs, null_mean::DOUBLE AS null_mean, CASE WHEN frac09 >= 0.1 THEN 'strong' WHEN p < 0.05 AND obs > 1.5 * null_mean THEN 'weak' ELSE 'null' END AS verdict FROM (VALUES (0.2, 0.5, 0.3, 0.2), (0.05, 0.01, 0.4, 0.2), (0.05, 0.01, 0.25, 0.2), (0.0, 0.3, 0.9, 0.2)) t(frac09, p, obs, null_mean)")
+
+ABLATION = (4, 8, 16)
+
+
+@query("ablation_compare", PRELUDE + """
+, z AS (SELECT image_id, d - 1 AS feature_id, x AS activation, row_number() OVER (PARTITION BY image_id ORDER BY x DESC, d) AS r FROM vecx),
+a AS (SELECT k, seed, z.* FROM z JOIN (SELECT vec_id AS image_id, vec_id % 5 AS seed FROM embeddings) USING (image_id), (VALUES (4), (8), (16)) p(k) WHERE r <= k AND activation > 0),
+i AS (SELECT k, vec_id % 5 AS seed, vec_id AS image_id FROM embeddings, (VALUES (4), (8), (16)) p(k)),
+l AS (SELECT i.k, i.seed, i.image_id, count(a.feature_id) AS n, coalesce(sum(a.activation ** 2), 0) AS kept FROM i LEFT JOIN a ON a.k = i.k AND a.image_id = i.image_id GROUP BY 1, 2, 3),
+q AS (SELECT image_id, sum(x * x) AS whole FROM vecx GROUP BY 1),
+runs AS (SELECT k, seed, avg(n) AS l0, avg((whole - kept) / 64) AS mse FROM l JOIN q USING (image_id) GROUP BY 1, 2),
+dead AS (SELECT k, seed, 100.0 * (64 - count(DISTINCT feature_id)) / 64 AS dead FROM a GROUP BY 1, 2)
+SELECT k, count(*) AS n_runs, round(avg(l0), 6) AS l0, round(avg(dead), 6) AS dead_pct, round(stddev_pop(dead), 6) AS dead_sd, round(avg(mse), 6) AS mse, round(avg(mse) / first(avg(mse)) OVER (ORDER BY k), 6) AS mse_over_first
+FROM runs JOIN dead USING (k, seed) GROUP BY k""")
+def ablation_compare(spark, sf_dir):
+    """Means over runs of active features an image, dead share and reconstruction error by number of active features.
+
+    A run is a fifth of the vectors; its decoder is the axes themselves, so what is not kept of a vector is its error."""
+    vectors = roles.read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 5).alias("seed"), F.col("vec_id").alias("image_id"), V.doubles("embedding").alias("emb"))
+    runs = None
+    for k in ABLATION:
+        acts = sparse.top_coordinates(vectors, "image_id", "emb", k).join(vectors.select("image_id", "seed"), "image_id")
+        run = sparse.run_metrics(acts, vectors, WIDTH).withColumn("k", F.lit(k))
+        runs = run if runs is None else runs.unionByName(run)
+    return sparse.compared(runs, "k").select("k", "n_runs", *[R6(c).alias(c) for c in ("l0", "dead_pct", "dead_sd", "mse", "mse_over_first")])
+
+
+@query("universality_verdict", BEST + """
+, n AS (SELECT count(*) AS n FROM decoder WHERE seed = 0), g AS (SELECT sqrt(2 * ln(n)) / sqrt(64.0) AS anchor FROM n),
+t AS (SELECT seed_i, seed_j, avg((c >= 0.9)::INT) AS frac_09, avg((c < anchor)::INT) AS p, avg(c) AS observed, max(anchor) AS null_mean FROM f, g GROUP BY 1, 2)
+SELECT seed_i, seed_j, round(frac_09, 6) AS frac_09, round(p, 6) AS p, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean,
+       CASE WHEN frac_09 >= 0.1 THEN 'strong' WHEN p < 0.05 AND observed > 1.5 * null_mean THEN 'weak' ELSE 'null' END AS verdict FROM t""")
 def universality_verdict(spark, sf_dir):
-    t = spark.createDataFrame([(0.2, 0.5, 0.3, 0.2), (0.05, 0.01, 0.4, 0.2), (0.05, 0.01, 0.25, 0.2), (0.0, 0.3, 0.9, 0.2)], "frac09 double, p double, obs double, null_mean double")
-    return t.withColumn("verdict", stability.universality_verdict(F.col("frac09"), F.col("p"), F.col("obs"), F.col("null_mean")))
+    """The rule's verdict on each pair of models, against the expected best cosine of as many random directions; p is here the share of
+    features whose best match stays below that."""
+    decoder = roles.decoder(spark, sf_dir)
+    anchor = stability.random_anchor(decoder.where("seed = 0").count(), WIDTH)
+    share = lambda c: F.avg(c.cast("double"))
+    pairs = similarity.best_between(decoder).groupBy("seed_i", "seed_j").agg(share(F.col("score") >= 0.9).alias("frac_09"), share(F.col("score") < anchor).alias("p"), F.avg("score").alias("observed"))
+    judged = pairs.withColumn("null_mean", F.lit(anchor)).withColumn("verdict", stability.universality_verdict(F.col("frac_09"), F.col("p"), F.col("observed"), F.col("null_mean")))
+    return judged.select("seed_i", "seed_j", *[R6(c).alias(c) for c in ("frac_09", "p", "observed", "null_mean")], "verdict")

@@ -84,7 +84,7 @@ def keep_terms(spark, sf_dir):
     return ontology.keep_terms(terms, nodes, nodes.where("rid like '%1' or rid like '%3'").select("rid"))
 
 
-CLUSTERS = """, cl AS (SELECT c_custkey % 40 AS cluster_id, c_name AS name FROM customer WHERE c_custkey % 40 < 20 OR c_nationkey = c_custkey % 40 UNION SELECT s_suppkey % 40, s_name FROM supplier UNION SELECT c_custkey % 40, 'ghost' || c_custkey FROM customer WHERE c_custkey % 7 = 0),
+CLUSTERS = """, cl AS (SELECT c_custkey % 40 AS cluster_id, c_name AS name FROM customer UNION SELECT s_suppkey % 40, s_name FROM supplier UNION SELECT c_custkey % 40, 'ghost' || c_custkey FROM customer WHERE c_custkey % 7 = 0),
 mem AS (SELECT cluster_id, name, (SELECT min(rid) FROM nodes n WHERE lower(n.label) = lower(cl.name)) AS rid FROM cl),
 sz AS (SELECT cluster_id, count(*) AS n_members, count(rid) AS n_resolved FROM mem GROUP BY 1),
 sup AS (SELECT m.cluster_id, c.ancestor, count(*) AS support FROM mem m JOIN closure c ON c.node = m.rid GROUP BY 1, 2),
@@ -100,7 +100,7 @@ def cluster_annotation(spark, sf_dir):
     nodes, edges = roles.tree(spark, sf_dir)
     c, s = roles.read(spark, sf_dir, "customer"), roles.read(spark, sf_dir, "supplier")
     k = F.col("c_custkey") % 40
-    clusters = c.where((k < 20) | (F.col("c_nationkey") == k)).select(k.alias("cluster_id"), F.col("c_name").alias("name")).union(s.select(F.col("s_suppkey") % 40, "s_name")).union(c.where("c_custkey % 7 = 0").select(k, F.concat(F.lit("ghost"), F.col("c_custkey").cast("string"))))
+    clusters = c.select(k.alias("cluster_id"), F.col("c_name").alias("name")).union(s.select(F.col("s_suppkey") % 40, "s_name")).union(c.where("c_custkey % 7 = 0").select(k, F.concat(F.lit("ghost"), F.col("c_custkey").cast("string"))))
     return ontology.annotate(clusters, nodes, edges)
 
 

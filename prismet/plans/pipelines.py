@@ -5,9 +5,8 @@ costs one stage. `stages` of a result lists what ran and for how long."""
 
 from __future__ import annotations
 
-import contextlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -17,8 +16,10 @@ from pyspark.sql import functions as F
 
 from prismet.functions.vectors import entries, modality_gap, with_gap
 from prismet.operators import explain, faithfulness, graph, judge, ontology, organize, sampling, similarity, sparse, splice, stability, train, vocab
+from prismet.operators.stability import chance_floor
 from prismet.plans import config
 from prismet.sources import sinks
+from prismet.streaming import judging
 
 
 class Stages:
@@ -128,10 +129,10 @@ def baseline(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str,
     s.add("sparsity", lambda: sparse.sparsity(own, test, run.train.dict_size), json=True)
     s.add("coactivation", lambda: sparse.coactivation_summary(own), json=True)
     s.add("slot_jaccard", lambda: sparse.slot_jaccard(acts, test, n_seeds), json=True)
-    by_seed = stability.decoders(stability.live(decoder))
-    s.add("matched", lambda: matched_table(spark, by_seed), json=True)
+    alive = stability.live(decoder)
+    s.add("matched", lambda: stability.matched_table(alive), json=True)
     for kind in ("isotropic", "subspace"):
-        s.add(f"null_{kind}", lambda kind=kind: stability.null_summary(stability.null_draws(spark, by_seed, run.n_perm, kind)), json=True)
+        s.add(f"null_{kind}", lambda kind=kind: stability.null_summary(stability.null_draws(alive, run.n_perm, kind)), json=True)
     s.add("explanations", lambda: explain.explain(own, names, test, run.naming.concepts), json=True)
     return s
 
@@ -148,11 +149,6 @@ def random_naming(spark: SparkSession, terms: DataFrame, dim: int, projection: n
     return best.agg(F.avg("score").alias("mean_best"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
 
 
-def matched_table(spark: SparkSession, models: dict[int, np.ndarray]) -> DataFrame:
-    rows = [(i, j, *stability.matched(models[i], models[j]).values(), stability.effective_rank(models[j])) for i in models for j in models if i < j]
-    return spark.createDataFrame(rows, "seed_i long, seed_j long, mean_best double, frac_07 double, frac_09 double, mutual double, erank int")
-
-
 def naming_summary(names: DataFrame) -> DataFrame:
     """Over all features (dead ones with 0) and, apart, over live ones (lower median)."""
     live = F.when(~F.col("is_dead"), F.col("score"))
@@ -252,18 +248,81 @@ def judged(spark: SparkSession, explanations: DataFrame, reports: DataFrame, mod
     return s
 
 
-def failures(spark: SparkSession, names: DataFrame, records: DataFrame, slot_mean: float, dict_size: int, k: int, out: str) -> Stages:
-    """What goes wrong: weakly named features, verdicts by model, slot overlap against its chance floor. records: model, verdict, raw_response."""
+def existing(spark: SparkSession, path: str) -> DataFrame:
+    """The table at a path; a missing one is an error that names the path."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no table at {path}; make it first") from e
+
+
+def where_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None."""
+    try:
+        return existing(spark, path)
+    except FileNotFoundError:
+        return None
+
+
+def run_report(spark: SparkSession, s: Stages, title: str, settings: Sequence[tuple[str, object]], inputs: dict[str, DataFrame]) -> str:
+    """REPORT_run in the run's folder: settings, stages with status and seconds, means over seeds, and what makes the run reproducible."""
+    digests = [(name, *sinks.merkle(df).first()) for name, df in inputs.items()]
+    means = []
+    for name in ("slot_jaccard", "matched", "null_isotropic", "null_subspace"):
+        if name in s.tables:
+            pairs = s[name] if "seed_i" not in s[name].columns else s[name].where("seed_i < seed_j")
+            numbers = [c for c, kind in pairs.dtypes if kind == "double"]
+            row = pairs.agg(*[F.avg(c).alias(c) for c in numbers]).first()
+            means += [(name, c, "-" if row[c] is None else f"{row[c]:.4f}") for c in numbers]
+    sections = [
+        ("Run config", sinks.markdown(["param", "value"], settings)),
+        ("Stages", sinks.markdown(["stage", "status", "seconds"], [(n, "done", f"{t:.1f}") for n, t in s.times])),
+        ("Means over pairs of seeds", sinks.markdown(["table", "measure", "mean"], means) if means else ""),
+        ("Reproducibility", sinks.markdown(["input", "digest", "rows"], digests) + f"\n\ncommit: {sinks.commit() or 'none'}"),
+    ]
+    return sinks.write_report(spark, f"{s.out}/REPORT_run", title, f"{len(s.times)} stages in {sum(t for _, t in s.times):.0f} s.", sections)
+
+
+def failures(spark: SparkSession, out: str, names: DataFrame | None = None, records: DataFrame | None = None, slots: DataFrame | None = None, dict_size: int | None = None, k: int | None = None) -> Stages:
+    """What goes wrong: weakly named features, slot overlap against its chance floor, verdicts by model. names: as named by a run; records:
+    model, verdict, raw_response; slots: seed_i, seed_j, jaccard. A section whose input is missing is left out, and the report says so."""
     s = Stages(spark, out)
     below = lambda t: 100.0 * F.avg((F.col("score") < t).cast("double"))
-    s.add("naming", lambda: names.agg(F.count("*").alias("n"), F.avg("score").alias("mean"), below(0.5).alias("below_50"), below(0.4).alias("below_40")), json=True)
-    s.add("weakest", lambda: names.where("not is_dead").orderBy("score", "feature_id").limit(15).select("feature_id", "name", "score"), json=True)
-    s.add("verdicts", lambda: judge.scores(records, "model"), json=True)
-    floor = k / (2 * dict_size - k)
-    s.add("stability", lambda: spark.createDataFrame([(slot_mean, floor, slot_mean / floor)], "slot_mean double, chance_floor double, ratio double"), json=True)
+    sections = []
+    if names is not None:
+        s.add("naming", lambda: names.agg(F.count("*").alias("n"), F.sum(F.col("is_dead").cast("long")).alias("n_dead"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.max("score").alias("most"), below(0.5).alias("below_50"), below(0.4).alias("below_40")), json=True)
+        s.add("weakest", lambda: names.where("not is_dead").orderBy("score", "feature_id").limit(15).select("feature_id", "name", "score"), json=True)
+        s.add("strongest", lambda: names.where("not is_dead").orderBy(F.desc("score"), "feature_id").limit(15).select("feature_id", "name", "score"), json=True)
+        sections.append(("Naming", "\n\n".join(sinks.report(s[t]) for t in ("naming", "strongest", "weakest"))))
+    else:
+        sections.append(("Naming", "_skipped: no names; run the naming stage first_"))
+    if slots is not None and dict_size and k:
+        floor = chance_floor(k, dict_size)
+        s.add("stability", lambda: slots.where("seed_i < seed_j").agg(F.avg("jaccard").alias("slot_mean")).select("slot_mean", F.lit(floor).alias("chance_floor"), (F.col("slot_mean") / floor).alias("ratio")), json=True)
+        sections.append(("Stability", sinks.report(s["stability"])))
+    else:
+        sections.append(("Stability", "_skipped: no slot overlaps; run the stability stage first_"))
+    if records is not None:
+        s.add("verdicts", lambda: judge.scores(records, "model"), json=True)
+        sections.append(("Judge disagreement", sinks.report(s["verdicts"].orderBy("model"))))
+    else:
+        sections.append(("Judge disagreement", "_skipped: no records; run the judge first_"))
+    done = sum("skipped" not in body for _, body in sections)
+    sinks.write_report(spark, f"{s.out}/REPORT", "Failure cases", f"{done} of {len(sections)} sections have their input.", sections)
     return s
 
 
+def failures_of_run(spark: SparkSession, run: str, judged: dict[str, str], out: str, dict_size: int, k: int) -> Stages:
+    """failures() from a run's own folder, and the judge folders of its models by name."""
+    records = None
+    for model, path in judged.items():
+        own = where_there(spark, f"{path}/records")
+        if own is not None:
+            own = own.select(F.lit(model).alias("model"), "verdict", "raw_response")
+            records = own if records is None else records.unionByName(own)
+    return failures(spark, out, where_there(spark, f"{run}/names"), records, where_there(spark, f"{run}/slot_jaccard"), dict_size, k)
+
+
 def ablation(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, run: config.Run | None = None, presets=config.ABLATION) -> DataFrame:
     """The baseline at several widths: means of dead share and L0, match over null."""
     run, rows = run or config.Run(), None
@@ -295,6 +354,19 @@ def vocabulary(spark: SparkSession, terms: DataFrame, images: DataFrame, out: st
     return s
 
 
+def descriptor_vocabulary(spark: SparkSession, records: DataFrame, terms: DataFrame, images: DataFrame, out: str, branches: Sequence[str] = ("A", "C", "E"), top_k: int = 1024) -> Stages:
+    """vocabulary() over the names of descriptor records (pos, name, trees) in the given branches; no seeds are added.
+
+    terms: term, emb of the names, in any case; no record in the branches is an error."""
+    inside = ontology.branch_filter(records, list(branches)).select(F.col("name").alias("term"))
+    if not inside.limit(1).count():
+        raise ValueError(f"no descriptors in the branches {', '.join(branches)}")
+    vectors = terms.groupBy(F.lower("term").alias("key")).agg(F.first("emb").alias("emb"))
+    s = vocabulary(spark, inside.join(vectors, F.lower("term") == F.col("key")).select("term", "emb"), images, out, config.Vocabulary(top_k, ()))
+    s.add("entries", lambda: s["vocabulary"].select("term", F.round("score", 6).alias("similarity_score"), F.lit("mesh").alias("source"), "place"), json=True)
+    return s
+
+
 def nulls(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, k: int | None = None, counts: DataFrame | None = None, seed: int = 42, default: int = 32) -> Stages:
     """Explanations of randomly drawn terms: k each, or as many as `counts` (explanations of a decomposition) has for the image."""
     s = Stages(spark, out)
@@ -307,25 +379,17 @@ def nulls(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, k:
 
 
 def judged_in_parts(spark: SparkSession, explanations: DataFrame, reports: DataFrame, model: Callable[[str], str], template: str, out: str, every: int = 50, resume: bool = False) -> Stages:
-    """judged() with the records written after every `every` pairs or so: an interrupted run goes on from them.
-
-    Parts are dealt by a hash of the pair, so they do not depend on the order of rows."""
+    """judged() as one streaming query over files of `every` pairs, whose records go to a ledger: an interrupted run goes on from it."""
     s = Stages(spark, out)
     path = f"{s.out}/judged"
-    columns = "image_id string, pseudo_report string, verdict string, raw_response string"
     pairs = judge.with_reports(explanations.withColumn("image_id", F.col("image_id").cast("string")), reports.withColumn("image_id", F.col("image_id").cast("string")))
-    known = spark.createDataFrame([], columns)
-    if resume:
-        with contextlib.suppress(AnalysisException):  # nothing was judged before
-            known = spark.read.schema(columns).parquet(path)
-    open_ = s.add("open", lambda: judge.pending(pairs.select("image_id", "pseudo_report", "report"), known, ["image_id", "pseudo_report"], "report"))
     if not resume:
-        known.write.mode("overwrite").parquet(path)
-    parts = max(1, -(-open_.count() // every))
-    for part in range(parts):
-        some = open_.where(F.pmod(F.xxhash64("image_id", "pseudo_report"), F.lit(parts)) == part)
-        judge.ask(some, template, model).write.mode("append").parquet(path)
-    everything = spark.read.schema(columns).parquet(path)
+        judging.begin(spark, path)
+    judging.write_open(pairs, judging.ledger(spark, path), f"{s.out}/open", every)
+    start = time.time()
+    judging.run(spark, f"{s.out}/open", path, template, model)
+    s.times.append(("judged", round(time.time() - start, 3)))
+    everything = judging.ledger(spark, path)
     failed = F.startswith(F.coalesce("raw_response", F.lit("")), F.lit("ERROR:"))
     latest = everything.withColumn("failed", failed).withColumn("__r", F.row_number().over(Window.partitionBy("image_id", "pseudo_report").orderBy("failed", "raw_response"))).where("__r = 1").drop("__r", "failed")
     s.add("records", lambda: latest)

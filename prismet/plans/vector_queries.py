@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import functions as F
 
 from prismet.functions import vectors as V
@@ -107,18 +105,7 @@ g AS (SELECT seed_i, seed_j, i, j, c FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _all_pairs(spark, sf_dir):
-    """Best matches of every seed pair i < j: seed_i, seed_j, left_id, right_id, score, mutual. The number of seeds is that of the models."""
-    d = roles.decoder(spark, sf_dir)
-    seeds = sorted(r["seed"] for r in d.select("seed").distinct().collect())
-    ids = {"left_id": "feature_id", "right_id": "feature_id", "width": roles.WIDTH}
-    out = spark.createDataFrame([], "seed_i long, seed_j long, left_id long, right_id long, score double, mutual boolean")
-    for i, j in combinations(seeds, 2):
-        a, b = d.where(F.col("seed") == i), d.where(F.col("seed") == j)
-        forward = similarity.top_matches(a, b, 1, **ids)
-        both = similarity.mutual_matches(forward, similarity.top_matches(b, a, 1, **ids)).select("left_id", F.lit(True).alias("mutual"))
-        best = forward.join(both, "left_id", "left").select("left_id", "right_id", "score", F.coalesce("mutual", F.lit(False)).alias("mutual"))
-        out = out.unionByName(best.select(F.lit(i).alias("seed_i"), F.lit(j).alias("seed_j"), "*"))
-    return out
+    return similarity.best_between(roles.decoder(spark, sf_dir))
 
 
 @query("best_match_pairs", BEST + "SELECT seed_i, seed_j, i AS left_id, j AS right_id, round(c, 6) AS score FROM f")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.functions.text import rid_from_uri
+from prismet.sources import datasource
 from prismet.sources.reports import read_csv
 
 SITE = "http://www.radlex.org/RID/Anatomical_Site"  # fixed value: the column's name
@@ -31,34 +29,10 @@ def ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def descriptors(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, name, trees) of descriptor records; a missing list of tree numbers is empty. Files may be compressed, told by
-    the suffix or by their first two bytes. pos follows the place in the file, however it is split."""
-    files = spark.read.format("binaryFile").load(path)
-    if not path.endswith(".gz") and files.where(F.substring("content", 1, 2) == F.unhex(F.lit("1F8B"))).limit(1).count():
-        return _unpacked(files)
-    rows = spark.read.format("xml").option("rowTag", "DescriptorRecord").schema(DESCRIPTOR).load(path)
-    # Rows of a split are numbered from its first byte on; a split has fewer rows than bytes.
-    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select(place.alias("pos"), F.trim(F.col("DescriptorName.String")).alias("name"), F.coalesce(F.col("TreeNumberList.TreeNumber"), F.array().cast("array<string>")).alias("trees")).where("name is not null")
-
-
-def _unpacked(files: DataFrame) -> DataFrame:
-    """The records of packed files (content) whose names do not say that they are packed, unpacked a megabyte at a time."""
-    schema = pa.schema([("pos", pa.int64()), ("xml", pa.string())])
-
-    def task(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                stream, waiting, pos = zlib.decompressobj(31), b"", 0
-                view = memoryview(content.as_buffer())
-                for at in range(0, len(view), 1 << 20):
-                    *records, waiting = re.split(rb"(?<=</DescriptorRecord>)", waiting + stream.decompress(view[at : at + (1 << 20)]))
-                    found = [m[0].decode() for r in records if (m := re.search(rb"<DescriptorRecord[\s>].*", r, re.DOTALL))]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(range(pos, pos + len(found)), pa.int64()), pa.array(found, pa.string())], schema=schema)
-                        pos += len(found)
-
-    return descriptors_of_text(files.select("content").mapInArrow(task, "pos long, xml string"), more=["pos"])
+    """(pos, name, trees) of descriptor records, read in ranges of bytes; a missing list of tree numbers is empty. Packed
+    files are told by their first two bytes. pos follows the place in the files, however they are split."""
+    datasource.register(spark)
+    return spark.read.format(datasource.Descriptors.name()).load(path)
 
 
 def descriptors_of_text(rows: DataFrame, column: str = "xml", more: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.functions.text import study_key
-from prismet.sources import reports
+from prismet.sources import datasource, reports
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,11 @@ class Dataset:
     vocabulary: str = "ontology"
     variant: str = "standard"
 
+    def images(self, spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+        """file, path, bytes, content of the dataset's image files, read by the package's own data source."""
+        datasource.register(spark)
+        return spark.read.format(datasource.ImageFolder.name()).options(pattern=self.pattern, recursive=self.recursive, content=content).load(root)
+
     def folder(self, root: str, kind: str, tag: str = "") -> str:
         """Layout of results: one path a dataset, variant and kind."""
         return f"{root.rstrip('/')}/dataset={self.name}/variant={self.variant}/{kind}{'_' + tag if tag else ''}"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismet.operators.graph import shared
+
 WATERMARK = "10 minutes"
 
 
@@ -26,10 +27,14 @@ def windowed(events: DataFrame) -> DataFrame:
 def run_once(spark: SparkSession, path: str) -> DataFrame:
     """Run the stream over what is there and return the rows it wrote. Both the rows and the stream's checkpoint lie
     in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="prismet-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    at, name = path.rstrip("/").rsplit("/", 1)
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(path.rsplit("/", 1)[0] + "/" + path.rsplit("/", 1)[1][:-1] + "[t]")
+    # A stream reads folders: of a single file, its folder and its name; of a folder of files, all of them.
+    one = spark.read.parquet(path).limit(1).select("_metadata.file_path").first()
+    single = one is None or one["file_path"].rstrip("/").endswith(f"/{name}")
+    reader = spark.readStream.schema(schema)
+    source = reader.option("pathGlobFilter", name).parquet(at) if single else reader.parquet(path)
     query = keyed(source).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/rows").select("image_id", "pseudo_report", "event_id")

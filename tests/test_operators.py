@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismet.operators import explain, faithfulness, graph, judge, ontology, organize, sampling, similarity, sparse, splice, stability, train, vocab
+from prismet.plans import roles
 
 
 def unit(rng, n, d):
@@ -49,6 +50,52 @@ def test_threshold_edges_in_blocks(spark, tau):
     assert got == {(i, j) for i in range(62) for j in range(i + 1, 62) if s[i, j] > tau}
 
 
+@pytest.mark.parametrize("tau", [0.2, 0.6, 0.95])
+@pytest.mark.parametrize("shape", ["even", "clusters", "few axes"])
+def test_threshold_edges_verify_few_pairs(spark, tau, shape):
+    """The join by heads and rests gives the edges of all pairs, in one block and in many, and leaves most pairs out."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 24))
+    if shape == "clusters":
+        x = x[rng.integers(0, 12, 300)] + 0.15 * rng.normal(size=(300, 24))
+    elif shape == "few axes":
+        x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 24)) + 0.05 * x
+    x = similarity.unit(x)
+    s = x @ x.T
+    want = {(i, j): s[i, j] for i in range(300) for j in range(i + 1, 300) if s[i, j] > tau}
+    for block in (4096, 40):
+        got = {(r["a"], r["b"]): r["score"] for r in similarity.threshold_edges(frame(spark, x), tau, block=block).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    ids = np.arange(300)
+    axes = similarity.principal_axes(frame(spark, x).select("id", "emb"), tau)
+    found, verified = similarity.tile_edges(ids, x, ids, x, tau, axes)
+    assert found.num_rows == len(want) and len(want) <= verified
+    if shape != "even" or tau > 0.5:
+        assert verified <= len(want) + 0.1 * 300 * 299 / 2
+    boxes = [(b, axes.split(x[b::8])[0].min(0), axes.split(x[b::8])[0].max(0), axes.split(x[b::8])[1].max()) for b in range(8)]
+    meet = similarity.meeting_blocks(boxes, tau)
+    assert all((min(i % 8, j % 8), max(i % 8, j % 8)) in meet for i, j in want)
+
+
+def test_threshold_edges_of_the_given_vectors_verify_few_pairs(spark):
+    """On all given vectors fewer than a tenth of the pairs are verified over all coordinates."""
+    rows = roles.decoder(spark, "/root/testdata/sf0.1").select("id", similarity.l2_normalize(F.col("emb")).alias("emb"))
+    t = rows.orderBy("id").toArrow()
+    ids, x = t.column("id").to_numpy(), similarity.matrix(t.column("emb").combine_chunks())
+    found, verified = similarity.tile_edges(ids, x, ids, x, 0.4, similarity.principal_axes(rows, 0.4))
+    s = np.triu(x @ x.T, 1)
+    assert found.num_rows == (s > 0.4).sum() and verified < len(x) * (len(x) - 1) / 20
+
+
+def test_threshold_edges_of_clusters_leave_blocks_out():
+    rng = np.random.default_rng(13)
+    x = similarity.unit(np.repeat(np.eye(16), 50, axis=0) + 0.02 * rng.normal(size=(800, 16)))
+    axes = similarity.Axes(np.eye(16), 16)
+    head, rest = axes.split(x)
+    summaries = [(b, head[50 * b : 50 * b + 50].min(0), head[50 * b : 50 * b + 50].max(0), rest[50 * b : 50 * b + 50].max()) for b in range(16)]
+    assert similarity.meeting_blocks(summaries, 0.6) == [(b, b) for b in range(16)] and similarity.meeting_blocks([], 0.5) == []
+
+
 def test_assignment_by_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(25):
@@ -159,15 +206,48 @@ def test_matched_statistics():
     assert stability.subspace_null(a, b, np.random.default_rng(1)) > stability.isotropic_null(a, 60, np.random.default_rng(1))
 
 
-def test_nulls_are_deterministic(spark):
-    models = {s: unit(np.random.default_rng(s), 15, 8) for s in range(3)}
-    draw = lambda: sorted(map(tuple, stability.null_draws(spark, models, 6, "subspace").collect()))
+def models_of(spark, models):
+    return spark.createDataFrame([(s, i, v.tolist()) for s, x in models.items() for i, v in enumerate(x)], "seed long, feature_id long, emb array<double>")
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "subspace"])
+@pytest.mark.parametrize("rows", [4096, 6])
+def test_nulls_are_those_of_whole_models(spark, monkeypatch, kind, rows):
+    """Draws by blocks of rows are those of the whole matrices, and the same each time."""
+    monkeypatch.setattr(stability, "NULL_ROWS", rows)
+    monkeypatch.setattr(stability, "NULL_PERMS", 4)
+    models = {s: unit(np.random.default_rng(s), 15 + s, 8) for s in range(3)}
+    frame_ = models_of(spark, models)
+    draw = lambda: sorted(map(tuple, stability.null_draws(frame_, 6, kind).collect()))
     first = draw()
-    assert first == draw() and len(first) == 18
-    s = stability.null_summary(stability.null_draws(spark, models, 6))
+    assert len(first) == 18 and [r[:3] for r in first] == [r[:3] for r in draw()]
+    for i, j, p, observed, null in first:
+        rng = stability._rng(0, i, j, p)
+        want = stability.isotropic_null(models[i], len(models[j]), rng) if kind == "isotropic" else stability.subspace_null(models[i], models[j], rng)
+        assert (observed, null) == (pytest.approx(stability.matched(models[i], models[j])["mean_best"]), pytest.approx(want))
+    s = stability.null_summary(stability.null_draws(frame_, 6))
     assert s.count() == 3 and all(0 <= r["p"] <= 1 for r in s.collect())
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_best_matches_of_all_models(spark, block):
+    models = {s: unit(np.random.default_rng(s), 12 + s, 6) for s in (1, 2, 5)}
+    models[5][3] = models[5][7] = models[1][0]  # equal rows: the lower id is the best
+    got = {(r["seed_i"], r["seed_j"], r["left_id"]): (r["right_id"], r["score"], r["mutual"]) for r in similarity.best_between(models_of(spark, models), block).collect()}
+    assert len(got) == 2 * 13 + 14
+    for i, j in ((1, 2), (1, 5), (2, 5)):
+        s = models[i] @ models[j].T
+        s = np.round(s, 12)
+        for k in range(len(s)):
+            best = int(s[k].argmax())
+            assert got[i, j, k] == (best, pytest.approx(s[k, best], abs=1e-9), int(s[:, best].argmax()) == k)
+    table = {(r["seed_i"], r["seed_j"]): r for r in stability.matched_table(models_of(spark, models)).collect()}
+    for (i, j), r in table.items():
+        m = stability.matched(models[i], models[j])
+        assert (r["mean_best"], r["frac_07"], r["frac_09"]) == tuple(pytest.approx(m[c]) for c in ("mean_best", "frac_0.7", "frac_0.9")) and r["erank"] == stability.effective_rank(models[j])
+    assert {r["seed"]: r["erank"] for r in stability.effective_ranks(models_of(spark, models)).collect()} == {s: stability.effective_rank(x) for s, x in models.items()}
+
+
 def test_consensus_and_null(spark):
     rows = [(i, i % 4, i // 4, [1.0, float(i // 4)]) for i in range(16)] + [(99, 0, 50, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, seed long, component long, emb array<double>")
@@ -191,25 +271,61 @@ def test_point_biserial_and_nulls(spark):
     assert abs(got[(0, "l0")]) > p95[0] and len(p95) == 5
 
 
-def test_shuffle_null_by_brute_force(spark):
-    """Under the moves that it draws, the largest correlations are those of the dense matrices."""
+@pytest.mark.parametrize("small", [False, True])
+def test_shuffle_null_by_brute_force(spark, monkeypatch, small):
+    """Under the permutations that it draws, the largest correlations are those of the dense matrices."""
+    if small:  # label rows in several broadcasts, features in several groups, draws in several blocks
+        for name, value in (("LABEL_BYTES", 80), ("GROUP_PLACES", 7), ("GATHERED", 600)):
+            monkeypatch.setattr(faithfulness, name, value)
     n, rng = 31, np.random.default_rng(4)
     a, y = np.maximum(rng.normal(size=(n, 4)) - 0.8, 0), (rng.random((n, 3)) < [0.1, 0.5, 0.9]).astype(float)
     acts = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(4) if a[i, j] > 0], "image_id long, feature_id long, activation double")
-    labels = spark.createDataFrame([(i, f"l{j}") for i in range(n) for j in range(3) if y[i, j]], "image_id long, label string")
+    labels = spark.createDataFrame([(i, f"l{j}") for i in range(n) for j in range(3) if y[i, j]] + [(0, None)], "image_id long, label string")
     images = spark.range(n).withColumnRenamed("id", "image_id")
     place = {r["image_id"]: k for k, r in enumerate(images.orderBy(F.xxhash64("image_id", F.lit(5)), "image_id").collect())}
     got = {(r["feature_id"], r["perm"]): r["max_r"] for r in faithfulness.shuffle_null(acts, labels, images, 6, 5).collect()}
     at = np.array([place[i] for i in range(n)])
-    for p, mult, plus in faithfulness._moves(n, 6, 5):
-        moved = np.zeros_like(y)
-        moved[(at * mult + plus) % n] = y
-        placed = np.zeros_like(a)
-        placed[at] = a
+    placed, rows = np.zeros_like(a), np.zeros_like(y)
+    placed[at], rows[at] = a, y
+    for p, order in enumerate(faithfulness.permuted(np.arange(n), n, np.arange(6), 5)):
+        assert sorted(order) == list(range(n))
         for f in range(4):
-            want = max(abs(np.corrcoef(placed[:, f], moved[:, j])[0, 1]) for j in range(3))
-            assert got[f, p] == pytest.approx(want, abs=1e-9)
+            assert got[f, p] == pytest.approx(max(abs(np.corrcoef(placed[:, f], rows[order][:, j])[0, 1]) for j in range(3)), abs=1e-9)
     assert len(got) == 24
+    none = faithfulness.shuffle_null(acts, labels.limit(0), images, 2).collect()
+    assert len(none) == 8 and {r["max_r"] for r in none} == {0.0}
+
+
+def test_shuffle_null_agrees_with_plain_permutations(spark):
+    """Its 95th percentiles lie within the sampling error of those that numpy's permutations give."""
+    n, rng = 400, np.random.default_rng(6)
+    a, y = np.maximum(rng.normal(size=(n, 6)) - 0.5, 0), (rng.random((n, 5)) < 0.3).astype(float)
+    acts = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(6) if a[i, j] > 0], "image_id long, feature_id long, activation double")
+    labels = spark.createDataFrame([(i, f"l{j}") for i in range(n) for j in range(5) if y[i, j]], "image_id long, label string")
+    null = faithfulness.shuffle_null(acts, labels, list(range(n)), 600)
+    got = {r["feature_id"]: r["p95"] for r in faithfulness.percentile95(null, "max_r", "feature_id").collect()}
+    za, zy = (a - a.mean(0)) / a.std(0), (y - y.mean(0)) / y.std(0)
+    for f in range(6):
+        draws = np.array([np.abs(za[:, f] @ zy[rng.permutation(n)] / n).max() for _ in range(3000)])
+        # Two standard errors of a 95th percentile of 600 draws are ranks 95 % +- 1.8 %; three of them are taken.
+        low, high = np.quantile(draws, [0.95 - 0.027, 0.95 + 0.027])
+        assert low < got[f] < high
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 31, 64, 1000])
+def test_permutations_are_uniform(n):
+    draws = np.arange(max(200, 4000 // n))
+    at = faithfulness.permuted(np.arange(n), n, draws, 3)
+    assert (np.sort(at, axis=1) == np.arange(n)).all()
+    if n > 2:
+        seen = np.zeros((min(n, 31), min(n, 31)))
+        for row in faithfulness.permuted(np.arange(min(n, 31)), min(n, 31), np.arange(6000), 3):
+            seen[np.arange(len(row)), row] += 1
+        k = len(seen)
+        chi = ((seen - 6000 / k) ** 2 / (6000 / k)).sum()
+        free = (k - 1) ** 2
+        assert abs(chi - free) < 5 * np.sqrt(2 * free)
+    assert (faithfulness.permuted(np.arange(n)[::2], n, draws, 3) == at[:, ::2]).all()
 
 
 def test_ranks_and_rates_over_ranges(spark):
@@ -247,6 +363,30 @@ def test_agglomerate():
         organize.agglomerate(x, n_clusters=2, distance=0.1)
 
 
+@pytest.mark.parametrize("linkage", ["average", "single"])
+def test_clusters_in_rounds_are_those_of_one_matrix(spark, linkage):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([c + 0.3 * rng.normal(size=(9, 8)) for c in np.eye(4, 8)])
+    rows = spark.createDataFrame([(f"n{i:02d}", v.tolist()) for i, v in enumerate(x)], "name string, emb array<double>")
+    for options in ({"n_clusters": 4}, {"distance": 0.35}, {}):
+        label = organize.agglomerate(x, linkage=linkage, **options)
+        assert organize.agglomerative_clusters(rows, linkage=linkage, **options).count() == 36
+        got = {r["name"]: r["label"] for r in organize.agglomerative_clusters(rows, linkage=linkage, most=0, **options).collect()}
+        assert [got[f"n{i:02d}"] for i in range(36)] == label.tolist()
+    with pytest.raises(ValueError):
+        organize.agglomerative_clusters(rows, n_clusters=3, linkage="complete", most=5)
+
+
+def test_nearest_outside_in_blocks(spark):
+    x = unit(np.random.default_rng(16), 30, 5)
+    part = np.arange(30) % 4
+    rows = frame(spark, x, component=part)
+    s = x @ x.T
+    s[part[:, None] == part[None]] = -np.inf
+    got = {r["id"]: r["other"] for r in organize.nearest_outside(rows, 7).collect()}
+    assert got == {i: int(s[i].argmax()) for i in range(30)}
+
+
 def test_families_and_redundancy(spark):
     acts = spark.createDataFrame([("i", "a", 1.0), ("i", "b", 2.0), ("i", "c", 4.0)], "image_id string, name string, activation double")
     fams = organize.families(acts, spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "name string, cluster_id int"))
@@ -305,6 +445,86 @@ def test_training_learns(spark):
     assert train.TrainConfig(dict_size=16384).rate == pytest.approx(2e-4)
 
 
+@pytest.mark.parametrize("workers", [1, 3, 4])
+def test_training_by_several_tasks(spark, workers):
+    """Data-parallel training reads every row and ends within one per cent of the loss of one task."""
+    rng = np.random.default_rng(14)
+    atoms = unit(rng, 24, 16)
+    x = np.stack([sum(rng.random() * atoms[j] for j in rng.choice(24, 3, replace=False)) for _ in range(600)])
+    config = train.TrainConfig(dict_size=48, k=4, steps=400, batch=96, lr=0.01)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "image_id long, emb array<double>")
+    models = train.train(rows, [3, 4], config, workers)
+    got = {}
+    for seed in (3, 4):
+        part = models.where(F.col("seed") == seed).orderBy("feature_id").collect()
+        assert [r["feature_id"] for r in part] == list(range(48)) and len({tuple(r["b_dec"]) for r in part}) == 1
+        enc, bias, dec, off = (np.array([r[c] for r in part]) for c in ("enc", "enc_bias", "dec", "b_dec"))
+        got[seed] = loss_of(x, enc, bias, dec, off[0], config.k)
+        one = train.fit(x, config, seed)
+        assert np.allclose(np.linalg.norm(dec, axis=1), 1)
+        variance = ((x - x.mean(0)) ** 2).mean()
+        assert got[seed] < loss_of(x, one["enc"], one["enc_bias"], one["dec"], one["b_dec"], config.k) + 0.01 * variance
+    again = train.train(rows.repartition(5), [3, 4], config, workers)
+    assert sorted(map(tuple, models.collect()), key=lambda t: t[:2]) == sorted(map(tuple, again.collect()), key=lambda t: t[:2])
+
+
+def loss_of(x, enc, bias, dec, off, k):
+    f = train.top_k(np.maximum((x - off) @ enc.T + bias, 0), k)
+    return float(((f @ dec + off - x) ** 2).mean())
+
+
+def test_more_tasks_than_rows(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "image_id long, emb array<double>")
+    config = train.TrainConfig(dict_size=4, k=1, steps=3, batch=8)
+    assert train.train(rows, [0], config, 5).count() == 4
+    assert train.train(rows.limit(0), [0], config, 2).count() == 4
+
+
+def test_rows_that_a_schedule_can_use():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    place, x = rng.permutation(40_000), rng.normal(size=(40_000, 2))
+    batches = [pa.record_batch([pa.array(place[i : i + 3000]), pa.array(x[i : i + 3000].tolist(), pa.list_(pa.float64()))], names=["place", "emb"]) for i in range(0, 40_000, 3000)]
+    assert np.array_equal(train.usable(iter(batches), 10**6), x)
+    assert np.array_equal(train.usable(iter(batches), 500), x[np.sort(np.flatnonzero(place < 500))])
+
+
+def test_a_ring_adds_up():
+    import threading
+
+    class Context:
+        def __init__(self, rank, said, gate):
+            self.rank, self.said, self.gate = rank, said, gate
+
+        def partitionId(self):
+            return self.rank
+
+        def getTaskInfos(self):
+            return [type("Info", (), {"address": "127.0.0.1:0"}) for _ in self.said]
+
+        def allGather(self, message):
+            self.said[self.rank] = message
+            self.gate.wait()
+            return list(self.said)
+
+    for size in (2, 3, 5):
+        said, gate, out = [None] * size, threading.Barrier(size), [None] * size
+        xs = np.random.default_rng(size).normal(size=(size, 7))
+
+        def task(rank, said=said, gate=gate, out=out, xs=xs):
+            ring = train.Ring(Context(rank, said, gate))
+            out[rank] = (ring.sum(xs[rank]), ring.sum(np.ones(1)), ring.sum(np.zeros(200_000) + rank))
+
+        threads = [threading.Thread(target=task, args=(r,)) for r in range(size)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join(60)
+        assert all(np.array_equal(o[0], out[0][0]) for o in out) and np.allclose(out[0][0], xs.sum(0))
+        assert all(o[1][0] == size and (o[2] == size * (size - 1) / 2).all() for o in out)
+
+
 def test_vocabulary_seeds(spark):
     scored = spark.createDataFrame([(i, f"t{i}", 1 - i / 10) for i in range(8)], "term_idx long, term string, score double")
     got = [(r["term"], r["source"]) for r in vocab.build(scored, 3, spark.createDataFrame([("T1",), ("T6",)], "term string")).orderBy("place").collect()]

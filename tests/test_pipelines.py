@@ -99,8 +99,17 @@ def test_judged_and_failures(spark, tmp_path):
     again = pipelines.judged(spark, ex, rep, lambda p: "Supports", "{report}{pseudo_report}", str(tmp_path / "k"), s["records"])
     assert again["fresh"].count() == 0 and again["scores"].first()["n_total"] == 1
     names = spark.createDataFrame([(0, "a", 0.3, False), (1, "b", 0.45, False), (2, "d", 0.0, True)], "feature_id long, name string, score double, is_dead boolean")
-    f = pipelines.failures(spark, names, s["records"].withColumn("model", F.lit("m")), 0.02, 64, 8, str(tmp_path / "x"))
-    assert f["weakest"].first()["feature_id"] == 0 and f["stability"].first()["chance_floor"] == pytest.approx(8 / 120)
+    slots = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.02), (0, 2, 0.04)], "seed_i long, seed_j long, jaccard double")
+    f = pipelines.failures(spark, str(tmp_path / "x"), names, s["records"].withColumn("model", F.lit("m")), slots, 64, 8)
+    row = f["stability"].first()
+    assert f["weakest"].first()["feature_id"] == 0 and (row["slot_mean"], row["chance_floor"]) == (pytest.approx(0.03), pytest.approx(8 / 120)) and f["naming"].first()["n_dead"] == 1
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "x/REPORT"), wholetext=True).collect())
+    assert "3 of 3 sections" in text and "skipped" not in text and "| 0 | a | 0.3 |" in text
+    # Sections whose input is missing are left out.
+    f = pipelines.failures_of_run(spark, str(tmp_path / "nowhere"), {"m": str(tmp_path / "j"), "n": str(tmp_path / "none")}, str(tmp_path / "y"), 64, 8)
+    assert set(f.tables) == {"verdicts"} and f["verdicts"].first()["model"] == "m"
+    text = spark.read.text(str(tmp_path / "y/REPORT"), wholetext=True).first()["value"]
+    assert "1 of 3 sections" in text and text.count("_skipped") == 2
 
 
 def test_positions_must_align(spark):
@@ -126,6 +135,13 @@ def test_command_line(spark, tables, tmp_path, capsys, monkeypatch):
     tables[1].write.parquet(str(tmp_path / "t"))
     assert main(["splice", "--images", str(tmp_path / "i"), "--terms", str(tmp_path / "t"), "--k", "3", "--out", str(tmp_path / "o")]) == 0
     assert "coefficients" in capsys.readouterr().out
+    organize = ["organize", "--terms", str(tmp_path / "t"), "--n-clusters", "3", "--out", str(tmp_path / "o")]
+    assert main(organize) == 0
+    assert spark.read.parquet(str(tmp_path / "o/dataset=iu_xray/variant=standard/organization_splice/clusters")).count() == 3
+    with pytest.raises(FileNotFoundError, match="dataset=rocov2/variant=standard/baseline_x/explanations"):
+        main([*organize, "--source", "baseline", "--dataset", "rocov2", "--tag", "x"])
+    with pytest.raises(KeyError, match="known: iu_xray"):
+        main([*organize, "--dataset", "none"])
     assert main(["snapshot", str(tmp_path / "i"), str(tmp_path / "i")]) == 0 and main(["snapshot", str(tmp_path / "i"), str(tmp_path / "t")]) == 1
     with pytest.raises(SystemExit):
         parser().parse_args(["splice"])
@@ -146,8 +162,11 @@ def test_more_commands(spark, tables, tmp_path, capsys, monkeypatch):
     assert models_.count() == 32 and spark.read.parquet(p("m/manifest")).first()["dict_size"] == 16
     np.save(p("p.npy"), np.random.default_rng(0).normal(size=(64, 64)))
     assert main(["path-a", "--images", p("i"), "--terms", p("t"), "--projection", p("p.npy"), "--models", p("m/models"), "--n-perm", "2", "--tag", "x", "--out", p("a"), *small]) == 0
-    names = spark.read.parquet(p("a/dataset=iu_xray/variant=standard/hidden_x/names"))
+    run = p("a/dataset=iu_xray/variant=standard/hidden_x")
+    names = spark.read.parquet(f"{run}/names")
     assert names.count() == 16
+    report = spark.read.text(f"{run}/REPORT_run", wholetext=True).first()["value"]
+    assert all(x in report for x in ("| tag | x |", "| explanations | done |", "null_subspace | null_mean", "| images | ", "commit: "))
     assert main(["vocabulary", "--terms", p("t"), "--images", p("i"), "--topk", "5", "--out", p("v")]) == 0
     assert spark.read.parquet(p("v/vocabulary")).count() == 5
     assert main(["null", "--images", p("i"), "--terms", p("t"), "--k", "3", "--out", p("n")]) == 0
@@ -163,8 +182,8 @@ def test_more_commands(spark, tables, tmp_path, capsys, monkeypatch):
     assert main([*judge, "--resume"]) == 0 and len(asked) == 7
     records = spark.read.parquet(p("j/dataset=iu_xray/variant=standard/judge_null/a_b_1/records"))
     assert records.count() == 7
-    records.withColumn("model", F.lit("m")).write.parquet(p("rec"))
-    assert main(["failures", "--names", p("a/dataset=iu_xray/variant=standard/hidden_x/names"), "--records", p("rec"), "--slot-mean", "0.1", "--dict-size", "16", "--k", "2", "--out", p("f")]) == 0
+    assert main(["failures", "--run", run, "--judged", f"m={p('j/dataset=iu_xray/variant=standard/judge_null/a_b_1')}", "--dict-size", "16", "--k", "2", "--out", p("f")]) == 0
+    assert spark.read.parquet(p("f/verdicts")).first()["n_total"] == 7 and spark.read.parquet(p("f/stability")).first()["chance_floor"] == pytest.approx(2 / 30)
     (tmp_path / "pics").mkdir()
     for n in ("x.png", "y.png"):
         (tmp_path / "pics" / n).write_bytes(n.encode())
@@ -176,6 +195,55 @@ def test_more_commands(spark, tables, tmp_path, capsys, monkeypatch):
     assert main(["compare", p("s1"), p("s1")]) == 0 and main(["compare", p("s1"), p("s2")]) == 1
 
 
+def shades(contents):
+    """Hidden states of pictures: their size and mean colour."""
+    from prismet.functions.pictures import decode_png
+
+    return [[*decode_png(c).reshape(-1, 3).mean(0), float(decode_png(c).shape[0])] for c in contents]
+
+
+def test_hidden_run_from_pictures(spark, tables, tmp_path):
+    """Pictures are reduced, encoded and run; the second run reuses what was extracted."""
+    from prismet.functions.pictures import encode_png
+
+    p = lambda name: str(tmp_path / name)
+    rng = np.random.default_rng(0)
+    (tmp_path / "pics").mkdir()
+    for i in range(24):
+        x = rng.integers(0, 256, (300, 260, 3)) if i == 0 else rng.integers(0, 256, (6, 5, 3))
+        (tmp_path / "pics" / f"{i:02d}_IM.png").write_bytes(encode_png(x.astype(np.uint8)))
+    tables[1].write.parquet(p("t"))
+    np.save(p("p.npy"), rng.normal(size=(64, 4)))
+    small = ["--seeds", "0,1", "--dict-size", "8", "--k", "2", "--steps", "5", "--batch-size", "8", "--n-perm", "2"]
+    command = ["path-a", "--images", p("e"), "--terms", p("t"), "--projection", p("p.npy"), "--folder", p("pics"), "--encoder", "tests.test_pipelines:shades", "--out", p("a"), *small]
+    with pytest.raises(FileNotFoundError, match="no table at"):
+        main([*command, "--skip-extract"])
+    assert main(command) == 0
+    rows = spark.read.parquet(p("e"))
+    assert rows.count() == 24
+    (tmp_path / "pics" / "00_IM.png").unlink()
+    assert main([*command, "--skip-extract"]) == 0 and spark.read.parquet(p("e")).count() == 24
+    assert main(command) == 0 and spark.read.parquet(p("e")).count() == 23
+
+
+def test_vocabulary_from_descriptors(spark, tables, tmp_path):
+    from .test_sources import RECORD, TREES
+
+    p = lambda name: str(tmp_path / name)
+    names = ("Lung", "Heart", "Aspirin", "lung", "Not Encoded")
+    (tmp_path / "d.xml").write_text("<DescriptorRecordSet>" + "".join(RECORD.format(f"D{i}", n, TREES.format(f"<TreeNumber>{'D' if n == 'Aspirin' else 'A'}0{i}</TreeNumber>")) for i, n in enumerate(names)) + "</DescriptorRecordSet>")
+    spark.createDataFrame([("lung", [1.0, 0.1]), ("HEART", [0.2, 1.0]), ("Aspirin", [1.0, 0.0])], "term string, emb array<double>").write.parquet(p("t"))
+    spark.createDataFrame([("x", [1.0, 0.0])], "label string, emb array<double>").write.parquet(p("i"))
+    command = ["vocabulary", "--dataset", "rocov2", "--terms", p("t"), "--images", p("i"), "--topk", "5", "--out", p("v")]
+    with pytest.raises(SystemExit, match="descriptor records"):
+        main(command)
+    assert main([*command, "--descriptors", p("d.xml")]) == 0
+    got = [(r["term"], r["source"]) for r in spark.read.parquet(p("v/entries")).orderBy("place").collect()]
+    assert got == [("Lung", "mesh"), ("Heart", "mesh")]
+    with pytest.raises(ValueError, match="no descriptors in the branches Z"):
+        main([*command, "--descriptors", p("d.xml"), "--branches", "Z"])
+
+
 def test_vocabulary_with_an_ontology(spark, tables, tmp_path):
     nodes = spark.createDataFrame([(0, "RID1243", "thorax", False), (1, "A", "lung field", False), (2, "B", "liver edge", False), (3, "C", "elsewhere", False)], "pos int, rid string, label string, obsolete boolean")
     edges = spark.createDataFrame([("A", "RID1243"), ("B", "RID1243")], "child string, parent string")

@@ -108,6 +108,44 @@ def test_sinks(spark, tmp_path):
     assert len(sinks.reproducibility(spark.createDataFrame([("n", "c")], "name string, content string")).first()["digest"]) == 16
 
 
+def test_digest_tree(spark):
+    """The root tells bags apart, not orders or partitions; it is that of a tree built by hand."""
+    import hashlib
+
+    rows = [(i, [float(i), None, 0.5]) for i in range(500)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "image_id long, emb array<double>")
+    first = sinks.merkle(df, "image_id", "emb").first()
+    assert first["n_rows"] == 503
+    assert all(sinks.merkle(x, "image_id", "emb").first() == first for x in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("image_id"))))
+    for other in (df.union(df.limit(1)), df.where("image_id is null or image_id > 0"), df.dropDuplicates(), df.withColumn("image_id", F.col("image_id") + 1)):
+        assert sinks.merkle(other, "image_id", "emb").first()["digest"] != first["digest"]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    counts = {}
+    for r in df.select(F.sha2(F.to_json(F.struct("image_id", "emb"), {"ignoreNullFields": "false"}), 256).alias("d")).collect():
+        counts[r["d"]] = counts.get(r["d"], 0) + 1
+    for depth in (0, 3, 12):
+        nodes = ["".join(f"{d}:{counts[d]};" for d in sorted(counts) if int(d[:8], 16) >> (32 - depth) == leaf) for leaf in range(1 << depth)]
+        nodes = [sha(x) for x in nodes]
+        while len(nodes) > 1:
+            nodes = [sha(nodes[i] + nodes[i + 1]) for i in range(0, len(nodes), 2)]
+        assert sinks.merkle(df, "image_id", "emb", depth=depth).first()["digest"] == nodes[0]
+    assert sinks.merkle(df.limit(0)).first()["n_rows"] == 0
+
+
+def test_commit(tmp_path):
+    import subprocess
+
+    assert sinks.commit(str(tmp_path)) is None and sinks.commit(str(tmp_path / "none")) is None
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init")
+    (tmp_path / "f").write_text("1")
+    git("add", "f")
+    git("commit", "-m", "one")
+    head = sinks.commit(str(tmp_path))
+    (tmp_path / "f").write_text("2")
+    assert len(head) == 40 and sinks.commit(str(tmp_path)) == head + "+"
+
+
 def test_model_checks(spark):
     f = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "feature_id long, dec array<double>")
     assert images.checked_models(f, 2, 4, 2, 4) is f
