@@ -123,7 +123,7 @@ def permuted(places: np.ndarray, n: int, draws: np.ndarray, seed: int = 0) -> np
 
 def _label_marks(marks: DataFrame, words: int, low: int, high: int) -> np.ndarray:
     """Bits of the labels of the places from low on, below high: one row a place. marks: place, at (number of the label)."""
-    bit = F.shiftleft(F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
     rows = marks.where((F.col("place") >= low) & (F.col("place") < high)).groupBy("place").agg(*[F.bit_or(F.when(F.floor(F.col("at") / 64) == w, bit).otherwise(0)).alias(f"w{w}") for w in range(words)]).toArrow()
     out = np.zeros((high - low, words), np.int64)
     out[rows.column("place").to_numpy() - low] = np.stack([rows.column(f"w{w}").to_numpy() for w in range(words)], axis=1)
@@ -167,16 +167,17 @@ def shuffle_null(activations: DataFrame, image_labels: DataFrame, images, n_perm
     ids = (images if isinstance(images, DataFrame) else spark.createDataFrame([(i,) for i in images], "image_id long")).select("image_id").distinct()
     n = ids.count()
     places = kept(ranked(ids, min(512, 1 + n // 10_000), F.xxhash64("image_id", F.lit(seed)), F.col("image_id")).select("image_id", (F.col("__r") - 1).alias("place")))
-    acts = kept(activations.join(places, "image_id").select(F.col("feature_id").cast("long").alias("feature_id"), "place", F.col("activation").cast("double").alias("activation")))
+    acts = activations.join(places, "image_id").select(F.col("feature_id").cast("long").alias("feature_id"), "place", F.col("activation").cast("double").alias("activation"))
     labelled = image_labels.select("image_id", "label").where("label is not null").distinct().join(places, "image_id")
     counts = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # labels of a prevalence: a vocabulary
     feature = acts.groupBy("feature_id").agg(F.sum("activation").alias("sa"), F.sum(F.col("activation") ** 2).alias("saa"))
     if not counts:
         return feature.select("feature_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_perm - 1).cast("long"))).alias("perm"), F.lit(0.0).alias("max_r"))
     names = spark.createDataFrame([(r["label"], i) for i, r in enumerate(counts)], "label string, at int")
-    marks = kept(labelled.join(F.broadcast(names), "label").select("place", "at"))
     words = -(-len(counts) // 64)
     each = max(1, LABEL_BYTES // (8 * words))
+    marks = labelled.join(F.broadcast(names), "label").select("place", "at")
+    marks = marks if n <= each else kept(marks)
     sums = None
     for low in range(0, n, each):
         part = label_sums(acts, _label_marks(marks, words, low, min(n, low + each)), low, n, len(counts), n_perm, seed)

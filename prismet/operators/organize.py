@@ -157,7 +157,7 @@ def nearest_outside(rows: DataFrame, block: int = 4096) -> DataFrame:
     own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = own.withColumn("j", every).select(F.col("own").alias("i"), "j", "id", "component", "emb")
-    right = own.withColumn("i", every).select("i", F.col("own").alias("j"), "id", "component", "emb")
+    right = own.withColumn("i", every).select("i", F.col("own").alias("j"), *[F.col(c).alias(c) for c in ("id", "component", "emb")])
     schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64())])
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:

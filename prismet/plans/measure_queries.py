@@ -432,8 +432,8 @@ def ablation_compare(spark, sf_dir):
 
 
 @query("universality_verdict", BEST + """
-, n AS (SELECT count(*) AS n FROM decoder WHERE seed = 0), g AS (SELECT sqrt(2 * ln(n)) / sqrt(64.0) AS anchor FROM n),
-t AS (SELECT seed_i, seed_j, avg((c >= 0.9)::INT) AS frac_09, avg((c < anchor)::INT) AS p, avg(c) AS observed, max(anchor) AS null_mean FROM f, g GROUP BY 1, 2)
+, n AS (SELECT count(*) AS n FROM decoder WHERE seed = 0), anc AS (SELECT sqrt(2 * ln(n)) / sqrt(64.0) AS anchor FROM n),
+t AS (SELECT seed_i, seed_j, avg((c >= 0.9)::INT) AS frac_09, avg((c < anchor)::INT) AS p, avg(c) AS observed, max(anchor) AS null_mean FROM f, anc GROUP BY 1, 2)
 SELECT seed_i, seed_j, round(frac_09, 6) AS frac_09, round(p, 6) AS p, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean,
        CASE WHEN frac_09 >= 0.1 THEN 'strong' WHEN p < 0.05 AND observed > 1.5 * null_mean THEN 'weak' ELSE 'null' END AS verdict FROM t""")
 def universality_verdict(spark, sf_dir):
