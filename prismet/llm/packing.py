@@ -1,15 +1,17 @@
 """Sum-of-squares online packing of tokenised documents into windows of fixed capacity.
 
 1. Every task tokenises its documents and writes pieces to the shared folder: a document longer than a window gives
-   whole windows first, and its remainder with the ids.
-2. PIECES pieces at a time, however many tasks they come from, are placed in turn: a piece goes to the fill level
-   that minimises the sum, over levels, of the squared count of partially filled windows. Moving a window from level
+   whole windows first, and its remainder. Beside its ids a piece has a number, its length and its checksum.
+2. Numbers, lengths and checksums, without the ids, are dealt by a hash to tasks of about PIECES pieces each, and placed in
+   the order of another hash, so that neither the order of the input nor its files decide what meets. A piece goes to the
+   fill level that minimises the sum, over levels, of the squared count of partially filled windows. Moving a window from level
    h to h+s changes the sum by 2 * (N[h+s] - N[h]) + 2, so the best level is found in one pass over the level array N.
-   At the end the windows still open are taken apart: their pieces fill windows exactly where a sum of sizes allows
-   it, and only what is left then is cut; the last window is cut at powers of two, which need no padding.
+   At the end the windows still open are taken apart: their pieces, counted by length, fill windows exactly where a sum of
+   lengths allows it, and only what is left then is cut; the last window is cut at powers of two, which need no padding.
+3. The few pieces that were cut are joined to their ids for the checksums of their parts.
 
-Nothing is shuffled: the second step reads the table that the first wrote, window ids carry the task's number, and a
-task that is run again gives its rows anew as a whole. A task holds its open windows, PIECES pieces at most.
+Window ids carry the task's number, and a task that is run again gives its rows anew as a whole. A task holds some dozen
+bytes a piece.
 
 Defined results: null text counts as empty and gives the one closing id; an empty table gives no rows; rows
 that repeat a document are packed each for itself; a null doc_id is carried through. Other columns are ignored.
@@ -19,12 +21,12 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import WORKER_CACHE, bounded, shared_folder, slices, stored, table, texts_of
 
@@ -117,9 +119,9 @@ def encoder(path: str) -> WordEncoder:
 
 
 class Packer:
-    """Windows of one task. Pieces are (doc_id, start, ids as bytes, doc_tokens)."""
+    """Windows of one task. A piece is (key, at, ..., size): `size` ids of the piece `key` from its id `at` on; rows are (key, at, size, window, offset)."""
 
-    #: Pieces that an exact filling looks at for one window.
+    #: Lengths that an exact filling looks at for one window.
     LOOK = 96
 
     def __init__(self, capacity: int, first_id: int) -> None:
@@ -128,16 +130,13 @@ class Packer:
         self.count[0], self.count[capacity] = 0.5, -0.5  # a new window costs one less, a full one counts no more
         self.at: list[list[list]] = [[] for _ in range(capacity)]
         self.rows: list[tuple] = []
+        self.shared = 0  # windows of several pieces that the placement filled
 
-    def add(self, doc_id, ids: bytes) -> None:
-        for doc_id, start, part, total in cut_whole(doc_id, ids, self.capacity):
-            self.put((doc_id, start, part, total), len(part) // 4)
-
-    def put(self, piece: tuple, size: int) -> None:
+    def put(self, key: int, size: int) -> None:
         if size == self.capacity:
-            self._emit([piece])
+            self._emit([(key, 0, size)])
         elif size:
-            self._place(piece, size)
+            self._place((key, 0, size), size)
 
     def _place(self, piece: tuple, size: int) -> None:
         count, top = self.count, self.capacity - size
@@ -150,6 +149,7 @@ class Packer:
             window = []
         window.append(piece)
         if level + size == self.capacity:
+            self.shared += 1
             self._emit(window)
         else:
             self.at[level + size].append(window)
@@ -157,9 +157,9 @@ class Packer:
 
     def _emit(self, window: list[tuple]) -> None:
         offset = 0
-        for doc_id, start, ids, total in window:
-            self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, self.next_id, offset))
-            offset += len(ids) // 4
+        for piece in window:
+            self.rows.append((piece[0], piece[1], piece[-1], self.next_id, offset))
+            offset += piece[-1]
         self.next_id += 1
 
     def drain(self) -> None:
@@ -170,12 +170,12 @@ class Packer:
         left = self._exact(pieces)
         window, room = [], self.capacity
         while left:
-            doc_id, start, ids, total = left.pop()
-            take = min(room, len(ids) // 4)
-            window.append((doc_id, start, ids[: 4 * take], total))
+            key, at, size = left.pop()
+            take = min(room, size)
+            window.append((key, at, take))
             room -= take
-            if 4 * take < len(ids):
-                left.append((doc_id, start + take, ids[4 * take :], total))
+            if take < size:
+                left.append((key, at + take, size - take))
             if not room:
                 self._emit(window)
                 window, room = [], self.capacity
@@ -183,58 +183,70 @@ class Packer:
             self._by_powers(window)
 
     def _exact(self, pieces: list[tuple]) -> list[tuple]:
-        """Windows that whole pieces fill exactly, the largest piece first; returns the pieces that found no such window."""
-        order = sorted(range(len(pieces)), key=lambda i: (len(pieces[i][2]), i))
-        sizes = [len(pieces[i][2]) // 4 for i in order]
-        alive = list(range(len(order)))  # places in `order`, by size
+        """Windows that whole pieces fill exactly, the largest piece first; returns the pieces that found no such window, the largest last."""
+        by: list[list[tuple]] = [[] for _ in range(self.capacity)]
+        for piece in pieces:
+            by[piece[-1]].append(piece)
+        count = np.array([len(x) for x in by])
         stuck = []
-        while alive:
-            last = alive.pop()
-            chosen = self._subset(alive, sizes, self.capacity - sizes[last])
-            if chosen is None:
-                stuck.append(pieces[order[last]])
+        largest = self.capacity - 1
+        while largest:
+            if not count[largest]:
+                largest -= 1
+                continue
+            count[largest] -= 1
+            chosen = self._subset(count, self.capacity - largest)
+            if chosen is None:  # no other piece of this length finds a window either: all that could join it are still there
+                stuck += by[largest]
+                by[largest], count[largest] = [], 0
                 continue
-            self._emit([pieces[order[i]] for i in (last, *chosen)])
-            gone = set(chosen)
-            alive = [i for i in alive if i not in gone]
+            self._emit([by[size].pop() for size in (largest, *chosen)])
+            for size in chosen:
+                count[size] -= 1
         return stuck[::-1]
 
-    def _subset(self, alive: list[int], sizes: list[int], room: int) -> list[int] | None:
-        """Places whose sizes add up to `room`, among at most LOOK of those that fit, spread over the sizes."""
+    def _subset(self, count: np.ndarray, room: int) -> list[int] | None:
+        """Lengths that add up to `room`, among at most LOOK of those that are there and fit, spread over them."""
         if not room:
             return []
-        fit = bisect_right(alive, room, key=sizes.__getitem__)
-        step = max(1, -(-fit // self.LOOK))
-        candidates = alive[fit - 1 :: -step] if fit else []
+        fit = np.flatnonzero(count[: room + 1])[::-1]
+        items = []  # (length, how many of it), numbers doubling, so that any number up to the count is a sum
+        for size in fit[:: max(1, -(-len(fit) // self.LOOK))].tolist():
+            left, many = min(int(count[size]), room // size), 1
+            while left:
+                many = min(many, left)
+                items.append((size, many))
+                left -= many
+                many *= 2
         reach, seen, full = 1, [], (1 << (room + 1)) - 1
-        for i in candidates:
+        for size, many in items:
             seen.append(reach)
-            reach |= (reach << sizes[i]) & full
+            reach |= (reach << (size * many)) & full
             if reach >> room & 1:
                 break
         else:
             return None
         out = []
-        for i, before in zip(candidates[len(seen) - 1 :: -1], seen[::-1], strict=True):
+        for (size, many), before in zip(items[len(seen) - 1 :: -1], seen[::-1], strict=True):
             if not before >> room & 1:
-                out.append(i)
-                room -= sizes[i]
+                out += [size] * many
+                room -= size * many
         return out
 
     def _by_powers(self, pieces: list[tuple]) -> None:
-        rest = sum(len(p[2]) // 4 for p in pieces)
+        rest = sum(p[-1] for p in pieces)
         pieces = pieces[::-1]
         while rest:
             room = 1 << (rest.bit_length() - 1)
             rest -= room
             window = []
             while room:
-                doc_id, start, ids, total = pieces.pop()
-                take = min(room, len(ids) // 4)
-                window.append((doc_id, start, ids[: 4 * take], total))
+                key, at, size = pieces.pop()
+                take = min(room, size)
+                window.append((key, at, take))
                 room -= take
-                if 4 * take < len(ids):
-                    pieces.append((doc_id, start + take, ids[4 * take :], total))
+                if take < size:
+                    pieces.append((key, at + take, size - take))
             self._emit(window)
 
 
@@ -245,13 +257,14 @@ def cut_whole(doc_id, ids: bytes, capacity: int):
         yield doc_id, start, ids[4 * start : 4 * (start + capacity)], total
 
 
-_PIECES_DDL = "doc_id long, start long, doc_tokens long, width int, ids binary"
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_SCHEMA = pa.schema([(c.split(" ")[0], pa.int64()) for c in _DDL.split(", ")])
+_PIECES_DDL = "piece long, doc_id long, start long, doc_tokens long, length long, ids_crc32 long, width int, ids binary"
+_PIECES = pa.schema([("piece", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+_PLACED_DDL = "piece long, at long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PLACED = pa.schema([(c.split(" ")[0], pa.int64()) for c in _PLACED_DDL.split(", ")])
+RESULT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-#: Pieces that one task places; its memory is theirs at most.
-PIECES = 100_000
+#: Pieces that one task places, about; and cut pieces up to which their numbers are broadcast.
+PIECES, BROADCAST_ROWS = 100_000, 1_000_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, closing_id: int = CLOSING_ID) -> DataFrame:
@@ -261,6 +274,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, c
         words = encoder(path or tokenizer_path())
         closing = np.array([closing_id], "<u4").tobytes()
         narrow = max(words.tokenizer.get_vocab_size(), closing_id + 1) <= 1 << 16
+        piece = TaskContext.get().partitionId() << 33
 
         for batch in slices(batches, keep="packing"):
             rows = []
@@ -271,36 +285,42 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, c
             width = 2 if narrow else 4
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32) // (4 // width)
             column = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array([width] * len(parts), pa.int32()), column], schema=_PIECES)
+            numbers = pa.array(range(piece, piece + len(parts)), pa.int64())
+            piece += len(parts)
+            yield pa.RecordBatch.from_arrays([numbers, pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array(list(map(zlib.crc32, parts)), pa.int64()), pa.array([width] * len(parts), pa.int32()), column], schema=_PIECES)
 
     return bounded(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task, _PIECES_DDL)
 
 
-def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of the result; every partition of `cut` is packed for itself."""
+def place(light: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece or part of one, at its place; every partition of `light` (pieces without ids) is packed for itself.
+
+    The checksum of a part is null."""
 
     def task(batches):
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
-
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packer.rows, strict=True)], schema=_SCHEMA)
-            packer.rows.clear()
-            return batch
-
-        for batch in slices(batches, column="ids", keep="packing"):
-            width, column = batch.column("width")[0].as_py(), batch.column("ids")
-            ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
-            ids = np.frombuffer(column.buffers()[2], f"<u{width}", (ends[-1] - ends[0]) // width, ends[0]).astype("<u4").tobytes()
-            at = ((ends - ends[0]) * (4 // width)).tolist()
-            for doc_id, start, total, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), at, at[1:], strict=False):
-                packer.put((doc_id, start, ids[a:b], total), (b - a) // 4)
-            if packer.rows:
-                yield out()
+        held = pa.Table.from_batches(list(batches), schema=pa.schema([f for f in _PIECES if f.name in ("piece", "doc_id", "start", "doc_tokens", "length", "ids_crc32")]))
+        sizes = held.column("length").to_numpy()
+        for key, size in enumerate(sizes.tolist()):
+            packer.put(key, size)
         packer.drain()
-        if packer.rows:
-            yield out()
+        for a in range(0, len(packer.rows), 50_000):
+            key, at, size, window, offset = (np.array(c, np.int64) for c in zip(*packer.rows[a : a + 50_000], strict=True))
+            own = held.take(pa.array(key)).combine_chunks().to_batches()[0]
+            crc = pa.array(own.column("ids_crc32").to_numpy(), mask=size != sizes[key])
+            yield pa.RecordBatch.from_arrays([own.column("piece"), pa.array(at), own.column("doc_id"), pa.array(own.column("start").to_numpy() + at), pa.array(size), crc, own.column("doc_tokens"), pa.array(window), pa.array(offset)], schema=_PLACED)
+
+    return light.mapInArrow(task, _PLACED_DDL)
+
 
-    return bounded(cut).select(*_PIECES.names).mapInArrow(task, _DDL)
+def _checked(batches):
+    """Parts of pieces (rows of place() with width and ids) with their checksums."""
+    for batch in slices(batches, column="ids", keep="packing"):
+        crc = []
+        for width, ids, at, length in zip(*(batch.column(c).to_pylist() for c in ("width", "ids", "at", "length")), strict=True):
+            crc.append(zlib.crc32(np.frombuffer(ids, f"<u{width}")[at : at + length].astype("<u4").tobytes()))
+        columns = {c: batch.column(c) for c in _PLACED.names} | {"ids_crc32": pa.array(crc, pa.int64())}
+        yield pa.RecordBatch.from_arrays([columns[c] for c in _PLACED.names], schema=_PLACED)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, closing_id: int = CLOSING_ID, together: int = PIECES) -> DataFrame:
@@ -310,8 +330,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, clo
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     spark = docs.sparkSession
-    cut = stored(spark, pieces(docs, capacity, path, closing_id), shared_folder(spark), "pieces")
-    return place(cut.coalesce(max(1, -(-cut.count() // together))), capacity)
+    folder = shared_folder(spark)
+    cut = stored(spark, pieces(docs, capacity, path, closing_id), folder, "pieces")
+    light = cut.select("piece", "doc_id", "start", "doc_tokens", "length", "ids_crc32", F.xxhash64("piece").alias("turn"))
+    dealt = light.repartition(max(1, -(-cut.count() // together)), "piece").sortWithinPartitions("turn").drop("turn")
+    placed = stored(spark, place(dealt, capacity), folder, "placed")
+    parts = placed.where("ids_crc32 is null")
+    n_parts = parts.count()
+    whole = placed.where("ids_crc32 is not null").select(*RESULT)
+    if not n_parts:
+        return whole
+    ids = cut.select("piece", "width", "ids")
+    joined = ids.join(F.broadcast(parts) if n_parts <= BROADCAST_ROWS else parts, "piece")
+    return whole.unionByName(joined.mapInArrow(_checked, _PLACED_DDL).select(*RESULT))
 
 
 def query(spark, sf_dir):

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prismet.llm.packing import Packer, WordEncoder, pack, tokenizer_path
@@ -70,6 +71,55 @@ def test_level_choice_minimises_the_sum_of_squares():
         assert sum(len(a) ** 2 for a in p.at) == min(options)
 
 
+@pytest.mark.parametrize("order", ["sorted", "reversed", "random"])
+def test_placement_fills_most_windows_in_any_order(spark, order):
+    """Lengths sorted, reversed or mixed in the input: the placement meets them in the order of a hash."""
+    sizes = np.minimum(np.random.default_rng(1).lognormal(5.5, 1.0, 20_000).astype(int) + 1, 2047)
+    sizes = {"sorted": np.sort(sizes), "reversed": np.sort(sizes)[::-1], "random": sizes}[order]
+    rows = spark.createDataFrame([(i, i, 0, int(n), int(n), 7) for i, n in enumerate(sizes)], "piece long, doc_id long, start long, doc_tokens long, length long, ids_crc32 long")
+    dealt = [r["length"] for r in rows.withColumn("turn", F.xxhash64("piece")).orderBy("turn").collect()]
+    p = Packer(2048, 0)
+    for key, size in enumerate(dealt):
+        p.put(key, size)
+    by_placement = p.next_id
+    p.drain()
+    assert by_placement >= 0.85 * p.next_id and sum(r[2] for r in p.rows) == sizes.sum()
+
+
+def test_draining_many_pieces_is_quick_and_whole():
+    import time
+
+    rng = np.random.default_rng(2)
+    for sizes in (np.sort(rng.integers(1, 2048, 100_000)), np.full(100_000, 10), np.full(50_000, 1030), rng.integers(1500, 2048, 100_000)):
+        p = Packer(2048, 0)
+        p.at[1] = [[(k, 0, int(n))] for k, n in enumerate(sizes)]
+        start = time.process_time()
+        p.drain()
+        assert time.process_time() - start < 20
+        fills, parts = {}, {}
+        for key, at, size, window, offset in p.rows:
+            assert offset == fills.get(window, 0)
+            fills[window] = offset + size
+            parts.setdefault(key, []).append((at, size))
+        assert all(f == 2048 or f & (f - 1) == 0 for f in fills.values())
+        assert all(sum(n for _, n in parts[k]) == sizes[k] and [a for a, _ in sorted(parts[k])] == np.cumsum([0, *(n for _, n in sorted(parts[k]))])[:-1].tolist() for k in range(len(sizes)))
+
+
+def test_exact_windows_are_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        count = np.zeros(64, np.int64)
+        for size in rng.integers(1, 64, rng.integers(0, 12)):
+            count[size] += 1
+        room = int(rng.integers(1, 64))
+        got = Packer(64, 0)._subset(count, room)
+        sums = {0}
+        for size in np.flatnonzero(count):
+            sums |= {x + int(size) * k for x in sums for k in range(1, count[size] + 1)}
+        assert (got is not None) == (room in sums)
+        assert got is None or (sum(got) == room and all(got.count(x) <= count[x] for x in got))
+
+
 def test_words_as_the_tokenizer_does(monkeypatch):
     monkeypatch.setattr(WordEncoder, "LIMIT", 3)
     t, w = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path())
