@@ -176,7 +176,8 @@ def mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float
     """The documents themselves, each as often as its copies say, with their own columns.
 
     Rows that are alone with their source, doc_id and size are decided where they lie. The copies of equal ones are dealt out
-    evenly over them, TOGETHER rows at a time (their sum is exact up to that many rows, and beyond within one a block)."""
+    evenly over them in the order of a digest of the whole row, so files and partitions decide nothing, about TOGETHER rows
+    at a time (their sum is exact up to that many rows, and beyond within one a block)."""
     rows, aims, known = _assign(docs, weights, share, limit)
     spark = docs.sparkSession
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
@@ -187,11 +188,17 @@ def mixture(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float
     n_again = again.count()
     if n_again:
         mine = mine.join(F.broadcast(again) if n_again <= BROADCAST_ROWS else again, _same("i", "d", "n"), "left")
-        block = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("m") / TOGETHER))
-        several = mine.where("m is not null").withColumn("block", block)
-        turn = F.row_number().over(Window.partitionBy("sid", "doc_id", "size", "block").orderBy(F.lit(0))).cast("decimal(20,0)")
-        upto = lambda r: F.floor(r * F.col("all") / F.col("m"))
-        several = several.withColumn("turn", turn).withColumn("copies", (upto(F.col("turn")) - upto(F.col("turn") - 1)).cast("int")).select("__row", "copies")
+        # Rows that agree in everything are one with a count; the others are ordered by a digest of all that they hold.
+        digest = F.sha2(F.to_json("__row"), 256)
+        folded = mine.where("m is not null").withColumn("key", digest).groupBy("sid", "doc_id", "size", "m", "all", "key").agg(F.first("__row").alias("__row"), F.count("*").alias("same"))
+        folded = folded.withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / TOGETHER)))
+        order = Window.partitionBy("sid", "doc_id", "size", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+        upto = lambda r: F.floor(r.cast("decimal(20,0)") * F.col("all") / F.col("m"))
+        dealt = folded.withColumn("turn", F.sum("same").over(order)).withColumn("copies", upto(F.col("turn")) - upto(F.col("turn") - F.col("same")))
+        # Copies are counted out by many tasks, at most TOGETHER in one.
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / TOGETHER).cast("long")))
+        few = dealt.where((F.col("copies") > 0) & (F.col("copies") <= TOGETHER)).withColumn("part", F.lit(0).cast("long"))
+        several = few.unionByName(dealt.where(F.col("copies") > TOGETHER).withColumn("part", part).repartition("key", "part")).select("__row", F.least(F.lit(TOGETHER).cast("long"), F.col("copies") - F.col("part") * TOGETHER).cast("int").alias("copies"))
         mine = mine.where("m is null").drop("i", "d", "n", "m", "all")
     alone = _filled(_drawn(mine, known, limit).withColumn("extra", _extra())).select("__row", "copies")
     both = (alone.unionByName(several) if n_again else alone).where("copies > 0")

@@ -107,3 +107,15 @@ def test_mixture_repeats_rows(make):
     assert mixed.columns == docs.columns
     seen = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert seen == {i: c for i, c in copies.items() if c}
+
+
+def test_mixture_without_ids_depends_on_no_layout(make, tmp_path):
+    """Rows without ids that differ in their texts, and rows that agree in all: the same copies from any number of files."""
+    rows = [(None, " ".join(f"w{i}x{k}" for k in range(10)), "en", "ab"[i % 2]) for i in range(60)] + [(None, "same text " * 5, "en", "b")] * 20
+    got = []
+    for files in (1, 3, 7):
+        make(rows).repartition(files).write.parquet(f"{tmp_path}/{files}")
+        docs = make(rows).sparkSession.read.parquet(f"{tmp_path}/{files}")
+        got.append(sorted(r["text"] for r in M.mixture(docs).collect()))
+    assert got[0] == got[1] == got[2]
+    assert sum(len(t.split()) for t in got[0]) == sum(r["taken"] for r in M.mix(make(rows)).collect())
