@@ -2,8 +2,8 @@
 
 The patterns give the base spans. The method adds spans of kind `guess`: a value that follows a credential word
 and a sign of assignment is cut, by dynamic programming, into the segments that are cheapest to guess (words by their
-rank, dates, repeats, keyboard walks, references such as `${NAME}` or `process.env.NAME`, addresses of web pages,
-brute force for the rest); if even the cheapest cut takes 10**LIMIT guesses or more, and no base span covers the value,
+rank, dates, repeats, keyboard walks, references such as `${NAME}`, names such as `process.env.NAME` by their parts,
+addresses of web pages up to their query, brute force for the rest); if even the cheapest cut takes 10**LIMIT guesses or more, and no base span covers the value,
 it is reported. Words are ranked by the number of documents that hold them, counted over the whole table (`ranked_words`);
 words that guessers try first come before them.
 
@@ -35,7 +35,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|auth(?:orization)?|credentials?|bearer)["']?(?:\s{0,8}(?:[:=]|:=|=>)\s{0,8}|\s{1,8}(?=["']))(?:bearer\s{1,8})?["']?([^\s"'`,;<>(){}]{6,})""", re.IGNORECASE | re.ASCII)
+# A value in quotes goes to its own closing quote, another one to white space; no value holds white space.
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|auth(?:orization)?|credentials?|bearer)["']?(?:\s{0,8}(?:[:=]|:=|=>)\s{0,8}|\s{1,8}(?=["']))(?:bearer\s{1,8})?(?:"([^"\s]{6,})"|'([^'\s]{6,})'|`([^`\s]{6,})`|["']?([^\s"'`]{6,}))""", re.IGNORECASE | re.ASCII)
 STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer")
 
 # Words that guessers try first, in their order.
@@ -49,14 +50,20 @@ COMMON = (
     "michael robert daniel thomas andrew joshua jennifer jessica charlie hunter killer trust magic money soccer hockey"
 ).split()
 RANKS = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-#: Words learned from a table at most, and the documents that must hold one; longer runs of letters are no words.
+#: Words learned from a table at most, and the documents that must hold one (so a table of fewer documents teaches none);
+#: longer runs of letters, of any script, are no words.
 WORDS, LEAST_DOCUMENTS, LONGEST_WORD = 50_000, 20, 24
 LEET = str.maketrans("013457@$!", "oleastasi")
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-# What stands for a value that is kept elsewhere, and the address of a page (one with a password in it is cut behind the user's name).
-REFERENCE = re.compile(r"""\$\{?[A-Za-z_][A-Za-z0-9_.:-]*\}?|\{\{.*?\}\}|%[A-Za-z_]+%|<[A-Za-z_][A-Za-z0-9_ -]*>|(?:[A-Za-z_]+\.)+[A-Za-z_]+(?:[\[(]["']?[A-Za-z_]*["']?[\])])?(?=$|[^A-Za-z0-9])""")
-ADDRESS = re.compile(r"[a-z][a-z0-9+]{1,9}://(?:[^/\s:@]+:(?=[^/\s@]+@)|[^\s]*)")
-REFERENCE_COST, ADDRESS_COST = 2.0, 3.0
+# What stands for a value that is kept elsewhere: marked as such, or a name with dots, whose parts are costed each for itself.
+MARKED = re.compile(r"""\$\{?[A-Za-z_][A-Za-z0-9_.:-]*\}?|\{\{.*?\}\}|%[A-Za-z_]+%|<[A-Za-z_][A-Za-z0-9_ -]*>""")
+DOTTED = re.compile(r"""(?:[A-Za-z_]+\.)+[A-Za-z_]+(?:[\[(]["']?[A-Za-z_]*["']?[\])])?(?=$|[^A-Za-z0-9])""")
+# The address of a page, up to its query (one with a password in it is cut behind the user's name).
+ADDRESS = re.compile(r"[a-z][a-z0-9+]{1,9}://(?:[^/\s:@]+:(?=[^/\s@]+@)|[^\s?#]*(?:#[A-Za-z_-]*(?=$|\s))?)")
+MARKED_COST, ADDRESS_COST, NAME_COST = 2.0, 3.0, 2.0
+# Parts of a name: runs of one case, a capital in front; those that can be spoken hold a vowel in every four letters.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+SPOKEN = re.compile(r"(?i)(?!.*[^aeiouy]{4})(?=.*[aeiouy])[a-z]{3,}")
 #: Repeats are offered to every end up to so many characters, and beyond to the end of their run.
 NEAR = 64
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
@@ -113,6 +120,20 @@ def word_cost(part: str, ranks: dict[str, int]) -> float | None:
     return None if plain is None else math.log10(plain + 1) + 0.3 * (part != lower) + 0.3 * (rank is None)
 
 
+def name_cost(name: str, ranks: dict[str, int]) -> float:
+    """log10 of the guesses for a name with dots: each part is a word, can be spoken (one name of a hundred), or is brute force."""
+    total = 0.0
+    for m in re.finditer(rf"{PARTS.pattern}|[^A-Za-z]", name):
+        part = m[0]
+        if not part[0].isalpha():
+            total += 0.1
+            continue
+        cost = sum(brute_costs(part))
+        word = word_cost(part, ranks) if len(part) > 1 else None
+        total += min(cost, math.inf if word is None else word, NAME_COST if SPOKEN.fullmatch(part) else math.inf)
+    return total
+
+
 def segments_of(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float, str]]]:
     """By end: start, cost and kind of every segment but those of brute force."""
     n = len(value)
@@ -143,10 +164,11 @@ def segments_of(value: str, ranks: dict[str, int]) -> list[list[tuple[int, float
             end, turns = walk_end(lower[:j], i)
             if end == j:
                 ends[j].append((i, 1.6 + math.log10(j - i) + 0.3 * turns, "walk"))
-        for pattern, cost, kind in ((REFERENCE, REFERENCE_COST, "reference"), (ADDRESS, ADDRESS_COST, "address")):
-            m = pattern.match(value, i) if i == 0 or not value[i - 1].isalnum() else None
-            if m:
-                ends[m.end()].append((i, cost, kind))
+        if i == 0 or not value[i - 1].isalnum():
+            for pattern, cost, kind in ((MARKED, MARKED_COST, "reference"), (DOTTED, None, "reference"), (ADDRESS, ADDRESS_COST, "address")):
+                m = pattern.match(value, i)
+                if m:
+                    ends[m.end()].append((i, name_cost(m[0], ranks) if cost is None else cost, kind))
     return ends
 
 
@@ -176,7 +198,7 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> tuple[float,
 
 # --- ranked words
 
-_LETTERS = re.compile(rf"[a-z]{{3,{LONGEST_WORD}}}(?![a-z])")
+_LETTERS = re.compile(rf"(?<![^\W\d_])[^\W\d_]{{3,{LONGEST_WORD}}}(?![^\W\d_])")
 
 
 def _counted(most: int = 200_000):
@@ -225,12 +247,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def value_of(m: re.Match) -> tuple[int, int]:
+    """Where a credential's value lies. From one without quotes, commas and semicolons behind it and brackets that it does not open are taken off."""
+    a, b = m.span(m.lastindex)
+    if m.lastindex == 4:
+        value = m[4]
+        while b - a > 6 and (value[-1] in ",;" or (value[-1] in ")]}>" and value.count(value[-1]) > value.count("([{<"[")]}>".index(value[-1])]))):
+            value, b = value[:-1], b - 1
+    return a, b
+
+
 def guessed_spans(text: str, limit: float = LIMIT, ranks: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of credential values that are dear to guess."""
     lower = text.lower()
     if not any(s in lower for s in STEMS):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks)[0] >= limit]
+    return [(a, 3, b) for a, b in map(value_of, CONTEXT.finditer(text)) if guess_cost(text[a:b], ranks)[0] >= limit]
 
 
 def uncovered(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

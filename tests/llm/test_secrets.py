@@ -85,10 +85,10 @@ def brute_least(value, ranks):
             end, turns = secrets.walk_end(lower, 0)
             if end == len(part):
                 out.append(1.6 + math.log10(len(part)) + 0.3 * turns + 0.3)
-        for pattern, price in ((secrets.REFERENCE, secrets.REFERENCE_COST), (secrets.ADDRESS, secrets.ADDRESS_COST)):
+        for pattern, price in ((secrets.MARKED, secrets.MARKED_COST), (secrets.ADDRESS, secrets.ADDRESS_COST), (secrets.DOTTED, None)):
             m = pattern.match(value, i) if i == 0 or not value[i - 1].isalnum() else None
             if m and m.end() == j:
-                out.append(price + 0.3)
+                out.append((secrets.name_cost(part, ranks) if price is None else price) + 0.3)
         return min(out, default=math.inf)
 
     n = len(value)
@@ -111,6 +111,21 @@ def test_references_and_pages_are_no_secrets():
     assert secrets.guessed_spans("secret: postgres://app:zR8kfj2Lq9x@db.example.com/main")
 
 
+def test_values_are_read_whole_and_costed_by_their_parts():
+    for text, value in (
+        ('password = "abc(def)Xy9!kQ2zPw8"', "abc(def)Xy9!kQ2zPw8"), ("private_key: x7$Kq,9!mPz3vR8wLt", "x7$Kq,9!mPz3vR8wLt"), ('auth_key = "zQ9;xK2mV8pL4wR7tB1" # x', "zQ9;xK2mV8pL4wR7tB1"),
+        ("pwd: QwErTyZxCvBn.AsDfGhJkLpOi.MnBvCxZa", "QwErTyZxCvBn.AsDfGhJkLpOi.MnBvCxZa"), ("Bearer: kqwvzptrbnmx.qzvkwpjhgtyd", "kqwvzptrbnmx.qzvkwpjhgtyd"),
+        ("secret: https://h.example/?k=Zx9Kq2mPw7vR4tLs", "https://h.example/?k=Zx9Kq2mPw7vR4tLs"), ("connect(token=zR8kfj2Lq9x7), then", "zR8kfj2Lq9x7"), ("{'secret': 'p(8)kQ2zPw8Lm4', 'b': 1}", "p(8)kQ2zPw8Lm4"),
+    ):
+        assert [text[a:b] for a, _, b in secrets.guessed_spans(text)] == [value], text
+    for text in ("pwd=${VAULT_TOKEN_VALUE}", "token: {{ vault.secret_value }}", "secret = <insert secret here>", "password = os.environ.get('PASSWORD')", "token=config.production.access_token;", "secret: https://docs.example.com/secrets/rotate#how-to"):
+        assert not secrets.guessed_spans(text), text
+
+
+def test_words_of_all_scripts_are_whole():
+    assert secrets._LETTERS.findall("straßenbahn x" + "a" * 30 + " слово") == ["straßenbahn", "слово"]
+
+
 def test_words_are_ranked_by_documents(make):
     rows = [(i, "correct horse staple " + ("battery " * 3 if i < 25 else "")) for i in range(40)] + [(90, "rareword"), (91, None)]
     ranks = secrets.ranked_words(make(rows).repartition(3))
