@@ -9,8 +9,9 @@ half; what it does not read cannot be part of a value that it may report. Each w
 decoded by Viterbi; a span that touches a window's edge inside the text is left to the neighbour, or else read again
 in ever larger windows around it until it is whole, so spans may have any length; then the spans of all
 windows of a document are reconciled at once: equal spans add up their weights and the set of disjoint spans of
-the largest weight stays. Spans that overlap a base span or fail the kind's check (digit counts, Luhn sum, parts
-up to 255) are dropped.
+the largest weight stays. An account number goes to the end that its check sum confirms, letters in it included. Spans that
+fail the kind's check (digit counts, Luhn sum, parts up to 255), ids that letters or digits continue, and spans that overlap a
+base span are dropped, but for those that hold base spans of their own kind whole.
 
 Defined results: null text counts as empty (no spans, the digest of the empty string); positions are code points,
 ends exclusive; texts are read whole; repeated rows give repeated results; an empty table gives no rows. The
@@ -456,9 +457,39 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+
+
+def account_end(text: str, start: int) -> int | None:
+    """End of the longest account number (country, two check digits, letters and digits) from `start` whose check sum is right."""
+    m = ACCOUNT.match(text, start)
+    for end in range(m.end() if m else start, start + 14, -1):
+        value = text[start:end].replace(" ", "")
+        if text[end - 1] != " " and not text[end : end + 1].isalnum() and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+            return end
+    return None
+
+
+def completed(text: str, start: int, kind: str, end: int) -> int | None:
+    """End of a tagged value, or None: an account number that checks goes to its own end; any other value must pass its check, and
+    neither letters nor digits may go on behind an id, nor a group of them that has the form of the number's own."""
+    if kind == "id":
+        whole = account_end(text, start)
+        if whole is not None:
+            return whole
+        if text[end : end + 1].isalnum() or (text[start].isalpha() and re.match(r" [A-Z0-9]{4}(?![A-Za-z0-9])", text[end : end + 6])):
+            return None
+    return end if passes(kind, text[start:end]) else None
+
+
 def added(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Tagged spans that pass their check and touch no base span."""
-    return [(a, k, b) for a, k, b in tagged if not any(x < b and a < y for x, _, y in base) and passes(KINDS[k], text[a:b])]
+    """Tagged spans that pass their check and touch no base span, or hold base spans of their own kind whole."""
+    out = []
+    for a, k, b in tagged:
+        b = completed(text, a, KINDS[k], b)
+        if b is not None and not any(x < b and a < y and not (j == k and a <= x and y <= b and (a, b) != (x, y)) for x, j, y in base):
+            out.append((a, k, b))
+    return out
 
 
 _DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"

@@ -137,3 +137,25 @@ def test_stretches_hold_whole_marked_words(text):
         if re.search("[0-9@]", m[0]):
             assert any(a <= max(0, m.start() - pii.CONTEXT) and min(len(text), m.end() + pii.CONTEXT) <= b for a, b in parts)
     assert all(b < c for (_, b), (c, _) in zip(parts, parts[1:], strict=False))
+
+
+def test_account_numbers_are_whole_or_not_reported():
+    french, german = "FR14 2004 1010 0505 0001 3M02 606", "DE89370400440532013000"
+    for number in (french, german, "GB29 NWBK 6016 1331 9268 19"):
+        text = f"to {number}, thanks"
+        assert pii.account_end(text, 3) == 3 + len(number)
+        wrong = text.replace("9", "8", 1) if "9" in number else text.replace("1", "2", 1)
+        assert pii.account_end(wrong, 3) is None
+    k = pii.KINDS.index("id")
+    text = f"IBAN {french} ok"
+    assert pii.added(text, [], [(5, k, 5 + len("FR14 2004 1010 0505 0001"))]) == [(5, k, 5 + len(french))]
+    text = "IBAN FR15 2004 1010 0505 0001 3M02 606"
+    assert pii.added(text, [], [(5, k, 5 + len("FR15 2004 1010 0505 0001"))]) == []
+
+
+def test_a_fuller_address_stands_beside_the_base_one():
+    text = "write to anna.öz@firma.de now"
+    base = pii.base_spans(text)
+    assert [text[a:b] for a, _, b in base] == ["z@firma.de"]
+    a, b = text.index("anna"), text.index(" now")
+    assert pii.added(text, base, [(a, 0, b)]) == [(a, 0, b)] and pii.added(text, base, [base[0]]) == [] and pii.added(text, base, [(a, 0, a + 7)]) == []
