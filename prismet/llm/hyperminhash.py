@@ -345,3 +345,34 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same by prefixes of the rarest shingles: two sets at the threshold share one of the first n - ceil(0.8 n) + 1 of each.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), named AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: hash(w[i] || ' ' || w[i + 1])) ELSE list_transform(w, lambda x: hash(x)) END)) AS s FROM words
+), vertices AS (
+  SELECT min(r) AS v, s, len(s) AS n FROM named WHERE len(s) > 0 GROUP BY s
+), grams AS (
+  SELECT v, n, unnest(s) AS h FROM vertices
+), ordered AS (
+  SELECT v, n, h, row_number() OVER (PARTITION BY v ORDER BY df, h) AS place FROM (SELECT *, count(*) OVER (PARTITION BY h) AS df FROM grams)
+), prefixes AS (
+  SELECT v, n, h FROM ordered WHERE place <= n - (80 * n + 99) // 100 + 1
+), candidates AS (
+  SELECT DISTINCT a.v AS a, b.v AS b FROM prefixes a JOIN prefixes b ON a.h = b.h AND a.v < b.v AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS (
+  SELECT a, b FROM (SELECT c.a, c.b, x.n AS m, y.n, len(list_intersect(x.s, y.s)) AS k FROM candidates c JOIN vertices x ON x.v = c.a JOIN vertices y ON y.v = c.b) WHERE 100 * k >= 80 * (m + n - k)
+), pairs AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT v, v AS w FROM vertices UNION SELECT r.v, l.b FROM reach r JOIN pairs l ON l.a = r.w
+), components AS (
+  SELECT v, min(w) AS c FROM reach GROUP BY v
+), found AS (
+  SELECT d.doc_id, len(d.s) AS n, m.c FROM named d LEFT JOIN vertices x ON x.s = d.s LEFT JOIN components m ON m.v = x.v
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM (SELECT doc_id, n, coalesce(CASE WHEN c IS NOT NULL THEN min(doc_id) OVER (PARTITION BY c) END, doc_id) AS component_id FROM found)
+"""

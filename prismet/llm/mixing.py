@@ -36,7 +36,9 @@ def _sized(docs: DataFrame, *more) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
-    """source, sid (its place), source_size, largest, target; from rows of (source, size)."""
+    """source, sid (its place), source_size, largest, target; from rows of (source, size).
+
+    The water-filling orders all sources in one window: they are a list of origins, hundreds or thousands, not data."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("largest"))
     placed = by_source.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))

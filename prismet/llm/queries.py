@@ -44,6 +44,7 @@ ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_alignment": alignment.query,
     "op12_conversation_repair": repair.ORACLE,
+    "op13_near_dedup": hyperminhash.ORACLE,
     "base_of_op2": r"""
 SELECT doc_id,
        len(list_filter(regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,

@@ -20,45 +20,37 @@ def found(df, **options):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in H.near_duplicates(df, **options).collect()), key=str)
 
 
+def everything():
+    """Near copies in groups, texts that share most of their words (similarities on both sides of the threshold), short texts,
+    edge rows, and repeated ids with equal and with different texts."""
+    rng = random.Random(5)
+    rows = near_copies(3, 40)
+    passage = [f"p{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join(passage + [f"x{i}y{k}" for k in range(rng.choice([3, 5, 6, 7, 8, 9, 12]))])) for i in range(120)]
+    rows += [(2000 + i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))) for i in range(100)]
+    rows += [(None if d is None else 3000 + d, t) for d, t in EDGE] + [(3020, "no id at all"), (None, "alone without id"), (3021, "WORD"), (3022, "a1 b1 c1"), (3023, "a1 b1 c1"), (None, "long " * 60_000)]
+    text = lambda k, end="": " ".join(f"v{k}x{i}" for i in range(60)) + end
+    rows += [(4001, text(1)), (4001, text(2)), (4001, text(2)), (4002, text(2, " more")), (4003, text(1, " more")), (4003, text(3)), (None, text(3, " end")), (None, text(4)), (None, text(4, " end"))]
+    rng.shuffle(rows)
+    return rows
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_against_brute_force(spark, make, monkeypatch, small):
     if small:  # groups dealt out, many blocks, small batches
-        for name, value in (("BLOCK", 4), ("SALTS", 3), ("BROADCAST_ROWS", 0)):
+        for name, value in (("BLOCK", 12), ("SALTS", 3), ("BROADCAST_ROWS", 0)):
             monkeypatch.setattr(H, name, value)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        rows = near_copies(3, 45)
+        rows = everything()
         assert found(make(rows).repartition(4)) == sorted(want(rows), key=str)
-        if not small:
-            assert found(make(rows).repartition(3), words=5, percent=70) == sorted(want(rows, 5, 70), key=str)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
-def test_a_common_passage_in_different_texts(make, monkeypatch):
-    """Texts that share most of their words, of similarities on both sides of the threshold."""
-    monkeypatch.setattr(H, "BLOCK", 16)
-    rng = random.Random(5)
-    passage = [f"p{i}" for i in range(60)]
-    rows = [(i + 1, " ".join(passage + [f"x{i}y{k}" for k in range(rng.choice([3, 5, 6, 7, 8, 9, 12]))])) for i in range(150)]
-    assert found(make(rows).repartition(5)) == sorted(want(rows), key=str)
-
-
-def test_short_texts(make):
-    rng = random.Random(6)
-    rows = [(i + 1, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))) for i in range(120)]
-    assert found(make(rows)) == sorted(want(rows), key=str)
-
-
-def test_edge_rows(make):
-    rows = [*EDGE, (20, "no id at all"), (None, "alone without id"), (21, "WORD"), (22, "a b c"), (23, "a b c"), (None, "long " * 60_000)]
-    assert found(make(rows)) == sorted(want(rows), key=str)
-
-
-def test_repeated_ids_with_different_texts(make):
-    text = lambda k, end="": " ".join(f"w{k}x{i}" for i in range(60)) + end
-    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(2, " more")), (3, text(1, " more")), (3, text(3)), (None, text(3, " end")), (None, text(4)), (None, text(4, " end"))]
-    assert found(make(rows)) == sorted(want(rows), key=str)
+def test_other_words_and_thresholds(make):
+    rows = near_copies(3, 30)
+    assert found(make(rows).repartition(3), words=5, percent=70) == sorted(want(rows, 5, 70), key=str)
 
 
 def test_empty(make):

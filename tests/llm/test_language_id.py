@@ -61,3 +61,15 @@ def test_rare_scripts_and_letters_above_the_first_plane():
 def test_no_language_is_left_out(make):
     docs = make([(i, f"text {i}", f"l{i % 230}") for i in range(2300)])
     assert {g for _, g in L.training_rows(docs)} == {f"l{i}" for i in range(230)}
+
+
+def test_ties_and_repeated_rows(make):
+    """Equal texts get equal results in each of their rows, labelled one way or the other."""
+    rows = documents(120)
+    docs = make(rows + rows[:4] + [(700 + i, rows[0][1], lang) for i, lang in enumerate(("en", "de", None))])
+    got = L.identify(docs, L.train(docs)).collect()
+    text = {i: t for i, t, _ in rows} | {700 + i: rows[0][1] for i in range(3)}
+    by = {}
+    for r in got:
+        by.setdefault(text[r["doc_id"]], set()).add((r["lang_pred"], r["score"]))
+    assert len(got) == 127 and all(len(v) == 1 for v in by.values())

@@ -54,3 +54,38 @@ def test_cut_is_the_best_quantile():
     model.cut(scores, labels)
     agree = lambda t: ((scores > t) == (labels == 1)).sum()
     assert agree(model.threshold) == max(agree(t) for t in [*scores, scores.min() - 1])
+
+
+def test_fit_is_the_least_loss_over_its_pairs():
+    """The weights minimise the ridged logistic loss of all drawn pairs, written out pair by pair."""
+    rng = np.random.default_rng(4)
+    rows = np.abs(rng.normal(size=(60, Q.FEATURES)))
+    labels = (rows[:, 0] + 0.5 * rng.normal(size=60) > 0.8).astype(int)
+    model = Q.Ranker(rows, labels, partners=3)
+    x = model.standard(rows)
+    draw = np.random.default_rng(7)
+    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    beaten = draw.choice(bad, len(good) * 3)
+    winners = draw.choice(good, len(bad) * 3)
+    pairs = [(g, beaten[3 * i + k]) for i, g in enumerate(good) for k in range(3)] + [(winners[3 * i + k], b) for i, b in enumerate(bad) for k in range(3)]
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(x[g] - x[b]) @ w)) for g, b in pairs) + 0.5 * w @ w
+
+    gradient = sum(-(x[g] - x[b]) / (1 + np.exp((x[g] - x[b]) @ model.weights)) for g, b in pairs) + model.weights
+    assert np.abs(gradient).max() < 1e-4
+    least = loss(model.weights)
+    assert all(loss(model.weights + 0.01 * rng.normal(size=len(model.weights))) > least for _ in range(20))
+
+
+def test_ties_and_repeated_rows(spark, make):
+    """Equal texts score equally, each row has its result, and a cut never parts a tie."""
+    rows, labels = documents(100)
+    docs = make(rows + rows[:5] + [(900 + i, rows[3][1]) for i in range(4)])
+    got = Q.score(docs, Q.train(docs, labelled(spark, labels))).collect()
+    assert len(got) == 109
+    by = {}
+    text = dict(rows) | {900 + i: rows[3][1] for i in range(4)}
+    for r in got:
+        by.setdefault(text[r["doc_id"]], set()).add((r["score"], r["predicted"]))
+    assert all(len(v) == 1 for v in by.values())
