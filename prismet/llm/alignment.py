@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -93,8 +94,8 @@ class Vocabularies:
             raise ValueError(f"vocabulary B has more than {1 << B_BITS} pieces")
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.a_names = [str(i) for i in range(len(self.a_bytes))]
-        self.b_names = self.a_names if len(self.a_names) >= len(self.b_bytes) else [str(i) for i in range(len(self.b_bytes))]
+        # An id as it is written inside its side of a group, and at the end of it.
+        self.a_written, self.b_written = (np.array([[f"{i}{end}" for i in range(n)] for end in (",", last)], object) for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")))
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both; none unless both give the bytes of the text, after a space, back."""
@@ -144,14 +145,15 @@ def links_of(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def written_groups(a: list[str], b: list[str], a_cut: list[int], b_cut: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3`."""
-    parts = []
-    i = j = 0
-    for p, q in zip(a_cut, b_cut, strict=True):
-        parts.append(f"{a[i]}|{b[j]}" if p == i + 1 and q == j + 1 else ",".join(a[i:p]) + "|" + ",".join(b[j:q]))
-        i, j = p, q
-    return ";".join(parts)
+def written_groups(v: Vocabularies, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> np.ndarray:
+    """The tokens of both in the order in which they are written, each with what follows it: `a1,`, `a2|`, `b1;`, ..."""
+    out = np.empty(len(a) + len(b), object)
+    a_from, b_from = np.append(0, a_cut[:-1]), np.append(0, b_cut[:-1])
+    for ids, cut, own_from, shift, table in ((a, a_cut, a_from, b_from, v.a_written), (b, b_cut, b_from, a_cut, v.b_written)):
+        last = np.zeros(len(ids), np.int64)
+        last[cut - 1] = 1
+        out[np.arange(len(ids)) + np.repeat(shift, cut - own_from)] = table[last, ids]
+    return out
 
 
 _ALIGNED = "row long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
@@ -162,7 +164,7 @@ def align_texts(texts: list[str], v: Vocabularies) -> pd.DataFrame:
     encoded = [v.encode(t) for t in texts]
     n = len(texts)
     n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-    a, b = (np.fromiter((x for e in encoded for x in e[k]), np.int64, m.sum()) for k, m in ((0, n_a), (1, n_b)))
+    a, b = (np.fromiter(chain.from_iterable(e[k] for e in encoded), np.int64, m.sum()) for k, m in ((0, n_a), (1, n_b)))
     out = {"n_a": n_a, "n_b": n_b, "n_groups": np.zeros(n, np.int64), "n_links": np.zeros(n, np.int64), "groups_sha256": [""] * n}
     empty = np.zeros(0, np.int64)
     pairs, times = [empty] * n, [empty] * n
@@ -180,9 +182,10 @@ def align_texts(texts: list[str], v: Vocabularies) -> pd.DataFrame:
         out["n_groups"] = np.diff(edges)
         out["n_links"] = np.bincount(text, number, n).astype(np.int64)
         bounds = np.searchsorted(text, np.arange(n + 1))
+        written = written_groups(v, a, b, a_cut, b_cut)
         for i in np.flatnonzero(n_a):
-            (x, y), lo, hi = encoded[i], edges[i], edges[i + 1]
-            groups = written_groups([v.a_names[k] for k in x], [v.b_names[k] for k in y], (a_cut[lo:hi] - (a_end[i] - n_a[i])).tolist(), (b_cut[lo:hi] - (b_end[i] - n_b[i])).tolist())
+            hi = a_end[i] + b_end[i]
+            groups = "".join(written[hi - n_a[i] - n_b[i] : hi].tolist())[:-1]
             out["groups_sha256"][i] = hashlib.sha256(groups.encode()).hexdigest()
             pairs[i], times[i] = pair[bounds[i] : bounds[i + 1]], number[bounds[i] : bounds[i + 1]]
     return pd.DataFrame(out | {"pairs": pairs, "times": times})
