@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import os
 from dataclasses import replace
 from functools import partial
 
@@ -58,6 +59,14 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument("--folder", help="image files to encode into --images before the run")
             a.add_argument("--encoder", help="module:function from a list of file contents to rows of hidden states")
             a.add_argument("--skip-extract", action="store_true", help="reuse the table at --images")
+    a = add("stage")
+    a.add_argument("which", choices=("names", "stability", "explanations"), help="the stage of a baseline run to do again, alone")
+    a.add_argument("--run", required=True, help="folder of the run")
+    a.add_argument("--terms", help="table of term_idx, term, emb, for names")
+    a.add_argument("--seed", type=int, default=42)
+    a.add_argument("--names", type=int, default=3)
+    a.add_argument("--concepts", type=int, default=5)
+    a.add_argument("--n-perm", type=int, default=200)
     a = add("train")
     a.add_argument("--images", required=True)
     _training(a)
@@ -132,6 +141,12 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--null-seed", type=int, default=2026)
     for a in sub.choices.values():
         a.add_argument("--out", required=True)
+    a = add("fetch")
+    a.add_argument("urls", nargs="*")
+    a.add_argument("--list", help="text file of addresses, one a line")
+    a.add_argument("--to", required=True, help="folder of the files")
+    a.add_argument("--gzip", action="store_true", help="only packed files are valid")
+    a.add_argument("--dry-run", action="store_true")
     a = add("snapshot")
     a.add_argument("before")
     a.add_argument("after")
@@ -144,8 +159,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _fetch(o: argparse.Namespace) -> int:
+    """Fetch what is not there yet, on the machine of the command."""
+    listed = open(o.list, encoding="utf-8").read().splitlines() if o.list else []
+    valid = models.is_gzip if o.gzip else (lambda path: os.path.getsize(path) > 0)
+    for url in models.unique([*o.urls, *listed]):
+        target = os.path.join(o.to, url.rstrip("/").rsplit("/", 1)[-1])
+        print(url, target, "planned" if o.dry_run else "fetched" if models.fetch(url, target, valid) else "there")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     o = parser().parse_args(argv)
+    if o.analysis == "fetch":
+        return _fetch(o)
     spark = SparkSession.builder.appName("prismet").getOrCreate()
     read = partial(pipelines.existing, spark)
     if o.analysis == "snapshot":
@@ -181,6 +208,10 @@ def main(argv: list[str] | None = None) -> int:
             if hidden:
                 settings = [("variant", o.variant), ("tag", o.tag or "-"), ("images", o.images), ("results", out), ("dict_size / k / steps", f"{o.dict_size} / {o.k} / {o.steps}"), ("seeds", o.seeds)]
                 pipelines.run_report(spark, done, f"Hidden-state run ({o.variant})", settings, {"images": read(o.images).select("image_id", "emb"), "terms": read(o.terms), "models": done["models"]})
+    elif o.analysis == "stage":
+        if o.which == "names" and not o.terms:
+            raise SystemExit("names need --terms")
+        done = pipelines.one_stage(spark, o.which, o.run, o.out, read(o.terms) if o.terms else None, o.seed, o.names, o.concepts, o.n_perm)
     elif o.analysis == "extract":
         data = registry.dataset(o.dataset)
         done = pipelines.Stages(spark, o.out)

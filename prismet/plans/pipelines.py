@@ -119,8 +119,7 @@ def baseline(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str,
         gap = s.add("gap", lambda: given)
     else:
         gap = None if projection is not None else s.add("gap", lambda: modality_gap(training, terms))
-    names = s.add("names", lambda: name_features(space.select("feature_id", "emb"), terms, gap, fired, run.naming.names), json=True)
-    s.add("naming_summary", lambda: naming_summary(names), json=True)
+    names = add_names(s, space, terms, gap, fired, run.naming.names)
     own = acts.where(F.col("seed") == run.first)
     n_seeds = spark.createDataFrame([(x,) for x in run.seeds], "seed long")
     rebuilt = lambda: sparse.reconstruction(entries(test, "emb", "image_id"), sparse.decode(own, first.select("feature_id", "emb"), o, test))
@@ -128,12 +127,45 @@ def baseline(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str,
     s.add("random_naming", lambda: random_naming(spark, terms, len(first.first()["emb"]), projection, gap), json=True)
     s.add("sparsity", lambda: sparse.sparsity(own, test, run.train.dict_size), json=True)
     s.add("coactivation", lambda: sparse.coactivation_summary(own), json=True)
-    s.add("slot_jaccard", lambda: sparse.slot_jaccard(acts, test, n_seeds), json=True)
+    add_stability(s, acts, test, n_seeds, decoder, run.n_perm)
+    s.add("explanations", lambda: explain.explain(own, names, test, run.naming.concepts), json=True)
+    return s
+
+
+def add_names(s: Stages, space: DataFrame, terms: DataFrame, gap: DataFrame | None, fired: DataFrame, n: int) -> DataFrame:
+    """The naming stage: names and their summary. space: feature_id, emb of the rows to name."""
+    names = s.add("names", lambda: name_features(space.select("feature_id", "emb"), terms, gap, fired, n), json=True)
+    s.add("naming_summary", lambda: naming_summary(names), json=True)
+    return names
+
+
+def add_stability(s: Stages, acts: DataFrame, test: DataFrame, seeds: DataFrame, decoder: DataFrame, n_perm: int) -> None:
+    """The stability stage: slot overlaps, matches of all pairs of models, and both nulls."""
+    s.add("slot_jaccard", lambda: sparse.slot_jaccard(acts, test, seeds), json=True)
     alive = stability.live(decoder)
     s.add("matched", lambda: stability.matched_table(alive), json=True)
     for kind in ("isotropic", "subspace"):
-        s.add(f"null_{kind}", lambda kind=kind: stability.null_summary(stability.null_draws(alive, run.n_perm, kind)), json=True)
-    s.add("explanations", lambda: explain.explain(own, names, test, run.naming.concepts), json=True)
+        s.add(f"null_{kind}", lambda kind=kind: stability.null_summary(stability.null_draws(alive, n_perm, kind)), json=True)
+
+
+def one_stage(spark: SparkSession, which: str, run: str, out: str, terms: DataFrame | None = None, seed: int = 42, names: int = 3, concepts: int = 5, n_perm: int = 200) -> Stages:
+    """A stage of a baseline run alone (names, stability or explanations), from the tables that the run's folder holds."""
+    s = Stages(spark, out)
+    table = lambda name: existing(spark, f"{run}/{name}")
+    if which == "explanations":
+        test = table("split").where("split = 'test'")
+        s.add("explanations", lambda: explain.explain(table("activations").where(F.col("seed") == seed), table("names"), test, concepts), json=True)
+        return s
+    decoder = table("models").select("seed", "feature_id", F.col("dec").alias("emb"))
+    if which == "names":
+        first = decoder.where(F.col("seed") == seed)
+        if not first.limit(1).count():
+            raise ValueError(f"no model of seed {seed} in {run}")
+        add_names(s, first, terms, where_there(spark, f"{run}/gap"), table("fired"), names)
+    elif which == "stability":
+        add_stability(s, table("activations"), table("split").where("split = 'test'"), decoder.select("seed").distinct(), decoder, n_perm)
+    else:
+        raise ValueError(f"no stage {which!r}; there are names, stability and explanations")
     return s
 
 
@@ -324,13 +356,33 @@ def failures_of_run(spark: SparkSession, run: str, judged: dict[str, str], out:
 
 
 def ablation(spark: SparkSession, images: DataFrame, terms: DataFrame, out: str, run: config.Run | None = None, presets=config.ABLATION) -> DataFrame:
-    """The baseline at several widths: means of dead share and L0, match over null."""
+    """The baseline at several widths: dict_size, k, means over seeds of dead share, L0 and reconstruction, mean live naming score, and
+    matches over the isotropic null; REPORT_ablation beside the runs."""
     run, rows = run or config.Run(), None
     for width, k in presets:
         s = baseline(spark, images, terms, f"{out}/{width}_{k}", replace(run, train=replace(run.train, dict_size=width, k=k)))
-        row = s["sparsity"].crossJoin(stability.stability_summary(s["null_isotropic"])).withColumn("dict_size", F.lit(width)).withColumn("k", F.lit(k))
+        test = s["split"].where("split = 'test'")
+        row = over_seeds(s, test, width).crossJoin(s["naming_summary"].select(F.col("live_mean").alias("naming_mean"))).crossJoin(stability.stability_summary(s["null_isotropic"]).select(F.col("observed").alias("match_cos"), F.col("null_mean").alias("null_cos"), F.col("ratio").alias("match_over_null")))
+        row = row.withColumn("dict_size", F.lit(width)).withColumn("k", F.lit(k))
+        rows = row if rows is None else rows.unionByName(row)
+    done = Stages(spark, out)
+    table = done.add("comparison", lambda: rows.select("dict_size", "k", "dead_pct", "recon_cosine", "l0", "naming_mean", "match_cos", "null_cos", "match_over_null"), json=True)
+    notes = "- dead share, reconstruction and L0: means over seeds on the test set\n- naming: mean top-1 cosine of live features\n- match over null: best-match cosine over that of random directions"
+    sections = [("Presets", sinks.markdown(["dict_size", "k"], presets)), ("Results", sinks.report(table.orderBy("dict_size", "k"))), ("Notes", notes)]
+    sinks.write_report(spark, f"{done.out}/REPORT_ablation", "Width and sparsity", f"{len(presets)} presets, seeds {', '.join(map(str, run.seeds))}.", sections)
+    return table
+
+
+def over_seeds(s: Stages, test: DataFrame, width: int) -> DataFrame:
+    """One row: means over a run's seeds of dead_pct, l0 and recon_cosine on the test set."""
+    acts, rows = s["activations"], None
+    for seed in sorted(r["seed"] for r in s["models"].select("seed").distinct().collect()):  # models, not data
+        own, decoder = acts.where(F.col("seed") == seed), s["models"].where(F.col("seed") == seed)
+        offset = np.array(decoder.first()["b_dec"])
+        rebuilt = sparse.reconstruction(entries(test, "emb", "image_id"), sparse.decode(own, decoder.select("feature_id", F.col("dec").alias("emb")), offset, test))
+        row = sparse.sparsity(own, test, width).select("dead_pct", F.col("l0_mean").alias("l0")).crossJoin(rebuilt.select(F.col("cosine").alias("recon_cosine")))
         rows = row if rows is None else rows.unionByName(row)
-    return rows
+    return rows.agg(*[F.avg(c).alias(c) for c in ("dead_pct", "l0", "recon_cosine")])
 
 
 def vocabulary(spark: SparkSession, terms: DataFrame, images: DataFrame, out: str, settings: config.Vocabulary | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, sites: DataFrame | None = None, domain: config.Domain | None = None) -> Stages:

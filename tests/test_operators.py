@@ -113,6 +113,25 @@ def test_optimal_matches_of_permuted_models(spark):
     assert (r["matched"], r["denom"], r["rate"]) == (12, 12, 1.0)
 
 
+def test_auction_gives_the_greatest_total(spark):
+    """Blocks of bidders, models of different sizes, a pair that competes for one row: totals and matches of the exact assignment."""
+    rng = np.random.default_rng(17)
+    models = {0: unit(rng, 9, 5), 3: unit(rng, 14, 5), 7: unit(rng, 11, 5)}
+    models[3][:4] = similarity.unit(models[3][0] + 0.01 * rng.normal(size=(4, 5)))
+    got = {}
+    for r in similarity.auction_matches(models_of(spark, models), 1e-7, 4).collect():
+        got.setdefault((r["seed_i"], r["seed_j"]), {})[r["left_id"]] = (r["right_id"], r["score"])
+    for i, j in ((0, 3), (0, 7), (3, 7)):
+        s = models[i] @ models[j].T
+        small = s if len(s) <= s.shape[1] else s.T
+        at = similarity.assignment(-small)
+        want = {k: int(c) for k, c in enumerate(at)} if small is s else {int(c): k for k, c in enumerate(at)}
+        assert {k: v[0] for k, v in got[i, j].items()} == want
+        assert sum(v[1] for v in got[i, j].values()) == pytest.approx(small[np.arange(len(small)), at].sum(), abs=1e-6)
+    one, many = (sorted(map(tuple, similarity.optimal_matches(models_of(spark, models), 0.3, most).collect())) for most in (100, 3))
+    assert one == many
+
+
 def test_matching_pursuit_and_nnls():
     rng = np.random.default_rng(5)
     atoms = unit(rng, 40, 20)

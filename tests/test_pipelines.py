@@ -243,6 +243,45 @@ def test_vocabulary_from_descriptors(spark, tables, tmp_path):
         main([*command, "--descriptors", p("d.xml"), "--branches", "Z"])
 
 
+def test_stages_alone_give_what_the_run_gave(spark, tables, tmp_path):
+    s = pipelines.baseline(spark, *tables, str(tmp_path / "run"), RUN)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for which, names in (("names", ["names", "naming_summary"]), ("stability", ["slot_jaccard", "matched", "null_isotropic"]), ("explanations", ["explanations"])):
+        alone = pipelines.one_stage(spark, which, str(tmp_path / "run"), str(tmp_path / which), tables[1], seed=42, n_perm=RUN.n_perm)
+        for name in names:
+            if name in ("names", "explanations"):
+                assert rows(alone[name]) == rows(s[name])
+            else:
+                assert alone[name].count() == s[name].count()
+    with pytest.raises(ValueError, match="seed 5"):
+        pipelines.one_stage(spark, "names", str(tmp_path / "run"), str(tmp_path / "x"), tables[1], seed=5)
+    with pytest.raises(FileNotFoundError, match="models"):
+        pipelines.one_stage(spark, "stability", str(tmp_path / "none"), str(tmp_path / "x"))
+    m = pipelines.over_seeds(s, s["split"].where("split = 'test'"), 48).first()
+    one = s["sparsity"].first()
+    assert 0 < m["l0"] <= 4 and 0 <= m["dead_pct"] <= 100 and -1 <= m["recon_cosine"] <= 1 and one["l0_mean"] <= 4
+
+
+def test_ablation_report(spark, tables, tmp_path):
+    small = config.Run(seeds=(0, 1), n_perm=2, train=TrainConfig(dict_size=8, k=2, steps=5, batch=32))
+    table = pipelines.ablation(spark, *tables, str(tmp_path), small, ((8, 2),))
+    row = table.first()
+    assert (row["dict_size"], row["k"]) == (8, 2) and row["match_over_null"] == pytest.approx(row["match_cos"] / row["null_cos"], rel=0.2)
+    text = spark.read.text(f"{tmp_path}/REPORT_ablation", wholetext=True).first()["value"]
+    assert "| 8 | 2 |" in text and "1 presets, seeds 0, 1." in text
+
+
+def test_fetch_command(tmp_path, capsys):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.gz").write_bytes(b"\x1f\x8bdata")
+    url = f"file://{tmp_path}/src/a.gz"
+    (tmp_path / "list").write_text(f"{url}\n\n{url}\n")
+    command = ["fetch", "--list", str(tmp_path / "list"), "--to", str(tmp_path / "d"), "--gzip"]
+    assert main([*command, "--dry-run"]) == 0 and not (tmp_path / "d").exists()
+    assert main(command) == 0 and main(command) == 0
+    assert [line.split()[-1] for line in capsys.readouterr().out.splitlines()] == ["planned", "fetched", "there"]
+
+
 def test_vocabulary_with_an_ontology(spark, tables, tmp_path):
     nodes = spark.createDataFrame([(0, "RID1243", "thorax", False), (1, "A", "lung field", False), (2, "B", "liver edge", False), (3, "C", "elsewhere", False)], "pos int, rid string, label string, obsolete boolean")
     edges = spark.createDataFrame([("A", "RID1243"), ("B", "RID1243")], "child string, parent string")
