@@ -57,7 +57,7 @@ def test_null_models_draw_as_often_as_configured(spark, monkeypatch):
         real = getattr(module, name)
         monkeypatch.setattr(module, name, lambda *a, **b: drawn.append(a[place]) or real(*a, **b))
 
-    recording(stability, "null_draws", 2)
+    recording(stability, "null_draws", 1)  # null_draws(decoder, n_perm, ...)
     recording(stability, "seed_tag_null", 2)
     recording(faithfulness, "shuffle_null", 3)
     for name in ("null_isotropic", "null_subspace", "stability_summary", "shuffle_null", "seed_tag_null"):
