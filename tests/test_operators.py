@@ -132,6 +132,17 @@ def test_auction_gives_the_greatest_total(spark):
     assert one == many
 
 
+def test_auction_of_many_rows_is_exact_in_few_bids():
+    """Rows in close competition, copies and zero rows among them, models of equal and of very different sizes."""
+    rng = np.random.default_rng(21)
+    x, y = unit(rng, 300, 24), unit(rng, 300, 24)
+    x[:20] = similarity.unit(x[0] + 0.001 * rng.normal(size=(20, 24)))
+    x[40:44], y[7] = x[40], 0
+    for a, b in ((x, y), (x[:40], y), (x[:1], y), (x[:0], y), (y[:5], x[:5]), (x[:1], y[:1])):
+        at = similarity.auction(a, b, 1e-7, 8, 16)
+        assert len(set(at)) == len(a) and (a * b[at]).sum() == pytest.approx((a * b[similarity.assignment(-(a @ b.T))]).sum() if len(a) else 0, abs=1e-6)
+
+
 def test_matching_pursuit_and_nnls():
     rng = np.random.default_rng(5)
     atoms = unit(rng, 40, 20)
