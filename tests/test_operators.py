@@ -236,6 +236,21 @@ def test_matched_statistics():
     assert stability.subspace_null(a, b, np.random.default_rng(1)) > stability.isotropic_null(a, 60, np.random.default_rng(1))
 
 
+def test_nearest_rows_go_tile_by_tile(monkeypatch):
+    rng = np.random.default_rng(22)
+    a, b = unit(rng, 33, 7), unit(rng, 50, 7)
+    monkeypatch.setattr(stability, "TILE_ROWS", 8)
+    monkeypatch.setattr(stability, "TILE_DRAWN", 6)
+    assert stability.nearest(a, b).tolist() == (a @ b.T).argmax(1).tolist() and len(stability.nearest(a[:0], b)) == 0
+    import tracemalloc
+
+    monkeypatch.undo()
+    tracemalloc.start()
+    stability.isotropic_null(unit(rng, 4000, 8), 8000, rng)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20  # the whole product has 256 MB
+    tracemalloc.stop()
+
+
 def models_of(spark, models):
     return spark.createDataFrame([(s, i, v.tolist()) for s, x in models.items() for i, v in enumerate(x)], "seed long, feature_id long, emb array<double>")
 
