@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ from prismet.operators.similarity import matrix, top_matches, unit
 LINKAGES = ("average", "complete", "single")
 #: Concepts whose distances one task holds as a matrix.
 MOST_CONCEPTS = 4096
+#: A round that merges a smaller share of the clusters is the last.
+LEAST_MERGED = 0.05
+#: Partitions of the table of merges, two numbers and a height a concept.
+MERGE_PARTS = 32
 
 
 def agglomerate(vectors: np.ndarray, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average") -> np.ndarray:
@@ -80,15 +85,17 @@ def agglomerative_clusters(concepts: DataFrame, n_clusters: int | None = None, d
             return pa.table({"name": t.column("name"), "label": pa.array(agglomerate(matrix(t.column("emb").combine_chunks()), n_clusters, distance, linkage), pa.int64())})
 
         return concepts.select("name", F.col("emb").cast("array<double>").alias("emb"), F.lit(0).alias("one")).groupBy("one").applyInArrow(run, "name string, label long")
-    return merged_in_rounds(concepts, n_clusters, distance, linkage)
+    return merged_in_rounds(concepts, n_clusters, distance, linkage, most)
 
 
-def merged_in_rounds(concepts: DataFrame, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average") -> DataFrame:
+def merged_in_rounds(concepts: DataFrame, n_clusters: int | None = None, distance: float | None = None, linkage: str = "average", most: int = MOST_CONCEPTS) -> DataFrame:
     """agglomerate() of any number of concepts, as joins.
 
     Average linkage: the mean cosine of two clusters' members is the dot product of their mean vectors, so a cluster is
     (label, n, mean). A round finds each cluster's nearest (a blocked product) and merges all pairs that are nearest to each other; merged
-    clusters never come closer to others than their parts were, so these are merges of the sequential order too.
+    clusters never come closer to others than their parts were, so these are merges of the sequential order too. Rounds go on until `most` clusters
+    are left or a round merges less than LEAST_MERGED of them (clusters that wait in line for the same one have few such pairs). What is left goes on
+    in one task along chains of nearest clusters (chained), which holds a mean vector a cluster and no matrix.
     Single linkage: a round finds for each concept its nearest outside its cluster, for each cluster the least of these,
     and joins along them: a minimum spanning tree.
     Every merge has its height; the lowest ones, as many as the number of clusters asks, or those below the distance, are
@@ -99,7 +106,8 @@ def merged_in_rounds(concepts: DataFrame, n_clusters: int | None = None, distanc
     goal = 1 if distance is not None else min(m, n_clusters or max(2, round(math.sqrt(m))))
     placed = ranked(concepts.select("name", l2_normalize(F.col("emb").cast("array<double>")).alias("emb")), 1 + m // 10_000, F.col("name"))
     placed = kept(placed.select((F.col("__r") - 1).alias("place"), "name", "emb"))
-    merges = (_average_merges if linkage == "average" else _single_merges)(placed.select("place", "emb"))
+    rows = placed.select("place", "emb")
+    merges = _average_merges(rows, most) if linkage == "average" else _single_merges(rows)
     below = merges.where(F.col("height") < distance) if distance is not None else lowest(merges, m - goal)
     labels = connected_components(placed.select(F.col("place").alias("id")), below.select("a", "b"))
     return placed.join(labels.withColumnRenamed("id", "place"), "place").select("name", F.col("component").alias("label"))
@@ -111,27 +119,68 @@ def lowest(merges: DataFrame, n: int) -> DataFrame:
     return ranked(merges, cells, F.col("height"), F.col("turn"), F.col("a"), F.col("b")).where(F.col("__r") <= n).select("a", "b", "height", "turn")
 
 
-def _average_merges(rows: DataFrame) -> DataFrame:
+def _average_merges(rows: DataFrame, most: int = MOST_CONCEPTS) -> DataFrame:
     """a, b, height, turn of all merges by average linkage. rows: place, emb (unit)."""
-    spark = rows.sparkSession
     clusters = kept(rows.select(F.col("place").alias("id"), F.lit(1).cast("long").alias("n"), "emb"))
-    merges, turn = spark.createDataFrame([], "a long, b long, height double, turn int"), 0
-    while clusters.limit(2).count() > 1:
+    merges, turn, left = [], 0, clusters.count()
+    n = left
+    while left > max(1, most) and n > LEAST_MERGED * left:
         near = kept(top_matches(clusters, clusters, 1, scaled=False, others=True).select("left_id", "right_id", "score"))
         back = near.select(F.col("left_id").alias("right_id"), F.col("right_id").alias("left_id"))
-        pairs = kept(near.join(back, ["left_id", "right_id"], "left_semi").where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), (1 - F.col("score")).alias("height"), F.lit(turn).alias("turn")))
-        if not pairs.limit(1).count():
+        found = lambda df, t=turn: df.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), (1 - F.col("score")).alias("height"), F.lit(t).alias("turn"))
+        pairs = kept(found(near.join(back, ["left_id", "right_id"], "left_semi").where("left_id < right_id")))
+        n = pairs.count()
+        if not n:
             # Only equal distances leave a round without a pair: then the first of the nearest pairs is one.
-            first = near.orderBy(F.desc("score"), F.least("left_id", "right_id"), F.greatest("left_id", "right_id")).limit(1)
-            pairs = kept(first.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), (1 - F.col("score")).alias("height"), F.lit(turn).alias("turn")))
-        merges = kept(merges.unionByName(pairs))
+            pairs, n = kept(found(near.orderBy(F.desc("score"), F.least("left_id", "right_id"), F.greatest("left_id", "right_id")).limit(1))), 1
+        merges.append(pairs)
         to = pairs.select(F.col("b").alias("id"), F.col("a").alias("to"))
         moved = clusters.join(to, "id", "left").withColumn("id", F.coalesce("to", "id"))
         weighted = moved.select("id", "n", F.transform("emb", lambda x: x * F.col("n")).alias("emb"))
         sums = weighted.groupBy("id").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("emb"))).alias("emb"))
         clusters = kept(sums.select("id", "n", F.transform("emb", lambda x: x / F.col("n")).alias("emb")))
+        left -= n
         turn += 1
-    return merges
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("height", pa.float64()), ("turn", pa.int32())])
+
+    def rest(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        i, j, height = chained(matrix(t.column("emb").combine_chunks()), t.column("n").to_numpy())
+        ids = t.column("id").to_numpy()
+        return pa.table([ids[i], ids[j], height, np.arange(turn, turn + len(i), dtype=np.int32)], schema=schema)
+
+    merges.append(kept(clusters.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(rest, "a long, b long, height double, turn int")))
+    return kept(reduce(DataFrame.unionByName, merges).coalesce(MERGE_PARTS))
+
+
+def chained(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, height), i < j, of all merges by average linkage of clusters of mean vectors x: from a cluster to its nearest, to that one's
+    nearest and so on, until two are nearest to each other; these merge, and the chain goes on from the one before. Merged clusters
+    never come closer to others than their parts were, so the rest of the chain stays right."""
+    m = len(x)
+    x, size, place = x.copy(), size.astype(float), np.arange(m)  # place: by row of x, which loses its dead rows from time to time
+    dead, merged, chain = np.zeros(m, bool), [], []
+    while len(merged) < m - 1:
+        if 2 * dead.sum() > len(dead):
+            row = np.cumsum(~dead) - 1
+            x, size, place, chain = x[~dead], size[~dead], place[~dead], [int(row[c]) for c in chain]
+            dead = np.zeros(len(x), bool)
+        if not chain:
+            chain = [int(dead.argmin())]
+        scores = x @ x[chain[-1]]
+        scores[dead] = -np.inf
+        scores[chain[-1]] = -np.inf
+        best = int(scores.argmax())
+        if len(chain) < 2 or scores[chain[-2]] < scores[best]:
+            chain.append(best)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
+        merged.append((place[i], place[j], 1 - scores.max()))
+        x[i] = (size[i] * x[i] + size[j] * x[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        dead[j] = True
+    i, j, height = zip(*merged, strict=True) if merged else ((), (), ())
+    return np.array(i, np.int64), np.array(j, np.int64), np.array(height, float)
 
 
 def _single_merges(rows: DataFrame) -> DataFrame:

@@ -420,6 +420,29 @@ def test_clusters_in_rounds_are_those_of_one_matrix(spark, linkage, options):
         organize.agglomerative_clusters(rows, n_clusters=3, linkage="complete", most=5)
 
 
+def test_chains_merge_as_the_matrix_does():
+    x = unit(np.random.default_rng(24), 120, 6)
+    i, j, height = organize.chained(x, np.ones(120))
+    for goal in (2, 11, 60):
+        label = np.arange(120)
+        for k in np.argsort(height, kind="stable")[: 120 - goal]:
+            label[label == label[j[k]]] = label[i[k]]
+        assert len(i) == 119 and label.tolist() == organize.agglomerate(x, n_clusters=goal).tolist()
+    assert [len(c) for c in organize.chained(x[:1], np.ones(1))] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("options", [{"n_clusters": 5}, {"distance": 0.6}])
+def test_few_clusters_left_by_rounds_are_merged_in_one_task(spark, monkeypatch, options):
+    rng = np.random.default_rng(23)
+    x = np.concatenate([c + 0.4 * rng.normal(size=(10, 8)) for c in np.eye(4, 8)])
+    rows = spark.createDataFrame([(f"n{i:02d}", v.tolist()) for i, v in enumerate(x)], "name string, emb array<double>")
+    rounds, search = [], organize.top_matches
+    monkeypatch.setattr(organize, "top_matches", lambda a, *more, **named: rounds.append(a.count()) or search(a, *more, **named))
+    got = {r["name"]: r["label"] for r in organize.agglomerative_clusters(rows, most=20, **options).collect()}
+    assert [got[f"n{i:02d}"] for i in range(len(x))] == organize.agglomerate(x, **options).tolist()
+    assert rounds and min(rounds) > 20
+
+
 def test_nearest_outside_in_blocks(spark):
     x = unit(np.random.default_rng(16), 30, 5)
     part = np.arange(30) % 4
