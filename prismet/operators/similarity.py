@@ -28,6 +28,13 @@ PART_ROWS, EDGE_ROWS = 65_536, 4096
 #: Most blocks of threshold_edges, whose summaries the driver compares, and the rows whose pairs set the length of a head.
 MOST_BLOCKS, AXES_SAMPLE = 1024, 512
 LEAST_NORM = 1e-12
+#: Scores that a product of some rows with all of the other side makes at once: 32 MB.
+TILE_SCORES = 1 << 22
+
+
+def tile_rows(others: int, most: int = 1024) -> int:
+    """Rows that meet `others` rows in one product: as many as TILE_SCORES leaves room for, `most` at most."""
+    return max(1, min(most, TILE_SCORES // max(1, others)))
 
 
 def matrix(column) -> np.ndarray:
@@ -91,8 +98,9 @@ def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "i
         def task(batches):
             right_ids, right_rows = shipped.value
             for batch in batches:
-                for at in range(0, batch.num_rows if len(right_ids) else 0, block):
-                    part = batch.slice(at, block)
+                strip = tile_rows(len(right_ids), block)
+                for at in range(0, batch.num_rows if len(right_ids) else 0, strip):
+                    part = batch.slice(at, strip)
                     yield _matched(part.column("id").to_numpy(), unit_(matrix(part.column("emb"))), right_ids, right_rows, n, others)
 
         return a.mapInArrow(task, _DDL)
@@ -104,9 +112,9 @@ def top_matches(left: DataFrame, right: DataFrame, n: int = 1, left_id: str = "i
     def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return _SCHEMA.empty_table()
-        y = y.sort_by("id")
+        y, strip = y.sort_by("id"), tile_rows(y.num_rows, block)
         right_ids, right_rows = y.column("id").to_numpy(), unit_(matrix(y.column("emb").combine_chunks()))
-        out = [_matched(p.column("id").to_numpy(), unit_(matrix(p.column("emb").combine_chunks())), right_ids, right_rows, n, others) for p in (x.slice(i, block) for i in range(0, x.num_rows, block))]
+        out = [_matched(p.column("id").to_numpy(), unit_(matrix(p.column("emb").combine_chunks())), right_ids, right_rows, n, others) for p in (x.slice(i, strip) for i in range(0, x.num_rows, strip))]
         return pa.Table.from_batches(out, _SCHEMA)
 
     found = spread.groupBy("part", "block").cogroup(cut.groupBy("part", "block")).applyInArrow(pairs, _DDL)

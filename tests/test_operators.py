@@ -113,6 +113,16 @@ def test_optimal_matches_of_permuted_models(spark):
     assert (r["matched"], r["denom"], r["rate"]) == (12, 12, 1.0)
 
 
+def test_matches_are_found_in_small_tiles(spark, monkeypatch):
+    """The scores that exist at once stay below TILE_SCORES, whatever the other side's rows, and the matches are the same."""
+    a, b = unit(np.random.default_rng(26), 40, 6), unit(np.random.default_rng(27), 30, 6)
+    assert similarity.tile_rows(50_000) * 50_000 <= 1 << 22 and similarity.tile_rows(1) == 1024 and similarity.tile_rows(0) == 1024 and similarity.tile_rows(1 << 30) == 1
+    want = [tuple(r) for r in similarity.top_matches(frame(spark, a), frame(spark, b), 3).orderBy("left_id", "rank").collect()]
+    monkeypatch.setattr(similarity, "TILE_SCORES", 100)
+    got = [tuple(r) for r in similarity.top_matches(frame(spark, a), frame(spark, b), 3).orderBy("left_id", "rank").collect()]
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_auction_gives_the_greatest_total(spark):
     """Blocks of bidders, models of different sizes, a pair that competes for one row: totals and matches of the exact assignment."""
     rng = np.random.default_rng(17)
