@@ -7,31 +7,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismet.operators.similarity import matrix, unit
+from prismet.operators.similarity import matrix, tile_rows, unit
 
 
 def matching_pursuit(x: np.ndarray, atoms: np.ndarray, k: int, least: float = 1e-10) -> np.ndarray:
-    """Places of up to k atoms (unit rows): each time the one that correlates most with what is left. The projection is
-    kept as an orthonormal basis, so a step costs one product with the dictionary."""
+    """Places of up to k atoms (unit rows): each time the one that correlates most with what is left."""
+    return pursuits(x[None], atoms, k, least)[0]
+
+
+def pursuits(x: np.ndarray, atoms: np.ndarray, k: int, least: float = 1e-10) -> list[np.ndarray]:
+    """matching_pursuit of each row of x. The projections are kept as orthonormal bases, so a step costs one product of what
+    is left of the rows with the dictionary."""
     if k > len(atoms):
         raise ValueError(f"k={k} exceeds the dictionary's {len(atoms)} atoms")
-    left, basis, chosen = x.astype(float).copy(), [], []
-    open_ = np.ones(len(atoms), bool)
-    for _ in range(k):
-        if np.linalg.norm(left) <= least:
+    n, d = x.shape
+    left, basis, chosen, on = x.astype(float).copy(), np.zeros((n, k, d)), np.full((n, k), -1), np.arange(n)
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b)[:, None]
+    for step in range(k):
+        on = on[np.linalg.norm(left[on], axis=1) > least]
+        if not len(on):
             break
-        at = int(np.where(open_, np.abs(atoms @ left), -1).argmax())
-        open_[at] = False
-        v = atoms[at].astype(float).copy()
+        match = left[on] @ atoms.T
+        np.abs(match, out=match)
+        match[np.arange(len(on))[:, None], chosen[on, :step]] = -1
+        at = match.argmax(1)
+        chosen[on, step] = at
+        v = atoms[at].astype(float)
         for _again in range(2):
-            for b in basis:
-                v -= (b @ v) * b
-        chosen.append(at)
-        size = np.linalg.norm(v)
-        if size > 1e-9:
-            basis.append(v / size)
-            left -= (basis[-1] @ left) * basis[-1]
-    return np.array(chosen, np.int64)
+            for b in range(step):
+                v -= dot(basis[on, b], v) * basis[on, b]
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.where(size > 1e-9, v / np.maximum(size, 1e-300), 0.0)  # an atom that its forerunners span adds no direction
+        basis[on, step] = v
+        left[on] -= dot(v, left[on]) * v
+    return [c[c >= 0] for c in chosen]
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
@@ -76,10 +85,11 @@ def decompose(images: DataFrame, terms: list[str], dictionary: np.ndarray, k: in
         names, atoms, moved = shipped.value
         for batch in batches:
             rows = []
-            for image, x in zip(batch.column("image_id").to_pylist(), matrix(batch.column("emb")), strict=True):
-                x = x if moved is None else x - moved
-                x = x / max(np.linalg.norm(x), 1e-12)
-                at = matching_pursuit(x, atoms, k)
+            images_, x = batch.column("image_id").to_pylist(), matrix(batch.column("emb"))
+            x = unit(x if moved is None or not len(x) else x - moved)
+            strip = tile_rows(len(atoms))
+            found = (at for lo in range(0, len(x), strip) for at in pursuits(x[lo : lo + strip], atoms, k))
+            for image, x, at in zip(images_, x, found, strict=True):
                 weights = nonnegative_least_squares(atoms[at].T, x) if len(at) else np.zeros(0)
                 order = np.lexsort((at, -weights))
                 rows += [(image, int(at[i]), names[at[i]], float(weights[i])) for i in order if weights[i] > 0]

@@ -169,6 +169,27 @@ def test_matching_pursuit_and_nnls():
         assert (w >= 0).all() and (g <= 1e-6).all() and np.allclose(g * w, 0, atol=1e-6)
 
 
+def test_pursuits_of_many_rows_are_those_of_each():
+    """Against the plain form, a row at a time; a row that one atom explains, an empty one and repeated atoms among them."""
+    rng = np.random.default_rng(25)
+    atoms, x = unit(rng, 40, 12), unit(rng, 30, 12)
+    atoms[5], x[0], x[1] = atoms[9], atoms[20], 0
+
+    def plain(row, k):
+        chosen = []
+        for _ in range(k):
+            left = row - atoms[chosen].T @ np.linalg.lstsq(atoms[chosen].T, row, rcond=None)[0] if chosen else row
+            if np.linalg.norm(left) <= 1e-10:
+                break
+            score = np.round(np.abs(atoms @ left), 10)
+            score[chosen] = -1
+            chosen.append(int(score.argmax()))
+        return chosen
+
+    got = splice.pursuits(x, atoms, 6)
+    assert [g.tolist() for g in got] == [plain(row, 6) for row in x] and [len(g) for g in got[:3]] == [1, 0, 6]
+
+
 def test_splice_rows(spark):
     rng = np.random.default_rng(6)
     atoms = unit(rng, 30, 10)
