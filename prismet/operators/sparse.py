@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismet.functions.vectors import entries
-from prismet.operators.similarity import best_of, matrix
+from prismet.operators.similarity import best_of, matrix, tile_rows
 
 
 def top_coordinates(df: DataFrame, id_col: str, column: str, k: int) -> DataFrame:
@@ -29,9 +29,12 @@ def encode(df: DataFrame, weights: np.ndarray, bias: np.ndarray, offset: np.ndar
     def task(batches):
         w, b, o = shipped.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                z = np.maximum((matrix(part.column("emb")) - o) @ w.T + b, 0)
+            strip = tile_rows(len(w), 512)
+            for at in range(0, batch.num_rows, strip):
+                part = batch.slice(at, strip)
+                z = (matrix(part.column("emb")) - o) @ w.T
+                z += b
+                np.maximum(z, 0, out=z)
                 top = best_of(z, k)
                 values = np.take_along_axis(z, top, axis=1)
                 ids = np.repeat(part.column("image_id").to_numpy(), top.shape[1])

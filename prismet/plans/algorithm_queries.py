@@ -127,7 +127,7 @@ SELECT image_id, feature_id, round(z, 6) AS activation FROM (SELECT *, row_numbe
 """)
 def sae_encode(spark, sf_dir):
     """Activations of a model whose encoder rows are those of seed 0's decoder."""
-    w = stability.decoders(roles.decoder(spark, sf_dir))[0]
+    w = stability.decoders(roles.decoder(spark, sf_dir).where("seed = 0"))[0]
     return sparse.encode(roles.images(spark, sf_dir), w, np.zeros(len(w)), np.zeros(w.shape[1]), 8).withColumn("activation", R6("activation"))
 
 

@@ -48,6 +48,17 @@ def test_all_seed_pairs_are_matched(tables):
     assert {r[2:4] for r in both("mutual_matches") if r[:2] == (0, 2)} == {(0, 1), (1, 0)}
 
 
+def test_encoding_takes_one_model_to_the_driver(spark, monkeypatch):
+    from prismet.operators import sparse, stability
+
+    taken, rows = [], []
+    real, tiles = stability.decoders, sparse.tile_rows
+    monkeypatch.setattr(stability, "decoders", lambda d: taken.append(d.count()) or real(d))
+    monkeypatch.setattr(sparse, "tile_rows", lambda others, most: rows.append(others) or tiles(others, most))
+    QUERIES["sae_encode"](spark, "/root/testdata/sf0.001")
+    assert taken == [100] and tiles(200_000, 512) == 20
+
+
 def test_null_models_draw_as_often_as_configured(spark, monkeypatch):
     from prismet.operators import faithfulness, stability
 
