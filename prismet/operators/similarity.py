@@ -156,12 +156,20 @@ def best_between(decoder: DataFrame, block: int = EDGE_ROWS) -> DataFrame:
         a, b = ids[left], ids[~left]
         if not len(a) or not len(b):
             return schema.empty_table()
-        scores = x[left] @ x[~left].T
-        out = []
-        for side, own, other, m in ((True, a, b, scores), (False, b, a, scores.T)):
-            at = m.argmax(1)
+        x, y, out = x[left], x[~left], []
+        at, top, back, most = np.zeros(len(a), np.int64), np.zeros(len(a)), np.zeros(len(b), np.int64), np.full(len(b), -np.inf)
+        strip = tile_rows(len(b), 256)
+        for lo in range(0, len(a), strip):
+            scores = x[lo : lo + strip] @ y.T
+            k = at[lo : lo + strip] = scores.argmax(1)
+            top[lo : lo + strip] = scores[np.arange(len(k)), k]
+            k = scores.argmax(0)
+            high = scores[k, np.arange(len(b))]
+            more = high > most  # equal ones stay with the earlier strip, whose ids are lower
+            back[more], most[more] = lo + k[more], high[more]
+        for side, own, best, score in ((True, a, b[at], top), (False, b, a[back], most)):
             same = lambda c, n=len(own): pa.array([t.column(c)[0].as_py()] * n, pa.int64())
-            out.append(pa.table([same("seed_i"), same("seed_j"), pa.array([side] * len(own)), pa.array(own), pa.array(other[at]), pa.array(m[np.arange(len(own)), at])], schema=schema))
+            out.append(pa.table([same("seed_i"), same("seed_j"), pa.array([side] * len(own)), pa.array(own), pa.array(best), pa.array(score)], schema=schema))
         return pa.concat_tables(out)
 
     found = spread.groupBy("seed_i", "seed_j", "bi", "bj").applyInArrow(both_ways, "seed_i long, seed_j long, left boolean, id long, best long, score double")

@@ -305,6 +305,16 @@ def test_nulls_are_those_of_whole_models(spark, monkeypatch, kind, rows):
     assert s.count() == 3 and all(0 <= r["p"] <= 1 for r in s.collect())
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+@pytest.mark.parametrize("tile", [1 << 22, 40])
+def test_best_matches_in_strips(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(similarity, "TILE_SCORES", tile)
+    models = {s: unit(np.random.default_rng(s), 12 + s, 6) for s in (1, 2)}
+    s = models[1] @ models[2].T
+    got = {(r["left_id"], r["right_id"]): r["mutual"] for r in similarity.best_between(models_of(spark, models), block).collect()}
+    assert got == {(k, int(j)): int(s[:, j].argmax()) == k for k, j in enumerate(s.argmax(1))}
+
+
 @pytest.mark.parametrize("block", [4096, 5])
 def test_best_matches_of_all_models(spark, block):
     models = {s: unit(np.random.default_rng(s), 12 + s, 6) for s in (1, 2, 5)}
