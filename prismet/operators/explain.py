@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismet.functions.digests import Suffixes
 from prismet.functions.text import findings_report, named, pseudo_report
 from prismet.operators.sparse import top_per_image
 
@@ -31,13 +36,35 @@ def splice_explanations(coefficients: DataFrame, images: DataFrame) -> DataFrame
 
 
 def random_draw(images: DataFrame, vocab: DataFrame, seed: int, default: int = 32) -> DataFrame:
-    """image_id, term, place: k terms drawn without replacement for each image; k is the image's n, `default` where it
-    has none, and from 1 to the size of the vocabulary. The vocabulary is one sorted array, ranked inside each row."""
-    terms = vocab.agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    k = F.least(F.greatest(F.coalesce("n", F.lit(default)), F.lit(1)), F.size("terms")).cast("int")
-    keyed = F.transform("terms", lambda t: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("image_id").cast("string"), t)).alias("u"), t.alias("term")))
-    drawn = images.crossJoin(F.broadcast(terms)).select("image_id", F.posexplode(F.slice(F.array_sort(keyed), F.lit(1), k)).alias("place", "x"))
-    return drawn.select("image_id", F.col("x.term").alias("term"), (F.col("place") + 1).alias("place"))
+    """image_id, term, place: k terms drawn without replacement for each image, in the order of md5(seed|image|term); k is the image's
+    n, `default` where it has none, and from 1 to the size of the vocabulary.
+
+    Every image ranks every term, so the work is images times terms: the digests' first words are computed column-wise over the
+    broadcast vocabulary, and only the terms that may be among the first k get whole digests."""
+    spark = images.sparkSession
+    terms = sorted(r["term"] for r in vocab.where("term is not null").select("term").distinct().toLocalIterator())
+    shipped = spark.sparkContext.broadcast(terms)
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def task(batches):
+        words, suffixes = shipped.value, Suffixes(shipped.value)
+        for batch in batches:
+            taken, drawn, places = [], [], []
+            for row, (key, n) in enumerate(zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                k = min(max(default if n is None else n, 1), len(words))
+                if not k:
+                    continue
+                prefix = (f"{seed}|" if key is None else f"{seed}|{key}|").encode()
+                first = suffixes.first_words(prefix)
+                open_ = np.flatnonzero(first <= np.partition(first, k - 1)[k - 1])
+                order = sorted((hashlib.md5(prefix + suffixes.texts[i]).digest(), suffixes.texts[i], i) for i in open_)[:k]
+                taken += [row] * k
+                drawn += [words[i] for *_, i in order]
+                places += range(1, k + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(taken, pa.int64())), pa.array(drawn, pa.string()), pa.array(places, pa.int32())], names=["image_id", "term", "place"])
+
+    rows = images.select("image_id", F.col("image_id").cast("string").alias("key"), F.col("n").cast("long").alias("n")).repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.mapInArrow(task, f"image_id {kind}, term string, place int")
 
 
 def null_explanations(images: DataFrame, vocab: DataFrame, seed: int, default: int = 32) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prismet.functions import digests
 from prismet.operators import explain, faithfulness, graph, judge, ontology, organize, sampling, similarity, sparse, splice, stability, train, vocab
 from prismet.plans import roles
 
@@ -646,3 +647,18 @@ def test_null_draw_has_no_repeats(spark):
     for r in rows:
         by.setdefault(r["image_id"], []).append(r["term"])
     assert {k: len(v) for k, v in by.items()} == {1: 5, 2: 7, 3: 20, 4: 1} and all(len(set(v)) == len(v) for v in by.values())
+
+
+def test_draws_follow_the_digests(spark):
+    """The order of whole digests, of terms that fit a block with their prefix and of longer ones; column-wise words are hashlib's."""
+    import hashlib
+
+    words = [f"w{i}" * (1 + i % 23) + "\u00e9" * (i % 3) for i in range(300)]
+    for prefix in (b"", b"4", b"42|17|", b"42|123456789012345678|", b"x" * 60):
+        want = [int(hashlib.md5(prefix + w.encode()).hexdigest()[:8], 16) for w in words]
+        assert digests.Suffixes(words).first_words(prefix).tolist() == want
+    images = spark.createDataFrame([(5, 3), (123456, None), (7, 999)], "image_id long, n int")
+    rows = explain.random_draw(images, spark.createDataFrame([(w,) for w in [*words, words[0], None]], "term string"), 42, default=7).collect()
+    for image, k in ((5, 3), (123456, 7), (7, len(set(words)))):
+        want = sorted(set(words), key=lambda w: hashlib.md5(f"42|{image}|{w}".encode()).hexdigest())[:k]
+        assert [r["term"] for r in sorted(rows, key=lambda r: r["place"]) if r["image_id"] == image] == want
