@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prismet.operators import judge
 from prismet.operators.graph import shared
@@ -42,6 +43,12 @@ def write_open(pairs: DataFrame, known: DataFrame, path: str, every: int) -> Non
     open_.select(*KEYS, "report").write.mode("overwrite").option("maxRecordsPerFile", every).parquet(path)
 
 
+def of_keys(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The records that may have a key of `pairs`: a hash a pair is broadcast, so that no ledger is, however long it grows."""
+    hashed = pairs.select(F.xxhash64(*KEYS).alias("__hash"))
+    return records.withColumn("__hash", F.xxhash64(*KEYS)).join(F.broadcast(hashed), "__hash", "left_semi").drop("__hash")
+
+
 def run(spark: SparkSession, open_path: str, ledger_path: str, template: str, model: Callable[[str], str], files: int | None = None) -> int:
     """Judge the open pairs into the ledger; returns the number of micro-batches. Each key is called once (its retries apart)."""
     name = uuid.uuid4().hex
@@ -51,8 +58,8 @@ def run(spark: SparkSession, open_path: str, ledger_path: str, template: str, mo
         out = f"{ledger_path}/run={name}/batch={number}"
         spark = batch.sparkSession
         if not ledger(spark, out).limit(1).count():
-            fresh = judge.pending(batch, ledger(spark, ledger_path), KEYS, "report")
-            judge.ask(fresh, template, model).write.mode("overwrite").parquet(out)
+            fresh = judge.pending(batch, of_keys(ledger(spark, ledger_path), batch), KEYS, "report")
+            judge.ask(fresh, template, model).coalesce(max(1, spark.sparkContext.defaultParallelism // 3)).write.mode("overwrite").parquet(out)
         batches.append(number)
 
     source = spark.readStream.schema(PAIRS).option("maxFilesPerTrigger", files or max(1, FILES_A_CORE * spark.sparkContext.defaultParallelism)).parquet(open_path)

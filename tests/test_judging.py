@@ -90,3 +90,13 @@ def test_no_open_pairs(spark, tmp_path):
     judging.write_open(none, judging.ledger(spark, str(tmp_path / "l")), str(tmp_path / "o"), 5)
     judging.run(spark, str(tmp_path / "o"), str(tmp_path / "l"), "{report}", lambda p: "x")
     assert judging.ledger(spark, str(tmp_path / "l")).count() == 0 and shared(spark) and F
+
+
+def test_a_batch_meets_no_more_of_the_ledger_than_its_own_keys(spark, tmp_path, monkeypatch):
+    opened, path = str(tmp_path / "open"), str(tmp_path / "ledger")
+    spark.createDataFrame([(f"old{k}", "claim", "Aligned", "x") for k in range(50)] + [("i3", "claim", "Aligned", "x")], judging.RECORDS).write.parquet(f"{path}/run=a")
+    spark.createDataFrame([(f"i{k}", "claim", "report") for k in range(9)], judging.PAIRS).write.parquet(opened)
+    met, pending = [], judging.judge.pending
+    monkeypatch.setattr(judging.judge, "pending", lambda pairs, records, *more: met.append(records.count()) or pending(pairs, records, *more))
+    judging.run(spark, opened, path, "{report}", lambda p: "Supports", files=1000)
+    assert met == [1] and judging.ledger(spark, path).count() == 51 + 8
