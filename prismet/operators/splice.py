@@ -89,8 +89,8 @@ def decompose(images: DataFrame, terms: list[str], dictionary: np.ndarray, k: in
             x = unit(x if moved is None or not len(x) else x - moved)
             strip = tile_rows(len(atoms))
             found = (at for lo in range(0, len(x), strip) for at in pursuits(x[lo : lo + strip], atoms, k))
-            for image, x, at in zip(images_, x, found, strict=True):
-                weights = nonnegative_least_squares(atoms[at].T, x) if len(at) else np.zeros(0)
+            for image, row, at in zip(images_, x, found, strict=True):  # found reads x as it goes
+                weights = nonnegative_least_squares(atoms[at].T, row) if len(at) else np.zeros(0)
                 order = np.lexsort((at, -weights))
                 rows += [(image, int(at[i]), names[at[i]], float(weights[i])) for i in order if weights[i] > 0]
             if rows:

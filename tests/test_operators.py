@@ -203,6 +203,20 @@ def test_splice_rows(spark):
         splice.decompose(x, [f"t{i}" for i in range(30)], atoms, 31)
 
 
+def test_splice_of_a_batch_of_several_tiles(spark):
+    """A batch of more images than one tile: each gets the coefficients that it gets alone."""
+    rng = np.random.default_rng(26)
+    atoms, x = unit(rng, 12, 6), unit(rng, 2 * similarity.tile_rows(12) + 3, 6)
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "image_id long, emb array<double>").coalesce(1)
+    got = {}
+    for r in splice.decompose(rows, [f"t{i}" for i in range(12)], atoms, 3).collect():
+        got.setdefault(r["image_id"], {})[r["term_idx"]] = r["activation"]
+    for i, row in enumerate(x):
+        at = splice.matching_pursuit(row, atoms, 3)
+        weights = splice.nonnegative_least_squares(atoms[at].T, row)
+        assert got.get(i, {}) == pytest.approx({int(a): w for a, w in zip(at, weights, strict=True) if w > 0})
+
+
 def test_encode_decode(spark):
     rng = np.random.default_rng(7)
     w = unit(rng, 16, 8)
