@@ -361,7 +361,9 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 
 #: Rows of the smaller of two models up to which one task matches them by a matrix; rows of the larger one that a bidder's list holds above that.
-MATCH_ROWS, LISTED = 2048, 64
+MATCH_ROWS, LISTED = 2048, 128
+#: Scores in single precision that the bidders whose lists are made anew meet at once (128 MB), and groups that they are looked through by.
+BID_SCORES, BID_GROUPS = 1 << 25, 4096
 
 
 def optimal_matches(decoder: DataFrame, tau: float, most: int | None = None) -> DataFrame:
@@ -435,13 +437,39 @@ def auction(x: np.ndarray, y: np.ndarray, epsilon: float, listed: int = LISTED,
         return np.zeros(0, np.int64)
     listed, cheap = min(listed, m), [(0.0, j) for j in range(m)]  # a heap, looked through by idle bidders alone
     at, score, bound, prices = np.empty((n, listed), np.int32), np.empty((n, listed)), np.empty(n), np.zeros(m)
+    groups = min(m, max(listed, BID_GROUPS))  # of rows of y, those of equal remainders; the best of a group stands for it
+    tiles = -(-m // groups)
+    block = max(1, min(block, BID_SCORES // (tiles * groups)))
+    x4, y4, room = x.astype(np.float32), y.astype(np.float32), np.full((block, tiles * groups), -np.inf, np.float32)
+    longest = float(np.linalg.norm(x, axis=1).max() * np.linalg.norm(y, axis=1).max())
 
     def renew(bidders: list[int]) -> None:
-        s = x[bidders] @ y.T
-        worth = s - prices
-        top = np.sort(np.argpartition(-worth, listed - 1, axis=1)[:, :listed], axis=1)
-        at[bidders], score[bidders] = top, np.take_along_axis(s, top, 1)
-        bound[bidders] = np.take_along_axis(worth, top, 1).min(1) if listed < m else -np.inf
+        """Lists of the best by worth. Single precision finds who may be among them: `listed` groups hold one of `cut` or more, and
+        what is further below than twice its error is not listed. Scores, order and bound are those of double precision."""
+        k, worth, best = np.array(bidders), room[: len(bidders)], np.full((len(bidders), groups), -np.inf, np.float32)
+        own, price = x4[k], prices.astype(np.float32)
+        for lo in range(0, m, groups):
+            tile = worth[:, lo : min(m, lo + groups)]
+            np.matmul(own, y4[lo : lo + groups].T, out=tile)
+            tile -= price[lo : lo + groups]
+            np.maximum(best[:, : tile.shape[1]], tile, out=best[:, : tile.shape[1]])
+        cut = np.partition(best, groups - listed, axis=1)[:, groups - listed]
+        error = (x.shape[1] + 8) * 2.0**-24 * (longest + float(prices.max()))
+        cut = (cut - 2 * error).astype(np.float32)
+        row, group = np.divmod(np.flatnonzero(best >= cut[:, None]), groups)
+        if len(row) * tiles > TILE_SCORES and len(k) > 1:  # many alike
+            for half in (bidders[: len(k) // 2], bidders[len(k) // 2 :]):
+                renew(half)
+            return
+        some, tile = np.nonzero(worth.reshape(len(k), tiles, groups)[row, :, group] >= cut[row, None])
+        row, col = row[some], tile * groups + group[some]
+        s = np.concatenate([np.einsum("ij,ij->i", x[k[row[i : i + 65_536]]], y[col[i : i + 65_536]]) for i in range(0, len(row), 65_536)])
+        exact = s - prices[col]
+        order = np.lexsort((col, -exact, row))
+        top = order[np.searchsorted(row, np.arange(len(k)))[:, None] + np.arange(listed)]
+        bound[k] = exact[top[:, -1]] if listed < m else -np.inf
+        top = np.take_along_axis(top, np.argsort(col[top], axis=1), 1)
+        at[k], score[k] = col[top], s[top]
 
     def cheapest() -> tuple[float, int]:
         while cheap[0][0] < prices[cheap[0][1]]:

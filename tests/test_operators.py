@@ -1,5 +1,6 @@
 """Operators on small tables: invariants and brute force."""
 
+import tracemalloc
 from itertools import permutations
 
 import numpy as np
@@ -154,6 +155,30 @@ def test_auction_of_many_rows_is_exact_in_few_bids():
         assert len(set(at)) == len(a) and (a * b[at]).sum() == pytest.approx((a * b[similarity.assignment(-(a @ b.T))]).sum() if len(a) else 0, abs=1e-6)
 
 
+def test_auction_looks_through_groups_of_rows(monkeypatch):
+    """Lists that are made anew by groups of rows, rows alike (a group's worth of copies) and rows without direction among them."""
+    rng = np.random.default_rng(28)
+    monkeypatch.setattr(similarity, "BID_GROUPS", 16)
+    x, y = unit(rng, 90, 6), unit(rng, 101, 6)
+    y[30:70], y[5:9], x[10:14], x[20] = y[30], 0, x[10], 0
+    want = (x * y[similarity.assignment(-(x @ y.T))]).sum()
+    for scores, tile in ((1 << 25, 1 << 22), (300, 1 << 22), (1 << 25, 64)):
+        monkeypatch.setattr(similarity, "BID_SCORES", scores)
+        monkeypatch.setattr(similarity, "TILE_SCORES", tile)
+        at = similarity.auction(x, y, 1e-7, 4, 32)
+        assert len(set(at)) == len(x) and (x * y[at]).sum() == pytest.approx(want, abs=1e-5)
+
+
+def test_auction_holds_one_block_of_scores():
+    """A block of bidders meets the other model's rows in single precision, once, and nothing else of that size is held."""
+    x, y = unit(np.random.default_rng(29), 256, 8), unit(np.random.default_rng(30), 12_000, 8)
+    tracemalloc.start()
+    at = similarity.auction(x, y, 1e-3, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(at)) == len(x) and peak < 48 << 20
+
+
 def test_matching_pursuit_and_nnls():
     rng = np.random.default_rng(5)
     atoms = unit(rng, 40, 20)
