@@ -362,8 +362,8 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 #: Rows of the smaller of two models up to which one task matches them by a matrix; rows of the larger one that a bidder's list holds above that.
 MATCH_ROWS, LISTED = 2048, 128
-#: Scores in single precision that the bidders whose lists are made anew meet at once (128 MB), and groups that they are looked through by.
-BID_SCORES, BID_GROUPS = 1 << 25, 4096
+#: Scores in single precision that the bidders whose lists are made anew meet at once (64 MB), and groups that they are looked through by.
+BID_SCORES, BID_GROUPS = 1 << 24, 4096
 
 
 def optimal_matches(decoder: DataFrame, tau: float, most: int | None = None) -> DataFrame:
@@ -411,10 +411,17 @@ def auction_matches(decoder: DataFrame, epsilon: float = 1e-7, listed: int | Non
 
     def match(t: pa.Table) -> pa.Table:
         i, j = t.column("seed_i")[0].as_py(), t.column("seed_j")[0].as_py()
-        t = t.select(["seed", "id", "emb"]).sort_by("id")
-        seed, ids, x = t.column("seed").to_numpy(), t.column("id").to_numpy(), unit(matrix(t.column("emb").combine_chunks()))
-        a, b, left, right = x[seed == i], x[seed == j], ids[seed == i], ids[seed == j]
-        del t, x
+        seed, ids = t.column("seed").to_numpy(), t.column("id").to_numpy()
+        order = np.lexsort((ids, seed))  # i < j
+        place, n_i = np.empty(len(order), np.int64), int((seed == i).sum())
+        place[order] = np.arange(len(order))
+        both, lo = None, 0
+        for batch in t.select(["emb"]).to_batches(max_chunksize=8192):  # no second copy of the group
+            rows_ = unit(matrix(batch.column("emb")))
+            both = np.empty((len(order), rows_.shape[1])) if both is None else both
+            both[place[lo : lo + len(rows_)]] = rows_
+            lo += len(rows_)
+        a, b, left, right = both[:n_i], both[n_i:], ids[order[:n_i]], ids[order[n_i:]]
         at = np.arange(min(len(a), len(b)))
         to = auction(a, b, epsilon, listed) if len(a) <= len(b) else auction(b, a, epsilon, listed)
         l, r = (at, to) if len(a) <= len(b) else (to, at)
